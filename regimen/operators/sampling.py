@@ -143,13 +143,15 @@ def linspace_fractions(start: float = 0.1, stop: float = 1.0, num: int = 10) ->
 
 def growing_prefixes(df: DataFrame, order_cols: list[str], k: int = 5,
                      fractions: Sequence[float] | None = None, fold_col: str = "fold",
-                     n_buckets: int = 4096) -> DataFrame:
+                     n_buckets: int = 4096, with_folds: bool = False):
     """Learning-curve training subsets.
 
     ``n_max`` = training size of the first fold; sizes
     ``m = clip(floor(f * n_max), 1, n_max)`` (deduplicated); for each
     held-out fold ``cv_fold`` the subset is the first ``m`` rows of that
-    fold's training part in order.  Output: one row per (row, cv_fold, m).
+    fold's training part in order.  Output: one row per (row, cv_fold, m);
+    ``with_folds=True`` also returns the fold-tagged input (for scoring the
+    held-out folds) so the order is computed once.
     """
     fractions = list(fractions) if fractions is not None else linspace_fractions()
     b, order = value_order(df, order_cols, n_buckets=n_buckets)
@@ -176,4 +178,5 @@ def growing_prefixes(df: DataFrame, order_cols: list[str], k: int = 5,
     tkeys = [F.col(f"_t{i}") for i in range(len(order.keys))]
     cond = (F.col(fold_col) != F.col("cv_fold")) & lex_le(keys, tkeys)
     out = b.join(maybe_broadcast(thr, k * len(fractions)), on=cond, how="inner")
-    return _drop(out.drop(*[f"_t{i}" for i in range(len(order.keys))]))
+    out = _drop(out.drop(*[f"_t{i}" for i in range(len(order.keys))]))
+    return (out, _drop(b)) if with_folds else out

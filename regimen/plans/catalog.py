@@ -2,7 +2,7 @@
 
 Each query is ``(spark, sf_dir) -> DataFrame`` over WHOLE tables; each
 oracle is a DuckDB-runnable SQL string producing the same columns.  Floats
-are rounded to 6 decimals on both sides (``round(x, 6) + 0.0`` so that a
+are rounded to 6 decimals on both sides (see ``r6``; ``+ 0.0`` so that a
 negative zero never differs from a positive one).
 """
 
@@ -33,12 +33,15 @@ def register(name: str, sql: str | None = None):
 
 
 def r6(c: str | Column) -> Column:
+    """Round to 6 decimals as ``round(x * 1e6) / 1e6``: the scaled double is
+    rounded the same way by both engines (a decimal-string tie such as
+    27.4671705 is not), and ``+ 0.0`` turns -0.0 into 0.0."""
     col = F.col(c) if isinstance(c, str) else c
-    return F.round(col.cast("double"), 6) + F.lit(0.0)
+    return F.round(col.cast("double") * F.lit(1e6)) / F.lit(1e6) + F.lit(0.0)
 
 
 def R6(expr: str) -> str:
-    return f"(round(({expr})::DOUBLE, 6) + 0.0)"
+    return f"(round(({expr})::DOUBLE * 1000000.0::DOUBLE) / 1000000.0::DOUBLE + 0.0)"
 
 
 def T(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -358,11 +361,8 @@ def q_run_log(spark, sf):
                                          (F.col("l_tax") * 10).alias("score2"), "l_shipdate")
     acc = clean.accept_runs(li)
     stamp = F.date_format("l_shipdate", tables.STAMP_FORMAT)
-    rec = tables.run_records(acc).withColumn("_i", F.monotonically_increasing_id())
-    return acc.select(F.format_string(tables.RUN_RECORD_FORMAT, F.col("round").cast("long"),
-                                      F.col("split").cast("long"), "score", "score2").alias("record"),
-                      tables.scored_name("score", "score2", stamp, integer=True).alias("name")) \
-        if rec is not None else rec
+    return acc.select(tables.run_record().alias("record"),
+                      tables.scored_name("score", "score2", stamp, integer=True).alias("name"))
 
 
 @register("clip_and_round", """
@@ -537,7 +537,8 @@ WITH pp AS ({PLANTED_SQL}),
 st AS (SELECT dataset, model, {r2_sql('yv', 'ev')} AS r2,
               least(min(label), min(CASE WHEN NOT isnan(prediction) THEN prediction END)) AS axis_min,
               greatest(max(label), max(CASE WHEN NOT isnan(prediction) THEN prediction END)) AS axis_max
-       FROM (SELECT *, {nulled_sql('label', 'prediction')} FROM pp) x GROUP BY dataset, model)
+       FROM (SELECT *, {nulled_sql('label', 'prediction')} FROM pp WHERE split = 'test' AND dataset = 'original') x
+       GROUP BY dataset, model)
 SELECT pp.l_orderkey, pp.l_linenumber, pp.dataset, pp.model, {R6('pp.label')} AS label,
        {R6("CASE WHEN isnan(pp.prediction) THEN NULL ELSE pp.prediction END")} AS prediction,
        {R6('st.r2')} AS r2, {R6('st.axis_min')} AS axis_min, {R6('st.axis_max')} AS axis_max
@@ -664,13 +665,13 @@ def q_stack_splits(spark, sf):
 
 
 # history-shaped table from orders: config = priority, epoch = order key.
-@register("best_epoch", """
+@register("best_epoch", f"""
 WITH h AS (SELECT o_orderpriority AS config, o_orderkey AS epoch, o_totalprice / 1000 AS loss,
                   (o_totalprice / 1000) * (1 + (o_custkey % 10) / 100.0) AS val_loss FROM orders),
 b AS (SELECT config, min(val_loss) AS best_val_loss, min(loss) AS best_loss, count(*) AS epochs FROM h GROUP BY config)
-SELECT b.config, round(b.best_val_loss, 6) + 0.0 AS best_val_loss,
+SELECT b.config, {R6('b.best_val_loss')} AS best_val_loss,
        (SELECT min(epoch) FROM h WHERE h.config = b.config AND h.val_loss = b.best_val_loss) AS best_epoch,
-       round(b.best_loss, 6) + 0.0 AS best_loss, b.epochs FROM b
+       {R6('b.best_loss')} AS best_loss, b.epochs FROM b
 """)
 def q_best_epoch(spark, sf):
     o = T(spark, sf, "orders")
@@ -759,7 +760,7 @@ k AS (SELECT *, row_number() OVER (PARTITION BY round, split
              count(*) OVER (PARTITION BY round, split) AS n FROM ex),
 t AS (SELECT *, pos < ceil(0.2::DOUBLE * n) AS is_test FROM k),
 mu AS (SELECT round, split, avg(value) AS mean FROM t WHERE NOT is_test GROUP BY round, split),
-sc AS (SELECT t.round, t.split, round({r2_sql('t.value', '(t.value - mu.mean)')}, 6) + 0.0 AS score
+sc AS (SELECT t.round, t.split, {R6(r2_sql('t.value', '(t.value - mu.mean)'))} AS score
        FROM t JOIN mu ON t.round = mu.round AND t.split = mu.split WHERE t.is_test GROUP BY t.round, t.split)
 SELECT round::INTEGER AS round, split::INTEGER AS split, score, (round * 5 + split)::INTEGER AS grid_index
 FROM sc ORDER BY score DESC NULLS LAST, grid_index LIMIT 1
@@ -893,8 +894,8 @@ SELECT CASE WHEN l_linenumber % 3 = 0 THEN 0 ELSE 1 END AS line_no,
        CASE WHEN l_linenumber = 3 THEN NULL ELSE l_discount END AS discount,
        CASE WHEN l_linenumber = 6 THEN NULL ELSE l_tax END AS tax,
        CASE WHEN l_linenumber = 4 THEN NULL ELSE l_extendedprice END AS price,
-       CASE WHEN l_linenumber = 5 THEN concat_ws(chr(9), l_orderkey, l_linenumber, l_quantity, l_discount, l_tax,
-                                                l_extendedprice, '9') END AS _corrupt_record
+       CASE WHEN l_linenumber = 5 THEN chr(9) || concat_ws(chr(9), l_orderkey, l_linenumber, l_quantity, l_discount,
+                                                           l_tax, l_extendedprice, '9') || '  ' END AS _corrupt_record
 FROM lineitem
 """)
 def q_text_lenient(spark, sf):

@@ -35,14 +35,14 @@ def read_table_csv(spark: SparkSession, path: str, columns: Sequence[str] | None
         df = spark.read.schema(double_schema(columns)).option("header", True).csv(path)
         return df.select(*[nan_to_null(c).alias(c) for c in columns])
     raw = spark.read.option("header", True).csv(path)
-    return raw.select(*[nan_to_null(F.try_cast(F.trim(F.col(c)), "double")).alias(c) for c in raw.columns])
+    return raw.select(*[nan_to_null(F.trim(F.col(c)).try_cast("double")).alias(c) for c in raw.columns])
 
 
 def read_table_tsv(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
     """Headerless tab-separated rows (CRLF tolerated)."""
     df = (spark.read.schema(T.StructType([T.StructField(c, T.StringType(), True) for c in columns]))
           .option("sep", "\t").option("header", False).csv(path))
-    return df.select(*[nan_to_null(F.try_cast(F.btrim(F.col(c), F.lit(" \r\n\t")), "double")).alias(c)
+    return df.select(*[nan_to_null(F.btrim(F.col(c), F.lit(" \r\n\t")).try_cast("double")).alias(c)
                        for c in columns])
 
 
@@ -51,12 +51,17 @@ def write_table_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("header", True).csv(path)
 
 
+def run_record(round_col: str = "round", split_col: str = "split", score: str = "score",
+               score2: str = "score2") -> Column:
+    """S6 (the string): ``'%d    %d  %.5f    %.5f'`` of one run."""
+    return F.format_string(RUN_RECORD_FORMAT, F.col(round_col).cast("long"), F.col(split_col).cast("long"),
+                           F.col(score).cast("double"), F.col(score2).cast("double"))
+
+
 def run_records(df: DataFrame, round_col: str = "round", split_col: str = "split",
                 score: str = "score", score2: str = "score2") -> DataFrame:
-    """S6 (the string): ``'%d    %d  %.5f    %.5f'`` per run."""
-    return df.select(F.format_string(RUN_RECORD_FORMAT, F.col(round_col).cast("long"),
-                                     F.col(split_col).cast("long"), F.col(score).cast("double"),
-                                     F.col(score2).cast("double")).alias("record"))
+    """One ``record`` string per run."""
+    return df.select(run_record(round_col, split_col, score, score2).alias("record"))
 
 
 def append_run_log(df: DataFrame, path: str, **cols) -> None:

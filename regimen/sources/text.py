@@ -70,7 +70,7 @@ def parse_annotated_text(docs: DataFrame, columns: Sequence[str] = MEASUREMENT_C
     values = []
     for i, c in enumerate(columns):
         tok = marker_to_null(F.get(F.col("_fields"), i))
-        num = F.try_cast(tok, "double")
+        num = tok.try_cast("double")
         if mode == "strict":
             bad = tok.isNotNull() & num.isNull()
             num = F.when(bad, F.raise_error(F.concat(F.lit(f"not a number in column {c}: "), tok))) \
