@@ -902,3 +902,174 @@ def q_text_lenient(spark, sf):
     docs = annotated_docs(spark, sf, lenient=True)
     return text.parse_annotated_text(docs, columns=TEXT_COLS, mode="lenient").select(
         "line_no", *TEXT_COLS, "_corrupt_record")
+
+
+# =====================================================================
+# Models on whole tables with planted labels
+
+MODEL_FEATURES = ["l_quantity", "l_discount", "l_tax"]
+STEP_SQL = "CASE WHEN l_quantity > 25 THEN 10.0 ELSE 2.0 END"
+LINE_SQL = "(3.0 * l_quantity + 100.0 * l_discount + 1.0)"
+CUBIC_SQL = "(power(l_quantity / 10.0, 3) + 20.0 * l_tax)"
+
+
+def planted_lineitem(spark, sf) -> DataFrame:
+    li = T(spark, sf, "lineitem")
+    q = F.col("l_quantity")
+    return li.select(*LI_KEYS, *MODEL_FEATURES,
+                     F.when(q > 25, F.lit(10.0)).otherwise(F.lit(2.0)).alias("step"),
+                     (F.lit(3.0) * q + F.lit(100.0) * F.col("l_discount") + F.lit(1.0)).alias("line"),
+                     (F.pow(q / 10.0, 3) + F.lit(20.0) * F.col("l_tax")).alias("cubic"))
+
+
+def _planted_sql(model: str, label_sql: str, pred_sql: str) -> str:
+    return (f"SELECT {LI_KEYS_SQL}, '{model}' AS model, {label_sql} AS label, {pred_sql} AS prediction "
+            f"FROM lineitem")
+
+
+def _model_preds(model, d, label: str, name: str) -> DataFrame:
+    from regimen.operators import models
+    p = models.predict(model, d, label, LI_KEYS, name, "original", "train")
+    return p.select(*LI_KEYS, "model", "label", "prediction")
+
+
+@register("fit_random_forest", _planted_sql("Random Forest", STEP_SQL, STEP_SQL))
+def q_fit_rf(spark, sf):
+    from regimen.operators import models
+    d = planted_lineitem(spark, sf)
+    m = models.random_forest(MODEL_FEATURES, "step", num_trees=100, max_bins=64).fit(d)
+    return _model_preds(m, d, "step", "Random Forest")
+
+
+@register("fit_gbt", _planted_sql("Gradient Boosting", STEP_SQL, STEP_SQL))
+def q_fit_gbt(spark, sf):
+    from regimen.operators import models
+    d = planted_lineitem(spark, sf)
+    m = models.gbt(MODEL_FEATURES, "step", max_iter=20, max_bins=64).fit(d)
+    return _model_preds(m, d, "step", "Gradient Boosting")
+
+
+@register("fit_gbt_stochastic", f"""
+SELECT {LI_KEYS_SQL}, 'XGBoost' AS model, {STEP_SQL} AS label, {STEP_SQL} AS rounded FROM lineitem
+""")
+def q_fit_gbt_stochastic(spark, sf):
+    from regimen.operators import models
+    d = planted_lineitem(spark, sf)
+    m = models.gbt_stochastic(MODEL_FEATURES, "step", max_iter=20, max_bins=64).fit(d)
+    p = _model_preds(m, d, "step", "XGBoost")
+    return p.select(*LI_KEYS, "model", "label", F.round("prediction").alias("rounded"))
+
+
+@register("fit_svr_linear", f"""
+SELECT {LI_KEYS_SQL}, 'SVR' AS model, {LINE_SQL} AS label, TRUE AS within_tube FROM lineitem
+""")
+def q_fit_svr_linear(spark, sf):
+    from regimen.operators import solvers
+    d = planted_lineitem(spark, sf)
+    m = solvers.SVR(MODEL_FEATURES, "line", kernel="linear", C=1.0, epsilon=0.1).fit(d)
+    p = _model_preds(m, d, "line", "SVR")
+    return p.select(*LI_KEYS, "model", "label",
+                    (F.abs(F.col("prediction") - F.col("label")) <= F.lit(0.1 + 1e-3)).alias("within_tube"))
+
+
+@register("fit_svr_poly", f"""
+SELECT {LI_KEYS_SQL}, 'SVR' AS model, {CUBIC_SQL} AS label, TRUE AS within_tube FROM lineitem
+""")
+def q_fit_svr_poly(spark, sf):
+    from regimen.operators import solvers
+    d = planted_lineitem(spark, sf)
+    m = solvers.SVR(MODEL_FEATURES, "cubic", kernel="poly", degree=3, C=1.0, epsilon=0.1).fit(d)
+    p = _model_preds(m, d, "cubic", "SVR")
+    return p.select(*LI_KEYS, "model", "label",
+                    (F.abs(F.col("prediction") - F.col("label")) <= F.lit(0.1 + 1e-2)).alias("within_tube"))
+
+
+@register("fit_svr_rbf")
+def q_fit_svr_rbf(spark, sf):
+    """M5 (rows-only): random-Fourier-feature SVR on the step label."""
+    from regimen.operators import solvers
+    d = planted_lineitem(spark, sf)
+    m = solvers.SVR(MODEL_FEATURES, "step", kernel="rbf", n_components=64, max_iter=10).fit(d)
+    return _model_preds(m, d, "step", "SVR")
+
+
+@register("fit_mlp")
+def q_fit_mlp(spark, sf):
+    """M7/M8 (rows-only): the network on the linear label, early stopping on
+    the rows of line number 1."""
+    from regimen.operators import solvers
+    d = planted_lineitem(spark, sf).withColumn("is_val", F.col("l_linenumber") == 1)
+    m = solvers.MLPRegressor(MODEL_FEATURES, "line", epochs=10, patience=3, validation_col="is_val").fit(d)
+    return _model_preds(m, d, "line", "Neural Network")
+
+
+@register("training_history")
+def q_training_history(spark, sf):
+    """M9 + A10 (rows-only): per-epoch history of the network and its best epoch."""
+    from regimen.operators import solvers
+    d = planted_lineitem(spark, sf).withColumn("is_val", F.col("l_linenumber") == 1)
+    m = solvers.MLPRegressor(MODEL_FEATURES, "line", epochs=10, patience=3, validation_col="is_val").fit(d)
+    h = m.history_frame()
+    return h.join(metrics.best_epoch(h, ["model"]), "model")
+
+
+@register("feature_importance", """
+SELECT * FROM (VALUES ('Random Forest', 'l_quantity', 1.0::DOUBLE, 1),
+                      ('Random Forest', 'l_discount', 0.0::DOUBLE, 2),
+                      ('Random Forest', 'l_tax', 0.0::DOUBLE, 3)) t(model, feature, importance, rank)
+""")
+def q_feature_importance(spark, sf):
+    """M11 + W3: only the planted feature carries importance."""
+    from regimen.operators import models
+    d = planted_lineitem(spark, sf)
+    m = models.random_forest(MODEL_FEATURES, "step", num_trees=20, max_bins=64).fit(d)
+    imp = models.feature_importance(m, MODEL_FEATURES, "Random Forest")
+    return ranking.rank_importance(imp).select("model", "feature", r6("importance").alias("importance"), "rank")
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder under the session's shared checkpoint directory."""
+    import uuid
+    from regimen.session import checkpoint_dir
+    return f"{checkpoint_dir(spark).rstrip('/')}/regimen-io/{name}-{uuid.uuid4().hex}"
+
+
+@register("save_load_model", _planted_sql("Random Forest", STEP_SQL, STEP_SQL))
+def q_save_load(spark, sf):
+    """Persist under a score-derived name, load back, predict."""
+    from regimen.operators import models
+    d = planted_lineitem(spark, sf)
+    m = models.random_forest(MODEL_FEATURES, "step", num_trees=10, max_bins=64).fit(d)
+    base = shared_path(spark, "models")
+    path = tables.save_model(m, base, "random_forest", 1.0, registry=f"{base}/registry")
+    return _model_preds(tables.load_model(path), d, "step", "Random Forest")
+
+
+@register("csv_roundtrip", f"""
+SELECT {', '.join(LI_NUM)} FROM lineitem
+""")
+def q_csv_roundtrip(spark, sf):
+    """S3 + S5: header CSV written in parallel parts and read back as doubles."""
+    path = shared_path(spark, "csv")
+    tables.write_table_csv(T(spark, sf, "lineitem").select(*LI_NUM), path)
+    return tables.read_table_csv(spark, path, LI_NUM)
+
+
+@register("tsv_roundtrip", f"""
+SELECT {', '.join(LI_NUM)} FROM lineitem
+""")
+def q_tsv_roundtrip(spark, sf):
+    """Headerless tab-separated rows read with a fixed schema."""
+    path = shared_path(spark, "tsv")
+    T(spark, sf, "lineitem").select(*LI_NUM).write.option("sep", "\t").option("header", False) \
+        .option("lineSep", "\r\n").csv(path)
+    return tables.read_table_tsv(spark, path, LI_NUM)
+
+
+@register("synthetic_roundtrip", synth_sql())
+def q_synthetic_roundtrip(spark, sf):
+    """The synthetic table persisted (parquet) and read back."""
+    path = shared_path(spark, "synthetic")
+    synth.write_synthetic(synthetic_lineitem(spark, sf), path)
+    back = spark.read.parquet(path)
+    return back.select(*LI_KEYS, *[r6(c).alias(c) for c in SYN_FEATURES + [SYN_LABEL]])
