@@ -1073,3 +1073,129 @@ def q_synthetic_roundtrip(spark, sf):
     synth.write_synthetic(synthetic_lineitem(spark, sf), path)
     back = spark.read.parquet(path)
     return back.select(*LI_KEYS, *[r6(c).alias(c) for c in SYN_FEATURES + [SYN_LABEL]])
+
+
+# =====================================================================
+# Experiments over the whole `part` table (rows-only checks:
+# model quality is not SQL; the plumbing is SQL-checked above with the
+# mean predictor)
+
+PART_FEATURES = ["p_size", "p_retailprice"]
+
+
+def planted_part(spark, sf) -> DataFrame:
+    p = T(spark, sf, "part")
+    y = (F.when(F.col("p_size") > 25, F.lit(10.0)).otherwise(F.lit(2.0))
+         + (F.col("p_retailprice") - F.lit(900.0)) / F.lit(50.0))
+    return p.select("p_partkey", F.col("p_size").cast("double").alias("p_size"), "p_retailprice", y.alias("y"))
+
+
+def small_suite(features, label) -> dict:
+    from regimen.operators import models, solvers
+    from regimen.plans.suite import GB, NN, RF, SVR_NAME
+    return {RF: models.random_forest(features, label, num_trees=20, max_depth=10),
+            GB: models.gbt(features, label, max_iter=10),
+            SVR_NAME: solvers.SVR(features, label, kernel="rbf", n_components=32, max_iter=5),
+            NN: solvers.MLPRegressor(features, label, hidden=(16, 8), epochs=5, patience=None)}
+
+
+@register("compare_models")
+def q_compare_models(spark, sf):
+    """E1 + E2: the suite on one exact hold-out, ranked results table."""
+    from regimen.plans import suite
+    d = planted_part(spark, sf)
+    s = sampling.holdout_split(d, ["p_partkey"], 0.2, 42)
+    _, wide, _ = suite.compare_models(s.where(F.col("split") == "train"), s.where(F.col("split") == "test"),
+                                      small_suite(PART_FEATURES, "y"), "y", ["p_partkey"])
+    return ranking.results_table(wide)
+
+
+@register("grid_search_holdout")
+def q_grid_holdout(spark, sf):
+    """E3 + W4: boosted-tree grid scored on train and on the hold-out."""
+    from regimen.operators import models
+    from regimen.plans import suite
+    d = planted_part(spark, sf)
+    s = sampling.holdout_split(d, ["p_partkey"], 0.2, 42)
+    table, best = suite.grid_search_holdout(
+        s.where(F.col("split") == "train"), s.where(F.col("split") == "test"),
+        lambda max_iter, max_depth: models.gbt(PART_FEATURES, "y", max_iter=max_iter, max_depth=max_depth),
+        {"max_iter": [5, 10], "max_depth": [2, 3]}, "y")
+    return table.join(best.select("grid_index", F.lit(True).alias("is_best")), "grid_index", "left")
+
+
+@register("grid_search_cv")
+def q_grid_cv(spark, sf):
+    """Boosted grid (row subsampling x depth) by 3-fold CV R^2."""
+    from regimen.operators import models
+    from regimen.plans import suite
+    folded = sampling.kfold_contiguous(planted_part(spark, sf), ["p_partkey"], 3)
+    table, best = suite.grid_search_cv(
+        folded, lambda subsample, max_depth: models.gbt(PART_FEATURES, "y", max_iter=5, max_depth=max_depth,
+                                                         subsample=subsample),
+        {"subsample": [0.8, 1.0], "max_depth": [2, 3]}, "y", 3)
+    return table.join(best.select("grid_index", F.lit(True).alias("is_best")), "grid_index", "left")
+
+
+@register("grid_search_mlp")
+def q_grid_mlp(spark, sf):
+    """E5: network grid (layers x learning rate), best by hold-out R^2."""
+    from regimen.operators import solvers
+    from regimen.plans import suite
+    d = planted_part(spark, sf)
+    s = sampling.holdout_split(d, ["p_partkey"], 0.2, 42)
+    table, best = suite.grid_search_holdout(
+        s.where(F.col("split") == "train"), s.where(F.col("split") == "test"),
+        lambda hidden, learning_rate: solvers.MLPRegressor(PART_FEATURES, "y", hidden=hidden,
+                                                           learning_rate=learning_rate, epochs=5, patience=None),
+        {"hidden": [(16,), (32, 16)], "learning_rate": [1e-3, 1e-2]}, "y")
+    return table.join(best.select("grid_index", F.lit(True).alias("is_best")), "grid_index", "left")
+
+
+@register("cross_validate_suite")
+def q_cv_suite(spark, sf):
+    """E6 + A8 + J2: fold scores of RF and GBT, summarised per model."""
+    from regimen.operators import models
+    from regimen.plans import suite
+    folded = sampling.kfold_contiguous(planted_part(spark, sf), ["p_partkey"], 5)
+    ests = {suite.RF: models.random_forest(PART_FEATURES, "y", num_trees=20, max_depth=10),
+            suite.GB: models.gbt(PART_FEATURES, "y", max_iter=10)}
+    scores = suite.cross_validate_suite(folded, ests, "y", 5)
+    return scores.join(metrics.cv_summary(scores), "model")
+
+
+@register("learning_curve")
+def q_learning_curve(spark, sf):
+    """Boosted trees on growing prefixes of the first-fold training size."""
+    from regimen.operators import models
+    from regimen.plans import suite
+    return suite.learning_curve(planted_part(spark, sf), ["p_partkey"], models.gbt(PART_FEATURES, "y", max_iter=5),
+                                "y", k=5, fractions=[0.1, 0.55, 1.0])
+
+
+@register("repeated_splits")
+def q_repeated_splits(spark, sf):
+    """E8 + P5 + S6: a forest per shuffled split, scored on its test rows and
+    on a synthetic draw of the table; accepted runs and their log records."""
+    from regimen.operators import models
+    from regimen.plans import suite
+    d = planted_part(spark, sf)
+    ext = synth.synthesize(d, PART_FEATURES, "y", key_cols=["p_partkey"], seed=7)
+    runs = suite.repeated_splits(d, ["p_partkey"], models.random_forest(PART_FEATURES, "y", num_trees=10,
+                                                                        max_depth=10),
+                                 "y", ext, n_rounds=1, n_splits=3)
+    return runs.withColumn("record", tables.run_record())
+
+
+@register("original_vs_synthetic")
+def q_original_vs_synthetic(spark, sf):
+    """E9 + D6 + J1: the suite on the table and on a synthetic draw of it."""
+    from regimen.operators import models
+    from regimen.plans import suite
+    d = planted_part(spark, sf)
+
+    def build():
+        return {suite.RF: models.random_forest(PART_FEATURES, "y", num_trees=20, max_depth=10),
+                suite.GB: models.gbt(PART_FEATURES, "y", max_iter=10)}
+
+    return suite.original_vs_synthetic(d, None, PART_FEATURES, "y", ["p_partkey"], build)
