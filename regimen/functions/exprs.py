@@ -27,21 +27,26 @@ def hash_key(*parts: str | Column) -> Column:
     return F.md5(F.concat_ws("-", *[as_col(p).cast("string") for p in parts]))
 
 
+def _uniform_from(digest: Column, start: int) -> Column:
+    """13 hex digits of ``digest`` from ``start`` (1-based) -> (0, 1)."""
+    as_int = F.conv(F.substring(digest, start, MD5_PREFIX_DIGITS), 16, 10).cast("bigint")
+    return (as_int + F.lit(1)).cast("double") / F.lit(MD5_UNIFORM_DENOMINATOR)
+
+
 def md5_uniform(*parts: str | Column) -> Column:
     """Deterministic uniform draw in (0, 1) keyed by ``parts``.
 
     Same formula as SQL ``(cast(conv(substr(md5(k),1,13),16,10) as bigint)+1)
     / 4503599627370497`` so any SQL engine with md5 reproduces it.
     """
-    prefix = F.substring(hash_key(*parts), 1, MD5_PREFIX_DIGITS)
-    as_int = F.conv(prefix, 16, 10).cast("bigint")
-    return (as_int + F.lit(1)).cast("double") / F.lit(MD5_UNIFORM_DENOMINATOR)
+    return _uniform_from(hash_key(*parts), 1)
 
 
 def std_normal(*parts: str | Column) -> Column:
-    """Standard normal draw by Box-Muller on two md5 uniforms keyed by ``parts``."""
-    u1 = md5_uniform(*parts, F.lit("u1"))
-    u2 = md5_uniform(*parts, F.lit("u2"))
+    """Standard normal draw by Box-Muller on the two uniforms held by ONE md5
+    of ``parts`` (hex digits 1-13 and 14-26), so a draw costs one hash."""
+    digest = hash_key(*parts)
+    u1, u2 = _uniform_from(digest, 1), _uniform_from(digest, 1 + MD5_PREFIX_DIGITS)
     return F.sqrt(F.lit(-2.0) * F.log(u1)) * F.cos(F.lit(2.0 * math.pi) * u2)
 
 

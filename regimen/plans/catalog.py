@@ -781,13 +781,13 @@ SYN_FEATURES = ["l_quantity", "l_discount", "l_tax"]
 SYN_LABEL = "l_extendedprice"
 
 
-def _u_sql(parts: str, tag: str) -> str:
-    return (f"((('0x' || substr(md5(concat_ws('-', {parts}, '{tag}')), 1, 13))::BIGINT + 1)::DOUBLE "
+def _u_sql(parts: str, start: int) -> str:
+    return (f"((('0x' || substr(md5(concat_ws('-', {parts})), {start}, 13))::BIGINT + 1)::DOUBLE "
             f"/ 4503599627370497.0::DOUBLE)")
 
 
 def _z_sql(parts: str) -> str:
-    return f"(sqrt(-2.0 * ln({_u_sql(parts, 'u1')})) * cos(2.0 * pi() * {_u_sql(parts, 'u2')}))"
+    return f"(sqrt(-2.0 * ln({_u_sql(parts, 1)})) * cos(2.0 * pi() * {_u_sql(parts, 14)}))"
 
 
 def synth_sql(seed: int = 42) -> str:
