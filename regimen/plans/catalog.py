@@ -1199,3 +1199,13 @@ def q_original_vs_synthetic(spark, sf):
                 suite.GB: models.gbt(PART_FEATURES, "y", max_iter=10)}
 
     return suite.original_vs_synthetic(d, None, PART_FEATURES, "y", ["p_partkey"], build)
+
+
+@register("fit_gbt_early_stopping", _planted_sql("Gradient Boosting", STEP_SQL, STEP_SQL))
+def q_fit_gbt_early_stopping(spark, sf):
+    """M2 + M8 for trees: boosting stops once the validation rows (line
+    number 1) stop improving; the step is still recovered exactly."""
+    from regimen.operators import models
+    d = planted_lineitem(spark, sf).withColumn("is_val", F.col("l_linenumber") == 1)
+    m = models.gbt(MODEL_FEATURES, "step", max_iter=100, max_bins=64, validation_col="is_val").fit(d)
+    return _model_preds(m, d, "step", "Gradient Boosting")

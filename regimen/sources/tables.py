@@ -22,9 +22,18 @@ def double_schema(columns: Sequence[str]) -> T.StructType:
     return T.StructType([T.StructField(c, T.DoubleType(), True) for c in columns])
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a table that arrives in fewer splits than the cluster has
+    cores (e.g. one Parquet row group), so per-row work before the first
+    shuffle is not a single task.  A no-op for large inputs, whose scans
+    already have at least that many splits."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table (Parquet; filters and projections reach the scan)."""
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
 
 
 def read_table_csv(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
