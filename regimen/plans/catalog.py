@@ -32,16 +32,21 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
-def r6(c: str | Column) -> Column:
-    """Round to 6 decimals as ``round(x * 1e6) / 1e6``: the scaled double is
-    rounded the same way by both engines (a decimal-string tie such as
-    27.4671705 is not), and ``+ 0.0`` turns -0.0 into 0.0."""
+def r6(c: str | Column, digits: int = 6) -> Column:
+    """Round to ``digits`` decimals as ``round(x * 10^d) / 10^d``: the scaled
+    double is rounded the same way by both engines (a decimal-string tie
+    such as 27.4671705 is not), and ``+ 0.0`` turns -0.0 into 0.0.
+
+    Aggregates of large values (prices ~1e4) carry summation-order error
+    ~1e-11, so those outputs use fewer digits (``digits=2`` or 4)."""
     col = F.col(c) if isinstance(c, str) else c
-    return F.round(col.cast("double") * F.lit(1e6)) / F.lit(1e6) + F.lit(0.0)
+    scale = float(10 ** digits)
+    return F.round(col.cast("double") * F.lit(scale)) / F.lit(scale) + F.lit(0.0)
 
 
-def R6(expr: str) -> str:
-    return f"(round(({expr})::DOUBLE * 1000000.0::DOUBLE) / 1000000.0::DOUBLE + 0.0)"
+def R6(expr: str, digits: int = 6) -> str:
+    scale = f"{10 ** digits}.0::DOUBLE"
+    return f"(round(({expr})::DOUBLE * {scale}) / {scale} + 0.0)"
 
 
 def T(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -225,7 +230,7 @@ def orders_target(spark, sf):
 @register("impute_from_reference", f"""
 WITH t AS ({ORDERS_TARGET_SQL}),
 ref AS (SELECT avg(l_extendedprice) AS price, avg(l_quantity) AS qty FROM lineitem)
-SELECT o_orderkey, {R6('coalesce(t.price, ref.price)')} AS price, {R6('coalesce(t.qty, ref.qty)')} AS qty,
+SELECT o_orderkey, {R6('coalesce(t.price, ref.price)', 4)} AS price, {R6('coalesce(t.qty, ref.qty)', 4)} AS qty,
        {R6('coalesce(t.cust, (SELECT avg(cust) FROM t))')} AS cust
 FROM t CROSS JOIN ref
 """)
@@ -233,7 +238,7 @@ def q_impute_from_reference(spark, sf):
     ref = T(spark, sf, "lineitem").select(F.col("l_extendedprice").alias("price"),
                                           F.col("l_quantity").alias("qty"))
     out = clean.impute_from_reference(orders_target(spark, sf), ref, ["price", "qty", "cust"])
-    return out.select("o_orderkey", *[r6(c).alias(c) for c in ["price", "qty", "cust"]])
+    return out.select("o_orderkey", r6("price", 4).alias("price"), r6("qty", 4).alias("qty"), r6("cust").alias("cust"))
 
 
 @register("zero_if_all_missing_label", f"""
@@ -321,13 +326,13 @@ def q_standardize(spark, sf):
 
 
 @register("broadcast_stats", f"""
-SELECT {LI_KEYS_SQL}, {R6('l_extendedprice - avg(l_extendedprice) OVER ()')} AS deviation FROM lineitem
+SELECT {LI_KEYS_SQL}, {R6('l_extendedprice - avg(l_extendedprice) OVER ()', 4)} AS deviation FROM lineitem
 """)
 def q_broadcast_stats(spark, sf):
     li = T(spark, sf, "lineitem").select(*LI_KEYS, "l_extendedprice")
     stats = li.agg(F.avg("l_extendedprice").alias("mean"))
     return clean.broadcast_stats(li, stats).select(
-        *LI_KEYS, r6(F.col("l_extendedprice") - F.col("mean")).alias("deviation"))
+        *LI_KEYS, r6(F.col("l_extendedprice") - F.col("mean"), 4).alias("deviation"))
 
 
 # =====================================================================
@@ -383,11 +388,12 @@ def q_clip_round(spark, sf):
 # profiles
 
 @register("column_profile", " UNION ALL ".join(
-    f"SELECT '{c}' AS column, {R6(f'avg({c})')} AS mean, {R6(f'stddev_samp({c})')} AS std, "
+    f"SELECT '{c}' AS column, {R6(f'avg({c})', 4)} AS mean, {R6(f'stddev_samp({c})', 4)} AS std, "
     f"{R6(f'min({c})')} AS min, {R6(f'max({c})')} AS max, count({c}) AS count FROM lineitem" for c in LI_NUM))
 def q_profile(spark, sf):
     p = profile.column_profile(T(spark, sf, "lineitem"), LI_NUM)
-    return p.select("column", *[r6(c).alias(c) for c in ["mean", "std", "min", "max"]], "count")
+    return p.select("column", r6("mean", 4).alias("mean"), r6("std", 4).alias("std"),
+                    r6("min").alias("min"), r6("max").alias("max"), "count")
 
 
 def _corr_sql(a: str, b: str) -> str:
@@ -802,7 +808,7 @@ def synth_sql(seed: int = 42) -> str:
     return (f"WITH st AS (SELECT {st} FROM lineitem), "
             f"x AS (SELECT {keys}, {xs}, st.* FROM lineitem CROSS JOIN st) "
             f"SELECT {keys}, {', '.join(f'{R6(c)} AS {c}' for c in SYN_FEATURES)}, "
-            f"{R6(f'CASE WHEN ({y}) IS NULL THEN NULL ELSE greatest({y}, 0.0) END')} AS {SYN_LABEL} FROM x")
+            f"{R6(f'CASE WHEN ({y}) IS NULL THEN NULL ELSE greatest({y}, 0.0) END', 2)} AS {SYN_LABEL} FROM x")
 
 
 def synthetic_lineitem(spark, sf) -> DataFrame:
@@ -813,7 +819,7 @@ def synthetic_lineitem(spark, sf) -> DataFrame:
 @register("synthesize", synth_sql())
 def q_synthesize(spark, sf):
     s = synthetic_lineitem(spark, sf)
-    return s.select(*LI_KEYS, *[r6(c).alias(c) for c in SYN_FEATURES + [SYN_LABEL]])
+    return s.select(*LI_KEYS, *[r6(c).alias(c) for c in SYN_FEATURES], r6(SYN_LABEL, 2).alias(SYN_LABEL))
 
 
 def _fidelity_sql() -> str:
@@ -832,7 +838,7 @@ def _fidelity_sql() -> str:
                       f"FROM syn")
     syn = " UNION ALL ".join(sparts)
     return (f"WITH syn AS ({synth_sql()}), a AS ({orig}), b AS ({syn}) "
-            f"SELECT a.column, {R6('syn_mean - orig_mean')} AS d_mean, {R6('syn_std - orig_std')} AS d_std, "
+            f"SELECT a.column, {R6('syn_mean - orig_mean', 4)} AS d_mean, {R6('syn_std - orig_std', 4)} AS d_std, "
             f"{R6('syn_corr - orig_corr')} AS d_corr FROM a JOIN b ON a.column = b.column")
 
 
@@ -841,7 +847,8 @@ def q_fidelity(spark, sf):
     li = T(spark, sf, "lineitem").select(*LI_KEYS, *SYN_FEATURES, SYN_LABEL)
     syn = q_synthesize(spark, sf)
     f = profile.fidelity(li, syn, SYN_FEATURES, SYN_LABEL)
-    return f.select("column", *[r6(c).alias(c) for c in ("d_mean", "d_std", "d_corr")])
+    return f.select("column", r6("d_mean", 4).alias("d_mean"), r6("d_std", 4).alias("d_std"),
+                    r6("d_corr").alias("d_corr"))
 
 
 # =====================================================================
@@ -1072,7 +1079,7 @@ def q_synthetic_roundtrip(spark, sf):
     path = shared_path(spark, "synthetic")
     synth.write_synthetic(synthetic_lineitem(spark, sf), path)
     back = spark.read.parquet(path)
-    return back.select(*LI_KEYS, *[r6(c).alias(c) for c in SYN_FEATURES + [SYN_LABEL]])
+    return back.select(*LI_KEYS, *[r6(c).alias(c) for c in SYN_FEATURES], r6(SYN_LABEL, 2).alias(SYN_LABEL))
 
 
 # =====================================================================
