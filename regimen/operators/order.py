@@ -18,6 +18,7 @@ Two uses:
 from __future__ import annotations
 
 import math
+from collections import Counter
 from dataclasses import dataclass
 
 from pyspark.ml.feature import Bucketizer
@@ -66,24 +67,68 @@ def hash_order(df: DataFrame, id_cols: list[str], salt: list[str | Column] | Non
                       groups=tuple(groups or ()), max_buckets=n_groups * 16 ** digits)
 
 
+def count_le(col: Column, cuts: list[float]) -> Column:
+    """Number of ``cuts`` (sorted, distinct) that are <= ``col``.
+
+    A balanced CASE tree: a binary search with log2(len(cuts)) comparisons
+    inside generated code (Bucketizer cannot take per-row splits)."""
+    def rec(lo: int, hi: int) -> Column:
+        if lo > hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(col < F.lit(float(cuts[mid])), rec(lo, mid - 1)).otherwise(rec(mid + 1, hi))
+
+    return rec(0, len(cuts) - 1)
+
+
 def value_order(df: DataFrame, order_cols: list[str], n_buckets: int = 4096,
                 groups: list[str] | None = None, n_groups: int = 1) -> tuple[DataFrame, Order]:
     """Order rows by their own columns (e.g. a row id).
 
     Buckets are equal-frequency ranges of the first order column from
     ``percentile_approx`` (one row of cut points), so a skewed id
-    distribution still gives even buckets.
+    distribution still gives even buckets.  A first-column value that holds
+    more than one bucket's share of the rows (it repeats among the cut
+    points) is split further by percentiles of the second order column, so
+    a value holding a third of the table is spread over many buckets
+    instead of being ranked by one task.
     """
     first = F.col(order_cols[0]).cast("double")
     probs = [i / n_buckets for i in range(1, n_buckets)]
-    cuts = df.select(F.percentile_approx(first, probs, 10 * n_buckets).alias("c")).first()["c"]
-    splits = [-math.inf] + sorted({float(c) for c in (cuts or [])}) + [math.inf]
+    cuts = sorted(float(c) for c in (df.select(F.percentile_approx(first, probs, 10 * n_buckets).alias("c"))
+                                     .first()["c"] or []))
+    distinct = sorted(set(cuts))
+    splits = [-math.inf] + distinct + [math.inf]
     tmp = "_bkt_in"
-    bucketed = Bucketizer(splits=splits, inputCol=tmp, outputCol=BUCKET, handleInvalid="keep") \
-        .transform(df.withColumn(tmp, first))
-    out = bucketed.withColumn(BUCKET, F.col(BUCKET).cast("int")).drop(tmp)
+    base = Bucketizer(splits=splits, inputCol=tmp, outputCol=BUCKET, handleInvalid="keep") \
+        .transform(df.withColumn(tmp, first)).drop(tmp)
+    base_b = F.col(BUCKET).cast("long")
+    share = Counter(cuts)
+    heavy = sorted(v for v, c in share.items() if c >= 2)
+    numeric_second = (len(order_cols) > 1 and
+                      df.schema[order_cols[1]].dataType.typeName() in ("byte", "short", "integer", "long",
+                                                                      "float", "double"))
+    if not heavy or not numeric_second:
+        out = base.withColumn(BUCKET, base_b)
+        return out, Order(keys=tuple(order_cols), bucket=BUCKET, groups=tuple(groups or ()),
+                          max_buckets=n_groups * (len(splits) + 1))
+    # split each heavy value by the second order column
+    s = max(share[v] for v in heavy) + 1
+    second = F.col(order_cols[1]).cast("double")
+    sub_probs = [i / s for i in range(1, s)]
+    sub_cuts = {float(r["v"]): sorted({float(c) for c in (r["c"] or [])}) for r in
+                df.where(first.isin(heavy)).groupBy(first.alias("v"))
+                .agg(F.percentile_approx(second, sub_probs, 10 * s).alias("c")).collect()}
+    heavy_base = [distinct.index(v) + 1 for v in heavy]   # the bucket whose lower edge is v
+    tied = None
+    for v in heavy:
+        branch = count_le(second, sub_cuts.get(v, []))
+        tied = F.when(first == F.lit(v), branch) if tied is None else tied.when(first == F.lit(v), branch)
+    above = F.when(base_b.isin(*heavy_base), F.lit(s)).otherwise(F.lit(0))
+    sub = F.coalesce(tied, above).cast("long")
+    out = base.withColumn(BUCKET, base_b * F.lit(s + 1) + sub)
     return out, Order(keys=tuple(order_cols), bucket=BUCKET, groups=tuple(groups or ()),
-                      max_buckets=n_groups * (len(splits) + 1))
+                      max_buckets=n_groups * (len(splits) + 1 + len(heavy) * (s + 1)))
 
 
 def bucket_counts(df: DataFrame, order: Order) -> DataFrame:

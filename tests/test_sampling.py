@@ -109,3 +109,18 @@ def test_plans_have_no_single_partition_over_rows(spark):
     assert "TakeOrderedAndProject" not in plan
     f = sampling.kfold_contiguous(ids(spark, 1000), ["rid"], 5)
     assert f.count() == 1000
+
+
+def test_kfold_with_a_heavy_first_key(spark):
+    """A first-column value holding a third of the rows is split by the
+    second column: buckets stay small and the folds stay exact."""
+    from regimen.operators.order import bucket_counts, value_order
+
+    n = 30000
+    df = spark.range(n).select(F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id")).alias("a"),
+                               F.col("id").alias("b"))
+    b, order = value_order(df, ["a", "b"], n_buckets=256)
+    assert max(r._n for r in bucket_counts(b, order).collect()) < n // 20
+    rows = sampling.kfold_contiguous(df, ["a", "b"], 5, n_buckets=256).collect()
+    ranked = {k: i for i, k in enumerate(sorted((r.a, r.b) for r in rows))}
+    assert all(r.fold == ranked[(r.a, r.b)] // (n // 5) for r in rows)
