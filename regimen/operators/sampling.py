@@ -130,11 +130,12 @@ def kfold_after_split(df: DataFrame, id_cols: list[str], k: int = 5, test_size:
 def bounded_sample(df: DataFrame, id_cols: list[str], n: int = 1000, seed: int = 42) -> DataFrame:
     """Exactly ``min(n, rows)`` rows, seeded; the sample is the feature.
 
-    ``orderBy(key).limit(n)`` plans as TakeOrderedAndProject: each task keeps
-    its own top ``n``, no full sort.
+    The rows whose key ``md5(ids-seed)`` is among the first ``n`` keys --
+    found like a hold-out boundary (bucket counts + one ranked bucket), so
+    no task ever merges the per-partition top-n lists of a huge table.
     """
-    b, order = hash_order(df, id_cols, salt=[F.lit(seed)])
-    return _drop(b.orderBy(*order.keys).limit(n))
+    out, _ = _holdout_marked(df, id_cols, int(n), seed)
+    return _drop(out.where(F.col("_is_test") == 1))
 
 
 def linspace_fractions(start: float = 0.1, stop: float = 1.0, num: int = 10) -> list[float]:
