@@ -1097,6 +1097,18 @@ def planted_part(spark, sf) -> DataFrame:
     return p.select("p_partkey", F.col("p_size").cast("double").alias("p_size"), "p_retailprice", y.alias("y"))
 
 
+STEP_PART_SQL = "CASE WHEN p_size > 25 THEN 10.0 ELSE 2.0 END"
+
+
+def step_part(spark, sf) -> DataFrame:
+    """``part`` with a step label that trees recover exactly (every size
+    value is a candidate threshold with 64 bins), so model CV and grid
+    searches have an exact SQL answer."""
+    p = T(spark, sf, "part")
+    return p.select("p_partkey", F.col("p_size").cast("double").alias("p_size"), "p_retailprice",
+                    F.when(F.col("p_size") > 25, F.lit(10.0)).otherwise(F.lit(2.0)).alias("y"))
+
+
 def small_suite(features, label) -> dict:
     from regimen.operators import models, solvers
     from regimen.plans.suite import GB, NN, RF, SVR_NAME
@@ -1117,31 +1129,47 @@ def q_compare_models(spark, sf):
     return ranking.results_table(wide)
 
 
-@register("grid_search_holdout")
+@register("grid_search_holdout", """
+SELECT g.grid_index, g.max_iter, g.max_depth, 1.0::DOUBLE AS train_r2, 1.0::DOUBLE AS val_r2,
+       CASE WHEN g.grid_index = 0 THEN TRUE END AS is_best
+FROM (VALUES (0::BIGINT, '5', '2'), (1::BIGINT, '5', '3'), (2::BIGINT, '10', '2'), (3::BIGINT, '10', '3'))
+     g(grid_index, max_iter, max_depth)
+""")
 def q_grid_holdout(spark, sf):
-    """E3 + W4: boosted-tree grid scored on train and on the hold-out."""
+    """E3 + W4: boosted-tree grid scored on train and on the hold-out; the
+    planted step is fitted exactly by every point, so the first one wins."""
     from regimen.operators import models
     from regimen.plans import suite
-    d = planted_part(spark, sf)
+    d = step_part(spark, sf)
     s = sampling.holdout_split(d, ["p_partkey"], 0.2, 42)
     table, best = suite.grid_search_holdout(
         s.where(F.col("split") == "train"), s.where(F.col("split") == "test"),
-        lambda max_iter, max_depth: models.gbt(PART_FEATURES, "y", max_iter=max_iter, max_depth=max_depth),
+        lambda max_iter, max_depth: models.gbt(PART_FEATURES, "y", max_iter=max_iter, max_depth=max_depth,
+                                               max_bins=64),
         {"max_iter": [5, 10], "max_depth": [2, 3]}, "y")
-    return table.join(best.select("grid_index", F.lit(True).alias("is_best")), "grid_index", "left")
+    out = table.join(best.select("grid_index", F.lit(True).alias("is_best")), "grid_index", "left")
+    return out.select("grid_index", "max_iter", "max_depth", r6("train_r2").alias("train_r2"),
+                      r6("val_r2").alias("val_r2"), "is_best")
 
 
-@register("grid_search_cv")
+@register("grid_search_cv", """
+SELECT g.grid_index, g.subsample, g.max_depth, 1.0::DOUBLE AS cv_mean, 0.0::DOUBLE AS cv_std, 3::BIGINT AS cv_folds,
+       CASE WHEN g.grid_index = 0 THEN TRUE END AS is_best
+FROM (VALUES (0::BIGINT, '0.8', '2'), (1::BIGINT, '0.8', '3'), (2::BIGINT, '1.0', '2'), (3::BIGINT, '1.0', '3'))
+     g(grid_index, subsample, max_depth)
+""")
 def q_grid_cv(spark, sf):
     """Boosted grid (row subsampling x depth) by 3-fold CV R^2."""
     from regimen.operators import models
     from regimen.plans import suite
-    folded = sampling.kfold_contiguous(planted_part(spark, sf), ["p_partkey"], 3)
+    folded = sampling.kfold_contiguous(step_part(spark, sf), ["p_partkey"], 3)
     table, best = suite.grid_search_cv(
         folded, lambda subsample, max_depth: models.gbt(PART_FEATURES, "y", max_iter=5, max_depth=max_depth,
-                                                         subsample=subsample),
+                                                         subsample=subsample, max_bins=64),
         {"subsample": [0.8, 1.0], "max_depth": [2, 3]}, "y", 3)
-    return table.join(best.select("grid_index", F.lit(True).alias("is_best")), "grid_index", "left")
+    out = table.join(best.select("grid_index", F.lit(True).alias("is_best")), "grid_index", "left")
+    return out.select("grid_index", "subsample", "max_depth", r6("cv_mean").alias("cv_mean"),
+                      r6("cv_std").alias("cv_std"), "cv_folds", "is_best")
 
 
 @register("grid_search_mlp")
@@ -1159,16 +1187,25 @@ def q_grid_mlp(spark, sf):
     return table.join(best.select("grid_index", F.lit(True).alias("is_best")), "grid_index", "left")
 
 
-@register("cross_validate_suite")
+@register("cross_validate_suite", f"""
+WITH f AS ({kfold_sql('SELECT p_partkey FROM part', 'p_partkey', 5)}),
+c AS (SELECT fold, count(*) AS n FROM f GROUP BY fold)
+SELECT m.model, c.fold, c.n, 1.0::DOUBLE AS r2, 0.0::DOUBLE AS mae, 0.0::DOUBLE AS rmse,
+       1.0::DOUBLE AS cv_mean, 0.0::DOUBLE AS cv_std, 5::BIGINT AS cv_folds
+FROM c CROSS JOIN (VALUES ('Random Forest'), ('Gradient Boosting')) m(model)
+""")
 def q_cv_suite(spark, sf):
-    """E6 + A8 + J2: fold scores of RF and GBT, summarised per model."""
+    """E6 + A8 + J2: fold scores of RF and GBT on contiguous folds,
+    summarised per model (the planted step is recovered in every fold)."""
     from regimen.operators import models
     from regimen.plans import suite
-    folded = sampling.kfold_contiguous(planted_part(spark, sf), ["p_partkey"], 5)
-    ests = {suite.RF: models.random_forest(PART_FEATURES, "y", num_trees=20, max_depth=10),
-            suite.GB: models.gbt(PART_FEATURES, "y", max_iter=10)}
+    folded = sampling.kfold_contiguous(step_part(spark, sf), ["p_partkey"], 5)
+    ests = {suite.RF: models.random_forest(PART_FEATURES, "y", num_trees=20, max_depth=10, max_bins=64),
+            suite.GB: models.gbt(PART_FEATURES, "y", max_iter=10, max_bins=64)}
     scores = suite.cross_validate_suite(folded, ests, "y", 5)
-    return scores.join(metrics.cv_summary(scores), "model")
+    out = scores.join(metrics.cv_summary(scores), "model")
+    return out.select("model", "fold", "n", *[r6(c).alias(c) for c in ("r2", "mae", "rmse", "cv_mean", "cv_std")],
+                      "cv_folds")
 
 
 @register("learning_curve")
