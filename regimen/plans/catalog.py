@@ -1217,18 +1217,26 @@ def q_learning_curve(spark, sf):
                                 "y", k=5, fractions=[0.1, 0.55, 1.0])
 
 
-@register("repeated_splits")
+@register("repeated_splits", """
+SELECT r AS round, s AS split, 1.0::DOUBLE AS score, 1.0::DOUBLE AS score2, TRUE AS accepted,
+       printf('%d    %d  %.5f    %.5f', r, s, 1.0, 1.0) AS record
+FROM (VALUES (0, 0), (0, 1), (0, 2)) t(r, s)
+""")
 def q_repeated_splits(spark, sf):
-    """E8 + P5 + S6: a forest per shuffled split, scored on its test rows and
-    on a synthetic draw of the table; accepted runs and their log records."""
+    """E8 + P5 + S6: a forest per shuffled split of ``part``, scored on its
+    test rows and on ``lineitem`` as the external table (quantity as size);
+    the planted step is recovered, so every run is accepted."""
     from regimen.operators import models
     from regimen.plans import suite
-    d = planted_part(spark, sf)
-    ext = synth.synthesize(d, PART_FEATURES, "y", key_cols=["p_partkey"], seed=7)
+    d = step_part(spark, sf)
+    li = T(spark, sf, "lineitem")
+    ext = li.select(F.col("l_quantity").alias("p_size"), (F.col("l_extendedprice") / 50.0).alias("p_retailprice"),
+                    F.when(F.col("l_quantity") > 25, F.lit(10.0)).otherwise(F.lit(2.0)).alias("y"))
     runs = suite.repeated_splits(d, ["p_partkey"], models.random_forest(PART_FEATURES, "y", num_trees=10,
-                                                                        max_depth=10),
+                                                                        max_depth=10, max_bins=64),
                                  "y", ext, n_rounds=1, n_splits=3)
-    return runs.withColumn("record", tables.run_record())
+    return runs.select("round", "split", r6("score").alias("score"), r6("score2").alias("score2"), "accepted",
+                       tables.run_record().alias("record"))
 
 
 @register("original_vs_synthetic")
