@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from regimen.operators import synth
@@ -9,7 +10,10 @@ def test_synthesize_deterministic_and_clipped(spark):
     a = synth.synthesize(df, ["x"], "y", key_cols=["id"], seed=1)
     b = synth.synthesize(df.repartition(7), ["x"], "y", key_cols=["id"], seed=1)
     ra = {r.id: (r.x, r.y) for r in a.collect()}
-    assert ra == {r.id: (r.x, r.y) for r in b.collect()}
+    rb = {r.id: (r.x, r.y) for r in b.collect()}
+    # same draws; statistics may differ in the last bits with the summation order
+    assert ra.keys() == rb.keys()
+    assert all(ra[k] == pytest.approx(rb[k], rel=1e-12, abs=1e-12) for k in ra)
     assert all(v[1] >= 0.0 for v in ra.values())
     n = synth.synthesize(df, ["x"], "y", n=300, seed=1)
     assert n.count() == 300 and n.columns == ["syn_id", "x", "y"]
