@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark import StorageLevel
@@ -40,23 +41,38 @@ def default_suite(features: Sequence[str], label: str, trees: int = 100, boost_r
     }
 
 
+# Fits submitted at once from driver threads (like CrossValidator's
+# ``parallelism``): each fit is its own set of Spark jobs, and small fits
+# are dominated by per-job latency, so several in flight fill the cluster.
+DEFAULT_PARALLELISM = 4
+
+
 def _union(frames: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)
 
 
+def fit_many(tasks: Sequence[tuple[object, object, DataFrame]], parallelism: int = DEFAULT_PARALLELISM) -> dict:
+    """``{key: est.fit(df)}`` for ``(key, est, df)`` tasks, ``parallelism`` at a time."""
+    if parallelism <= 1 or len(tasks) <= 1:
+        return {k: est.fit(df) for k, est, df in tasks}
+    with ThreadPoolExecutor(max_workers=parallelism) as pool:
+        futures = {k: pool.submit(est.fit, df) for k, est, df in tasks}
+        return {k: f.result() for k, f in futures.items()}
+
+
 def compare_models(train: DataFrame, test: DataFrame, suite: dict[str, object], label: str,
                    key_cols: Sequence[str], dataset: str = "original",
-                   validation: DataFrame | None = None) -> tuple[DataFrame, DataFrame, dict]:
+                   validation: DataFrame | None = None,
+                   parallelism: int = DEFAULT_PARALLELISM) -> tuple[DataFrame, DataFrame, dict]:
     """Fit every model on ``train``; predictions on ``test`` (and the
     optional ``validation`` table) in long form; A7 metrics in one job.
 
     Returns ``(predictions, metrics_wide, fitted_models)``.
     """
     train = train.persist(StorageLevel.MEMORY_AND_DISK)
-    fitted, preds = {}, []
-    for name, est in suite.items():
-        m = est.fit(train)
-        fitted[name] = m
+    fitted = fit_many([(name, est, train) for name, est in suite.items()], parallelism)
+    preds = []
+    for name, m in fitted.items():
         preds.append(models.predict(m, test, label, key_cols, name, dataset, "test"))
         if validation is not None:
             preds.append(models.predict(m, validation, label, key_cols, name, dataset, "val"))
@@ -65,18 +81,18 @@ def compare_models(train: DataFrame, test: DataFrame, suite: dict[str, object],
 
 
 def cross_validate_suite(folded: DataFrame, suite: dict[str, object], label: str, k: int,
-                         fold_col: str = "fold") -> DataFrame:
+                         fold_col: str = "fold", parallelism: int = DEFAULT_PARALLELISM) -> DataFrame:
     """Per model and fold, fit on the other folds and score the fold.
     ``(model, fold, n, r2, mae, rmse)`` from one aggregate."""
     folded = folded.persist(StorageLevel.MEMORY_AND_DISK)
+    fitted = fit_many([((name, f), est, folded.where(F.col(fold_col) != f))
+                       for name, est in suite.items() for f in range(k)], parallelism)
     preds = []
-    for name, est in suite.items():
-        for f in range(k):
-            m = est.fit(folded.where(F.col(fold_col) != f))
-            out = m.transform(folded.where(F.col(fold_col) == f))
-            preds.append(out.select(F.lit(name).alias("model"), F.lit(f).alias("fold"),
-                                    F.col(label).cast("double").alias("label"),
-                                    F.col(models.PREDICTION).cast("double").alias("prediction")))
+    for (name, f), m in fitted.items():
+        out = m.transform(folded.where(F.col(fold_col) == f))
+        preds.append(out.select(F.lit(name).alias("model"), F.lit(f).alias("fold"),
+                                F.col(label).cast("double").alias("label"),
+                                F.col(models.PREDICTION).cast("double").alias("prediction")))
     return metrics.regression_metrics(_union(preds), ["model", "fold"])
 
 
@@ -87,7 +103,7 @@ def param_grid(grid: dict[str, Sequence]) -> list[dict]:
 
 
 def grid_search_cv(folded: DataFrame, build: Builder, grid: dict[str, Sequence], label: str, k: int,
-                   fold_col: str = "fold") -> tuple[DataFrame, DataFrame]:
+                   fold_col: str = "fold", parallelism: int = DEFAULT_PARALLELISM) -> tuple[DataFrame, DataFrame]:
     """Every grid point scored by k-fold R^2 (mean, population std);
     the best is the first strictly better mean (W4).
 
@@ -96,15 +112,14 @@ def grid_search_cv(folded: DataFrame, build: Builder, grid: dict[str, Sequence],
     """
     points = param_grid(grid)
     folded = folded.persist(StorageLevel.MEMORY_AND_DISK)
+    fitted = fit_many([((gi, f), build(**params), folded.where(F.col(fold_col) != f))
+                       for gi, params in enumerate(points) for f in range(k)], parallelism)
     preds = []
-    for gi, params in enumerate(points):
-        est = build(**params)
-        for f in range(k):
-            m = est.fit(folded.where(F.col(fold_col) != f))
-            out = m.transform(folded.where(F.col(fold_col) == f))
-            preds.append(out.select(F.lit(gi).alias("grid_index"), F.lit(f).alias("fold"),
-                                    F.col(label).cast("double").alias("label"),
-                                    F.col(models.PREDICTION).cast("double").alias("prediction")))
+    for (gi, f), m in fitted.items():
+        out = m.transform(folded.where(F.col(fold_col) == f))
+        preds.append(out.select(F.lit(gi).alias("grid_index"), F.lit(f).alias("fold"),
+                                F.col(label).cast("double").alias("label"),
+                                F.col(models.PREDICTION).cast("double").alias("prediction")))
     fold_scores = metrics.regression_metrics(_union(preds), ["grid_index", "fold"])
     cv = metrics.cv_summary(fold_scores, ["grid_index"])
     spark = folded.sparkSession
@@ -116,15 +131,15 @@ def grid_search_cv(folded: DataFrame, build: Builder, grid: dict[str, Sequence],
 
 
 def grid_search_holdout(train: DataFrame, val: DataFrame, build: Builder, grid: dict[str, Sequence],
-                        label: str) -> tuple[DataFrame, DataFrame]:
+                        label: str, parallelism: int = DEFAULT_PARALLELISM) -> tuple[DataFrame, DataFrame]:
     """Every grid point fitted on ``train`` and scored on ``train``
     and ``val`` (``train_r2``, ``val_r2``); best = first strictly better
     ``val_r2`` (W4)."""
     points = param_grid(grid)
     train = train.persist(StorageLevel.MEMORY_AND_DISK)
+    fitted = fit_many([(gi, build(**params), train) for gi, params in enumerate(points)], parallelism)
     preds = []
-    for gi, params in enumerate(points):
-        m = build(**params).fit(train)
+    for gi, m in fitted.items():
         for split, part in (("train", train), ("val", val)):
             out = m.transform(part)
             preds.append(out.select(F.lit(gi).alias("grid_index"), F.lit(split).alias("split"),
@@ -143,22 +158,26 @@ def grid_search_holdout(train: DataFrame, val: DataFrame, build: Builder, grid:
 
 
 def learning_curve(df: DataFrame, order_cols: list[str], estimator, label: str, k: int = 5,
-                   fractions: Sequence[float] | None = None) -> DataFrame:
+                   fractions: Sequence[float] | None = None, parallelism: int = DEFAULT_PARALLELISM) -> DataFrame:
     """Per training size, train and held-out R^2 mean/std over folds."""
     prefixes, folded = sampling.growing_prefixes(df, order_cols, k, fractions, with_folds=True)
     prefixes = prefixes.persist(StorageLevel.MEMORY_AND_DISK)
     folded = folded.persist(StorageLevel.MEMORY_AND_DISK)
     sizes = [r[0] for r in prefixes.select("train_size").distinct().orderBy("train_size").collect()]
+
+    def prefix(f, m_size):
+        return prefixes.where((F.col("cv_fold") == f) & (F.col("train_size") == m_size))
+
+    fitted = fit_many([((m_size, f), estimator, prefix(f, m_size)) for m_size in sizes for f in range(k)],
+                      parallelism)
     preds = []
-    for m_size in sizes:
-        for f in range(k):
-            part = prefixes.where((F.col("cv_fold") == f) & (F.col("train_size") == m_size))
-            m = estimator.fit(part)
-            for split, rows in (("train", part), ("test", folded.where(F.col("fold") == f))):
-                out = m.transform(rows)
-                preds.append(out.select(F.lit(m_size).cast("long").alias("train_size"), F.lit(f).alias("cv_fold"),
-                                        F.lit(split).alias("split"), F.col(label).cast("double").alias("label"),
-                                        F.col(models.PREDICTION).cast("double").alias("prediction")))
+    for (m_size, f), m in fitted.items():
+        part = prefix(f, m_size)
+        for split, rows in (("train", part), ("test", folded.where(F.col("fold") == f))):
+            out = m.transform(rows)
+            preds.append(out.select(F.lit(m_size).cast("long").alias("train_size"), F.lit(f).alias("cv_fold"),
+                                    F.lit(split).alias("split"), F.col(label).cast("double").alias("label"),
+                                    F.col(models.PREDICTION).cast("double").alias("prediction")))
     sc = metrics.regression_metrics(_union(preds), ["train_size", "cv_fold", "split"])
     return sc.groupBy("train_size").agg(
         F.avg(F.when(F.col("split") == "train", F.col("r2"))).alias("train_mean"),
@@ -169,25 +188,29 @@ def learning_curve(df: DataFrame, order_cols: list[str], estimator, label: str,
 
 def repeated_splits(df: DataFrame, id_cols: list[str], estimator, label: str, external: DataFrame | None,
                     n_rounds: int = 1, n_splits: int = 5, test_size: float = 0.2, seed: int = 42,
-                    min_score: float = 0.89, min_score2: float = 0.5) -> DataFrame:
+                    min_score: float = 0.89, min_score2: float = 0.5,
+                    parallelism: int = DEFAULT_PARALLELISM) -> DataFrame:
     """Fit a model per shuffled split, score on its test rows and on the
     external table, flag runs passing both thresholds (P5) and format the
     run record (S6).  All scores come from one aggregate."""
     s = sampling.shuffle_splits(df, id_cols, n_splits=n_splits, test_size=test_size, seed=seed,
                                 n_rounds=n_rounds).persist(StorageLevel.MEMORY_AND_DISK)
+
+    def mine(r, sp):
+        return s.where((F.col("round") == r) & (F.col("split") == sp))
+
+    fitted = fit_many([((r, sp), estimator, mine(r, sp).where(~F.col("is_test")))
+                       for r in range(n_rounds) for sp in range(n_splits)], parallelism)
     preds = []
-    for r in range(n_rounds):
-        for sp in range(n_splits):
-            mine = s.where((F.col("round") == r) & (F.col("split") == sp))
-            m = estimator.fit(mine.where(~F.col("is_test")))
-            parts = [("test", mine.where(F.col("is_test")))]
-            if external is not None:
-                parts.append(("external", external))
-            for which, rows in parts:
-                out = m.transform(rows)
-                preds.append(out.select(F.lit(r).alias("round"), F.lit(sp).alias("split"),
-                                        F.lit(which).alias("part"), F.col(label).cast("double").alias("label"),
-                                        F.col(models.PREDICTION).cast("double").alias("prediction")))
+    for (r, sp), m in fitted.items():
+        parts = [("test", mine(r, sp).where(F.col("is_test")))]
+        if external is not None:
+            parts.append(("external", external))
+        for which, rows in parts:
+            out = m.transform(rows)
+            preds.append(out.select(F.lit(r).alias("round"), F.lit(sp).alias("split"),
+                                    F.lit(which).alias("part"), F.col(label).cast("double").alias("label"),
+                                    F.col(models.PREDICTION).cast("double").alias("prediction")))
     sc = metrics.regression_metrics(_union(preds), ["round", "split", "part"])
     wide = sc.groupBy("round", "split").agg(
         F.max(F.when(F.col("part") == "test", F.col("r2"))).alias("score"),

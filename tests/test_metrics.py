@@ -73,3 +73,21 @@ def test_best_epoch(spark):
 def test_axis_bounds(spark):
     r = one(metrics.axis_bounds(preds(spark, [("m", "t", 1.0, 5.0), ("m", "t", 3.0, 0.5)]), ["model"]))
     assert (r.axis_min, r.axis_max) == (0.5, 5.0)
+
+
+def test_rmse_r2_identity(spark):
+    """Golden identity behind the published tables: RMSE^2 / (1 - R^2) is the
+    label's population variance, whatever the predictions."""
+    import random
+
+    rnd = random.Random(5)
+    rows = []
+    for m in ("a", "b", "c"):
+        for i in range(50):
+            y = float(i % 9) + 0.5 * (i % 4)
+            rows.append((m, "test", y, y + rnd.uniform(-2, 2)))
+    ys = [r[2] for r in rows[:50]]
+    mu = sum(ys) / len(ys)
+    var = sum((v - mu) ** 2 for v in ys) / len(ys)
+    for r in metrics.regression_metrics(preds(spark, rows), ["model"]).collect():
+        assert r.rmse ** 2 / (1 - r.r2) == pytest.approx(var, rel=1e-9)
