@@ -81,21 +81,35 @@ def count_le(col: Column, cuts: list[float]) -> Column:
     return rec(0, len(cuts) - 1)
 
 
-def value_order(df: DataFrame, order_cols: list[str], n_buckets: int = 4096,
+# Value orders aim at about this many rows per bucket (the largest unit one
+# task ranks), between 16 and 65536 buckets.
+ROWS_PER_BUCKET = 50_000
+MIN_VALUE_BUCKETS, MAX_VALUE_BUCKETS = 16, 65536
+
+
+def value_buckets_for(n_rows: int) -> int:
+    want = max(1, math.ceil(n_rows / ROWS_PER_BUCKET))
+    return min(MAX_VALUE_BUCKETS, max(MIN_VALUE_BUCKETS, 1 << (want - 1).bit_length()))
+
+
+def value_order(df: DataFrame, order_cols: list[str], n_buckets: int | None = None,
                 groups: list[str] | None = None, n_groups: int = 1) -> tuple[DataFrame, Order]:
     """Order rows by their own columns (e.g. a row id).
 
     Buckets are equal-frequency ranges of the first order column from
     ``percentile_approx`` (one row of cut points), so a skewed id
-    distribution still gives even buckets.  A first-column value that holds
+    distribution still gives even buckets; without ``n_buckets`` their
+    number follows the row count (:func:`value_buckets_for`).  A first-column value that holds
     more than one bucket's share of the rows (it repeats among the cut
     points) is split further by percentiles of the second order column, so
     a value holding a third of the table is spread over many buckets
     instead of being ranked by one task.
     """
     first = F.col(order_cols[0]).cast("double")
+    if n_buckets is None:
+        n_buckets = value_buckets_for(df.count())
     probs = [i / n_buckets for i in range(1, n_buckets)]
-    cuts = sorted(float(c) for c in (df.select(F.percentile_approx(first, probs, 10 * n_buckets).alias("c"))
+    cuts = sorted(float(c) for c in (df.select(F.percentile_approx(first, probs, 4 * n_buckets).alias("c"))
                                      .first()["c"] or []))
     distinct = sorted(set(cuts))
     splits = [-math.inf] + distinct + [math.inf]

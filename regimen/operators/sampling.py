@@ -102,7 +102,7 @@ def _assign_folds(b: DataFrame, order: Order, k: int, fold_col: str) -> DataFram
 
 
 def kfold_contiguous(df: DataFrame, order_cols: list[str], k: int = 5, fold_col: str = "fold",
-                     n_buckets: int = 4096) -> DataFrame:
+                     n_buckets: int | None = None) -> DataFrame:
     """D3: unshuffled k-fold -- consecutive blocks in ``order_cols`` order.
 
     Sizes ``n // k + 1`` for the first ``n % k`` folds, ``n // k`` after.
@@ -144,7 +144,7 @@ def linspace_fractions(start: float = 0.1, stop: float = 1.0, num: int = 10) ->
 
 def growing_prefixes(df: DataFrame, order_cols: list[str], k: int = 5,
                      fractions: Sequence[float] | None = None, fold_col: str = "fold",
-                     n_buckets: int = 4096, with_folds: bool = False):
+                     n_buckets: int | None = None, with_folds: bool = False):
     """Learning-curve training subsets.
 
     ``n_max`` = training size of the first fold; sizes
