@@ -3,7 +3,7 @@
 Every builder returns an unfitted ``Pipeline`` (assembler + regressor), so
 fitting is Spark ML's distributed histogram training: per tree level one
 aggregate of split statistics, never the rows on the driver.  The
-reference's parameters are the defaults; Spark's own defaults differ (20
+original workflow's parameters are the defaults; Spark's own defaults differ (20
 trees, depth 5, 'auto' features), so every value is passed explicitly.
 """
 

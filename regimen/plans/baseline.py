@@ -1,4 +1,4 @@
-"""Mean predictor: the reference-free baseline model used by the experiment
+"""Mean predictor: the model-free baseline used by the experiment
 plumbing (hold-out, CV, learning curve, repeated splits).
 
 Its fitted state is one mean per training group -- a small table joined

@@ -30,7 +30,7 @@ RF, GB, SVR_NAME, NN, XGB = "Random Forest", "Gradient Boosting", "SVR", "Neural
 
 def default_suite(features: Sequence[str], label: str, trees: int = 100, boost_rounds: int = 100,
                   rff: int = 256, epochs: int = 100, seed: int = 42) -> dict[str, object]:
-    """The reference suite with its parameters (RF 100 trees all features;
+    """The model suite with its original parameters (RF 100 trees all features;
     GB 100 x 0.1 depth 3; SVR rbf C=1 eps=0.1 on scaled features; network
     [64, 32] dropout 0.2, Adam 1e-3, batch 32)."""
     return {

@@ -1,6 +1,6 @@
 """Streaming: intentionally empty.
 
-The reference has no stream, watermark, window or state (SURVEY section
+The original workflow has no stream, watermark, window or state (SURVEY section
 2.11), so no streaming operator is built.  Every operator in this package
 is a plain DataFrame function and therefore also runs inside a
 ``foreachBatch`` of a Structured Streaming query if a user needs it.
