@@ -108,8 +108,14 @@ def axis_bounds(preds: DataFrame, group_cols: Sequence[str], label: str = "label
 
 
 def actual_vs_predicted(preds: DataFrame, group_cols: Sequence[str], label: str = "label",
-                        prediction: str = "prediction") -> DataFrame:
-    """Every (y, y_hat) with its group's R^2 and identity-line bounds."""
+                        prediction: str = "prediction", max_groups: int = 4096) -> DataFrame:
+    """Every (y, y_hat) with its group's R^2 and identity-line bounds.
+
+    The per-group statistics (one row per model/split) are broadcast only
+    while ``max_groups`` -- the caller's bound on the number of groups --
+    is within the broadcast limit; otherwise they are shuffle-joined."""
+    from regimen.operators.order import maybe_broadcast
+
     stats = regression_metrics(preds, group_cols, label, prediction).select(*group_cols, "r2") \
         .join(axis_bounds(preds, group_cols, label, prediction), on=list(group_cols))
-    return preds.join(F.broadcast(stats), on=list(group_cols))
+    return preds.join(maybe_broadcast(stats, max_groups), on=list(group_cols))

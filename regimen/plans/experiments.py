@@ -50,8 +50,7 @@ def learning_curve_mean(df: DataFrame, order_cols: list[str], label: str, k: int
         F.avg("test_r2").alias("test_mean"), F.stddev_pop("test_r2").alias("test_std"))
 
 
-def _constant_r2_on(external: DataFrame, label: str, means: DataFrame, group_cols: Sequence[str],
-                    max_groups: int) -> DataFrame:
+def _constant_r2_on(external: DataFrame, label: str, means: DataFrame, group_cols: Sequence[str]) -> DataFrame:
     """R^2 of a constant prediction per group on a whole external table.
 
     ``sum((y - mu)^2) = sum((y - ybar)^2) + n (ybar - mu)^2``, so the
@@ -61,7 +60,7 @@ def _constant_r2_on(external: DataFrame, label: str, means: DataFrame, group_col
     y = nan_to_null(label)
     st = external.agg(F.count(y).alias("_n"), F.avg(y).alias("_ybar"),
                       (F.var_pop(y) * F.count(y)).alias("_ss_tot"))
-    j = means.crossJoin(F.broadcast(st)) if max_groups else means
+    j = means.crossJoin(F.broadcast(st))   # one-row statistics of the external table
     ss_res = F.col("_ss_tot") + F.col("_n") * (F.col("_ybar") - F.col("mean")) ** 2
     r2 = (F.when(F.col("_n") < 2, F.lit(None).cast("double"))
           .when(F.col("_ss_tot") == 0, F.when(ss_res == 0, F.lit(1.0)).otherwise(F.lit(0.0)))
@@ -84,7 +83,7 @@ def repeated_splits_mean(df: DataFrame, id_cols: list[str], label: str, external
     sc = metrics.regression_metrics(preds, groups, label=label).select(*groups, F.col("r2").alias("score"))
     if external is None:
         return sc
-    sc2 = _constant_r2_on(external, label, mu, groups, n_groups)
+    sc2 = _constant_r2_on(external, label, mu, groups)
     out = sc.join(sc2, groups)
     flag = clean.accept_runs(out, min_score=min_score, min_score2=min_score2).select(*groups) \
         .withColumn("accepted", F.lit(True))

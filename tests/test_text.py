@@ -44,3 +44,10 @@ def test_read_files(spark, tmp_path):
     p.write_bytes((PRE + "1\t2\t3\r\n").encode())
     out = text.read_annotated_text(spark, str(tmp_path), columns=COLS).collect()
     assert [(r.a, r.b, r.c) for r in out] == [(1.0, 2.0, 3.0)]
+
+
+def test_read_lines_variant_drops_comment_preamble(spark, tmp_path):
+    p = tmp_path / "big.txt"
+    p.write_bytes(("### header\r\n### ---Under is the data--- ###\r\n\r\n1\t2\t3\r\n4\t/\t6\r\n").encode())
+    out = text.read_annotated_lines(spark, str(p), columns=COLS, mode="lenient").collect()
+    assert sorted((r.a, r.b, r.c) for r in out) == [(1.0, 2.0, 3.0), (4.0, None, 6.0)]
