@@ -13,7 +13,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regimen.functions.exprs import hash_key
 from regimen.operators import clean, metrics, profile, ranking, sampling, synth
 from regimen.operators.order import global_rank, hash_order
 from regimen.plans import baseline
@@ -915,7 +914,7 @@ def q_text_lenient(spark, sf):
 # Models on whole tables with planted labels
 
 MODEL_FEATURES = ["l_quantity", "l_discount", "l_tax"]
-STEP_SQL = "CASE WHEN l_quantity > 25 THEN 10.0 ELSE 2.0 END"
+STEP_SQL = "(CASE WHEN l_quantity > 25 THEN 10.0 ELSE 2.0 END)::DOUBLE"
 LINE_SQL = "(3.0 * l_quantity + 100.0 * l_discount + 1.0)"
 CUBIC_SQL = "(power(l_quantity / 10.0, 3) + 20.0 * l_tax)"
 
@@ -1097,7 +1096,7 @@ def planted_part(spark, sf) -> DataFrame:
     return p.select("p_partkey", F.col("p_size").cast("double").alias("p_size"), "p_retailprice", y.alias("y"))
 
 
-STEP_PART_SQL = "CASE WHEN p_size > 25 THEN 10.0 ELSE 2.0 END"
+STEP_PART_SQL = "(CASE WHEN p_size > 25 THEN 10.0 ELSE 2.0 END)::DOUBLE"
 
 
 def step_part(spark, sf) -> DataFrame:
@@ -1261,3 +1260,16 @@ def q_fit_gbt_early_stopping(spark, sf):
     d = planted_lineitem(spark, sf).withColumn("is_val", F.col("l_linenumber") == 1)
     m = models.gbt(MODEL_FEATURES, "step", max_iter=100, max_bins=64, validation_col="is_val").fit(d)
     return _model_preds(m, d, "step", "Gradient Boosting")
+
+
+@register("split_features_label", f"""
+SELECT {LI_KEYS_SQL}, 3 AS n_features, concat_ws(',', l_quantity, l_extendedprice, l_discount) AS features,
+       l_tax AS label FROM lineitem
+""")
+def q_split_features_label(spark, sf):
+    """The last column is the label, the columns before it the features."""
+    li = T(spark, sf, "lineitem").select(*LI_KEYS, *LI_NUM)
+    features, label = clean.split_features_label(LI_NUM)
+    return li.select(*LI_KEYS, F.lit(len(features)).alias("n_features"),
+                     F.concat_ws(",", *[F.col(c).cast("string") for c in features]).alias("features"),
+                     F.col(label).alias("label"))

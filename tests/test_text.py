@@ -1,5 +1,4 @@
 import pytest
-from pyspark.errors import PythonException  # noqa: F401
 
 from regimen.sources import text
 
