@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml import Estimator, Model
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -201,3 +202,34 @@ def stats_long(stats: DataFrame, cols: Sequence[str], names: Sequence[str]) -> D
     """Pivot a one-row stats table to ``(column, <stat>...)`` rows."""
     rows = [F.struct(F.lit(c).alias("column"), *[F.col(_s(c, n)).alias(n) for n in names]) for c in cols]
     return stats.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
+# ---------------------------------------------------------------- pipeline stage
+
+class PopulationScaler(Estimator):
+    """N8/N9 as a Spark ML stage: ``(x - mean) / std`` per named column with
+    the population std (0 -> 1), fitted by one aggregate.  Inside a
+    ``Pipeline`` it is refitted on every training fold, like a scaler
+    inside a cross-validated pipeline."""
+
+    def __init__(self, cols: Sequence[str]):
+        super().__init__()
+        self.cols = list(cols)
+
+    def _fit(self, dataset: DataFrame) -> "PopulationScalerModel":
+        row = standardize_fit(dataset, self.cols).first()
+        return PopulationScalerModel(self.cols, [float(row[_s(c, "mean")]) if row[_s(c, "mean")] is not None
+                                                 else 0.0 for c in self.cols],
+                                     [float(row[_s(c, "std")]) if row[_s(c, "std")] is not None else 1.0
+                                      for c in self.cols])
+
+
+class PopulationScalerModel(Model):
+    def __init__(self, cols: Sequence[str], means: Sequence[float], stds: Sequence[float]):
+        super().__init__()
+        self.cols, self.means, self.stds = list(cols), list(means), list(stds)
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        scaled = {c: ((nan_to_null(c) - F.lit(m)) / F.lit(s)).alias(c)
+                  for c, m, s in zip(self.cols, self.means, self.stds)}
+        return dataset.select(*[scaled.get(c, F.col(c)) for c in dataset.columns])

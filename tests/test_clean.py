@@ -105,3 +105,13 @@ def test_accept_runs_strict(spark):
 def test_slug(spark):
     df = spark.createDataFrame([("Random Forest",)], "m string")
     assert df.select(clean.display_name_slug("m").alias("s")).first().s == "random_forest"
+
+
+def test_population_scaler_in_a_pipeline(spark):
+    from pyspark.ml import Pipeline
+
+    df = spark.createDataFrame([(1.0, 5.0), (2.0, 5.0), (4.0, 5.0)], "a double, c double")
+    model = Pipeline(stages=[clean.PopulationScaler(["a", "c"])]).fit(df)
+    out = sorted(model.transform(df).collect(), key=lambda r: r.a)
+    assert [r.c for r in out] == [0.0, 0.0, 0.0]
+    assert out[0].a == pytest.approx((1 - 7 / 3) / 1.247219, abs=1e-6)
