@@ -51,10 +51,16 @@ def labelled_only(df: DataFrame, label: str) -> DataFrame:
     return df.where(F.col(label).isNotNull() & ~F.isnan(F.col(label)))
 
 
+def accept_condition(score: str = "score", score2: str = "score2", min_score: float = 0.89,
+                     min_score2: float = 0.5) -> Column:
+    """P5 as a predicate: strict thresholds on both scores."""
+    return (F.col(score) > F.lit(min_score)) & (F.col(score2) > F.lit(min_score2))
+
+
 def accept_runs(df: DataFrame, score: str = "score", score2: str = "score2",
                 min_score: float = 0.89, min_score2: float = 0.5) -> DataFrame:
-    """P5: strict thresholds on both scores."""
-    return df.where((F.col(score) > F.lit(min_score)) & (F.col(score2) > F.lit(min_score2)))
+    """P5: keep runs passing both strict thresholds."""
+    return df.where(accept_condition(score, score2, min_score, min_score2))
 
 
 def clip_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:

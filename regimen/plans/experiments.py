@@ -85,7 +85,5 @@ def repeated_splits_mean(df: DataFrame, id_cols: list[str], label: str, external
         return sc
     sc2 = _constant_r2_on(external, label, mu, groups)
     out = sc.join(sc2, groups)
-    flag = clean.accept_runs(out, min_score=min_score, min_score2=min_score2).select(*groups) \
-        .withColumn("accepted", F.lit(True))
-    return (out.join(flag, groups, "left")
-            .withColumn("accepted", F.coalesce(F.col("accepted"), F.lit(False))))
+    return out.withColumn("accepted", F.coalesce(clean.accept_condition(min_score=min_score,
+                                                                        min_score2=min_score2), F.lit(False)))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from regimen.operators import metrics, models, ranking, sampling, solvers, synth
-from regimen.operators.clean import impute_from_reference, impute_mean
+from regimen.operators.clean import accept_condition, impute_from_reference, impute_mean
 
 Builder = Callable[..., object]
 
@@ -215,8 +215,8 @@ def repeated_splits(df: DataFrame, id_cols: list[str], estimator, label: str, ex
     wide = sc.groupBy("round", "split").agg(
         F.max(F.when(F.col("part") == "test", F.col("r2"))).alias("score"),
         F.max(F.when(F.col("part") == "external", F.col("r2"))).alias("score2"))
-    ok = (F.col("score") > F.lit(min_score)) & (F.col("score2") > F.lit(min_score2))
-    return wide.withColumn("accepted", F.coalesce(ok, F.lit(False)))
+    return wide.withColumn("accepted", F.coalesce(accept_condition(min_score=min_score, min_score2=min_score2),
+                                                  F.lit(False)))
 
 
 def original_vs_synthetic(original: DataFrame, external: DataFrame | None, features: Sequence[str], label: str,
