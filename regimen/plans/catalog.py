@@ -1273,3 +1273,27 @@ def q_split_features_label(spark, sf):
     return li.select(*LI_KEYS, F.lit(len(features)).alias("n_features"),
                      F.concat_ws(",", *[F.col(c).cast("string") for c in features]).alias("features"),
                      F.col(label).alias("label"))
+
+
+@register("compare_models_trees", """
+SELECT 'original' AS dataset, m.model, 1.0::DOUBLE AS test_r2, 0.0::DOUBLE AS test_mae, 0.0::DOUBLE AS test_rmse,
+       1.0::DOUBLE AS val_r2, 0.0::DOUBLE AS val_mae, 0.0::DOUBLE AS val_rmse, m.rank
+FROM (VALUES ('Gradient Boosting', 1), ('Random Forest', 2)) m(model, rank)
+""")
+def q_compare_models_trees(spark, sf):
+    """E1 + E2 + W1 with the tree models: fitted on the hold-out's training
+    rows of ``part``, scored on its test rows and on ``lineitem`` as the
+    external validation table; the planted step makes every score exact."""
+    from regimen.operators import models
+    from regimen.plans import suite
+    d = step_part(spark, sf)
+    li = T(spark, sf, "lineitem")
+    ext = li.select(F.col("l_quantity").alias("p_size"), (F.col("l_extendedprice") / 50.0).alias("p_retailprice"),
+                    F.when(F.col("l_quantity") > 25, F.lit(10.0)).otherwise(F.lit(2.0)).alias("y"))
+    s = sampling.holdout_split(d, ["p_partkey"], 0.2, 42)
+    ests = {suite.RF: models.random_forest(PART_FEATURES, "y", num_trees=20, max_depth=10, max_bins=64),
+            suite.GB: models.gbt(PART_FEATURES, "y", max_iter=10, max_bins=64)}
+    _, wide, _ = suite.compare_models(s.where(F.col("split") == "train"), s.where(F.col("split") == "test"),
+                                      ests, "y", ["p_partkey"], validation=ext)
+    ranked = ranking.results_table(wide)
+    return ranked.select("dataset", "model", *[r6(c).alias(c) for c in RESULT_COLS], "rank")
