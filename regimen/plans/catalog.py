@@ -1297,3 +1297,16 @@ def q_compare_models_trees(spark, sf):
                                       ests, "y", ["p_partkey"], validation=ext)
     ranked = ranking.results_table(wide)
     return ranked.select("dataset", "model", *[r6(c).alias(c) for c in RESULT_COLS], "rank")
+
+
+@register("gbt_history", """
+SELECT 'Gradient Boosting' AS model, e::INTEGER AS epoch, 0.0::DOUBLE AS loss FROM range(1, 6) t(e)
+""")
+def q_gbt_history(spark, sf):
+    """M9 for boosted trees: squared error after each round on the whole
+    table; the first tree already recovers the planted step."""
+    from regimen.operators import models
+    d = planted_lineitem(spark, sf)
+    m = models.gbt(MODEL_FEATURES, "step", max_iter=5, max_bins=64).fit(d)
+    h = models.training_history_gbt(m, d, "Gradient Boosting")
+    return h.select("model", "epoch", r6("loss").alias("loss"))
