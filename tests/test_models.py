@@ -53,3 +53,31 @@ def test_mlp_learns_and_keeps_history(spark, planted):
     assert all(row[3] is not None for row in h)
     r = metrics.regression_metrics(m.transform(d).withColumnRenamed("line", "label"), []).first()
     assert r.r2 > 0.5
+
+
+def test_mlp_single_partition_equals_numpy_epochs(spark):
+    """With one partition the distributed epoch is exactly the local NumPy
+    epoch (same seed, Adam state carried), so averaging/orchestration adds
+    nothing but the row-weighted mean."""
+    import numpy as np
+
+    rows = [(float(i % 13), float(i % 5) / 10.0) for i in range(64)]
+    df = spark.createDataFrame([(q, d, 2.0 * q - 3.0 * d + 1.0) for q, d in rows], "q double, d double, y double") \
+        .coalesce(1)
+    est = solvers.MLPRegressor(["q", "d"], "y", hidden=(4,), dropout=0.0, learning_rate=0.01, batch_size=8,
+                               epochs=2, patience=None, seed=3)
+    model = est.fit(df)
+    x = np.array(rows)
+    y = 2.0 * x[:, 0] - 3.0 * x[:, 1] + 1.0
+    xs = (x - x.mean(axis=0)) / x.std(axis=0)
+    shapes = solvers._layer_shapes(2, [4])
+    w = solvers._init_weights(shapes, 3)
+    m, v, t = np.zeros_like(w), np.zeros_like(w), 0
+    per_epoch = []
+    for epoch in range(2):
+        w, m, v, t, se, _ = solvers._local_epoch(w, m, v, t, xs, y, shapes, 0.01, 8, 0.0, 3 * 100003 + epoch * 1009)
+        per_epoch.append((w.copy(), se / len(y)))
+    assert [h[1] for h in model.history] == pytest.approx([p[1] for p in per_epoch], rel=1e-9)
+    # the kept weights are those of the epoch with the lowest loss seen while training it
+    expected = per_epoch[int(np.argmin([p[1] for p in per_epoch]))][0]
+    assert np.allclose(model.weights, expected, rtol=1e-9, atol=1e-12)
