@@ -81,3 +81,31 @@ def test_mlp_single_partition_equals_numpy_epochs(spark):
     # the kept weights are those of the epoch with the lowest loss seen while training it
     expected = per_epoch[int(np.argmin([p[1] for p in per_epoch]))][0]
     assert np.allclose(model.weights, expected, rtol=1e-9, atol=1e-12)
+
+
+def test_svr_irls_rounds_equal_numpy(spark):
+    """Each IRLS round is the exact weighted ridge solve of
+    0.5|w|^2 + 0.5 sum q (t - Xw - b)^2 (intercept unpenalised)."""
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(200, 2))
+    y = 1.5 * x[:, 0] - 0.5 * x[:, 1] + 0.3 + rng.normal(scale=0.3, size=200)
+    df = spark.createDataFrame([(float(a), float(b), float(c)) for (a, b), c in zip(x, y)], "a double, b double, y double")
+    m = solvers.SVR(["a", "b"], "y", kernel="linear", C=1.0, epsilon=0.1, max_iter=3, tol=0.0).fit(df)
+    xs = (x - x.mean(axis=0)) / x.std(axis=0)
+    w, b = np.zeros(2), 0.0
+    for _ in range(3):
+        e = y - (xs @ w + b)
+        i1 = 1.0 / np.maximum(np.abs(e - 0.1), 0.01)
+        i2 = 1.0 / np.maximum(np.abs(e + 0.1), 0.01)
+        q = 0.5 * (i1 + i2)
+        t = y - 0.1 * (i1 - i2) / (i1 + i2)
+        a = np.zeros((3, 3))
+        a[:2, :2] = xs.T @ (q[:, None] * xs) + np.eye(2)
+        a[:2, 2] = a[2, :2] = xs.T @ q
+        a[2, 2] = q.sum()
+        sol = np.linalg.solve(a, np.concatenate([xs.T @ (q * t), [q @ t]]))
+        w, b = sol[:2], sol[2]
+    assert np.allclose(m.coef, w, rtol=1e-6, atol=1e-8)
+    assert m.intercept == pytest.approx(b, rel=1e-6, abs=1e-8)
