@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from regimen.operators import clean, metrics, profile, ranking, sampling, synth
 from regimen.operators.order import global_rank, hash_order
 from regimen.plans import baseline
+from regimen.session import materialize
 from regimen.sources import tables, text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,7 +109,7 @@ SELECT split, {metric_cols_sql()} FROM p GROUP BY split
 """)
 def q_flagship(spark: SparkSession, sf: str) -> DataFrame:
     ev = clean.impute_mean(events_with_nulls(spark, sf).select("event_id", "value"), ["value"])
-    split = sampling.holdout_split(ev.withColumnRenamed("value", "label"), ["event_id"], 0.2, 42)
+    split = materialize(sampling.holdout_split(ev.withColumnRenamed("value", "label"), ["event_id"], 0.2, 42))
     means = baseline.fit_means(split.where(F.col("split") == "train"), "label")
     preds = baseline.predict_means(split, means)
     return round_metrics(metrics.regression_metrics(preds, ["split"]))

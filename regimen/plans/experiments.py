@@ -18,12 +18,13 @@ from regimen.functions.exprs import nan_to_null
 from regimen.operators import clean, metrics, sampling
 from regimen.operators.order import maybe_broadcast
 from regimen.plans import baseline
+from regimen.session import materialize
 
 
 def cv_mean_predictor(df: DataFrame, order_cols: list[str], label: str, k: int = 5) -> DataFrame:
     """E6 (mean predictor): contiguous k folds, each scored by the mean of
     the other folds.  ``(fold, n, r2, mae, rmse)``."""
-    f = sampling.kfold_contiguous(df, order_cols, k)
+    f = materialize(sampling.kfold_contiguous(df, order_cols, k))
     mu = baseline.other_folds_means(f, label, "fold")
     preds = baseline.predict_means(f, mu, ["fold"], max_groups=k)
     return metrics.regression_metrics(preds, ["fold"], label=label)
@@ -35,6 +36,7 @@ def learning_curve_mean(df: DataFrame, order_cols: list[str], label: str, k: int
     the k folds of the train R^2 (on the prefix itself) and of the held-out
     fold R^2.  ``(train_size, train_mean, train_std, test_mean, test_std)``."""
     prefixes, folded = sampling.growing_prefixes(df, order_cols, k, fractions, with_folds=True)
+    prefixes, folded = materialize(prefixes), materialize(folded)
     n_fracs = len(fractions) if fractions is not None else 10
     mu = prefixes.groupBy("cv_fold", "train_size").agg(F.avg(nan_to_null(label)).alias("prediction"))
     mu_b = maybe_broadcast(mu, k * n_fracs)
@@ -76,8 +78,8 @@ def repeated_splits_mean(df: DataFrame, id_cols: list[str], label: str, external
     ``accepted`` is the P5 filter as a flag."""
     groups = ["round", "split"]
     n_groups = n_rounds * n_splits
-    s = sampling.shuffle_splits(df, id_cols, n_splits=n_splits, test_size=test_size, seed=seed,
-                                n_rounds=n_rounds)
+    s = materialize(sampling.shuffle_splits(df, id_cols, n_splits=n_splits, test_size=test_size, seed=seed,
+                                            n_rounds=n_rounds))
     mu = baseline.fit_means(s.where(~F.col("is_test")), label, groups)
     preds = baseline.predict_means(s.where(F.col("is_test")), mu, groups, max_groups=n_groups)
     sc = metrics.regression_metrics(preds, groups, label=label).select(*groups, F.col("r2").alias("score"))

@@ -54,3 +54,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
         conf = tempfile.mkdtemp(prefix="regimen-ckpt-")
     sc.setCheckpointDir(conf)
     return sc.getCheckpointDir() or conf
+
+
+def materialize(df):
+    """Write ``df`` once to the shared checkpoint folder and read it back.
+
+    For a tagged split that feeds several aggregates: later passes read the
+    written rows instead of recomputing the hashing and boundary joins, and
+    the lineage is cut, so a lost executor costs a re-read, not a replay.
+    (A reliable ``checkpoint``, never a machine-local one.)"""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
