@@ -482,15 +482,6 @@ PLANTED_SQL = " UNION ALL ".join(
     ])
 
 
-def _evaluate_sql(where: str = "TRUE") -> str:
-    cols = []
-    for s in ("test", "val"):
-        for mname, expr in (("r2", r2_sql("yv", "ev")), ("mae", "avg(abs(ev))"), ("rmse", "sqrt(avg(ev*ev))")):
-            cols.append(f"max(CASE WHEN split = '{s}' THEN {R6(expr.replace('yv', 'yv').replace('ev', 'ev'))} END) "
-                        f"AS {s}_{mname}")
-    return cols
-
-
 def evaluate_sql() -> str:
     per_split = (f"SELECT dataset, model, split, {R6(r2_sql('yv', 'ev'))} AS r2, {R6('avg(abs(ev))')} AS mae, "
                  f"{R6('sqrt(avg(ev*ev))')} AS rmse FROM (SELECT dataset, model, split, "
@@ -1097,9 +1088,6 @@ def planted_part(spark, sf) -> DataFrame:
     return p.select("p_partkey", F.col("p_size").cast("double").alias("p_size"), "p_retailprice", y.alias("y"))
 
 
-STEP_PART_SQL = "(CASE WHEN p_size > 25 THEN 10.0 ELSE 2.0 END)::DOUBLE"
-
-
 def step_part(spark, sf) -> DataFrame:
     """``part`` with a step label that trees recover exactly (every size
     value is a candidate threshold with 64 bins), so model CV and grid
