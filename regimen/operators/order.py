@@ -81,6 +81,8 @@ def count_le(col: Column, cuts: list[float]) -> Column:
     return rec(0, len(cuts) - 1)
 
 
+NUMERIC_TYPES = ("byte", "short", "integer", "long", "float", "double", "decimal")
+
 # Value orders aim at about this many rows per bucket (the largest unit one
 # task ranks), between 16 and 65536 buckets.
 ROWS_PER_BUCKET = 50_000
@@ -105,6 +107,9 @@ def value_order(df: DataFrame, order_cols: list[str], n_buckets: int | None = No
     a value holding a third of the table is spread over many buckets
     instead of being ranked by one task.
     """
+    if df.schema[order_cols[0]].dataType.typeName() not in NUMERIC_TYPES:
+        raise ValueError(f"value_order needs a numeric first order column, got {order_cols[0]!r}; "
+                         "order by a numeric row id (or use a hash order)")
     first = F.col(order_cols[0]).cast("double")
     if n_buckets is None:
         n_buckets = value_buckets_for(df.count())
@@ -119,9 +124,7 @@ def value_order(df: DataFrame, order_cols: list[str], n_buckets: int | None = No
     base_b = F.col(BUCKET).cast("long")
     share = Counter(cuts)
     heavy = sorted(v for v, c in share.items() if c >= 2)
-    numeric_second = (len(order_cols) > 1 and
-                      df.schema[order_cols[1]].dataType.typeName() in ("byte", "short", "integer", "long",
-                                                                      "float", "double"))
+    numeric_second = len(order_cols) > 1 and df.schema[order_cols[1]].dataType.typeName() in NUMERIC_TYPES
     if not heavy or not numeric_second:
         out = base.withColumn(BUCKET, base_b)
         return out, Order(keys=tuple(order_cols), bucket=BUCKET, groups=tuple(groups or ()),

@@ -124,3 +124,11 @@ def test_kfold_with_a_heavy_first_key(spark):
     rows = sampling.kfold_contiguous(df, ["a", "b"], 5, n_buckets=256).collect()
     ranked = {k: i for i, k in enumerate(sorted((r.a, r.b) for r in rows))}
     assert all(r.fold == ranked[(r.a, r.b)] // (n // 5) for r in rows)
+
+
+def test_value_order_rejects_text_keys(spark):
+    import pytest
+
+    df = spark.createDataFrame([("a",), ("b",)], "k string")
+    with pytest.raises(ValueError):
+        sampling.kfold_contiguous(df, ["k"], 2)
