@@ -1299,3 +1299,23 @@ def q_gbt_history(spark, sf):
     m = models.gbt(MODEL_FEATURES, "step", max_iter=5, max_bins=64).fit(d)
     h = models.training_history_gbt(m, d, "Gradient Boosting")
     return h.select("model", "epoch", r6("loss").alias("loss"))
+
+
+@register("grid_search_svr", """
+SELECT g.grid_index, g.C, g.epsilon, 3::BIGINT AS cv_folds, TRUE AS fits_line
+FROM (VALUES (0::BIGINT, '1.0', '0.1'), (1::BIGINT, '1.0', '0.5'), (2::BIGINT, '10.0', '0.1'), (3::BIGINT, '10.0', '0.5'))
+     g(grid_index, C, epsilon)
+""")
+def q_grid_svr(spark, sf):
+    """E4 for SVR: (C x epsilon) by 3-fold CV on ``part`` with a planted
+    line; every grid point must explain the line (CV R^2 > 0.999)."""
+    from regimen.operators import solvers
+    from regimen.plans import suite
+    p = T(spark, sf, "part")
+    d = p.select("p_partkey", F.col("p_size").cast("double").alias("p_size"), "p_retailprice",
+                 (F.lit(2.0) * F.col("p_size") - F.col("p_retailprice") / F.lit(100.0) + F.lit(5.0)).alias("y"))
+    folded = sampling.kfold_contiguous(d, ["p_partkey"], 3)
+    table, _ = suite.grid_search_cv(
+        folded, lambda C, epsilon: solvers.SVR(PART_FEATURES, "y", kernel="linear", C=C, epsilon=epsilon, max_iter=10),
+        {"C": [1.0, 10.0], "epsilon": [0.1, 0.5]}, "y", 3)
+    return table.select("grid_index", "C", "epsilon", "cv_folds", (F.col("cv_mean") > F.lit(0.999)).alias("fits_line"))
