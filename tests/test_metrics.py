@@ -1,6 +1,7 @@
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from regimen.operators import metrics, ranking
 
@@ -91,3 +92,28 @@ def test_rmse_r2_identity(spark):
     var = sum((v - mu) ** 2 for v in ys) / len(ys)
     for r in metrics.regression_metrics(preds(spark, rows), ["model"]).collect():
         assert r.rmse ** 2 / (1 - r.r2) == pytest.approx(var, rel=1e-9)
+
+
+def test_metrics_permutation_invariant(spark):
+    import random
+
+    rnd = random.Random(11)
+    rows = [("m", "test", float(rnd.randint(0, 20)), rnd.uniform(0, 20)) for _ in range(500)]
+    base = metrics.regression_metrics(preds(spark, rows), ["model"]).first()
+    shuffled = rows[:]
+    rnd.shuffle(shuffled)
+    other = metrics.regression_metrics(preds(spark, shuffled).repartition(7), ["model"]).first()
+    for c in ("r2", "mae", "rmse"):
+        assert other[c] == pytest.approx(base[c], rel=1e-12)
+    assert other.n == base.n == 500
+
+
+def test_scaler_inverse(spark):
+    from regimen.operators import clean
+
+    df = spark.createDataFrame([(1.0,), (2.0,), (4.0,), (9.0,)], "a double")
+    stats = clean.standardize_fit(df, ["a"])
+    st = stats.first()
+    back = clean.standardize_apply(df, stats, ["a"]).select(
+        (F.col("a") * st["__std__a"] + st["__mean__a"]).alias("a")).collect()
+    assert sorted(r.a for r in back) == pytest.approx([1.0, 2.0, 4.0, 9.0])
