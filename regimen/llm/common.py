@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -135,3 +136,18 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     if have < w:
         out = np.minimum(out[:len(x) - w + 1], out[w - have:])
     return out
+
+
+SPACE = re.compile(rb"[\x20\x09-\x0d]")
+
+
+def pieces(raw: bytes, size: int = 1 << 20) -> Iterator[bytes]:
+    """``raw`` in parts of about ``size`` bytes, cut after ASCII white space."""
+    pos = 0
+    while len(raw) - pos > size:
+        hit = SPACE.search(raw, pos + size)
+        if hit is None:
+            break
+        yield raw[pos:hit.end()]
+        pos = hit.end()
+    yield raw[pos:]

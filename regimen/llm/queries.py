@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from regimen.llm import simhash
+from regimen.llm import decontaminate, packing, simhash
 
 QUERIES = {
+    "op2_winnowing_decontamination": decontaminate.op2,
     "op9_simhash_golay": simhash.op9,
+    "op10_best_fit_packing": packing.op10,
 }
 
 ORACLES: dict[str, str] = {}
