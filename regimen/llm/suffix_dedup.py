@@ -45,7 +45,7 @@ from regimen.llm import common, sais
 
 SPAN, GRAM = 200, 32
 #: Bytes of contexts in one suffix array, and contexts of one anchor that go to one shard.
-SHARD_BYTES, SHARD_CONTEXTS = 4 << 20, 2048
+SHARD_BYTES, SHARD_CONTEXTS = 1 << 20, 2048
 POS_BITS = 20
 
 
