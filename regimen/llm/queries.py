@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from regimen.llm import decontaminate, packing, simhash, suffix_dedup
+from regimen.llm import decontaminate, packing, quality, simhash, suffix_dedup
 
 QUERIES = {
     "op2_winnowing_decontamination": decontaminate.op2,
     "op4_suffix_array_dedup": suffix_dedup.op4,
+    "op6_compression_quality": quality.op6,
     "op9_simhash_golay": simhash.op9,
     "op10_best_fit_packing": packing.op10,
 }
