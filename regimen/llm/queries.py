@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from regimen.llm import decontaminate, packing, quality, simhash, suffix_dedup
+from regimen.llm import decontaminate, language_id, packing, quality, simhash, suffix_dedup, toxicity
 
 QUERIES = {
+    "op1_ppm_language_id": language_id.op1,
     "op2_winnowing_decontamination": decontaminate.op2,
     "op4_suffix_array_dedup": suffix_dedup.op4,
     "op6_compression_quality": quality.op6,
+    "op7_boosted_toxicity": toxicity.op7,
     "op9_simhash_golay": simhash.op9,
     "op10_best_fit_packing": packing.op10,
 }
