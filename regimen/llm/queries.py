@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
-from regimen.llm import decontaminate, language_id, packing, quality, simhash, suffix_dedup, toxicity
+from regimen.llm import (decontaminate, language_id, order_minhash, packing, quality, simhash, suffix_dedup, toxicity,
+                         url_filter, warc)
 
 QUERIES = {
     "op1_ppm_language_id": language_id.op1,
     "op2_winnowing_decontamination": decontaminate.op2,
+    "op3_warc_derivatives": warc.op3,
     "op4_suffix_array_dedup": suffix_dedup.op4,
+    "op5_order_minhash": order_minhash.op5,
     "op6_compression_quality": quality.op6,
     "op7_boosted_toxicity": toxicity.op7,
+    "op8_url_language_model": url_filter.op8,
     "op9_simhash_golay": simhash.op9,
     "op10_best_fit_packing": packing.op10,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_warc_derivatives": warc.ORACLE,
+}

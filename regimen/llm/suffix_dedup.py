@@ -280,9 +280,10 @@ def compare_windows(texts: DataFrame, span: int) -> DataFrame:
     return windows.join(again, ["w1", "w2"]).select("doc_id", "th", "lo", F.col("lo").alias("hi"))
 
 
-def kept_bytes(found: DataFrame, span: int) -> DataFrame:
-    """(doc_id, th, kept, n_removed, n_spans) from (doc_id, th, z, starts)."""
-    schema = (found.select("doc_id", "th").schema.add("kept", "binary").add("n_removed", "long").add("n_spans", "long"))
+def kept_bytes(found: DataFrame, span: int, as_text: bool) -> DataFrame:
+    """(doc_id, th, kept, n_removed, n_spans) from (doc_id, th, z, starts); as text, cut characters are dropped."""
+    schema = (found.select("doc_id", "th").schema.add("kept", "string" if as_text else "binary")
+              .add("n_removed", "long").add("n_spans", "long"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expand = zstandard.ZstdDecompressor()
@@ -295,10 +296,11 @@ def kept_bytes(found: DataFrame, span: int) -> DataFrame:
                 np.add.at(edge, lo, 1)
                 np.add.at(edge, hi + span, -1)
                 gone = np.cumsum(edge[:-1]) > 0
-                kept.append(np.frombuffer(raw, np.uint8)[~gone].tobytes())
+                rest = np.frombuffer(raw, np.uint8)[~gone].tobytes()
+                kept.append(rest.decode("utf-8", "ignore") if as_text else rest)
                 removed.append(int(gone.sum()))
                 spans.append(int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum()))
-            yield pa.record_batch([batch.column("doc_id"), batch.column("th"), pa.array(kept, pa.binary()),
+            yield pa.record_batch([batch.column("doc_id"), batch.column("th"), pa.array(kept, pa.string() if as_text else pa.binary()),
                                    pa.array(removed, pa.int64()), pa.array(spans, pa.int64())],
                                   names=["doc_id", "th", "kept", "n_removed", "n_spans"])
 
@@ -306,12 +308,12 @@ def kept_bytes(found: DataFrame, span: int) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, id_col: str = "doc_id",
-                   text_col: str = "text") -> DataFrame:
-    """(doc_id, th, kept, n_removed, n_spans) of the rows that lose bytes; one row for each id and text."""
+                   text_col: str = "text", as_text: bool = False) -> DataFrame:
+    """(doc_id, th, kept, n_removed, n_spans) of the rows that lose bytes; equal rows (id and text) appear each."""
     rows = keyed(docs, id_col, text_col)
     starts = repeated_starts(rows, span, gram)
     per_row = starts.groupBy("doc_id", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("starts"))
-    return kept_bytes(same_row(packed(rows), per_row, "inner"), span)
+    return kept_bytes(same_row(packed(rows), per_row, "inner"), span, as_text)
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
