@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import sys
+import types
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -88,7 +90,7 @@ BASE = 0x2545F4914F6CDD1D  # odd: has an inverse modulo 2^64
 def powers(base: int, n: int) -> np.ndarray:
     """base^0 .. base^(n-1) modulo 2^64, by doubling."""
     out = np.ones(max(n, 1), np.uint64)
-    step, have = np.uint64(base), 1
+    step, have = np.array([base], np.uint64), 1
     while have < n:
         take = min(have, n - have)
         out[have:have + take] = out[:take] * step
@@ -151,3 +153,11 @@ def pieces(raw: bytes, size: int = 1 << 20) -> Iterator[bytes]:
         yield raw[pos:hit.end()]
         pos = hit.end()
     yield raw[pos:]
+
+
+def worker_object(key: tuple, make: Callable):
+    """An object that a Python worker makes once and keeps over its tasks (a cache, never state that results need)."""
+    kept = sys.modules.setdefault("regimen_worker_objects", types.ModuleType("regimen_worker_objects")).__dict__
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
