@@ -112,7 +112,8 @@ def impute_from_reference(df: DataFrame, reference: DataFrame, cols: Sequence[st
                           label: str | None = None, fill_label: bool = True) -> DataFrame:
     """Missing -> mean of the same column in ``reference`` (if it has it),
     then remaining missing -> own mean.  ``fill_label=True`` also fills the
-    label from the reference (the original behaviour)."""
+    label from the reference (the original behaviour); otherwise a missing
+    label stays missing."""
     ref_cols = [c for c in cols if c in reference.columns and (fill_label or c != label)]
     ref_stats = reference.agg(*[F.avg(nan_to_null(c)).alias(_s(c, "ref")) for c in ref_cols]) \
         if ref_cols else None
@@ -120,7 +121,7 @@ def impute_from_reference(df: DataFrame, reference: DataFrame, cols: Sequence[st
     stage1 = {c: F.coalesce(nan_to_null(c), F.col(_s(c, "ref"))) if c in ref_cols else nan_to_null(c)
               for c in cols}
     out = out.select(*[stage1[c].alias(c) if c in stage1 else F.col(c) for c in df.columns])
-    return impute_mean(out, cols)
+    return impute_mean(out, [c for c in cols if fill_label or c != label])
 
 
 def zero_if_all_missing(df: DataFrame, label: str) -> DataFrame:
@@ -235,6 +236,13 @@ class PopulationScalerModel(Model):
         super().__init__()
         self.cols, self.means, self.stds = list(cols), list(means), list(stds)
 
+    def to_state(self) -> dict:
+        return {"kind": type(self).__name__, "cols": self.cols, "means": self.means, "stds": self.stds}
+
+    @classmethod
+    def from_state(cls, state: dict) -> "PopulationScalerModel":
+        return cls(**state)
+
     def _transform(self, dataset: DataFrame) -> DataFrame:
         scaled = {c: ((nan_to_null(c) - F.lit(m)) / F.lit(s)).alias(c)
                   for c, m, s in zip(self.cols, self.means, self.stds)}

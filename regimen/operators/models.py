@@ -75,7 +75,7 @@ def predict(model, df: DataFrame, label: str, key_cols: Sequence[str], model_nam
     Key columns absent from ``df`` (e.g. an external table) become NULL."""
     split_c = F.lit(split) if isinstance(split, str) else split
     out = model.transform(df)
-    keys = [F.col(k) if k in out.columns else F.lit(None).cast("long").alias(k) for k in key_cols]
+    keys = [F.col(k) if k in out.columns else F.lit(None).alias(k) for k in key_cols]
     return out.select(*keys, F.lit(dataset).alias("dataset"), F.lit(model_name).alias("model"),
                       split_c.alias("split"), F.col(label).cast("double").alias("label"),
                       F.col(PREDICTION).cast("double").alias("prediction"))

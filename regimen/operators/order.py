@@ -2,7 +2,7 @@
 
 A global ``row_number()`` over row data sends every row to one task.  Here
 the order is cut into *buckets* by a column that is monotone in the order
-key (a hash prefix, or percentile cut points of an id).  Only the bucket
+key (a hash prefix, or range partitions of the key).  Only the bucket
 counts (at most ``n_buckets`` rows per group) are aggregated and summed
 into offsets; the rows themselves are ranked inside their bucket.
 
@@ -17,22 +17,20 @@ Two uses:
 
 from __future__ import annotations
 
-import math
-from collections import Counter
 from dataclasses import dataclass
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from regimen.functions.exprs import hash_key, lex_le
+from regimen.session import materialize
 
 ORDER_KEY = "_okey"
 BUCKET = "_bkt"
 # Tables with at most this many rows are broadcast; beyond it a shuffle join.
 BROADCAST_ROW_LIMIT = 1 << 20
-# Hash-prefix digits used for one group; 16**4 buckets keep a bucket to
-# about n / 65536 rows (15M rows per task at 10^12 rows).
+# Hash-prefix digits; 16**4 buckets keep a bucket to about n / 65536 rows
+# (15M rows per task at 10^12 rows).
 DEFAULT_HASH_DIGITS = 4
 
 
@@ -49,17 +47,10 @@ def maybe_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if max_rows <= BROADCAST_ROW_LIMIT else df
 
 
-def hash_digits_for(n_groups: int) -> int:
-    """Hash-prefix digits so that groups x buckets stays broadcastable."""
-    spare = DEFAULT_HASH_DIGITS - math.ceil(math.log(max(n_groups, 1), 16))
-    return max(1, min(DEFAULT_HASH_DIGITS, spare))
-
-
 def hash_order(df: DataFrame, id_cols: list[str], salt: list[str | Column] | None = None,
                groups: list[str] | None = None, n_groups: int = 1,
-               digits: int | None = None) -> tuple[DataFrame, Order]:
+               digits: int = DEFAULT_HASH_DIGITS) -> tuple[DataFrame, Order]:
     """Order rows by ``md5(concat_ws('-', ids..., salt...))`` then ids."""
-    digits = digits or hash_digits_for(n_groups)
     okey = hash_key(*id_cols, *(salt or []))
     out = df.withColumn(ORDER_KEY, okey).withColumn(
         BUCKET, F.conv(F.substring(F.col(ORDER_KEY), 1, digits), 16, 10).cast("int"))
@@ -67,85 +58,19 @@ def hash_order(df: DataFrame, id_cols: list[str], salt: list[str | Column] | Non
                       groups=tuple(groups or ()), max_buckets=n_groups * 16 ** digits)
 
 
-def count_le(col: Column, cuts: list[float]) -> Column:
-    """Number of ``cuts`` (sorted, distinct) that are <= ``col``.
-
-    A balanced CASE tree: a binary search with log2(len(cuts)) comparisons
-    inside generated code (Bucketizer cannot take per-row splits)."""
-    def rec(lo: int, hi: int) -> Column:
-        if lo > hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(col < F.lit(float(cuts[mid])), rec(lo, mid - 1)).otherwise(rec(mid + 1, hi))
-
-    return rec(0, len(cuts) - 1)
-
-
-NUMERIC_TYPES = ("byte", "short", "integer", "long", "float", "double", "decimal")
-
-# Value orders aim at about this many rows per bucket (the largest unit one
-# task ranks), between 16 and 65536 buckets.
-ROWS_PER_BUCKET = 50_000
-MIN_VALUE_BUCKETS, MAX_VALUE_BUCKETS = 16, 65536
-
-
-def value_buckets_for(n_rows: int) -> int:
-    want = max(1, math.ceil(n_rows / ROWS_PER_BUCKET))
-    return min(MAX_VALUE_BUCKETS, max(MIN_VALUE_BUCKETS, 1 << (want - 1).bit_length()))
-
-
 def value_order(df: DataFrame, order_cols: list[str], n_buckets: int | None = None,
                 groups: list[str] | None = None, n_groups: int = 1) -> tuple[DataFrame, Order]:
-    """Order rows by their own columns (e.g. a row id).
-
-    Buckets are equal-frequency ranges of the first order column from
-    ``percentile_approx`` (one row of cut points), so a skewed id
-    distribution still gives even buckets; without ``n_buckets`` their
-    number follows the row count (:func:`value_buckets_for`).  A first-column value that holds
-    more than one bucket's share of the rows (it repeats among the cut
-    points) is split further by percentiles of the second order column, so
-    a value holding a third of the table is spread over many buckets
-    instead of being ranked by one task.
-    """
-    if df.schema[order_cols[0]].dataType.typeName() not in NUMERIC_TYPES:
-        raise ValueError(f"value_order needs a numeric first order column, got {order_cols[0]!r}; "
-                         "order by a numeric row id (or use a hash order)")
-    first = F.col(order_cols[0]).cast("double")
-    if n_buckets is None:
-        n_buckets = value_buckets_for(df.count())
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    cuts = sorted(float(c) for c in (df.select(F.percentile_approx(first, probs, 4 * n_buckets).alias("c"))
-                                     .first()["c"] or []))
-    distinct = sorted(set(cuts))
-    splits = [-math.inf] + distinct + [math.inf]
-    tmp = "_bkt_in"
-    base = Bucketizer(splits=splits, inputCol=tmp, outputCol=BUCKET, handleInvalid="keep") \
-        .transform(df.withColumn(tmp, first)).drop(tmp)
-    base_b = F.col(BUCKET).cast("long")
-    share = Counter(cuts)
-    heavy = sorted(v for v, c in share.items() if c >= 2)
-    numeric_second = len(order_cols) > 1 and df.schema[order_cols[1]].dataType.typeName() in NUMERIC_TYPES
-    if not heavy or not numeric_second:
-        out = base.withColumn(BUCKET, base_b)
-        return out, Order(keys=tuple(order_cols), bucket=BUCKET, groups=tuple(groups or ()),
-                          max_buckets=n_groups * (len(splits) + 1))
-    # split each heavy value by the second order column
-    s = max(share[v] for v in heavy) + 1
-    second = F.col(order_cols[1]).cast("double")
-    sub_probs = [i / s for i in range(1, s)]
-    sub_cuts = {float(r["v"]): sorted({float(c) for c in (r["c"] or [])}) for r in
-                df.where(first.isin(heavy)).groupBy(first.alias("v"))
-                .agg(F.percentile_approx(second, sub_probs, 10 * s).alias("c")).collect()}
-    heavy_base = [distinct.index(v) + 1 for v in heavy]   # the bucket whose lower edge is v
-    tied = None
-    for v in heavy:
-        branch = count_le(second, sub_cuts.get(v, []))
-        tied = F.when(first == F.lit(v), branch) if tied is None else tied.when(first == F.lit(v), branch)
-    above = F.when(base_b.isin(*heavy_base), F.lit(s)).otherwise(F.lit(0))
-    sub = F.coalesce(tied, above).cast("long")
-    out = base.withColumn(BUCKET, base_b * F.lit(s + 1) + sub)
-    return out, Order(keys=tuple(order_cols), bucket=BUCKET, groups=tuple(groups or ()),
-                      max_buckets=n_groups * (len(splits) + 1 + len(heavy) * (s + 1)))
+    """Order rows by their own columns, of any orderable type (e.g. a row id).
+
+    A bucket is a range partition over ALL order columns, so neither a skewed
+    first column nor one value with a third of the rows makes a large bucket.
+    The partitioned rows are written once to the shared checkpoint folder
+    with their bucket number; without ``n_buckets`` their number is the
+    session's shuffle partitions."""
+    n_buckets = n_buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(n_buckets, *order_cols).withColumn(BUCKET, F.spark_partition_id().cast("long"))
+    return materialize(ranged), Order(keys=tuple(order_cols), bucket=BUCKET, groups=tuple(groups or ()),
+                                      max_buckets=n_groups * n_buckets)
 
 
 def bucket_counts(df: DataFrame, order: Order) -> DataFrame:
@@ -231,3 +156,43 @@ def at_or_below(order: Order, thr_col: str = "_thr") -> Column:
     t = F.get(F.col(thr_col), 0)["key"]
     tk = [t[f"k{i}"] for i in range(len(order.keys))]
     return F.coalesce(lex_le(keys, tk), F.lit(False))
+
+
+def hash_thresholds(df: DataFrame, id_cols: list[str], seed: int, splits: list[tuple[int, int]], wanted: int,
+                    n_rows: int) -> list[tuple]:
+    """For each (round, split), the order key (hash, ids...) of the ``wanted``-th row in that split's hash order.
+
+    A hash is uniform, so the wanted row lies near the share wanted / n_rows
+    of the hash space: one pass counts the rows below a narrow window of six
+    standard deviations and keeps the rows inside it, about sqrt(n_rows) for
+    each split; a window that misses (never seen) is widened.  No copy of the
+    table is written; what comes back is one key a split."""
+    spark = df.sparkSession
+    share = wanted / n_rows
+    width = 6.0 * ((share * (1 - share) + 1.0 / n_rows) / n_rows) ** 0.5
+    found: dict[tuple[int, int], tuple] = {}
+    todo = list(splits)
+    while todo:
+        low, high = (f"{int(min(max(x, 0.0), 1.0) * (2 ** 64 - 1)):016x}" for x in (share - width, share + width))
+        low, high = ("" if share - width <= 0 else low), ("g" if share + width >= 1 else high)
+        which = spark.createDataFrame(todo, "round int, split int")
+        keyed = (df.select(*id_cols).join(F.broadcast(which))  # a parameter's number of rows: the splits asked for
+                 .withColumn(ORDER_KEY, hash_key(*id_cols, F.lit(seed), "round", "split")))
+        below = {(r["round"], r["split"]): r["n"] for r in keyed.groupBy("round", "split").agg(
+            F.count_if(F.col(ORDER_KEY) < low).alias("n")).collect()}
+        inside = keyed.where((F.col(ORDER_KEY) >= low) & (F.col(ORDER_KEY) < high))
+        rank = F.row_number().over(Window.partitionBy("round", "split").orderBy(ORDER_KEY, *id_cols))
+        at = spark.createDataFrame([(r, s, wanted - below.get((r, s), 0)) for r, s in todo], "round int, split int, need long")
+        rows = (inside.withColumn("rank", rank).join(F.broadcast(at), ["round", "split"])
+                .where(F.col("rank") == F.col("need")).collect())
+        for r in rows:
+            found[(r["round"], r["split"])] = tuple(r[c] for c in (ORDER_KEY, *id_cols))
+        todo = [x for x in todo if x not in found]
+        width *= 4
+    return [found[x] for x in splits]
+
+
+def key_at_most(id_cols: list[str], seed: int, split: tuple[int, int], key: tuple) -> Column:
+    """Whether a row is at or before ``key`` in the hash order of a (round, split)."""
+    own = [hash_key(*id_cols, F.lit(seed), F.lit(split[0]), F.lit(split[1])), *[F.col(c) for c in id_cols]]
+    return lex_le(own, [F.lit(x) for x in key])

@@ -59,10 +59,12 @@ def best_params(grid_scores: DataFrame, score: str = "score", index_col: str = "
 def compare_datasets(left: DataFrame, right: DataFrame, key: str = "model",
                      metrics: Sequence[str] = ("r2", "mae", "rmse"),
                      names: Sequence[str] = ("original", "synthetic")) -> DataFrame:
-    """Side by side for models present in both, by the first R^2 descending."""
+    """Side by side for models present in both; ``rank`` counts by the first
+    table's R^2 descending (missing last, ties by name)."""
     a = left.select(key, *[F.col(m).alias(f"{names[0]}_{m}") for m in metrics])
     b = right.select(key, *[F.col(m).alias(f"{names[1]}_{m}") for m in metrics])
-    return a.join(b, on=key, how="inner")
+    first = Window.orderBy(nan_to_null(f"{names[0]}_{metrics[0]}").desc_nulls_last(), F.col(key).asc())
+    return a.join(b, on=key, how="inner").withColumn("rank", F.row_number().over(first))  # one row a model
 
 
 def attach_cv(results: DataFrame, cv: DataFrame, key: str = "model") -> DataFrame:

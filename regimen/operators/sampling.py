@@ -9,10 +9,11 @@ against a few broadcast boundary keys.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from regimen.operators.order import (
@@ -24,16 +25,18 @@ from regimen.operators.order import (
     count_below,
     group_sizes,
     hash_order,
+    hash_thresholds,
+    key_at_most,
     keys_at,
-    maybe_broadcast,
     value_order,
 )
 from regimen.functions.exprs import lex_le
+from regimen.session import materialize
 
 INTERNAL = ["_thr", "_is_test", "_obkt", ORDER_KEY, BUCKET]
 
 
-def _n_test(test_size: float | int) -> F.Column:
+def _n_test(test_size: float | int) -> Column:
     if isinstance(test_size, int) and not isinstance(test_size, bool):
         return F.least(F.lit(test_size).cast("long"), F.col("n"))
     return F.ceil(F.lit(float(test_size)) * F.col("n")).cast("long")
@@ -62,25 +65,30 @@ def holdout_split(df: DataFrame, id_cols: list[str], test_size: float | int = 0.
     return _drop(out.withColumn(split_col, F.when(F.col("_is_test") == 1, "test").otherwise("train")))
 
 
+def split_membership(df: DataFrame, id_cols: list[str], n_splits: int = 50, test_size: float | int = 0.2,
+                     seed: int = 42, n_rounds: int = 1, first_round: int = 0) -> dict[tuple[int, int], Column]:
+    """D2 without copies: for each (round, split) a column that says whether a row of ``df`` is a test row.
+
+    Only one threshold key a split is found beforehand."""
+    n = df.count()
+    splits = [(r, s) for r in range(first_round, first_round + n_rounds) for s in range(n_splits)]
+    wanted = min(test_size, n) if isinstance(test_size, int) and not isinstance(test_size, bool) else math.ceil(
+        round(test_size * n, 9))
+    if not n or not wanted:
+        return {x: F.lit(False) for x in splits}
+    keys = hash_thresholds(df, id_cols, seed, splits, wanted, n)
+    return {x: key_at_most(id_cols, seed, x, k) for x, k in zip(splits, keys)}
+
+
 def shuffle_splits(df: DataFrame, id_cols: list[str], n_splits: int = 50, test_size: float | int = 0.2,
                    seed: int = 42, n_rounds: int = 1, first_round: int = 0) -> DataFrame:
     """``n_rounds x n_splits`` independent hold-outs (sets may overlap).
 
-    Output has one row per (input row, round, split) with ``is_test``.  Each
-    split is its own order group; the hash prefix shrinks with the number of
-    splits so the per-bucket offsets stay broadcastable.  For very many
-    splits call it per batch of rounds (``first_round``).
-    """
-    n_groups = n_rounds * n_splits
-    ex = (df.withColumn("round", F.explode(F.sequence(F.lit(first_round), F.lit(first_round + n_rounds - 1))))
-          .withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(n_splits - 1)))))
-    b, order = hash_order(ex, id_cols, salt=[F.lit(seed), F.col("round"), F.col("split")],
-                          groups=["round", "split"], n_groups=n_groups)
-    pos = group_sizes(b, order).select("round", "split", F.lit(0).alias("tag"),
-                                       (_n_test(test_size) - 1).alias("pos"))
-    thr = keys_at(b, order, pos, max_positions=n_groups)
-    out = attach_thresholds(b, order, thr, max_groups=n_groups)
-    return _drop(out.withColumn("is_test", at_or_below(order)))
+    Output has one row per (input row, round, split) with ``is_test``: the
+    only copies are those of the output, made at the scan."""
+    member = split_membership(df, id_cols, n_splits, test_size, seed, n_rounds, first_round)
+    flags = [F.struct(F.lit(r).alias("round"), F.lit(s).alias("split"), c.alias("is_test")) for (r, s), c in member.items()]
+    return df.withColumn("_s", F.explode(F.array(*flags))).select(*df.columns, "_s.*")
 
 
 def _fold_positions(sizes: DataFrame, k: int, groups: Sequence[str] = ()) -> DataFrame:
@@ -142,42 +150,58 @@ def linspace_fractions(start: float = 0.1, stop: float = 1.0, num: int = 10) ->
     return [float(x) for x in np.linspace(start, stop, num)]
 
 
+def first_sizes(df: DataFrame, order_cols: list[str], k: int = 5, fractions: Sequence[float] | None = None,
+                fold_col: str = "fold", n_buckets: int | None = None) -> tuple[DataFrame, list[int]]:
+    """D5 without copies: ``fold_col`` and, for each held-out fold f, ``first_f``: the smallest
+    training size whose subset holds the row (NULL: none).  Also returns the sizes."""
+    fractions = list(fractions) if fractions is not None else linspace_fractions()
+    b, order = value_order(df, order_cols, n_buckets=n_buckets)
+    b = materialize(_assign_folds(b, order, k, fold_col).drop("_thr"))
+    n = b.count()
+    q, r = n // k, n % k
+    n_max = n - (q + (1 if r else 0))
+    sizes = sorted({min(max(math.floor(f * n_max), 1), n_max) for f in fractions}) if n_max > 0 else []
+    wanted = []
+    for f in range(k):
+        start, size = f * q + min(f, r), q + (1 if f < r else 0)
+        wanted += [(f, m, (m if m <= start else m + size) - 1) for m in sizes]
+    positions = df.sparkSession.createDataFrame(wanted, "cv_fold int, m long, pos long") if wanted else None
+    found = {}
+    if positions is not None:
+        at = keys_at(b, order, positions.select(F.struct("cv_fold", "m").alias("tag"), "pos"), max_positions=len(wanted))
+        found = {(x["tag"]["cv_fold"], x["tag"]["m"]): [x[c] for c in order.keys] for x in at.collect()}  # k x sizes keys
+    keys = [F.col(c) for c in order.keys]
+    for f in range(k):
+        first = F.lit(None).cast("long")
+        for m in reversed(sizes):
+            first = F.when(lex_le(keys, [F.lit(v) for v in found[(f, m)]]), F.lit(m).cast("long")).otherwise(first)
+        b = b.withColumn(f"first_{f}", F.when(F.col(fold_col) != f, first))
+    return _drop(b), sizes
+
+
 def growing_prefixes(df: DataFrame, order_cols: list[str], k: int = 5,
                      fractions: Sequence[float] | None = None, fold_col: str = "fold",
-                     n_buckets: int | None = None, with_folds: bool = False):
+                     n_buckets: int | None = None) -> DataFrame:
     """Learning-curve training subsets.
 
     ``n_max`` = training size of the first fold; sizes
     ``m = clip(floor(f * n_max), 1, n_max)`` (deduplicated); for each
     held-out fold ``cv_fold`` the subset is the first ``m`` rows of that
-    fold's training part in order.  Output: one row per (row, cv_fold, m);
-    ``with_folds=True`` also returns the fold-tagged input (for scoring the
-    held-out folds) so the order is computed once.
+    fold's training part in order.  Output: one row per (row, cv_fold,
+    train_size), exploded from :func:`first_sizes`.
     """
-    fractions = list(fractions) if fractions is not None else linspace_fractions()
-    b, order = value_order(df, order_cols, n_buckets=n_buckets)
-    b = _assign_folds(b, order, k, fold_col).drop("_thr")
-    q = F.floor(F.col("n") / k)
-    r = F.col("n") - q * k
-    sizes = group_sizes(b, order)
-    m_raw = F.floor(F.col("frac") * (F.col("n") - (q + F.when(r > 0, 1).otherwise(0))))
-    n_max = F.col("n") - (q + F.when(r > 0, 1).otherwise(0))
-    per_size = (sizes.withColumn("frac", F.explode(F.array(*[F.lit(float(f)) for f in fractions])))
-                .select("n", F.least(F.greatest(m_raw, F.lit(1)), n_max).cast("long").alias("m"))
-                .distinct())
-    folds = per_size.withColumn("cv_fold", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
-    start = F.col("cv_fold") * q + F.least(F.col("cv_fold"), r)
-    fsize = q + F.when(F.col("cv_fold") < r, 1).otherwise(0)
-    positions = folds.select(
-        "cv_fold", "m",
-        F.struct("cv_fold", "m").alias("tag"),
-        (F.when(F.col("m") <= start, F.col("m")).otherwise(F.col("m") + fsize) - 1).cast("long").alias("pos"))
-    thr = keys_at(b, order, positions.select("tag", "pos"), max_positions=k * len(fractions))
-    thr = thr.select(F.col("tag.cv_fold").alias("cv_fold"), F.col("tag.m").alias("train_size"),
-                     *[F.col(c).alias(f"_t{i}") for i, c in enumerate(order.keys)])
-    keys = [F.col(c) for c in order.keys]
-    tkeys = [F.col(f"_t{i}") for i in range(len(order.keys))]
-    cond = (F.col(fold_col) != F.col("cv_fold")) & lex_le(keys, tkeys)
-    out = b.join(maybe_broadcast(thr, k * len(fractions)), on=cond, how="inner")
-    out = _drop(out.drop(*[f"_t{i}" for i in range(len(order.keys))]))
-    return (out, _drop(b)) if with_folds else out
+    b, sizes = first_sizes(df, order_cols, k, fractions, fold_col, n_buckets)
+    return expand_sizes(b, sizes, k)
+
+
+def expand_sizes(b: DataFrame, sizes: list[int], k: int) -> DataFrame:
+    """One row per (row, cv_fold, train_size) from :func:`first_sizes`, made on the fly."""
+    every = F.array(*[F.lit(m).cast("long") for m in sizes]) if sizes else F.array().cast("array<long>")
+
+    def of_fold(f: int) -> Column:
+        held = F.filter(every, lambda m: m >= F.col(f"first_{f}"))
+        return F.transform(held, lambda m: F.struct(F.lit(f).alias("cv_fold"), m.alias("train_size")))
+
+    per_fold = [of_fold(f) for f in range(k)]
+    out = b.withColumn("_p", F.explode(F.concat(*per_fold)))
+    return out.select(*[c for c in b.columns if not c.startswith("first_")], "_p.*")

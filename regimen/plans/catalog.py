@@ -610,7 +610,8 @@ def q_best_model(spark, sf):
 @register("compare_datasets", f"""
 WITH ev AS ({evaluate_sql()})
 SELECT o.model, o.test_r2 AS original_r2, o.test_mae AS original_mae, o.test_rmse AS original_rmse,
-       s.test_r2 AS synthetic_r2, s.test_mae AS synthetic_mae, s.test_rmse AS synthetic_rmse
+       s.test_r2 AS synthetic_r2, s.test_mae AS synthetic_mae, s.test_rmse AS synthetic_rmse,
+       row_number() OVER (ORDER BY o.test_r2 DESC NULLS LAST, o.model) AS rank
 FROM ev o JOIN ev s ON o.model = s.model WHERE o.dataset = 'original' AND s.dataset = 'synthetic'
 """)
 def q_compare_datasets(spark, sf):
@@ -1111,7 +1112,7 @@ def q_compare_models(spark, sf):
     """E1 + E2: the suite on one exact hold-out, ranked results table."""
     from regimen.plans import suite
     d = planted_part(spark, sf)
-    s = sampling.holdout_split(d, ["p_partkey"], 0.2, 42)
+    s = materialize(sampling.holdout_split(d, ["p_partkey"], 0.2, 42))
     _, wide, _ = suite.compare_models(s.where(F.col("split") == "train"), s.where(F.col("split") == "test"),
                                       small_suite(PART_FEATURES, "y"), "y", ["p_partkey"])
     return ranking.results_table(wide)
@@ -1129,7 +1130,7 @@ def q_grid_holdout(spark, sf):
     from regimen.operators import models
     from regimen.plans import suite
     d = step_part(spark, sf)
-    s = sampling.holdout_split(d, ["p_partkey"], 0.2, 42)
+    s = materialize(sampling.holdout_split(d, ["p_partkey"], 0.2, 42))
     table, best = suite.grid_search_holdout(
         s.where(F.col("split") == "train"), s.where(F.col("split") == "test"),
         lambda max_iter, max_depth: models.gbt(PART_FEATURES, "y", max_iter=max_iter, max_depth=max_depth,
@@ -1166,7 +1167,7 @@ def q_grid_mlp(spark, sf):
     from regimen.operators import solvers
     from regimen.plans import suite
     d = planted_part(spark, sf)
-    s = sampling.holdout_split(d, ["p_partkey"], 0.2, 42)
+    s = materialize(sampling.holdout_split(d, ["p_partkey"], 0.2, 42))
     table, best = suite.grid_search_holdout(
         s.where(F.col("split") == "train"), s.where(F.col("split") == "test"),
         lambda hidden, learning_rate: solvers.MLPRegressor(PART_FEATURES, "y", hidden=hidden,
@@ -1279,7 +1280,7 @@ def q_compare_models_trees(spark, sf):
     li = T(spark, sf, "lineitem")
     ext = li.select(F.col("l_quantity").alias("p_size"), (F.col("l_extendedprice") / 50.0).alias("p_retailprice"),
                     F.when(F.col("l_quantity") > 25, F.lit(10.0)).otherwise(F.lit(2.0)).alias("y"))
-    s = sampling.holdout_split(d, ["p_partkey"], 0.2, 42)
+    s = materialize(sampling.holdout_split(d, ["p_partkey"], 0.2, 42))
     ests = {suite.RF: models.random_forest(PART_FEATURES, "y", num_trees=20, max_depth=10, max_bins=64),
             suite.GB: models.gbt(PART_FEATURES, "y", max_iter=10, max_bins=64)}
     _, wide, _ = suite.compare_models(s.where(F.col("split") == "train"), s.where(F.col("split") == "test"),

@@ -35,8 +35,8 @@ def learning_curve_mean(df: DataFrame, order_cols: list[str], label: str, k: int
     """E7 (mean predictor): per training size, mean and population std over
     the k folds of the train R^2 (on the prefix itself) and of the held-out
     fold R^2.  ``(train_size, train_mean, train_std, test_mean, test_std)``."""
-    prefixes, folded = sampling.growing_prefixes(df, order_cols, k, fractions, with_folds=True)
-    prefixes, folded = materialize(prefixes), materialize(folded)
+    folded, sizes = sampling.first_sizes(df, order_cols, k, fractions)
+    prefixes = sampling.expand_sizes(folded, sizes, k)   # streams into the aggregates, never written
     n_fracs = len(fractions) if fractions is not None else 10
     mu = prefixes.groupBy("cv_fold", "train_size").agg(F.avg(nan_to_null(label)).alias("prediction"))
     mu_b = maybe_broadcast(mu, k * n_fracs)
@@ -78,8 +78,7 @@ def repeated_splits_mean(df: DataFrame, id_cols: list[str], label: str, external
     ``accepted`` is the P5 filter as a flag."""
     groups = ["round", "split"]
     n_groups = n_rounds * n_splits
-    s = materialize(sampling.shuffle_splits(df, id_cols, n_splits=n_splits, test_size=test_size, seed=seed,
-                                            n_rounds=n_rounds))
+    s = sampling.shuffle_splits(df, id_cols, n_splits=n_splits, test_size=test_size, seed=seed, n_rounds=n_rounds)
     mu = baseline.fit_means(s.where(~F.col("is_test")), label, groups)
     preds = baseline.predict_means(s.where(F.col("is_test")), mu, groups, max_groups=n_groups)
     sc = metrics.regression_metrics(preds, groups, label=label).select(*groups, F.col("r2").alias("score"))

@@ -1,11 +1,11 @@
 """Model experiments.  Each fit is a distributed Spark job; the
-driver only loops over models, folds and grid points (tens of fits), and
-every score of every fit comes from ONE grouped aggregate over the union of
-long-form prediction tables (A7), never from collected rows.
+driver only loops over models, folds and grid points, keeps at most
+``parallelism`` fitted models at a time, and holds one metrics row per fit.
 
 Split tables are tagged once (exact hold-out / folds from
-:mod:`regimen.operators.sampling`) and persisted, so every fit of an
-experiment reads the same cached rows.
+:mod:`regimen.operators.sampling`) and written to the shared checkpoint
+folder, so every fit of an experiment reads the same rows; nothing stays
+cached afterwards.
 """
 
 from __future__ import annotations
@@ -15,12 +15,13 @@ from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from regimen.operators import metrics, models, ranking, sampling, solvers, synth
 from regimen.operators.clean import accept_condition, impute_from_reference, impute_mean
+from regimen.session import materialize
+from regimen.sources import tables
 
 Builder = Callable[..., object]
 
@@ -60,16 +61,42 @@ def fit_many(tasks: Sequence[tuple[object, object, DataFrame]], parallelism: int
         return {k: f.result() for k, f in futures.items()}
 
 
+def score_each(tasks: Sequence[tuple[tuple, Callable[[], object], DataFrame, dict[str, DataFrame]]], label: str,
+               parallelism: int = DEFAULT_PARALLELISM) -> list[tuple]:
+    """``(*key, part, n, r2, mae, rmse)`` for every ``(key, build, train, {part: rows})``.
+
+    Each fit is scored as it ends and dropped: at most ``parallelism`` models
+    exist at a time, and one metrics row per part is all that is kept."""
+    def one(task):
+        key, build, train, parts = task
+        model = build().fit(train)
+        preds = _union([model.transform(rows).select(F.lit(part).alias("part"), F.col(label).cast("double").alias("label"),
+                                                     F.col(models.PREDICTION).cast("double").alias("prediction"))
+                        for part, rows in parts.items()])
+        return [(*key, r["part"], r["n"], r["r2"], r["mae"], r["rmse"])
+                for r in metrics.regression_metrics(preds, ["part"]).collect()]
+
+    if parallelism <= 1 or len(tasks) <= 1:
+        found = [one(t) for t in tasks]
+    else:
+        with ThreadPoolExecutor(max_workers=parallelism) as pool:
+            found = list(pool.map(one, tasks))
+    return [row for rows in found for row in rows]
+
+
+SCORES = "part string, n long, r2 double, mae double, rmse double"
+
+
 def compare_models(train: DataFrame, test: DataFrame, suite: dict[str, object], label: str,
                    key_cols: Sequence[str], dataset: str = "original",
                    validation: DataFrame | None = None,
                    parallelism: int = DEFAULT_PARALLELISM) -> tuple[DataFrame, DataFrame, dict]:
     """Fit every model on ``train``; predictions on ``test`` (and the
     optional ``validation`` table) in long form; A7 metrics in one job.
+    Callers pass parts of a written split table (``session.materialize``).
 
     Returns ``(predictions, metrics_wide, fitted_models)``.
     """
-    train = train.persist(StorageLevel.MEMORY_AND_DISK)
     fitted = fit_many([(name, est, train) for name, est in suite.items()], parallelism)
     preds = []
     for name, m in fitted.items():
@@ -83,17 +110,12 @@ def compare_models(train: DataFrame, test: DataFrame, suite: dict[str, object],
 def cross_validate_suite(folded: DataFrame, suite: dict[str, object], label: str, k: int,
                          fold_col: str = "fold", parallelism: int = DEFAULT_PARALLELISM) -> DataFrame:
     """Per model and fold, fit on the other folds and score the fold.
-    ``(model, fold, n, r2, mae, rmse)`` from one aggregate."""
-    folded = folded.persist(StorageLevel.MEMORY_AND_DISK)
-    fitted = fit_many([((name, f), est, folded.where(F.col(fold_col) != f))
-                       for name, est in suite.items() for f in range(k)], parallelism)
-    preds = []
-    for (name, f), m in fitted.items():
-        out = m.transform(folded.where(F.col(fold_col) == f))
-        preds.append(out.select(F.lit(name).alias("model"), F.lit(f).alias("fold"),
-                                F.col(label).cast("double").alias("label"),
-                                F.col(models.PREDICTION).cast("double").alias("prediction")))
-    return metrics.regression_metrics(_union(preds), ["model", "fold"])
+    ``(model, fold, n, r2, mae, rmse)``."""
+    folded = materialize(folded)
+    rows = score_each([((name, f), lambda est=est: est, folded.where(F.col(fold_col) != f),
+                        {"test": folded.where(F.col(fold_col) == f)})
+                       for name, est in suite.items() for f in range(k)], label, parallelism)
+    return folded.sparkSession.createDataFrame(rows, f"model string, fold int, {SCORES}").drop("part")
 
 
 def param_grid(grid: dict[str, Sequence]) -> list[dict]:
@@ -102,31 +124,38 @@ def param_grid(grid: dict[str, Sequence]) -> list[dict]:
     return [dict(zip(keys, vals)) for vals in itertools.product(*[grid[k] for k in keys])]
 
 
+def _with_params(spark, points: list[dict], scores: DataFrame) -> DataFrame:
+    keys = list(points[0])
+    params = spark.createDataFrame([(i, *[str(p[k]) for k in keys]) for i, p in enumerate(points)], ["grid_index", *keys])
+    return params.join(scores, "grid_index")
+
+
+def refit_winner(best: DataFrame, build: Builder, grid: dict[str, Sequence], train: DataFrame) -> tuple[dict, object]:
+    """The best point's parameters, with their own types, and the model refitted with them on all of ``train``."""
+    row = best.first()
+    if row is None:
+        raise ValueError("no grid point has a score")
+    params = param_grid(grid)[row["grid_index"]]
+    return params, build(**params).fit(train)
+
+
 def grid_search_cv(folded: DataFrame, build: Builder, grid: dict[str, Sequence], label: str, k: int,
                    fold_col: str = "fold", parallelism: int = DEFAULT_PARALLELISM) -> tuple[DataFrame, DataFrame]:
     """Every grid point scored by k-fold R^2 (mean, population std);
     the best is the first strictly better mean (W4).
 
     Returns ``(grid_table, best_row)``; ``grid_table`` has the parameters as
-    columns plus ``grid_index, cv_mean, cv_std``.
+    columns plus ``grid_index, cv_mean, cv_std``.  :func:`refit_winner` fits
+    the winner on all training rows.
     """
     points = param_grid(grid)
-    folded = folded.persist(StorageLevel.MEMORY_AND_DISK)
-    fitted = fit_many([((gi, f), build(**params), folded.where(F.col(fold_col) != f))
-                       for gi, params in enumerate(points) for f in range(k)], parallelism)
-    preds = []
-    for (gi, f), m in fitted.items():
-        out = m.transform(folded.where(F.col(fold_col) == f))
-        preds.append(out.select(F.lit(gi).alias("grid_index"), F.lit(f).alias("fold"),
-                                F.col(label).cast("double").alias("label"),
-                                F.col(models.PREDICTION).cast("double").alias("prediction")))
-    fold_scores = metrics.regression_metrics(_union(preds), ["grid_index", "fold"])
-    cv = metrics.cv_summary(fold_scores, ["grid_index"])
+    folded = materialize(folded)
+    rows = score_each([((gi, f), lambda p=params: build(**p), folded.where(F.col(fold_col) != f),
+                        {"test": folded.where(F.col(fold_col) == f)})
+                       for gi, params in enumerate(points) for f in range(k)], label, parallelism)
     spark = folded.sparkSession
-    keys = list(grid)
-    params_df = spark.createDataFrame([(i, *[str(p[k]) for k in keys]) for i, p in enumerate(points)],
-                                      ["grid_index", *keys])
-    table = params_df.join(cv, "grid_index")
+    fold_scores = spark.createDataFrame(rows, f"grid_index long, fold int, {SCORES}").drop("part")
+    table = _with_params(spark, points, metrics.cv_summary(fold_scores, ["grid_index"]))
     return table, ranking.best_params(table, score="cv_mean", index_col="grid_index")
 
 
@@ -136,87 +165,57 @@ def grid_search_holdout(train: DataFrame, val: DataFrame, build: Builder, grid:
     and ``val`` (``train_r2``, ``val_r2``); best = first strictly better
     ``val_r2`` (W4)."""
     points = param_grid(grid)
-    train = train.persist(StorageLevel.MEMORY_AND_DISK)
-    fitted = fit_many([(gi, build(**params), train) for gi, params in enumerate(points)], parallelism)
-    preds = []
-    for gi, m in fitted.items():
-        for split, part in (("train", train), ("val", val)):
-            out = m.transform(part)
-            preds.append(out.select(F.lit(gi).alias("grid_index"), F.lit(split).alias("split"),
-                                    F.col(label).cast("double").alias("label"),
-                                    F.col(models.PREDICTION).cast("double").alias("prediction")))
-    sc = metrics.regression_metrics(_union(preds), ["grid_index", "split"])
-    wide = sc.groupBy("grid_index").agg(
-        F.max(F.when(F.col("split") == "train", F.col("r2"))).alias("train_r2"),
-        F.max(F.when(F.col("split") == "val", F.col("r2"))).alias("val_r2"))
-    keys = list(grid)
+    rows = score_each([((gi,), lambda p=params: build(**p), train, {"train": train, "val": val})
+                       for gi, params in enumerate(points)], label, parallelism)
     spark = train.sparkSession
-    params_df = spark.createDataFrame([(i, *[str(p[k]) for k in keys]) for i, p in enumerate(points)],
-                                      ["grid_index", *keys])
-    table = params_df.join(wide, "grid_index")
+    wide = spark.createDataFrame(rows, f"grid_index long, {SCORES}").groupBy("grid_index").agg(
+        F.max(F.when(F.col("part") == "train", F.col("r2"))).alias("train_r2"),
+        F.max(F.when(F.col("part") == "val", F.col("r2"))).alias("val_r2"))
+    table = _with_params(spark, points, wide)
     return table, ranking.best_params(table, score="val_r2", index_col="grid_index")
 
 
 def learning_curve(df: DataFrame, order_cols: list[str], estimator, label: str, k: int = 5,
                    fractions: Sequence[float] | None = None, parallelism: int = DEFAULT_PARALLELISM) -> DataFrame:
     """Per training size, train and held-out R^2 mean/std over folds."""
-    prefixes, folded = sampling.growing_prefixes(df, order_cols, k, fractions, with_folds=True)
-    prefixes = prefixes.persist(StorageLevel.MEMORY_AND_DISK)
-    folded = folded.persist(StorageLevel.MEMORY_AND_DISK)
-    sizes = [r[0] for r in prefixes.select("train_size").distinct().orderBy("train_size").collect()]
+    folded, sizes = sampling.first_sizes(df, order_cols, k, fractions)
 
     def prefix(f, m_size):
-        return prefixes.where((F.col("cv_fold") == f) & (F.col("train_size") == m_size))
+        return folded.where(F.col(f"first_{f}") <= m_size)
 
-    fitted = fit_many([((m_size, f), estimator, prefix(f, m_size)) for m_size in sizes for f in range(k)],
-                      parallelism)
-    preds = []
-    for (m_size, f), m in fitted.items():
-        part = prefix(f, m_size)
-        for split, rows in (("train", part), ("test", folded.where(F.col("fold") == f))):
-            out = m.transform(rows)
-            preds.append(out.select(F.lit(m_size).cast("long").alias("train_size"), F.lit(f).alias("cv_fold"),
-                                    F.lit(split).alias("split"), F.col(label).cast("double").alias("label"),
-                                    F.col(models.PREDICTION).cast("double").alias("prediction")))
-    sc = metrics.regression_metrics(_union(preds), ["train_size", "cv_fold", "split"])
+    rows = score_each([((m_size, f), lambda: estimator, prefix(f, m_size),
+                        {"train": prefix(f, m_size), "test": folded.where(F.col("fold") == f)})
+                       for m_size in sizes for f in range(k)], label, parallelism)
+    sc = folded.sparkSession.createDataFrame(rows, f"train_size long, cv_fold int, {SCORES}")
     return sc.groupBy("train_size").agg(
-        F.avg(F.when(F.col("split") == "train", F.col("r2"))).alias("train_mean"),
-        F.stddev_pop(F.when(F.col("split") == "train", F.col("r2"))).alias("train_std"),
-        F.avg(F.when(F.col("split") == "test", F.col("r2"))).alias("test_mean"),
-        F.stddev_pop(F.when(F.col("split") == "test", F.col("r2"))).alias("test_std"))
+        F.avg(F.when(F.col("part") == "train", F.col("r2"))).alias("train_mean"),
+        F.stddev_pop(F.when(F.col("part") == "train", F.col("r2"))).alias("train_std"),
+        F.avg(F.when(F.col("part") == "test", F.col("r2"))).alias("test_mean"),
+        F.stddev_pop(F.when(F.col("part") == "test", F.col("r2"))).alias("test_std"))
 
 
 def repeated_splits(df: DataFrame, id_cols: list[str], estimator, label: str, external: DataFrame | None,
                     n_rounds: int = 1, n_splits: int = 5, test_size: float = 0.2, seed: int = 42,
                     min_score: float = 0.89, min_score2: float = 0.5,
-                    parallelism: int = DEFAULT_PARALLELISM) -> DataFrame:
+                    parallelism: int = DEFAULT_PARALLELISM, log_path: str | None = None) -> DataFrame:
     """Fit a model per shuffled split, score on its test rows and on the
-    external table, flag runs passing both thresholds (P5) and format the
-    run record (S6).  All scores come from one aggregate."""
-    s = sampling.shuffle_splits(df, id_cols, n_splits=n_splits, test_size=test_size, seed=seed,
-                                n_rounds=n_rounds).persist(StorageLevel.MEMORY_AND_DISK)
-
-    def mine(r, sp):
-        return s.where((F.col("round") == r) & (F.col("split") == sp))
-
-    fitted = fit_many([((r, sp), estimator, mine(r, sp).where(~F.col("is_test")))
-                       for r in range(n_rounds) for sp in range(n_splits)], parallelism)
-    preds = []
-    for (r, sp), m in fitted.items():
-        parts = [("test", mine(r, sp).where(F.col("is_test")))]
-        if external is not None:
-            parts.append(("external", external))
-        for which, rows in parts:
-            out = m.transform(rows)
-            preds.append(out.select(F.lit(r).alias("round"), F.lit(sp).alias("split"),
-                                    F.lit(which).alias("part"), F.col(label).cast("double").alias("label"),
-                                    F.col(models.PREDICTION).cast("double").alias("prediction")))
-    sc = metrics.regression_metrics(_union(preds), ["round", "split", "part"])
+    external table, and flag runs passing both thresholds (P5).  With
+    ``log_path`` the records of the accepted runs are appended there (S6).
+
+    A split is one threshold key: no copy of the table is written."""
+    member = sampling.split_membership(df, id_cols, n_splits, test_size, seed, n_rounds)
+    rows = score_each([((r, sp), lambda: estimator, df.where(~is_test),
+                        {"test": df.where(is_test)} | ({} if external is None else {"external": external}))
+                       for (r, sp), is_test in member.items()], label, parallelism)
+    sc = df.sparkSession.createDataFrame(rows, f"round int, split int, {SCORES}")
     wide = sc.groupBy("round", "split").agg(
         F.max(F.when(F.col("part") == "test", F.col("r2"))).alias("score"),
         F.max(F.when(F.col("part") == "external", F.col("r2"))).alias("score2"))
-    return wide.withColumn("accepted", F.coalesce(accept_condition(min_score=min_score, min_score2=min_score2),
-                                                  F.lit(False)))
+    out = wide.withColumn("accepted", F.coalesce(accept_condition(min_score=min_score, min_score2=min_score2),
+                                                 F.lit(False)))
+    if log_path is not None:
+        tables.append_run_log(out.where("accepted"), log_path)
+    return out
 
 
 def original_vs_synthetic(original: DataFrame, external: DataFrame | None, features: Sequence[str], label: str,
@@ -233,7 +232,7 @@ def original_vs_synthetic(original: DataFrame, external: DataFrame | None, featu
     syn_keys = ["syn_id"] if n_synthetic else list(key_cols)
     results = []
     for name, table, keys in (("original", orig, list(key_cols)), ("synthetic", syn, syn_keys)):
-        split = sampling.holdout_split(table, keys, test_size, seed)
+        split = materialize(sampling.holdout_split(table, keys, test_size, seed))
         train = split.where(F.col("split") == "train")
         test = split.where(F.col("split") == "test")
         _, wide, _ = compare_models(train, test, suite_builder(), label, keys, name, validation=ext)

@@ -16,31 +16,25 @@ from pyspark.sql import functions as F
 
 from regimen.operators import clean, metrics, models, ranking, sampling
 from regimen.plans import suite as S
+from regimen.session import materialize
 from regimen.sources import tables, text
 
-ROW_ID = "row_id"
-LINE_BITS = 24  # line numbers below 16M per annotated file (larger files: text.read_annotated_lines)
+#: What identifies a row of a measurement file.
+ROW_ID = ("source_file", "line_no")
 
 
 def read_measurements(spark: SparkSession, path: str, fmt: str = "csv", columns=None,
                       mode: str = "strict") -> DataFrame:
-    """A measurement table with a file-order ``row_id``.
+    """A measurement table with the file and line of every row (``ROW_ID``).
 
     ``fmt='text'``: annotated text (S1/S2; ``columns`` default to the
-    measurement layout); ``fmt='csv'``: header CSV (S3).  The id is taken
-    right at the scan, so it follows the file order and is stable on
-    recomputation of the same files.
+    measurement layout); ``fmt='csv'``: header CSV (S3).  The id is the same
+    however the files are split, so splits made from it are reproducible.
     """
     if fmt == "text":
         cols = list(columns or text.MEASUREMENT_COLUMNS)
-        df = text.read_annotated_text(spark, path, columns=cols, mode=mode)
-        # 32 bits of the file name's hash, then the line number: unique and in
-        # line order within each file, computed per row (no global window)
-        file_bits = F.conv(F.substring(F.md5(F.col("source_file")), 1, 8), 16, 10).cast("long")
-        rid = file_bits * F.lit(1 << LINE_BITS) + F.col("line_no").cast("long")
-        return df.select(rid.alias(ROW_ID), *cols)
-    df = tables.read_table_csv(spark, path, columns)
-    return df.select(F.monotonically_increasing_id().alias(ROW_ID), *df.columns)
+        return text.read_annotated_text(spark, path, columns=cols, mode=mode).select(*ROW_ID, *cols)
+    return tables.read_table_csv(spark, path, columns, positions=True)
 
 
 def model_comparison(spark: SparkSession, train: DataFrame, out_dir: str, external: DataFrame | None = None,
@@ -48,7 +42,7 @@ def model_comparison(spark: SparkSession, train: DataFrame, out_dir: str, extern
                      seed: int = 42, dataset: str = "original") -> dict[str, DataFrame]:
     """Run the comparison; returns the result tables and writes
     ``out_dir/results`` (CSV) and ``out_dir/models/...`` (best model)."""
-    cols = [c for c in train.columns if c != ROW_ID]
+    cols = [c for c in train.columns if c not in ROW_ID]
     features, label = clean.split_features_label(cols, label)
     data = clean.impute_mean(train, cols)
     ext = None
@@ -56,17 +50,17 @@ def model_comparison(spark: SparkSession, train: DataFrame, out_dir: str, extern
         ext = clean.impute_from_reference(external, data, cols, label=label, fill_label=False)
     models_ = suite or S.default_suite(features, label, seed=seed)
 
-    split = sampling.holdout_split(data, [ROW_ID], test_size, seed)
+    split = materialize(sampling.holdout_split(data, list(ROW_ID), test_size, seed))
     tr = split.where(F.col("split") == "train")
     te = split.where(F.col("split") == "test")
-    preds, wide, fitted = S.compare_models(tr, te, models_, label, [ROW_ID], dataset, validation=ext)
+    preds, wide, fitted = S.compare_models(tr, te, models_, label, list(ROW_ID), dataset, validation=ext)
 
     # CV over "train rows then test rows" (D3b); the network is left out as in the original flow
     cv_models = {n: m for n, m in models_.items() if n != S.NN}
-    folded = sampling.kfold_after_split(data, [ROW_ID], k, test_size, seed)
+    folded = sampling.kfold_after_split(data, list(ROW_ID), k, test_size, seed)
     fold_scores = S.cross_validate_suite(folded, cv_models, label, k)
     cv = metrics.cv_summary(fold_scores)
-    results = ranking.results_table(wide, cv).persist()
+    results = materialize(ranking.results_table(wide, cv))
     tables.write_table_csv(results, f"{out_dir.rstrip('/')}/results")
 
     best = ranking.best_model(results).first()

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,6 +14,8 @@ from regimen.functions.exprs import as_col, nan_to_null
 # The run-record layout and the file-stamp format.
 RUN_RECORD_FORMAT = "%d    %d  %.5f    %.5f"
 STAMP_FORMAT = "yyyyMMdd-HHmmss"
+#: Where a model that is no Spark ML JVM model keeps its state (JSON).
+STATE = "regimen_state"
 
 DRIVER_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
                  "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -22,29 +25,45 @@ def double_schema(columns: Sequence[str]) -> T.StructType:
     return T.StructType([T.StructField(c, T.DoubleType(), True) for c in columns])
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin a table that arrives in fewer splits than the cluster has
-    cores (e.g. one Parquet row group), so per-row work before the first
-    shuffle is not a single task.  A no-op for large inputs, whose scans
-    already have at least that many splits."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table (Parquet; filters and projections reach the scan)."""
-    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def scan_position() -> list[Column]:
+    """Columns that place a row of a text or CSV scan: file, block of the file, and running number."""
+    return [F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("_block"),
+            F.monotonically_increasing_id().alias("_id")]
+
 
+def with_line_numbers(rows: DataFrame) -> DataFrame:
+    """Replace ``_block`` and ``_id`` (:func:`scan_position`) by ``line_no``, the exact 0-based row of its file.
 
-def read_table_csv(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
+    Rows of a block follow each other in one task, so one count per block
+    gives every block's first line; ``(source_file, line_no)`` is unique for
+    any number and size of files and does not depend on how they are split."""
+    blocks = rows.groupBy("source_file", "_block").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("source_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("source_file", "_block", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return (rows.join(blocks, ["source_file", "_block"])
+            .withColumn("line_no", (F.col("_before") + F.col("_id") - F.col("_first")).cast("long"))
+            .drop("_block", "_id", "_first", "_before"))
+
+
+def read_table_csv(spark: SparkSession, path: str, columns: Sequence[str] | None = None,
+                   positions: bool = False) -> DataFrame:
     """S3: header CSV -> all-double table (bad numbers -> NULL, NaN -> NULL).
 
-    With ``columns`` the schema is fixed up front (no inference pass)."""
-    if columns is not None:
-        df = spark.read.schema(double_schema(columns)).option("header", True).csv(path)
-        return df.select(*[nan_to_null(c).alias(c) for c in columns])
+    ``columns`` selects and orders columns by their header names; a name that
+    the header lacks is an error.  ``positions`` adds ``source_file`` and ``line_no``."""
     raw = spark.read.option("header", True).csv(path)
-    return raw.select(*[nan_to_null(F.trim(F.col(c)).try_cast("double")).alias(c) for c in raw.columns])
+    missing = [c for c in columns or () if c not in raw.columns]
+    if missing:
+        raise ValueError(f"no column {', '.join(missing)} in the header of {path}")
+    values = [nan_to_null(F.trim(F.col(f"`{c}`")).try_cast("double")).alias(c) for c in columns or raw.columns]
+    if not positions:
+        return raw.select(*values)
+    return with_line_numbers(raw.select(*scan_position(), *values))
 
 
 def read_table_tsv(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
@@ -103,7 +122,10 @@ def save_model(model, base_dir: str, model_name: str, score: float, val_score: f
     name = row.select(scored_name("score", "val_score" if val_score is not None else None).alias("n")) \
         .first()["n"]
     path = f"{base_dir.rstrip('/')}/{model_name}/{name}"
-    model.write().overwrite().save(path)
+    if hasattr(model, "to_state"):
+        spark.createDataFrame([(json.dumps(model.to_state()),)], "state string").write.mode("overwrite").text(f"{path}/{STATE}")
+    else:
+        model.write().overwrite().save(path)
     if registry:
         (row.withColumn("path", F.lit(path)).withColumn("saved_at", F.current_timestamp())
          .write.mode("append").parquet(registry))
@@ -111,8 +133,17 @@ def save_model(model, base_dir: str, model_name: str, score: float, val_score: f
 
 
 def load_model(path: str):
-    """Load a persisted pipeline or model."""
+    """Load a persisted pipeline or model (Spark ML's, or one of this library)."""
     from pyspark.ml import PipelineModel
+
+    from regimen.operators import clean, solvers
+
+    spark = SparkSession.getActiveSession()
+    own = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{STATE}")
+    if own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(own):
+        state = json.loads(spark.read.text(f"{path}/{STATE}", wholetext=True).where("length(value) > 0").first()["value"])
+        kinds = {c.__name__: c for c in (solvers.SVRModel, solvers.MLPModel, clean.PopulationScalerModel)}
+        return kinds[state.pop("kind")].from_state(state)
     from pyspark.ml.util import DefaultParamsReader
 
     meta = DefaultParamsReader.loadMetadata(path, SparkSession.getActiveSession().sparkContext)

@@ -1,11 +1,10 @@
 """Annotated measurement text files.
 
 Layout: free-text preamble, a sentinel line, then tab-separated rows.
-Parsing is column expressions over ``spark.read.text(..., wholetext=True)``
-(one row per file, files in parallel) or over any DataFrame holding the
-text: cut at the sentinel line, split into lines, strip, drop blanks, split
-on tab, parse numbers.  Very large single files can use
-:func:`read_annotated_lines`, which reads line by line.
+Parsing is column expressions over lines: from files of any size (split over
+tasks, :func:`read_annotated_text`) or from a DataFrame whose rows hold whole
+texts (:func:`parse_annotated_text`): keep what follows the sentinel line,
+strip, drop blanks, split on tab, parse numbers.
 """
 
 from __future__ import annotations
@@ -15,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from regimen.sources.tables import scan_position, with_line_numbers
+
 # The data sentinel, the missing-value markers and the column
 # layout of the measurement table (10 composition, 5 environment, 1 label).
 SENTINEL = "---Under is the data---"
@@ -24,6 +25,8 @@ MEASUREMENT_COLUMNS = ["Al", "Zn", "Mg", "Cu", "Si", "Fe", "Mn", "Cr", "Ti", "Ot
 # Characters a whitespace strip removes at both ends of a line.
 STRIP_CHARS = " \t\r\n\x0b\x0c"
 LINE_BREAK = r"\r\n|\r|\n"
+NUMBER = r"^[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|[iI][nN][fF]([iI][nN][iI][tT][yY])?)$"
+NOT_A_NUMBER = r"^[+-]?[nN][aA][nN]$"
 
 
 def data_body(text: Column, sentinel: str = SENTINEL) -> Column:
@@ -49,6 +52,12 @@ def marker_to_null(c: Column, markers: Sequence[str] = MISSING_MARKERS) -> Colum
     return F.when(t.isin(*markers), F.lit(None).cast("string")).otherwise(t)
 
 
+def number(token: Column) -> Column:
+    """A decimal number or infinity as double; NaN and anything else (also the
+    suffixes that a SQL cast allows, as in ``1.0d``) -> NULL."""
+    return F.when(token.rlike(NUMBER), token.try_cast("double"))
+
+
 def parse_annotated_text(docs: DataFrame, columns: Sequence[str] = MEASUREMENT_COLUMNS,
                          text_col: str = "text", key_cols: Sequence[str] = (), mode: str = "strict",
                          pad_missing_label: bool = True, sentinel: str = SENTINEL) -> DataFrame:
@@ -61,18 +70,24 @@ def parse_annotated_text(docs: DataFrame, columns: Sequence[str] = MEASUREMENT_C
     its parsed prefix and the raw line in ``_corrupt_record`` (S2b).
     Output: ``key_cols..., line_no, columns...[, _corrupt_record]``.
     """
-    width = len(columns)
     lines = docs.select(*key_cols, F.posexplode(F.split(data_body(F.col(text_col), sentinel), LINE_BREAK))
                         .alias("line_no", "line"))
+    return parse_lines(lines, columns, key_cols, mode, pad_missing_label)
+
+
+def parse_lines(lines: DataFrame, columns: Sequence[str], key_cols: Sequence[str], mode: str,
+                pad_missing_label: bool) -> DataFrame:
+    """The rows of :func:`parse_annotated_text` from data lines (``key_cols..., line_no, line``)."""
+    width = len(columns)
     lines = drop_blank_lines(lines).withColumn("_fields", F.split(strip_line(F.col("line")), "\t"))
     n = F.size(F.col("_fields"))
     allowed = (n == width) | ((n == width - 1) & F.lit(pad_missing_label and mode == "lenient"))
     values = []
     for i, c in enumerate(columns):
         tok = marker_to_null(F.get(F.col("_fields"), i))
-        num = tok.try_cast("double")
+        num = number(tok)
         if mode == "strict":
-            bad = tok.isNotNull() & num.isNull()
+            bad = tok.isNotNull() & num.isNull() & ~tok.rlike(NOT_A_NUMBER)
             num = F.when(bad, F.raise_error(F.concat(F.lit(f"not a number in column {c}: "), tok))) \
                 .otherwise(num).cast("double")
         values.append(num.alias(c))
@@ -84,18 +99,19 @@ def parse_annotated_text(docs: DataFrame, columns: Sequence[str] = MEASUREMENT_C
     return lines.select(*key_cols, "line_no", *values, corrupt)
 
 
-def read_annotated_text(spark: SparkSession, path: str, **kwargs) -> DataFrame:
-    """Read a file or directory of annotated text files (one task per file)."""
-    docs = spark.read.text(path, wholetext=True).withColumn("source_file", F.input_file_name())
-    return parse_annotated_text(docs.withColumnRenamed("value", "text"), key_cols=["source_file"], **kwargs)
-
-
-def read_annotated_lines(spark: SparkSession, path: str, columns: Sequence[str] = MEASUREMENT_COLUMNS,
-                         comment_prefix: str = "###", mode: str = "strict",
-                         pad_missing_label: bool = True) -> DataFrame:
-    """Line-split variant for files too large for one ``wholetext`` row: the
-    preamble is recognised by its comment prefix instead of by position."""
-    lines = spark.read.text(path).where(~F.startswith(F.ltrim(F.col("value")), F.lit(comment_prefix)))
-    docs = lines.select(F.col("value").alias("text"))
-    return parse_annotated_text(docs, columns=columns, mode=mode, pad_missing_label=pad_missing_label,
-                                sentinel="\x00no-sentinel\x00").drop("line_no")
+def read_annotated_text(spark: SparkSession, path: str, columns: Sequence[str] = MEASUREMENT_COLUMNS,
+                        mode: str = "strict", pad_missing_label: bool = True, sentinel: str = SENTINEL) -> DataFrame:
+    """A file or directory of annotated text files of any size, read line by line.
+
+    Large files split over tasks; ``line_no`` is the exact 0-based line of the
+    file.  Each file's data begin after its first line with the sentinel, or
+    at its first line if it has none.  No other line is skipped: a comment
+    among the data is a bad row."""
+    raw = spark.read.text(path).select(*scan_position(), F.col("value").alias("line"))
+    lines = with_line_numbers(raw)
+    first = lines.where(F.contains(F.col("line"), F.lit(sentinel))).groupBy("source_file").agg(
+        F.min("line_no").alias("_mark"))
+    # a line of the preamble becomes missing rather than filtered: no check of a data line may run before the join
+    data = lines.join(first, "source_file", "left").withColumn(
+        "line", F.when(F.col("_mark").isNull() | (F.col("line_no") > F.col("_mark")), F.col("line")))
+    return parse_lines(data.drop("_mark"), columns, ["source_file"], mode, pad_missing_label)

@@ -103,12 +103,15 @@ def test_growing_prefixes_are_prefixes(spark):
 
 
 def test_plans_have_no_single_partition_over_rows(spark):
-    s = sampling.holdout_split(ids(spark, 1000), ["rid"], 0.2, 42)
-    plan = s._jdf.queryExecution().executedPlan().toString()
-    # the only single-partition exchanges allowed are over the (small) bucket-count table
-    assert "TakeOrderedAndProject" not in plan
-    f = sampling.kfold_contiguous(ids(spark, 1000), ["rid"], 5)
-    assert f.count() == 1000
+    import re
+
+    for s in (sampling.holdout_split(ids(spark, 1000), ["rid"], 0.2, 42), sampling.kfold_contiguous(ids(spark, 1000), ["rid"], 5),
+              sampling.shuffle_splits(ids(spark, 1000), ["rid"], n_splits=3)):
+        plan = s._jdf.queryExecution().executedPlan().toString().split("\n")
+        at = [i for i, line in enumerate(plan) if "Exchange SinglePartition" in line]
+        for i in at:  # what goes to one task has been aggregated right below the exchange, or is a partial aggregate
+            below = next(line for line in plan[i + 1:] if not re.search(r"WholeStageCodegen|InputAdapter|\(\d+\) Project|- Project|Filter", line))
+            assert "Aggregate" in below, below
 
 
 def test_kfold_with_a_heavy_first_key(spark):
@@ -126,9 +129,26 @@ def test_kfold_with_a_heavy_first_key(spark):
     assert all(r.fold == ranked[(r.a, r.b)] // (n // 5) for r in rows)
 
 
-def test_value_order_rejects_text_keys(spark):
-    import pytest
-
-    df = spark.createDataFrame([("a",), ("b",)], "k string")
-    with pytest.raises(ValueError):
-        sampling.kfold_contiguous(df, ["k"], 2)
+def test_value_order_of_text_keys_and_ties(spark):
+    n = 999
+    text_keys = spark.range(n).select(F.md5(F.col("id").cast("string")).alias("k"))
+    rows = sampling.kfold_contiguous(text_keys, ["k"], 3).collect()
+    ranked = {k: i for i, k in enumerate(sorted(r.k for r in rows))}
+    assert all(r.fold == ranked[r.k] // 333 for r in rows)
+    # a hot first key, a text second key, ties on both with a third
+    tied = spark.range(n).select(F.lit(1).alias("a"), F.when(F.col("id") % 3 == 0, "x").otherwise(
+        F.col("id").cast("string")).alias("b"), F.col("id").alias("c"))
+    rows = sampling.kfold_contiguous(tied, ["a", "b", "c"], 3, n_buckets=32).collect()
+    ranked = {k: i for i, k in enumerate(sorted((r.a, r.b, r.c) for r in rows))}
+    assert all(r.fold == ranked[(r.a, r.b, r.c)] // 333 for r in rows)
+
+
+def test_hash_thresholds_equal_the_sorted_keys(spark):
+    from regimen.operators.order import hash_thresholds
+
+    d = ids(spark, 3000)
+    for wanted in (1, 600, 3000):
+        got = hash_thresholds(d, ["rid"], 42, [(0, 0), (3, 7)], wanted, 3000)
+        for (r, s), key in zip([(0, 0), (3, 7)], got):
+            keys = sorted((x[0], x[1]) for x in d.select(hash_key("rid", F.lit(42), F.lit(r), F.lit(s)), "rid").collect())
+            assert keys[wanted - 1] == key

@@ -1,6 +1,8 @@
 from pyspark.sql import functions as F
 
-from regimen.operators import models
+import pytest
+
+from regimen.operators import clean, models, ranking, solvers
 from regimen.sources import tables
 
 
@@ -47,3 +49,36 @@ def test_save_and_load_model_with_registry(spark, tmp_path):
     assert back.transform(d).agg(F.max(F.abs(F.col("prediction") - F.col("y")))).first()[0] == 0.0
     reg = spark.read.parquet(str(tmp_path / "registry")).first()
     assert reg.model == "random_forest" and reg.path == path
+
+
+def test_csv_columns_go_by_name(spark, tmp_path):
+    p = tmp_path / "t.csv"
+    p.write_text("a,b,c\n1,2,3\n")
+    assert tuple(tables.read_table_csv(spark, str(p), ["b"]).first()) == (2.0,)
+    assert tuple(tables.read_table_csv(spark, str(p), ["c", "a"]).first()) == (3.0, 1.0)
+    with pytest.raises(ValueError):
+        tables.read_table_csv(spark, str(p), ["a", "z"])
+
+
+def test_own_models_round_trip(spark, tmp_path):
+    d = spark.range(60).select(F.col("id").cast("double").alias("a"), (F.col("id") % 7).cast("double").alias("b")) \
+        .withColumn("y", F.col("a") * 0.5 - F.col("b"))
+    fitted = [solvers.SVR(["a", "b"], "y", kernel="rbf", n_components=8, max_iter=2).fit(d),
+              solvers.MLPRegressor(["a", "b"], "y", hidden=(4,), epochs=2).fit(d),
+              clean.PopulationScaler(["a", "b"]).fit(d)]
+    for i, m in enumerate(fitted):
+        back = tables.load_model(tables.save_model(m, str(tmp_path), f"m{i}", 0.5))
+        assert type(back) is type(m)
+        assert back.transform(d).collect() == m.transform(d).collect()
+
+
+def test_compare_datasets_ranks_by_the_first_r2(spark):
+    a = spark.createDataFrame([("x", 0.5), ("y", 0.9), ("z", None)], "model string, r2 double")
+    out = ranking.compare_datasets(a, a, metrics=["r2"])
+    assert {r["model"]: r["rank"] for r in out.collect()} == {"y": 1, "x": 2, "z": 3}
+
+
+def test_reference_fill_leaves_a_partly_missing_label(spark):
+    ext = spark.createDataFrame([(1.0, 5.0), (None, None), (3.0, 9.0)], "x double, y double")
+    out = clean.impute_from_reference(ext, ext, ["x", "y"], label="y", fill_label=False).collect()
+    assert [r.y for r in out] == [5.0, None, 9.0] and out[1].x == 2.0

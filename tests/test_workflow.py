@@ -20,7 +20,7 @@ def test_model_comparison_end_to_end(spark, tmp_path):
     write_text(src / "t.txt", rows)
     ext = spark.createDataFrame([(30.0, 1.0, None), (5.0, None, None)], "a double, b double, y double")
     train = workflow.read_measurements(spark, str(src), fmt="text", columns=COLS)
-    assert train.count() == 400 and train.select("row_id").distinct().count() == 400
+    assert train.count() == 400 and train.select(*workflow.ROW_ID).distinct().count() == 400
     small = {suite.RF: models.random_forest(["a", "b"], "y", num_trees=5, max_depth=5, max_bins=64),
              suite.GB: models.gbt(["a", "b"], "y", max_iter=3, max_bins=64)}
     out = workflow.model_comparison(spark, train, str(tmp_path / "out"), external=ext, suite=small, k=3)
