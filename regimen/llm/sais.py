@@ -6,7 +6,8 @@ names recursively when names repeat, and induces the rest from the sorted LMS
 suffixes.  Inducing walks the buckets of first characters in order; what a
 bucket already holds is handled as one vector, again while it induces into
 itself.  Names of a recursive level are written as two digits, so alphabets,
-and with them the number of buckets, stay small on every level.
+and with them the number of buckets, stay small on every level; a short string
+of names ends the recursion by sorting ranks of doubling lengths.
 """
 
 from __future__ import annotations
@@ -25,15 +26,32 @@ def s_types(s: np.ndarray) -> np.ndarray:
     return rise[nearest] > 0
 
 
+#: From so many items on, placing works on vectors.
+FEW = 12
+#: Strings of names up to this length are sorted by doubling ranks: deeper recursion would be mostly overhead.
+SHORT = 100_000
+
+
 def place(sa: np.ndarray, edge: np.ndarray, chars: np.ndarray, items: np.ndarray, step: int) -> None:
     """Append items, in order, to the buckets of their characters, upwards or downwards from ``edge``."""
-    order = np.argsort(chars, kind="stable")
+    n = len(items)
+    if n < FEW:
+        for c, item in zip(chars.tolist(), items.tolist()):
+            at = edge[c]
+            sa[at] = item
+            edge[c] = at + step
+        return
+    order = chars.argsort(kind="stable")
     c = chars[order]
-    first = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
-    sizes = np.diff(np.append(first, len(c)))
-    inside = np.arange(len(c)) - np.repeat(first, sizes)
-    sa[edge[c] + step * inside] = items[order]
-    edge[c[first]] += step * sizes
+    first = np.concatenate(([0], (c[1:] != c[:-1]).nonzero()[0] + 1))
+    sizes = np.empty(len(first), np.int64)
+    sizes[:-1], sizes[-1] = first[1:] - first[:-1], n - first[-1]
+    bucket = c[first]
+    heads = edge[bucket]
+    at = np.arange(0, step * n, step)
+    at += (heads - step * first).repeat(sizes)
+    sa[at] = items[order]
+    edge[bucket] = heads + step * sizes
 
 
 def induce(s: np.ndarray, stype: np.ndarray, lms: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -120,8 +138,8 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
 def reduced_order(names: np.ndarray, n: int) -> np.ndarray:
     """Order of the suffixes of a string of names; its last name is its only smallest."""
     base = int(np.sqrt(names.max() + 1)) + 1
-    if 2 * len(names) > 0.95 * n or base > 30_000:
-        return by_doubling(names)  # two digits a name would not make the string shorter
+    if len(names) <= SHORT or 2 * len(names) > 0.95 * n or base > 30_000:
+        return by_doubling(names)  # short, or two digits a name would not make it shorter
     digits = np.empty(2 * len(names) + 1, np.int64)
     digits[0:-1:2], digits[1:-1:2] = names // base + 1, names % base + 1
     digits[-1] = 0
@@ -134,11 +152,11 @@ def by_doubling(names: np.ndarray) -> np.ndarray:
     """Suffix order by ranks of doubling lengths."""
     rank, step, n = names.astype(np.int64), 1, len(names)
     while True:
-        second = np.zeros(n, np.int64)
-        second[:n - step] = rank[step:] + 1 if step < n else 0
-        order = np.lexsort((second, rank))
-        a, b = rank[order], second[order]
-        new = np.concatenate([[0], np.cumsum((a[1:] != a[:-1]) | (b[1:] != b[:-1]))])
+        key = rank * (n + 1)
+        key[:max(0, n - step)] += rank[step:] + 1
+        order = np.argsort(key)
+        new = np.zeros(n, np.int64)
+        np.cumsum(key[order[1:]] != key[order[:-1]], out=new[1:])
         rank = np.empty(n, np.int64)
         rank[order] = new
         if new[-1] == n - 1:

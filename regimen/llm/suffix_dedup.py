@@ -137,13 +137,15 @@ def repeated_starts(rows: DataFrame, span: int = SPAN, gram: int = GRAM, shard_c
                     shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """(doc_id, th, lo, hi): intervals of window starts whose window repeats."""
     every = common.write_shared(contexts(rows, span, gram))
-    shared = every.groupBy("h").count().where("count > 1").select("h")
+    # written first: the join then has a shuffle of its own on both sides, and a hot anchor's rows can be split
+    shared = common.write_shared(every.groupBy("h").count().where("count > 1").select("h"))
     open_ = common.write_shared(every.join(shared, "h"))
     classes = common.write_shared(
         open_.groupBy("h", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "lo", "hi")).alias("of")))
     whole = (open_.join(classes.where("n > 1").select("h", "ctx"), ["h", "ctx"]).select("doc_id", "th", "lo", "hi"))
     several = (classes.groupBy("h").agg(F.count("*").alias("kinds"), F.min("n").alias("least"))
                .where("kinds > 1 and least = 1").select("h", (F.col("kinds") > shard_contexts).alias("crowded")))
+    several = common.write_shared(several)
     compare = classes.join(several, "h").select("h", "crowded", "n", "of.*")
     wanted = compare.groupBy("doc_id", "th").agg(F.collect_list(F.struct("h", "crowded", "n", "lo", "hi")).alias("parts"))
     texts = common.write_shared(cut_out(same_row(packed(rows), wanted, "inner"), span))
