@@ -1,0 +1,187 @@
+"""Operators 1, 6 and 7: exact code lengths, held-out accuracy, and the awkward cases."""
+
+import random
+import zlib
+from collections import Counter
+from math import log2
+
+import numpy as np
+from fixtures import documents, empty, prose, with_repeats
+
+from regimen.llm import bytelm, language_id, quality, toxicity
+
+SYLLABLES = {"aa": ["tha", "ing", "er", "on"], "bb": ["sch", "ung", "ei", "pf"], "cc": ["ção", "ñe", "lla", "os"]}
+
+
+def invented(lang: str, seed: int, n: int = 40) -> str:
+    r = random.Random(f"{lang}{seed}")
+    return " ".join("".join(r.choices(SYLLABLES[lang], k=r.randint(1, 3))) for _ in range(n))
+
+
+def brute_bits(train: str, text: str, order: int) -> float:
+    """Prediction by partial matching with exclusion, from counts of the padded training text."""
+    def lower(t):
+        return bytes(b + 32 if 65 <= b <= 90 else b for b in t.encode())
+
+    padded, counts = b" " * order + lower(train), {}
+    for i in range(order, len(padded)):
+        for d in range(order + 1):
+            counts.setdefault(padded[i - d:i], Counter())[padded[i]] += 1
+    bits, padded = 0.0, b" " * order + lower(text)
+    for i in range(order, len(padded)):
+        symbol, out = padded[i], set()
+        for d in range(order, -1, -1):
+            seen = counts.get(padded[i - d:i])
+            if seen is None:
+                continue
+            left = {s: n for s, n in seen.items() if s not in out}
+            total = sum(left.values()) + len(left)
+            if symbol in left:
+                bits += log2(total / left[symbol])
+                break
+            if left:
+                bits += log2(total / len(left))
+            out |= set(seen)
+        else:
+            bits += log2(max(1, 256 - len(out)))
+    return bits
+
+
+def tree(text: str, order: int) -> bytelm.Tree:
+    raw = np.frombuffer(text.encode(), np.uint8)
+    g = bytelm.grams(raw, np.array([0, len(raw)]), 0, 1, 0, len(raw), order, bytelm.lower_table())
+    gram, n = np.unique(g, return_counts=True)
+    return bytelm.Tree(gram, n, order)
+
+
+def test_code_lengths_equal_brute_force():
+    import pyarrow as pa
+
+    train, low = "The cat sat on the mat. THE END, the cat", bytelm.lower_table()
+    for order in (1, 2, 3):
+        table = bytelm.GramTable([tree(train, order), tree("zzz", order)], "code_lengths")
+        for text in ("the cat", "Then a dog é", "q", "", "the mat sat on"):
+            got = bytelm.text_sums(table, pa.array([text]), order, low)[0, 0]
+            assert abs(got - brute_bits(train, text, order)) < 1e-3, (order, text)
+
+
+def test_interpolated_probabilities_add_up():
+    model = tree("abracadabra abrakadabra", 2)
+    context = np.uint64(ord("a") << 16 | ord("b") << 8)
+    p = np.exp2(model.log_likelihoods(context | np.arange(256, dtype=np.uint64)))
+    assert abs(p.sum() - 1) < 1e-9
+
+
+def test_language_of_held_out_texts(spark):
+    rows = [(3 * i + k, invented(lang, i), lang) for i in range(60) for k, lang in enumerate(SYLLABLES)]
+    rows += [(900, None, "aa"), (901, "", "bb"), (902, "123 ?!", "cc"), (903, invented("aa", 5, 30_000), None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    train = docs.where((docs.doc_id % 5 != 0) & (docs.doc_id < 900))
+    model = language_id.fit(train)
+    got = {r.doc_id: r for r in model.predict(docs.withColumnRenamed("lang", "score_")).collect()}
+    assert all(got[i].lang_pred == lang for i, _, lang in rows if i < 900)
+    assert [got[i].lang_pred for i in (900, 901, 902, 903)] == ["und", "und", "und", "aa"]
+    assert all(0 <= r.score <= 1 for r in got.values())
+    nothing = language_id.fit(docs.where("false")).predict(docs).collect()
+    assert {r.lang_pred for r in nothing} == {"und"}
+    assert model.predict(docs.where("false")).count() == 0
+
+
+def test_grams_of_parts_equal_grams_of_the_whole(monkeypatch):
+    import pyarrow as pa
+
+    low, texts = bytelm.lower_table(), [invented("aa", 1, 300), None, "", "x", invented("cc", 2, 200)]
+    table = bytelm.GramTable([tree(invented("aa", 9), 3), tree(invented("cc", 9), 3)], "code_lengths")
+    whole = bytelm.text_sums(table, pa.array(texts), 3, low)
+    monkeypatch.setattr(bytelm.common, "TILE", 256)
+    assert np.allclose(whole, bytelm.text_sums(table, pa.array(texts), 3, low))
+
+
+def labelled(spark, tmp_path, column, good, bad, n=160):
+    """Documents and labels: label 1 is ``good``; the awkward rows are not labelled."""
+    rows = [(i, good(i) if i % 3 else bad(i)) for i in range(n)]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, lang string")
+    odd = with_repeats(spark).selectExpr("doc_id + 1000 as doc_id", "text", "lang")
+    docs.unionByName(odd).write.parquet(f"{tmp_path}/documents.parquet")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), int(i % 3 > 0)) for i, _ in rows] + [(5000, 1, 0), (3, None, None)],
+                                   "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    return {i: int(i % 3 > 0) for i, _ in rows}, docs.count() + odd.count()
+
+
+def held(doc_id, by, rest):
+    return doc_id is not None and zlib.crc32(str(doc_id).encode()) % by == rest
+
+
+def test_quality_of_held_out_texts(spark, tmp_path):
+    want, n = labelled(spark, tmp_path, "quality", lambda i: invented("aa", i, 60),
+                       lambda i: " ".join(f"{random.Random(i + k).random():.9f}" for k in range(40)))
+    got = quality.op6(spark, str(tmp_path)).collect()
+    assert len(got) == n and all(r.held_out == held(r.doc_id, 4, 2) for r in got)
+    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in got)
+    out = [r for r in got if r.held_out and r.doc_id in want]
+    assert len(out) > 15 and np.mean([r.predicted == want[r.doc_id] for r in out]) > 0.9
+
+
+def test_quality_without_labels(spark):
+    docs = documents(spark)
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    assert {r.p for r in quality.fit(docs, none).score(docs, score_col="p").collect()} == {0.5}
+    ones = spark.createDataFrame([(8, 1), (9, 1)], "doc_id long, quality int")
+    assert {r.p for r in quality.fit(docs, ones).score(docs, score_col="p").collect()} == {1.0}
+    assert quality.fit(docs, none).score(empty(spark), score_col="p").count() == 0
+
+
+def test_long_texts_are_measured_whole():
+    good, bad = (quality.dictionary([invented(x, i, 400).encode() for i in range(60)], 4096) for x in ("aa", "bb"))
+    measure = quality.Difference(good.as_bytes(), bad.as_bytes(), (good.dict_id() == 0, bad.dict_id() == 0))
+    begin = invented("aa", 99, 2000).encode()
+    assert measure(begin) > 0.005 > -0.005 > measure(begin + invented("bb", 99, 20_000).encode())
+    assert measure(b"") == 0
+
+
+def test_toxicity_of_held_out_texts(spark, tmp_path):
+    def rude(i):
+        r = random.Random(i)
+        w = invented("aa", i, 60).split()
+        for _ in range(4):
+            w.insert(r.randrange(len(w)), r.choice(["you", "YOU"]) + " " + r.choice(["zork", "zorkish", "blarg!", "Blargs"]))
+        return " ".join(w)
+
+    want, n = labelled(spark, tmp_path, "toxic", rude, lambda i: invented("aa", i, 60), 240)
+    got = toxicity.op7(spark, str(tmp_path)).collect()
+    assert len(got) == n and all(r.held_out == held(r.doc_id, 3, 1) for r in got)
+    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in got)
+    out = [r for r in got if r.held_out and r.doc_id in want]
+    assert len(out) > 30 and np.mean([r.predicted == want[r.doc_id] for r in out]) > 0.9
+
+
+def test_toxicity_without_labels(spark):
+    docs = documents(spark)
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    assert {r.score for r in toxicity.fit(docs, none).score(docs.select("doc_id", "text")).collect()} == {0.5}
+
+
+def test_features_count_what_they_say(monkeypatch):
+    import pyarrow as pa
+
+    lexicon = toxicity.word_hash(["idiot"])
+    measure = toxicity.Features(lexicon, np.array([3.0]))
+    names = toxicity.FEATURES
+    texts = [None, "", "You are an idiot!!", "IDIOT idiots", "1d10t and id!ot", "fine words", "x " * 400 + "you idiot"]
+    rates = measure.rates(pa.array(texts))
+    at = {f: i for i, f in enumerate(names)}
+    assert not rates[0].any() and not rates[1].any()
+    assert rates[2][at["word_hits"]] == 0.25 and rates[2][at["near_you"]] == 0.25 and rates[2][at["mark_run"]] == 2
+    assert rates[3][at["capital_words"]] == 0.5 and rates[3][at["word_hits"]] == 0.5 and rates[3][at["begin_hits"]] == 1.0
+    assert rates[4][at["unmasked"]] > 0 and rates[4][at["mixed"]] > 0
+    assert rates[5][at["word_hits"]] == 0 and rates[6][at["near_you"]] > 0
+    monkeypatch.setattr(toxicity.common, "TILE", 64)
+    again = toxicity.Features(lexicon, np.array([3.0])).rates(pa.array(texts))
+    near = at["near_you"]  # a pronoun and a hit may fall into two tiles of one long text
+    assert np.allclose(np.delete(again, near, 1), np.delete(rates, near, 1))
+
+
+def test_lexicon_of_prose_is_empty(spark):
+    rows = spark.createDataFrame([(i % 2, prose(i, 30)) for i in range(20)], "y int, text string")
+    assert len(toxicity.learn_lexicon(rows, 100)[0]) < 10
