@@ -43,7 +43,3 @@ def other_folds_means(df: DataFrame, label: str, fold_col: str,
     return j.select(*group_cols, fold_col,
                     F.try_divide(F.col("_ts") - F.col("_s"), (F.col("_tc") - F.col("_c")).cast("double"))
                     .alias("mean"))
-
-
-def constant(value: float) -> Column:
-    return F.lit(float(value))

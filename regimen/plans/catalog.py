@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from regimen.operators import clean, metrics, profile, ranking, sampling, synth
 from regimen.operators.order import global_rank, hash_order
-from regimen.plans import baseline
+from regimen.plans import baseline, experiments
 from regimen.session import materialize
 from regimen.sources import tables, text
 
@@ -534,48 +534,51 @@ WITH pp AS ({PLANTED_SQL}),
 st AS (SELECT dataset, model, {r2_sql('yv', 'ev')} AS r2,
               least(min(label), min(CASE WHEN NOT isnan(prediction) THEN prediction END)) AS axis_min,
               greatest(max(label), max(CASE WHEN NOT isnan(prediction) THEN prediction END)) AS axis_max
-       FROM (SELECT *, {nulled_sql('label', 'prediction')} FROM pp WHERE split = 'test' AND dataset = 'original') x
+       FROM (SELECT *, {nulled_sql('label', 'prediction')} FROM pp WHERE split = 'test') x
        GROUP BY dataset, model)
 SELECT pp.l_orderkey, pp.l_linenumber, pp.dataset, pp.model, {R6('pp.label')} AS label,
        {R6("CASE WHEN isnan(pp.prediction) THEN NULL ELSE pp.prediction END")} AS prediction,
        {R6('st.r2')} AS r2, {R6('st.axis_min')} AS axis_min, {R6('st.axis_max')} AS axis_max
 FROM pp JOIN st ON pp.dataset = st.dataset AND pp.model = st.model
-WHERE pp.split = 'test' AND pp.dataset = 'original'
+WHERE pp.split = 'test'
 """)
 def q_actual_vs_predicted(spark, sf):
-    pp = planted_predictions(spark, sf).where((F.col("split") == "test") & (F.col("dataset") == "original"))
+    pp = planted_predictions(spark, sf).where(F.col("split") == "test")
     a = metrics.actual_vs_predicted(pp, ["dataset", "model"])
     return a.select("l_orderkey", "l_linenumber", "dataset", "model", r6("label").alias("label"),
                     r6(F.nanvl("prediction", F.lit(None).cast("double"))).alias("prediction"),
                     *[r6(c).alias(c) for c in ("r2", "axis_min", "axis_max")])
 
 
-# CV scores per model from the planted table: folds are the order line number.
+# CV scores per dataset and model from the planted table: folds are the order line number.
 def planted_fold_scores(spark, sf) -> DataFrame:
-    pp = planted_predictions(spark, sf).where(F.col("dataset") == "original")
-    pp = pp.where(F.col("model").isin("Random Forest", "SVR"))
-    return metrics.regression_metrics(pp, ["model", "l_linenumber"]).select(
-        "model", F.col("l_linenumber").alias("fold"), "r2")
+    return metrics.regression_metrics(planted_predictions(spark, sf), ["dataset", "model", "l_linenumber"]).select(
+        "dataset", "model", F.col("l_linenumber").alias("fold"), "r2")
 
 
-FOLD_SCORES_SQL = (f"SELECT model, l_linenumber AS fold, {r2_sql('yv', 'ev')} AS r2 FROM "
-                   f"(SELECT model, l_linenumber, {nulled_sql('label', 'prediction')} FROM ({PLANTED_SQL}) pp "
-                   f"WHERE dataset = 'original' AND model IN ('Random Forest', 'SVR')) x GROUP BY model, l_linenumber")
+FOLD_SCORES_SQL = (f"SELECT dataset, model, l_linenumber AS fold, {r2_sql('yv', 'ev')} AS r2 FROM "
+                   f"(SELECT dataset, model, l_linenumber, {nulled_sql('label', 'prediction')} FROM ({PLANTED_SQL}) pp) x "
+                   "GROUP BY dataset, model, l_linenumber")
 
-CV_SQL = (f"SELECT model, {R6('avg(r2)')} AS cv_mean, {R6('stddev_pop(r2)')} AS cv_std, count(r2) AS cv_folds "
-          f"FROM ({FOLD_SCORES_SQL}) fs GROUP BY model")
+CV_SQL = (f"SELECT dataset, model, {R6('avg(r2)')} AS cv_mean, {R6('stddev_pop(r2)')} AS cv_std, count(r2) AS cv_folds "
+          f"FROM ({FOLD_SCORES_SQL}) fs GROUP BY dataset, model")
+
+
+# In the original flow the network has no cross-validation.
+MODEL_CV_SQL = (f"SELECT model, cv_mean, cv_std, cv_folds FROM ({CV_SQL}) c WHERE dataset = 'original' "
+                "AND model <> 'Neural Network'")
 
 
 @register("cv_summary", CV_SQL)
 def q_cv_summary(spark, sf):
-    return round_metrics(metrics.cv_summary(planted_fold_scores(spark, sf)), ["cv_mean", "cv_std"])
+    return round_metrics(metrics.cv_summary(planted_fold_scores(spark, sf), ["dataset", "model"]), ["cv_mean", "cv_std"])
 
 
 RESULT_COLS = [f"{s}_{m}" for s in ("test", "val") for m in ("r2", "mae", "rmse")]
 
 
 @register("results_table", f"""
-WITH ev AS ({evaluate_sql()}), cv AS ({CV_SQL})
+WITH ev AS ({evaluate_sql()}), cv AS ({MODEL_CV_SQL})
 SELECT ev.*, cv.cv_mean, cv.cv_std, cv.cv_folds,
        row_number() OVER (PARTITION BY dataset ORDER BY CASE WHEN isnan(test_r2) THEN NULL ELSE test_r2 END
                           DESC NULLS LAST, ev.model)::INTEGER AS rank
@@ -583,8 +586,8 @@ FROM ev LEFT JOIN cv ON ev.model = cv.model
 """)
 def q_results_table(spark, sf):
     ev = q_evaluate_df(spark, sf)
-    cv = round_metrics(metrics.cv_summary(planted_fold_scores(spark, sf)), ["cv_mean", "cv_std"])
-    return ranking.results_table(ev, cv)
+    fs = planted_fold_scores(spark, sf).where((F.col("dataset") == "original") & (F.col("model") != "Neural Network"))
+    return ranking.results_table(ev, round_metrics(metrics.cv_summary(fs), ["cv_mean", "cv_std"]))
 
 
 @register("rank_models", f"""
@@ -694,10 +697,8 @@ SELECT f.fold, {metric_cols_sql()}
 FROM (SELECT f.fold, {nulled_sql('f.value', 'mu.mean')} FROM f JOIN mu ON f.fold = mu.fold) f GROUP BY f.fold
 """)
 def q_cv_mean(spark, sf):
-    f = sampling.kfold_contiguous(events_with_nulls(spark, sf).select("event_id", "value"), ["event_id"], 5)
-    mu = baseline.other_folds_means(f, "value", "fold")
-    preds = baseline.predict_means(f, mu, ["fold"], max_groups=5)
-    return round_metrics(metrics.regression_metrics(preds.withColumnRenamed("value", "label"), ["fold"]))
+    return round_metrics(experiments.cv_mean_predictor(events_with_nulls(spark, sf).select("event_id", "value"),
+                                                       ["event_id"], "value", 5))
 
 
 @register("learning_curve_mean", f"""
