@@ -95,3 +95,14 @@ def chart_tables(results: DataFrame, id_cols: Sequence[str] = ("dataset", "model
         v = F.coalesce(F.col(c), F.lit(0.0)) if c in zero_missing else F.col(c)
         entries.append(F.struct(F.lit(c).alias("metric"), v.cast("double").alias("value")))
     return results.select(*id_cols, F.explode(F.array(*entries)).alias("e")).select(*id_cols, "e.*")
+
+
+def chart_bands(df: DataFrame, id_cols: Sequence[str], mean: str, std: str) -> DataFrame:
+    """``(id..., center, low, high)`` of error bars or shaded bands (mean -/+ std)."""
+    return df.select(*id_cols, F.col(mean).alias("center"), (F.col(mean) - F.col(std)).alias("low"),
+                     (F.col(mean) + F.col(std)).alias("high"))
+
+
+def chart_importance(ranked: DataFrame) -> DataFrame:
+    """``(model, feature, importance, position)`` from ranked importances (W3), the largest at position 0."""
+    return ranked.select("model", "feature", "importance", (F.col("rank") - 1).alias("position"))

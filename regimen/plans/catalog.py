@@ -1261,11 +1261,13 @@ def q_repeated_splits(spark, sf):
 
 
 @register("original_vs_synthetic", """
-SELECT m.model, TRUE AS explains_original, TRUE AS scored_synthetic, TRUE AS ranked
+SELECT m.model, TRUE AS explains_original, TRUE AS scored_synthetic, TRUE AS ranked, 3::BIGINT AS cv_folds,
+       TRUE AS external_scored
 FROM (VALUES ('Random Forest'), ('Gradient Boosting')) m(model) WHERE (SELECT count(*) FROM part) > 0
 """)
 def q_original_vs_synthetic(spark, sf):
-    """E9 + D6 + J1: the suite on the table and on a synthetic draw of it."""
+    """E9 + D6 + J1: the suite on the table and on a synthetic draw of it, both
+    cross-validated and validated on ``lineitem`` as the external table."""
     from regimen.operators import models
     from regimen.plans import suite
     d = planted_part(spark, sf)
@@ -1274,10 +1276,17 @@ def q_original_vs_synthetic(spark, sf):
         return {suite.RF: models.random_forest(PART_FEATURES, "y", num_trees=20, max_depth=10),
                 suite.GB: models.gbt(PART_FEATURES, "y", max_iter=20)}
 
-    out = suite.original_vs_synthetic(d, None, PART_FEATURES, "y", ["p_partkey"], build)
-    return out.select("model", (F.col("original_r2") > 0.8).alias("explains_original"),
-                      F.col("synthetic_r2").isNotNull().alias("scored_synthetic"),
-                      F.col("rank").between(1, 2).alias("ranked"))
+    li = T(spark, sf, "lineitem")
+    size, price = F.col("l_quantity"), F.col("l_extendedprice") / 50.0
+    ext = li.select(size.alias("p_size"), price.alias("p_retailprice"),
+                    (F.when(size > 25, 10.0).otherwise(2.0) + (price - 900.0) / 50.0).alias("y"))
+    out, tables_ = suite.original_vs_synthetic(d, ext, PART_FEATURES, "y", ["p_partkey"], build, k=3)
+    sides = tables_["original"].unionByName(tables_["synthetic"]).groupBy("model").agg(
+        F.min("cv_folds").alias("cv_folds"), (F.count("val_r2") == 2).alias("external_scored"))
+    return out.join(sides, "model").select(
+        "model", (F.col("original_r2") > 0.8).alias("explains_original"),
+        F.col("synthetic_r2").isNotNull().alias("scored_synthetic"), F.col("rank").between(1, 2).alias("ranked"),
+        "cv_folds", "external_scored")
 
 
 @register("fit_gbt_early_stopping", _planted_sql("Gradient Boosting", STEP_SQL, STEP_SQL))
@@ -1327,6 +1336,49 @@ def q_compare_models_trees(spark, sf):
     return ranked.select("dataset", "model", *[r6(c).alias(c) for c in RESULT_COLS], "rank")
 
 
+@register("chart_cv", f"""
+SELECT dataset, model, cv_mean AS center, {R6('cv_mean - cv_std')} AS low, {R6('cv_mean + cv_std')} AS high
+FROM ({CV_SQL}) c
+""")
+def q_chart_cv(spark, sf):
+    """The CV chart's bars with their error bars."""
+    b = ranking.chart_bands(q_cv_summary(spark, sf), ["dataset", "model"], "cv_mean", "cv_std")
+    return b.select("dataset", "model", "center", r6("low").alias("low"), r6("high").alias("high"))
+
+
+@register("chart_learning_curve", f"""
+SELECT train_size, part, center, {R6('center - width')} AS low, {R6('center + width')} AS high FROM (
+  SELECT train_size, 'train' AS part, train_mean AS center, train_std AS width FROM ({ORACLES['learning_curve_mean']}) a
+  UNION ALL SELECT train_size, 'test', test_mean, test_std FROM ({ORACLES['learning_curve_mean']}) b) x
+""")
+def q_chart_learning_curve(spark, sf):
+    """The learning curve's two lines with their bands."""
+    c = materialize(QUERIES["learning_curve_mean"](spark, sf))
+    both = [ranking.chart_bands(c, ["train_size"], f"{p}_mean", f"{p}_std").withColumn("part", F.lit(p))
+            for p in ("train", "test")]
+    return both[0].unionByName(both[1]).select("train_size", "part", "center", r6("low").alias("low"),
+                                               r6("high").alias("high"))
+
+
+@register("chart_importance", """
+SELECT 'Random Forest' AS model, f.feature, f.importance, f.position FROM (VALUES ('l_quantity', 1.0::DOUBLE, 0),
+       ('l_discount', 0.0::DOUBLE, 1), ('l_tax', 0.0::DOUBLE, 2)) f(feature, importance, position)
+WHERE (SELECT count(*) FROM lineitem) > 0
+""")
+def q_chart_importance(spark, sf):
+    """Importances in drawing order."""
+    return ranking.chart_importance(QUERIES["feature_importance"](spark, sf))
+
+
+@register("chart_history", """
+SELECT 'Gradient Boosting' AS model, e::INTEGER AS epoch, 'loss' AS metric, 0.0::DOUBLE AS value FROM range(1, 6) t(e)
+""")
+def q_chart_history(spark, sf):
+    """A training history as long rows; a metric that a model lacks draws nothing."""
+    h = QUERIES["gbt_history"](spark, sf).withColumn("val_loss", F.lit(None).cast("double"))
+    return ranking.chart_tables(h, ["model", "epoch"], ["loss", "val_loss"], zero_missing=()).where("value is not null")
+
+
 @register("gbt_history", """
 SELECT 'Gradient Boosting' AS model, e::INTEGER AS epoch, 0.0::DOUBLE AS loss FROM range(1, 6) t(e)
 """)

@@ -220,22 +220,28 @@ def repeated_splits(df: DataFrame, id_cols: list[str], estimator, label: str, ex
 
 def original_vs_synthetic(original: DataFrame, external: DataFrame | None, features: Sequence[str], label: str,
                           key_cols: Sequence[str], suite_builder: Callable[[], dict], n_synthetic: int | None = None,
-                          test_size: float = 0.2, seed: int = 42) -> DataFrame:
+                          test_size: float = 0.2, seed: int = 42, k: int = 5) -> tuple[DataFrame, dict[str, DataFrame]]:
     """Impute (N1, N2 for the external table), hold-out, compare the suite
     on the original table, synthesize (D6) and compare again -- both validated
-    on the same external table -- then join side by side (J1)."""
+    on the same external table and cross-validated over "train rows then test
+    rows" (D3b; the network is left out) -- then join side by side (J1).
+
+    Returns ``(comparison, {"original": results_table, "synthetic": results_table})``."""
     cols = [*features, label]
-    orig = impute_mean(original, cols)
+    orig = materialize(impute_mean(original, cols))
     ext = impute_from_reference(external, orig, cols, label=label, fill_label=False) if external is not None else None
-    syn = synth.synthesize(orig, features, label, n=n_synthetic, key_cols=None if n_synthetic else key_cols,
-                           seed=seed)
+    syn = materialize(synth.synthesize(orig, features, label, n=n_synthetic, key_cols=None if n_synthetic else key_cols,
+                                       seed=seed))
     syn_keys = ["syn_id"] if n_synthetic else list(key_cols)
-    results = []
+    results = {}
     for name, table, keys in (("original", orig, list(key_cols)), ("synthetic", syn, syn_keys)):
         split = materialize(sampling.holdout_split(table, keys, test_size, seed))
         train = split.where(F.col("split") == "train")
         test = split.where(F.col("split") == "test")
         _, wide, _ = compare_models(train, test, suite_builder(), label, keys, name, validation=ext)
-        results.append(wide.select("model", F.col("test_r2").alias("r2"), F.col("test_mae").alias("mae"),
-                                   F.col("test_rmse").alias("rmse")))
-    return ranking.compare_datasets(results[0], results[1])
+        folded = sampling.kfold_after_split(table, keys, k, test_size, seed)
+        scores = cross_validate_suite(folded, {n: m for n, m in suite_builder().items() if n != NN}, label, k)
+        results[name] = materialize(ranking.results_table(wide, metrics.cv_summary(scores)))
+    sides = [results[n].select("model", F.col("test_r2").alias("r2"), F.col("test_mae").alias("mae"),
+                               F.col("test_rmse").alias("rmse")) for n in ("original", "synthetic")]
+    return ranking.compare_datasets(*sides), results

@@ -28,10 +28,13 @@ def test_grid_search_cv_first_best_wins(spark):
     assert {r.grid_index: r.cv_mean for r in table.collect()} == {0: 1.0, 1: 1.0}
 
 
-def test_repeated_splits_accepts_exact_runs(spark):
+def test_repeated_splits_accepts_exact_runs(spark, tmp_path):
     d = planted(spark)
     runs = suite.repeated_splits(d, ["rid"], models.random_forest(["q", "d"], "y", num_trees=3, max_depth=4,
-                                                                  max_bins=64), "y", d, n_rounds=1, n_splits=2)
+                                                                  max_bins=64), "y", d, n_rounds=1, n_splits=2, log_path=str(tmp_path / "log"))
+    assert sorted(r.value for r in spark.read.text(str(tmp_path / "log")).collect()) == [
+        f"0    {i}  1.00000    1.00000" for i in (0, 1)]
+    assert not spark.sparkContext._jsc.getPersistentRDDs()   # nothing stays cached
     rows = runs.collect()
     assert len(rows) == 2 and all(r.accepted and r.score == 1.0 and r.score2 == 1.0 for r in rows)
 
@@ -46,3 +49,34 @@ def test_mean_predictor_cv_matches_direct_means(spark):
         mu = sum(train) / len(train)
         mae = sum(abs(y - mu) for y in test) / len(test)
         assert abs(got[f].mae - mae) < 1e-9
+
+
+def test_searches_hold_few_models_and_return_the_winner(spark):
+    alive, most = 0, 0
+
+    class Counting:
+        """An estimator whose model counts while it lives."""
+
+        def __init__(self, value):
+            self.value = value
+
+        def fit(self, df):
+            nonlocal alive, most
+            alive += 1
+            most = max(most, alive)
+            return self
+
+        def transform(self, df):
+            return df.withColumn("prediction", F.col("y") + F.lit(float(self.value)))
+
+        def __del__(self):
+            nonlocal alive
+            alive -= 1
+
+    d = planted(spark, 60).cache()
+    grid = {"value": list(range(50, 0, -1)) + [0]}
+    table, best = suite.grid_search_holdout(d, d, Counting, grid, "y", parallelism=4)
+    assert table.count() == 51 and most <= 8
+    params, _ = suite.refit_winner(best, Counting, grid, d)
+    assert params == {"value": 0}
+    d.unpersist()
