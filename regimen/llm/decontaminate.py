@@ -80,21 +80,27 @@ class Words:
                 bounds = np.array([0, len(hashes)])
             yield i, j, hashes, bounds
 
-    def tile(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(data):
-            return np.zeros(0, np.uint64), np.zeros(len(offs), np.int64)
+    def locate(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(start, end) of every word; rows that touch are kept apart."""
         inside = self.word[data]
         edge = np.empty(len(data) + 1, bool)
         edge[0], edge[-1] = inside[0], inside[-1]
         np.not_equal(inside[1:], inside[:-1], out=edge[1:-1])
-        inner = offs[(offs > 0) & (offs < len(data))]
-        joined = np.unique(inner[inside[inner] & inside[inner - 1]])  # words of two rows that touch
         cuts = np.flatnonzero(edge)
+        inner = offs[(offs > 0) & (offs < len(data))]
+        joined = np.unique(inner[inside[inner] & inside[inner - 1]])
         if len(joined):
             cuts = np.sort(np.concatenate([cuts, joined, joined]), kind="stable")
-        start, end = cuts[::2], cuts[1::2]
+        return cuts[::2], cuts[1::2]
+
+    def tile(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(word hashes, row boundaries in them); ``last`` keeps where the words are."""
+        if not len(data):
+            self.last = np.zeros(0, np.int64), np.zeros(0, np.int64)
+            return np.zeros(0, np.uint64), np.zeros(len(offs), np.int64)
+        self.last = self.locate(data, offs)
         self.rolling.load(data)
-        return self.rolling.spans(start, end), np.searchsorted(start, offs)
+        return self.rolling.spans(*self.last), np.searchsorted(self.last[0], offs)
 
 
 def grams(words: np.ndarray, n: int) -> np.ndarray:
@@ -195,12 +201,12 @@ def candidates(docs: DataFrame, bits: np.ndarray, short: list[int], span: int =
                 yield pa.record_batch(
                     [batch.column(0).take(pa.array(rows)), pa.array(np.diff(bounds)), pa.nulls(j - i, pa.int64()),
                      pa.nulls(j - i, pa.int64()), pa.nulls(j - i, pa.int32()), pa.nulls(j - i, pa.list_(pa.int32()))],
-                    schema=ARROW(batch))
+                    schema=found_schema(batch))
                 if len(first):
                     yield pa.record_batch(
                         [batch.column(0).take(pa.array(i + row[first])), pa.nulls(len(first), pa.int64()),
                          pa.array(fp[first].view(np.int64)), pa.array(win[first].view(np.int64)),
-                         pa.array(n[first].astype(np.int32)), lists], schema=ARROW(batch))
+                         pa.array(n[first].astype(np.int32)), lists], schema=found_schema(batch))
 
     return source.mapInArrow(run, schema)
 

@@ -27,7 +27,6 @@ unless all of it has none.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -41,23 +40,11 @@ from pyspark.sql import functions as F
 from regimen.llm import common
 from regimen.llm.components import connect
 
-SPACE = re.compile(rb"[\x20\x09-\x0d]")
+#: Bytes of a text that are split into words at a time.
 PIECE = 1 << 20
 SEED = 42
 
 
-def pieces(raw: bytes) -> Iterator[bytes]:
-    """``raw`` in parts of about PIECE bytes, cut at white space."""
-    pos = 0
-    while len(raw) - pos > PIECE:
-        hit = SPACE.search(raw, pos + PIECE)
-        if hit is None:
-            break
-        yield raw[pos:hit.end()]
-        pos = hit.end()
-    yield raw[pos:]
-
-
 def shingle_bits(hashes: list[int], counts: np.ndarray) -> None:
     bits = np.unpackbits(np.array(hashes, ">u8").view(np.uint8).reshape(-1, 8), axis=1)
     counts += bits.sum(axis=0, dtype=np.int64)
@@ -67,7 +54,7 @@ def fingerprint(raw: bytes, width: int = 3) -> int:
     """The 64-bit SimHash of one text (UTF-8), most significant bit first."""
     counts, total, carry = np.zeros(64, np.int64), 0, []
     digest = xxhash.xxh64_intdigest
-    for part in pieces(raw):
+    for part in common.pieces(raw, PIECE):
         words = carry + part.lower().split()
         if len(words) >= width:
             joined = b" ".join(words)

@@ -66,27 +66,7 @@ def tokens(scan: Words, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray,
         words for _ in BEGINNINGS], bounds
 
 
-class Scan(Words):
-    """``Words`` that remembers where the words of its last tile are."""
-
-    def locate(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        inside = self.word[data]
-        edge = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8)))
-        inner = offs[(offs > 0) & (offs < len(data))]
-        joined = np.unique(inner[inside[inner] & inside[inner - 1]]) if len(inner) else inner
-        edge = np.sort(np.concatenate([edge, joined, joined]), kind="stable")
-        return edge[::2], edge[1::2]
-
-    def tile(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(data):
-            self.last = np.zeros(0, np.int64), np.zeros(0, np.int64)
-            return np.zeros(0, np.uint64), np.zeros(len(offs), np.int64)
-        self.last = self.locate(data, offs)
-        self.rolling.load(data)
-        return self.rolling.spans(*self.last), np.searchsorted(self.last[0], offs)
-
-
-class Unmasked(Scan):
+class Unmasked(Words):
     """Words after common substitutions are undone; the masking signs belong to words."""
 
     def __init__(self):
@@ -98,7 +78,7 @@ class Unmasked(Scan):
 
 
 def word_hash(words: list[str]) -> np.ndarray:
-    scan, text = Scan(), " ".join(words).encode()
+    scan, text = Words(), " ".join(words).encode()
     return np.unique(scan.tile(np.frombuffer(text, np.uint8), np.array([0, len(text)]))[0])
 
 
@@ -112,7 +92,7 @@ def seen_in(sorted_set: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.
 class Features:
     def __init__(self, lexicon: np.ndarray, odds: np.ndarray):
         self.lexicon, self.odds = lexicon, odds
-        self.scan, self.plain = Scan(), Unmasked()
+        self.scan, self.plain = Words(), Unmasked()
         self.you = word_hash(SECOND_PERSON.split())
         b = np.arange(256)
         self.upper = ((b >= 65) & (b <= 90)).astype(np.int64)
@@ -233,7 +213,7 @@ class ToxicityModel:
 def learn_lexicon(rows: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of words and beginnings that mark label 1 in ``rows`` (y, text), with their log-odds."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scan = Scan()
+        scan = Words()
         for batch in batches:
             data, offs = common.text_buffers(batch.column(1))
             y = batch.column(0).to_numpy()
