@@ -927,6 +927,12 @@ def _planted_sql(model: str, label_sql: str, pred_sql: str) -> str:
             f"FROM lineitem")
 
 
+def dealt(d: DataFrame) -> DataFrame:
+    """Rows dealt evenly over the cluster's cores: one shuffle before a fit that
+    passes over them many times, so that a table in few splits is not fitted by few tasks."""
+    return d.repartition(d.sparkSession.sparkContext.defaultParallelism)
+
+
 def _model_preds(model, d, label: str, name: str) -> DataFrame:
     from regimen.operators import models
     p = models.predict(model, d, label, LI_KEYS, name, "original", "train")
@@ -937,7 +943,7 @@ def _model_preds(model, d, label: str, name: str) -> DataFrame:
 def q_fit_rf(spark, sf):
     from regimen.operators import models
     d = planted_lineitem(spark, sf)
-    m = models.random_forest(MODEL_FEATURES, "step", num_trees=100, max_bins=64).fit(d)
+    m = models.random_forest(MODEL_FEATURES, "step", num_trees=100, max_bins=64).fit(dealt(d))
     return _model_preds(m, d, "step", "Random Forest")
 
 
@@ -945,7 +951,7 @@ def q_fit_rf(spark, sf):
 def q_fit_gbt(spark, sf):
     from regimen.operators import models
     d = planted_lineitem(spark, sf)
-    m = models.gbt(MODEL_FEATURES, "step", max_bins=64).fit(d)
+    m = models.gbt(MODEL_FEATURES, "step", max_bins=64).fit(dealt(d))
     return _model_preds(m, d, "step", "Gradient Boosting")
 
 
@@ -955,7 +961,7 @@ SELECT {LI_KEYS_SQL}, 'XGBoost' AS model, {STEP_SQL} AS label, {STEP_SQL} AS rou
 def q_fit_gbt_stochastic(spark, sf):
     from regimen.operators import models
     d = planted_lineitem(spark, sf)
-    m = models.gbt_stochastic(MODEL_FEATURES, "step", max_bins=64).fit(d)
+    m = models.gbt_stochastic(MODEL_FEATURES, "step", max_bins=64).fit(dealt(d))
     p = _model_preds(m, d, "step", "XGBoost")
     return p.select(*LI_KEYS, "model", "label", F.round("prediction").alias("rounded"))
 
@@ -966,7 +972,7 @@ SELECT {LI_KEYS_SQL}, 'SVR' AS model, {LINE_SQL} AS label, TRUE AS within_tube F
 def q_fit_svr_linear(spark, sf):
     from regimen.operators import solvers
     d = planted_lineitem(spark, sf)
-    m = solvers.SVR(MODEL_FEATURES, "line", kernel="linear", C=1.0, epsilon=0.1).fit(d)
+    m = solvers.SVR(MODEL_FEATURES, "line", kernel="linear", C=1.0, epsilon=0.1).fit(dealt(d))
     p = _model_preds(m, d, "line", "SVR")
     return p.select(*LI_KEYS, "model", "label",
                     (F.abs(F.col("prediction") - F.col("label")) <= F.lit(0.1 + 1e-3)).alias("within_tube"))
@@ -978,7 +984,7 @@ SELECT {LI_KEYS_SQL}, 'SVR' AS model, {CUBIC_SQL} AS label, TRUE AS within_tube
 def q_fit_svr_poly(spark, sf):
     from regimen.operators import solvers
     d = planted_lineitem(spark, sf)
-    m = solvers.SVR(MODEL_FEATURES, "cubic", kernel="poly", degree=3, C=1.0, epsilon=0.1).fit(d)
+    m = solvers.SVR(MODEL_FEATURES, "cubic", kernel="poly", degree=3, C=1.0, epsilon=0.1).fit(dealt(d))
     p = _model_preds(m, d, "cubic", "SVR")
     return p.select(*LI_KEYS, "model", "label",
                     (F.abs(F.col("prediction") - F.col("label")) <= F.lit(0.1 + 1e-2)).alias("within_tube"))
@@ -997,7 +1003,7 @@ def q_fit_svr_rbf(spark, sf):
     """M5: random-Fourier-feature SVR on the step label explains most of it (R^2 > 0.8)."""
     from regimen.operators import solvers
     d = planted_lineitem(spark, sf)
-    m = solvers.SVR(MODEL_FEATURES, "step", kernel="rbf", n_components=64, max_iter=10).fit(d)
+    m = solvers.SVR(MODEL_FEATURES, "step", kernel="rbf", n_components=64, max_iter=10).fit(dealt(d))
     return _explains(_model_preds(m, d, "step", "SVR"), 0.8)
 
 
@@ -1042,7 +1048,7 @@ def q_feature_importance(spark, sf):
     """M11 + W3: only the planted feature carries importance."""
     from regimen.operators import models
     d = planted_lineitem(spark, sf)
-    m = models.random_forest(MODEL_FEATURES, "step", max_bins=64).fit(d)
+    m = models.random_forest(MODEL_FEATURES, "step", max_bins=64).fit(dealt(d))
     imp = models.feature_importance(m, MODEL_FEATURES, "Random Forest")
     return ranking.rank_importance(imp).select("model", "feature", r6("importance").alias("importance"), "rank")
 
@@ -1059,7 +1065,7 @@ def q_save_load(spark, sf):
     """Persist under a score-derived name, load back, predict."""
     from regimen.operators import models
     d = planted_lineitem(spark, sf)
-    m = models.random_forest(MODEL_FEATURES, "step", max_bins=64).fit(d)
+    m = models.random_forest(MODEL_FEATURES, "step", max_bins=64).fit(dealt(d))
     base = shared_path(spark, "models")
     path = tables.save_model(m, base, "random_forest", 1.0, registry=f"{base}/registry")
     return _model_preds(tables.load_model(path), d, "step", "Random Forest")
@@ -1295,7 +1301,7 @@ def q_fit_gbt_early_stopping(spark, sf):
     number 1) stop improving; the step is still recovered exactly."""
     from regimen.operators import models
     d = planted_lineitem(spark, sf).withColumn("is_val", F.col("l_linenumber") == 1)
-    m = models.gbt(MODEL_FEATURES, "step", max_iter=100, max_bins=64, validation_col="is_val").fit(d)
+    m = models.gbt(MODEL_FEATURES, "step", max_iter=100, max_bins=64, validation_col="is_val").fit(dealt(d))
     return _model_preds(m, d, "step", "Gradient Boosting")
 
 
@@ -1387,7 +1393,7 @@ def q_gbt_history(spark, sf):
     table; the first tree already recovers the planted step."""
     from regimen.operators import models
     d = planted_lineitem(spark, sf)
-    m = models.gbt(MODEL_FEATURES, "step", max_iter=5, max_bins=64).fit(d)
+    m = models.gbt(MODEL_FEATURES, "step", max_iter=5, max_bins=64).fit(dealt(d))
     h = models.training_history_gbt(m, d, "Gradient Boosting")
     return h.select("model", "epoch", r6("loss").alias("loss"))
 
