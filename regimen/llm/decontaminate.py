@@ -211,7 +211,7 @@ def candidates(docs: DataFrame, bits: np.ndarray, short: list[int], span: int =
     return source.mapInArrow(run, schema)
 
 
-def ARROW(batch: pa.RecordBatch) -> pa.Schema:
+def found_schema(batch: pa.RecordBatch) -> pa.Schema:
     return pa.schema([pa.field("doc_id", batch.schema.field(0).type), ("n_words", pa.int64()), ("fp", pa.int64()),
                       ("win", pa.int64()), ("n", pa.int32()), ("starts", pa.list_(pa.int32()))])
 
