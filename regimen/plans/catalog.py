@@ -1003,7 +1003,7 @@ def q_fit_svr_rbf(spark, sf):
     """M5: random-Fourier-feature SVR on the step label explains most of it (R^2 > 0.8)."""
     from regimen.operators import solvers
     d = planted_lineitem(spark, sf)
-    m = solvers.SVR(MODEL_FEATURES, "step", kernel="rbf", n_components=64, max_iter=10).fit(dealt(d))
+    m = solvers.SVR(MODEL_FEATURES, "step", kernel="rbf", n_components=64, max_iter=10, persist_features=True).fit(dealt(d))
     return _explains(_model_preds(m, d, "step", "SVR"), 0.8)
 
 
