@@ -1009,7 +1009,7 @@ def q_fit_svr_rbf(spark, sf):
 
 def _network(d):
     from regimen.operators import solvers
-    return solvers.MLPRegressor(MODEL_FEATURES, "line", epochs=30, patience=10, validation_col="is_val").fit(d)
+    return solvers.MLPRegressor(MODEL_FEATURES, "line", epochs=30, patience=10, validation_col="is_val").fit(dealt(d))
 
 
 @register("fit_mlp", f"""
