@@ -6,13 +6,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from regimen.llm import common
 
 #: What stands before the first byte of a text.
 PAD = 0x20
+#: Orders up to this one are held as trees.
+HELD = 1
+#: Grams, and values of them, that tasks hold at most; the others are joined.
+CACHED, CACHED_VALUES = 1 << 18, 1 << 24
+#: Parts of a value that sums over joined grams count.
+UNIT = 1 << 24
+#: No gram.
+NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def lower_table() -> np.ndarray:
@@ -42,8 +52,8 @@ def cut_anywhere(data: np.ndarray, stop: int, end: int) -> int:
     return stop
 
 
-def count_grams(rows: DataFrame, order: int, most: int, classes: list) -> DataFrame:
-    """(cls, gram, n) over every byte of ``rows`` (cls, text): for each class its ``most`` frequent grams.
+def count_grams(rows: DataFrame, order: int, classes: list, most: int | None = None) -> DataFrame:
+    """(cls, gram, n) over every byte of ``rows`` (cls, text): all grams of each class, or its ``most`` frequent.
 
     Tasks count their own grams first, so the shuffle holds distinct grams."""
     code = {c: k for k, c in enumerate(classes)}
@@ -85,6 +95,8 @@ def count_grams(rows: DataFrame, order: int, most: int, classes: list) -> DataFr
                                 pa.array(n.astype(np.int64))], names=["cls", "gram", "n"])
 
     counts = rows.mapInArrow(run, "cls int, gram long, n long").groupBy("cls", "gram").agg(F.sum("n").alias("n"))
+    if most is None:
+        return counts
     rank = F.row_number().over(Window.partitionBy("cls").orderBy(F.desc("n"), "gram"))
     return counts.withColumn("rank", rank).where(F.col("rank") <= most).drop("rank")
 
@@ -118,6 +130,12 @@ class Tree:
             self.symbols.append((key, count))
             self.contexts.append((own, where, total, kinds, rest, rest_kinds))
 
+    def longer(self, symbols: list, contexts: list) -> Tree:
+        """This tree with the given longer orders."""
+        out = object.__new__(Tree)
+        out.order, out.symbols, out.contexts = self.order + len(symbols), self.symbols + symbols, self.contexts + contexts
+        return out
+
     def code_lengths(self, gram: np.ndarray) -> np.ndarray:
         """Exact bits of each gram's last byte after its context: prediction by partial matching with escape
         probability kinds / (total + kinds) and exclusion."""
@@ -165,31 +183,26 @@ def find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, keys[at] == wanted
 
 
-class GramTable:
-    """Values of every gram that some class has seen, found by open addressing; others are worked out by the trees."""
+class Cache:
+    """Values (grams, classes) of some grams, found by open addressing; others count as 0."""
 
-    def __init__(self, trees: list[Tree], value: str):
-        self.trees, self.value = trees, value
-        self.gram = np.unique(np.concatenate([t.symbols[t.order][0] for t in trees]))
-        self.known = self.compute(self.gram).astype(np.float32)
-        self.bits = max(4, int(2 * len(self.gram)).bit_length())
+    def __init__(self, gram: np.ndarray, known: np.ndarray):
+        self.known = np.vstack([known, np.zeros((1, known.shape[1]))]).astype(np.float32)  # the last row: not found
+        self.bits = max(4, int(2 * len(gram)).bit_length())
         self.slots = np.full(1 << self.bits, -1, np.int32)
-        live, at = np.arange(len(self.gram)), self.slot(self.gram)
+        live, at = np.arange(len(gram)), self.slot(gram)
         while len(live):
             free = self.slots[at] < 0
             self.slots[at[free][::-1]] = live[free][::-1]
             left = self.slots[at] != live
             live, at = live[left], (at[left] + 1) & ((1 << self.bits) - 1)
-        self.keys = np.where(self.slots >= 0, self.gram[np.maximum(self.slots, 0)], np.uint64(0xFFFFFFFFFFFFFFFF))
+        self.keys = np.append(gram, NONE)[self.slots]
 
     def slot(self, gram: np.ndarray) -> np.ndarray:
         return ((gram * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
-    def compute(self, gram: np.ndarray) -> np.ndarray:
-        return np.stack([getattr(t, self.value)(gram) for t in self.trees], axis=1)
-
-    def __call__(self, gram: np.ndarray) -> np.ndarray:
-        """(grams, classes) values."""
+    def find(self, gram: np.ndarray) -> np.ndarray:
+        """Row of each gram, or -1."""
         at = self.slot(gram)
         key = self.keys[at]
         index = self.slots[at]
@@ -202,6 +215,24 @@ class GramTable:
             hit = self.keys[where] == gram[odd]
             index[odd[hit]] = self.slots[where[hit]]
             odd, where = odd[~hit], where[~hit]
+        return index
+
+    def values(self, gram: np.ndarray, index: np.ndarray) -> np.ndarray:
+        return self.known[index]
+
+
+class GramTable(Cache):
+    """Values of every gram that some class has seen; others are worked out by the trees."""
+
+    def __init__(self, trees: list[Tree], value: str):
+        self.trees, self.value = trees, value
+        gram = np.unique(np.concatenate([t.symbols[t.order][0] for t in trees]))
+        super().__init__(gram, self.compute(gram))
+
+    def compute(self, gram: np.ndarray) -> np.ndarray:
+        return np.stack([getattr(t, self.value)(gram) for t in self.trees], axis=1)
+
+    def values(self, gram: np.ndarray, index: np.ndarray) -> np.ndarray:
         out = self.known[index]
         new = np.flatnonzero(index < 0)
         if len(new):
@@ -217,11 +248,162 @@ def row_sums(values: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return sums[offs[1:]] - sums[offs[:-1]]
 
 
-def text_sums(table: GramTable, col: pa.Array, order: int, low: np.ndarray) -> np.ndarray:
-    """Per row, the sum over all its bytes of each class's value."""
+def tile_sums(table: Cache, col: pa.Array, order: int, low: np.ndarray) -> Iterator[tuple]:
+    """(first row, end row, their sums of each class's value over some bytes, and the rows and grams of the
+    bytes that the table does not know)."""
     data, offs = common.text_buffers(col)
-    out = np.zeros((len(offs) - 1, len(table.trees)))
-    for i, j, lo, hi in common.segments(data, offs, common.TILE // 4, cut_anywhere):
+    limit = max(1 << 10, common.TILE // 4 * 64 // max(64, table.known.shape[1]))  # bounds (bytes, classes)
+    for i, j, lo, hi in common.segments(data, offs, min(limit, common.TILE // 4), cut_anywhere):
         g = grams(data, offs, i, j, lo, hi, order, low)
-        out[i:j] += row_sums(table(g), np.clip(offs[i:j + 1], lo, hi) - lo)
+        index = table.find(g)
+        bounds = np.clip(offs[i:j + 1], lo, hi) - lo
+        new = np.flatnonzero(index < 0)
+        yield i, j, row_sums(table.values(g, index), bounds), i + np.searchsorted(bounds, new, side="right") - 1, g[new]
+
+
+def text_sums(table: Cache, col: pa.Array, order: int, low: np.ndarray) -> np.ndarray:
+    """Per row, the sum over all its bytes of each class's value."""
+    out = np.zeros((len(col), table.known.shape[1]))
+    for i, j, part, _, _ in tile_sums(table, col, order, low):
+        out[i:j] += part
     return out
+
+
+def mask(d: int) -> int:
+    """The bytes of a gram of order ``d``."""
+    return (1 << 8 * (d + 1)) - 1
+
+
+def of_class(lists: pa.Array, key: np.ndarray, classes: int) -> list[list[np.ndarray]]:
+    """For each class its distinct keys in order, with the fields that stand beside the class in each row's list of
+    structs; the last is NONE, with 1 in every field."""
+    cls, *fields = (x.to_numpy(zero_copy_only=False) for x in pc.list_flatten(lists).flatten())
+    key = key[pc.list_parent_indices(lists).to_numpy().astype(np.int64)]
+    at = np.lexsort((key, cls))
+    cls, key = cls[at], key[at]
+    new = np.ones(len(at), bool)
+    new[1:] = (cls[1:] != cls[:-1]) | (key[1:] != key[:-1])
+    cls, key, fields = cls[new], key[new], [f[at][new].astype(np.float64) for f in fields]
+    cut = np.searchsorted(cls, np.arange(classes + 1))
+    return [[np.append(key[a:b], NONE), *(np.append(f[a:b], 1.0) for f in fields)] for a, b in zip(cut, cut[1:])]
+
+
+class Model:
+    """The context trees of some classes over all their grams.
+
+    Orders 0 and 1 (at most 256 + 65,536 grams a class) are held as trees; the symbols and contexts of longer orders
+    are tables in the shared folder, however many there are.  Values of the most frequent grams, ``CACHED`` at most,
+    go to the tasks; bytes with any other gram are joined with the tables, so sums cover every gram exactly."""
+
+    def __init__(self, counts: DataFrame, classes: int, order: int, value: str):
+        self.classes, self.order, self.value = classes, order, value
+        counts = common.write_shared(counts)
+        symbols = {order: counts.withColumnRenamed("gram", "key")}
+        for d in range(order - 1, 0, -1):
+            shorter = symbols[d + 1].groupBy("cls", F.expr(f"key & {mask(d)}").alias("key")).agg(F.sum("n").alias("n"))
+            symbols[d] = common.write_shared(shorter)
+        held = min(HELD, order)
+        found = symbols[held].toArrow()  # at most 256^2 rows a class
+        cls, key, n = (found[c].to_numpy() for c in ("cls", "key", "n"))
+        self.trees = [Tree(key[cls == c].astype(np.uint64), n[cls == c], held) for c in range(classes)]
+        self.tables = [self.nodes(symbols[d], symbols[d - 1], d) for d in range(held + 1, order + 1)]
+        self.cache = self.most_frequent(counts)
+
+    @staticmethod
+    def nodes(own: DataFrame, shorter: DataFrame, d: int) -> tuple[DataFrame, DataFrame]:
+        """Tables of order ``d``: (key, s: cls and n of each class) and (ctx, x: cls and its Tree values of each)."""
+        s = own.groupBy("key").agg(F.collect_list(F.struct("cls", "n")).alias("s"))
+        within = shorter.select("cls", F.col("key").alias("short"), F.col("n").alias("in_shorter"))
+        contexts = (own.withColumn("short", F.expr(f"key & {mask(d - 1)}")).join(within, ["cls", "short"])
+                    .groupBy("cls", F.expr("shiftright(key, 8)").alias("ctx"))
+                    .agg(F.sum("n").alias("total"), F.count("n").alias("kinds"), F.sum("in_shorter").alias("out")))
+        parents = (shorter.groupBy("cls", F.expr("shiftright(key, 8)").alias("parent"))
+                   .agg(F.sum("n").alias("p_total"), F.count("n").alias("p_kinds")))
+        x = (contexts.withColumn("parent", F.expr(f"ctx & {mask(d - 2)}")).join(parents, ["cls", "parent"])
+             .groupBy("ctx").agg(F.collect_list(F.struct("cls", "total", "kinds", F.expr("p_total - out as rest"),
+                                                         F.expr("p_kinds - kinds as rest_kinds"))).alias("x")))
+        return common.write_shared(s), common.write_shared(x)
+
+    def most_frequent(self, counts: DataFrame) -> Cache:
+        """Grams seen at least 2^k times, for the least k by which they fit."""
+        most = min(CACHED, CACHED_VALUES // self.classes)
+        every = counts.groupBy("gram").agg(F.sum("n").alias("n")).withColumn("k", F.floor(F.log2("n")))
+        least, room = 64, most
+        for k, n in sorted(((r["k"], r["count"]) for r in every.groupBy("k").count().collect()), reverse=True):
+            if n > room:
+                break
+            least, room = k, room - n
+        found = self.values_of(every.where(F.col("k") >= least).select("gram")).toArrow().combine_chunks()
+        gram = found["gram"].to_numpy().astype(np.uint64)
+        known = pc.list_flatten(found["v"]).to_numpy().reshape(len(gram), self.classes)
+        at = np.argsort(gram)
+        return Cache(gram[at], known[at])
+
+    def values_of(self, rows: DataFrame) -> DataFrame:
+        """(gram, v: the classes' values) of distinct grams, whether some class has seen them or not."""
+        held, trees, value, classes = self.trees[0].order, self.trees, self.value, self.classes
+        for d, (symbols, contexts) in enumerate(self.tables, held + 1):
+            rows = rows.withColumn("key", F.expr(f"gram & {mask(d)}")).withColumn("ctx", F.expr("shiftright(key, 8)"))
+            rows = (rows.join(symbols.withColumnRenamed("s", f"s{d}"), "key", "left")
+                    .join(contexts.withColumnRenamed("x", f"x{d}"), "ctx", "left").drop("key", "ctx"))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                gram = batch.column(0).to_numpy().astype(np.uint64)
+                symbols, contexts = [], []
+                for k, d in enumerate(range(held + 1, held + 1 + (batch.num_columns - 1) // 2)):
+                    key = gram & np.uint64(mask(d))
+                    symbols.append(of_class(batch.column(1 + 2 * k), key, classes))
+                    contexts.append(of_class(batch.column(2 + 2 * k), key >> np.uint64(8), classes))
+                out = np.empty((len(gram), classes), np.float32)
+                for c, tree in enumerate(trees):
+                    whole = tree.longer([tuple(s[c]) for s in symbols], [(x[c][0], None, *x[c][1:]) for x in contexts])
+                    out[:, c] = getattr(whole, value)(gram)
+                yield pa.record_batch([batch.column(0), lists_of(out)], names=["gram", "v"])
+
+        return rows.mapInArrow(run, "gram long, v array<float>")
+
+    def sums(self, rows: DataFrame, text_col: str) -> DataFrame:
+        """All columns but the text, ``sums_`` (each class's value summed over all bytes) and ``bytes_``."""
+        keep = [c for c in rows.columns if c != text_col]
+        source = rows.select(*keep, F.monotonically_increasing_id().alias("row_"), text_col)
+        schema = T.StructType([T.StructField(f.name, f.dataType) for f in source.drop(text_col).schema.fields])
+        schema.add("sums_", T.ArrayType(T.DoubleType())).add("bytes_", "long").add("gram_", "long").add("times_", "long")
+        names, cache, order, width = schema.names, self.cache, self.order, len(keep) + 1
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            low = lower_table()
+            for batch in batches:
+                own, texts, n = batch.columns[:width], batch.column(width), batch.num_rows
+                sums = np.zeros((n, cache.known.shape[1]))
+                for i, j, part, row, gram in tile_sums(cache, texts, order, low):
+                    sums[i:j] += part
+                    if len(row):
+                        at = np.lexsort((gram, row))
+                        row, gram = row[at], gram[at]
+                        first = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (gram[1:] != gram[:-1])))
+                        m = len(first)
+                        yield pa.record_batch(
+                            [*(pa.nulls(m, c.type) for c in own[:-1]), own[-1].take(pa.array(row[first])),
+                             pa.nulls(m, pa.list_(pa.float64())), pa.nulls(m, pa.int64()),
+                             pa.array(gram[first].astype(np.int64)), pa.array(np.diff(np.append(first, len(row))))],
+                            names=names)
+                yield pa.record_batch([*own, lists_of(sums), pa.array(np.diff(common.text_buffers(texts)[1])),
+                                       pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names=names)
+
+        found = common.write_shared(source.mapInArrow(run, schema))
+        other = found.where("gram_ is not null").select("row_", F.col("gram_").alias("gram"), "times_")
+        # whole numbers add up the same in any order
+        each = (other.join(self.values_of(other.select("gram").distinct()), "gram")
+                .select("row_", "times_", F.posexplode("v").alias("c", "v"))
+                .groupBy("row_", "c").agg(F.sum(F.expr(f"cast(round(v * {UNIT}) as bigint) * times_")).alias("s")))
+        more = each.groupBy("row_").agg(F.array_sort(F.collect_list(F.struct("c", "s"))).alias("more_"))
+        added = F.expr(f"if(more_ is null, sums_, zip_with(sums_, more_, (a, b) -> a + b.s / {UNIT}))")
+        return (found.where("gram_ is null").join(more, "row_", "left")
+                .select(*keep, added.alias("sums_"), "bytes_"))
+
+
+def lists_of(values: np.ndarray) -> pa.Array:
+    """One list for each row."""
+    ends = np.arange(0, values.size + 1, values.shape[1], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values.ravel()))

@@ -7,10 +7,10 @@ length under a language is the sum over all its bytes of
 costs an escape to the next shorter context, whose known-absent bytes are
 excluded.  The shortest code wins.
 
-Training counts every byte of every training text on Spark; a model keeps the
-``CONTEXTS`` most frequent grams of each of at most ``LANGUAGES`` languages, so
-that its size does not grow with the corpus.  Language, source and id are no
-inputs of a prediction.
+Training counts every byte of every training text on Spark and keeps all grams
+in tables of the shared folder; tasks hold the most frequent ones, and the
+others are joined (``bytelm.Model``).  The ``LANGUAGES`` most frequent languages
+are learned.  Language, source and id are no inputs of a prediction.
 
 Defined cases: null text, or text without a letter, is ``und`` with score 0;
 so is everything if there is no training text; rows without language teach
@@ -33,61 +33,55 @@ from regimen.llm import bytelm, common
 from regimen.llm.quality import remainder
 
 ORDER = 3
-#: Grams kept for each language, and languages kept (the most frequent).
-CONTEXTS, LANGUAGES = 1 << 16, 64
+#: Languages kept (the most frequent).
+LANGUAGES = 64
 #: Bytes of evidence that the score counts at most.
 EVIDENCE = 40
 UNKNOWN = "und"
 
 
 class LanguageModel:
-    def __init__(self, languages: list[str], trees: list[bytelm.Tree], order: int):
-        self.languages, self.order = languages, order
-        self.table = bytelm.GramTable(trees, "code_lengths") if trees else None
+    def __init__(self, languages: list[str], model: bytelm.Model | None):
+        self.languages, self.model = languages, model
 
     def predict(self, docs: DataFrame, text_col: str = "text", lang_col: str = "lang_pred",
                 score_col: str = "score") -> DataFrame:
         """All columns but the text, the language and its score from 0 to 1."""
         keep = [c for c in docs.columns if c != text_col]
-        if self.table is None:
+        if self.model is None:
             return docs.select(*keep, F.lit(UNKNOWN).alias(lang_col), F.lit(0.0).alias(score_col))
         letters = F.coalesce(F.col(text_col).rlike("\\p{L}"), F.lit(False)).alias("has_letter_")
-        source = docs.select(*keep, F.col(text_col), letters)
-        schema = T.StructType([*docs.select(*keep).schema.fields]).add(lang_col, "string").add(score_col, "double")
-        table, languages, order = self.table, self.languages, self.order
+        source = self.model.sums(docs.select(*keep, F.col(text_col), letters), text_col)
+        schema = T.StructType([*source.select(*keep).schema.fields]).add(lang_col, "string").add(score_col, "double")
+        languages = self.languages
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            low, names = bytelm.lower_table(), np.array(languages, object)
+            names = np.array(languages, object)
             for batch in batches:
-                texts = batch.column(len(keep))
-                bits = bytelm.text_sums(table, texts, order, low)
-                size = np.maximum(1, np.diff(common.text_buffers(texts)[1]))
+                letter, sums, size = batch.columns[-3:]
+                bits = pc.list_flatten(sums).to_numpy().reshape(-1, len(names))
+                size = np.maximum(1, size.to_numpy())
                 best = bits.argmin(axis=1)
                 gap = (bits - bits.min(axis=1, keepdims=True)) * np.minimum(1, EVIDENCE / size)[:, None]
                 score = 1 / np.exp2(-np.minimum(gap, 1000)).sum(axis=1)
-                letter = batch.column(len(keep) + 1).to_numpy(zero_copy_only=False).astype(bool)
+                letter = letter.to_numpy(zero_copy_only=False).astype(bool)
                 lang = np.where(letter, names[best], UNKNOWN)
-                yield pa.record_batch([*batch.columns[:-2], pa.array(lang.tolist(), pa.string()),
+                yield pa.record_batch([*batch.columns[:-3], pa.array(lang.tolist(), pa.string()),
                                        pa.array(np.where(letter, score, 0.0))],
-                                      names=[*batch.schema.names[:-2], lang_col, score_col])
+                                      names=[*batch.schema.names[:-3], lang_col, score_col])
 
         return source.mapInArrow(run, schema)
 
 
-def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", order: int = ORDER, contexts: int = CONTEXTS,
+def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", order: int = ORDER,
         languages: int = LANGUAGES) -> LanguageModel:
     """Learn from every row of ``docs`` with a language."""
-    rows = docs.select(F.col(lang_col).alias("cls"), F.col(text_col).alias("text")).where("cls is not null")
+    rows = docs.select(F.col(lang_col).alias("cls"), F.col(text_col).alias("text")).where("cls is not null and text <> ''")
     names = [r["cls"] for r in rows.groupBy("cls").count().orderBy(F.desc("count"), "cls").limit(languages).collect()]
     names = sorted(names)
-    found = bytelm.count_grams(rows, order, contexts, names).toArrow()  # at most contexts * languages rows
-    trees, kept = [], []
-    for k, name in enumerate(names):
-        own = found.filter(pc.equal(found["cls"], k))
-        if len(own):
-            kept.append(name)
-            trees.append(bytelm.Tree(own["gram"].to_numpy().astype(np.uint64), own["n"].to_numpy(), order))
-    return LanguageModel(kept, trees, order)
+    if not names:
+        return LanguageModel([], None)
+    return LanguageModel(names, bytelm.Model(bytelm.count_grams(rows, order, names), len(names), order, "code_lengths"))
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -97,6 +97,37 @@ def test_grams_of_parts_equal_grams_of_the_whole(monkeypatch):
     assert np.allclose(whole, bytelm.text_sums(table, pa.array(texts), 3, low))
 
 
+def test_joined_values_equal_trees_held_whole(spark, monkeypatch):
+    import pyarrow as pa
+
+    train = {"aa": invented("aa", 9) + " The END", "bb": invented("bb", 9)}
+    texts = [invented("aa", 1, 50), None, "", "x", invented("cc", 2, 60), invented("aa", 9)[5:90] + " 0é" * 9]
+    rows = spark.createDataFrame(list(train.items()), "cls string, text string")
+    docs = spark.createDataFrame(list(enumerate(texts)), "i int, text string").repartition(3)
+    for value, orders in (("code_lengths", (1, 2, 3)), ("log_likelihoods", (4,))):
+        for order in orders:
+            table = bytelm.GramTable([tree(t, order) for t in train.values()], value)
+            want = bytelm.text_sums(table, pa.array(texts), order, bytelm.lower_table())
+            for most in (0, 100, 1 << 18):
+                monkeypatch.setattr(bytelm, "CACHED", most)
+                model = bytelm.Model(bytelm.count_grams(rows, order, list(train)), 2, order, value)
+                got = {r.i: r for r in model.sums(docs, "text").collect()}
+                assert len(got) == len(texts) and [got[i].bytes_ for i in range(3)] == [len(texts[0]), 0, 0]
+                assert np.allclose([got[i].sums_ for i in range(len(texts))], want, rtol=1e-5), (value, order, most)
+
+
+def test_rare_grams_beside_many_frequent_ones_are_kept(spark):
+    r = random.Random(4)
+    many = ["".join(r.choices("abcdefghijklmnop", k=40_000)) for _ in range(6)]
+    assert len({t[i:i + 4] for t in many for i in range(len(t) - 3)}) > 60_000
+    wide = ["".join(r.choices("abcdefghijklmnopqrst", k=40_000)) for _ in range(6)]  # with the others: over 65,536
+    rare = "zyx wvu zyx wvu 987 zyx"
+    rows = [(t, "aa") for t in (many + wide) * 2] + [(rare, "aa"), ("zyx wvu 987 xyz uvw 789 zzyyxx", "bb")]
+    train = spark.createDataFrame(rows, "text string, lang string")
+    got = language_id.fit(train).predict(spark.createDataFrame([(1, rare)], "i int, text string")).collect()
+    assert [x.lang_pred for x in got] == ["aa"]
+
+
 def labelled(spark, tmp_path, column, good, bad, n=160):
     """Documents and labels: label 1 is ``good``; the awkward rows are not labelled."""
     rows = [(i, good(i) if i % 3 else bad(i)) for i in range(n)]
