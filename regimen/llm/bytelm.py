@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -52,8 +52,8 @@ def cut_anywhere(data: np.ndarray, stop: int, end: int) -> int:
     return stop
 
 
-def count_grams(rows: DataFrame, order: int, classes: list, most: int | None = None) -> DataFrame:
-    """(cls, gram, n) over every byte of ``rows`` (cls, text): all grams of each class, or its ``most`` frequent.
+def count_grams(rows: DataFrame, order: int, classes: list) -> DataFrame:
+    """(cls, gram, n) over every byte of ``rows`` (cls, text): all grams of each class.
 
     Tasks count their own grams first, so the shuffle holds distinct grams."""
     code = {c: k for k, c in enumerate(classes)}
@@ -94,11 +94,7 @@ def count_grams(rows: DataFrame, order: int, classes: list, most: int | None = N
                                 pa.array((key & ((np.uint64(1) << shift) - np.uint64(1))).astype(np.int64)),
                                 pa.array(n.astype(np.int64))], names=["cls", "gram", "n"])
 
-    counts = rows.mapInArrow(run, "cls int, gram long, n long").groupBy("cls", "gram").agg(F.sum("n").alias("n"))
-    if most is None:
-        return counts
-    rank = F.row_number().over(Window.partitionBy("cls").orderBy(F.desc("n"), "gram"))
-    return counts.withColumn("rank", rank).where(F.col("rank") <= most).drop("rank")
+    return rows.mapInArrow(run, "cls int, gram long, n long").groupBy("cls", "gram").agg(F.sum("n").alias("n"))
 
 
 class Tree:

@@ -1,6 +1,7 @@
 """Operators 2, 3, 5, 8 and 10 against brute force."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
@@ -188,6 +189,19 @@ def test_urls_equal_brute_force(spark):
     assert {r.verdict for r in alone} == {"allow"}  # no rule fits: the method has learned nothing
 
 
+def test_rare_url_grams_beside_many_frequent_ones_are_kept(spark):
+    r = random.Random(4)
+    often = ["".join(r.choices("abcdefghijklmnop", k=2_000)) + str(i) for i in range(50)]
+    assert len({t[i:i + 5] for t in often for i in range(len(t) - 4)}) > 90_000
+    rare = "zyx.wvu/zyx/987/vwz"
+    rows = [(t, True) for t in often * 3] + [(rare + str(i), True) for i in range(2)]
+    rows += [(f"xzy.uvw/xyz.vuw.wuv/{i}", False) for i in range(40)]
+    model = url_filter.fit(spark.createDataFrame(rows, "text string, allowed boolean"))
+    seen = spark.createDataFrame([(rare, 1), ("xzy.uvw/xyz/", 2)], "text string, i int")
+    got = {x.i: x.ratio for x in model.judge(seen, "text", "ratio", "score").collect()}
+    assert got[1] > 0 > got[2]
+
+
 PATH = public_tokenizers.path(packing.TOKENIZER)
 
 
