@@ -9,8 +9,8 @@ excluded.  The shortest code wins.
 
 Training counts every byte of every training text on Spark and keeps all grams
 in tables of the shared folder; tasks hold the most frequent ones, and the
-others are joined (``bytelm.Model``).  The ``LANGUAGES`` most frequent languages
-are learned.  Language, source and id are no inputs of a prediction.
+others are joined (``bytelm.Model``).  Every language of the training rows is
+learned.  Language, source and id are no inputs of a prediction.
 
 Defined cases: null text, or text without a letter, is ``und`` with score 0;
 so is everything if there is no training text; rows without language teach
@@ -33,8 +33,6 @@ from regimen.llm import bytelm, common
 from regimen.llm.quality import remainder
 
 ORDER = 3
-#: Languages kept (the most frequent).
-LANGUAGES = 64
 #: Bytes of evidence that the score counts at most.
 EVIDENCE = 40
 UNKNOWN = "und"
@@ -73,12 +71,10 @@ class LanguageModel:
         return source.mapInArrow(run, schema)
 
 
-def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", order: int = ORDER,
-        languages: int = LANGUAGES) -> LanguageModel:
+def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", order: int = ORDER) -> LanguageModel:
     """Learn from every row of ``docs`` with a language."""
     rows = docs.select(F.col(lang_col).alias("cls"), F.col(text_col).alias("text")).where("cls is not null and text <> ''")
-    names = [r["cls"] for r in rows.groupBy("cls").count().orderBy(F.desc("count"), "cls").limit(languages).collect()]
-    names = sorted(names)
+    names = sorted(r["cls"] for r in rows.select("cls").distinct().collect())
     if not names:
         return LanguageModel([], None)
     return LanguageModel(names, bytelm.Model(bytelm.count_grams(rows, order, names), len(names), order, "code_lengths"))

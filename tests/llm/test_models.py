@@ -128,6 +128,15 @@ def test_rare_grams_beside_many_frequent_ones_are_kept(spark):
     assert [x.lang_pred for x in got] == ["aa"]
 
 
+def test_every_language_is_learned(spark):
+    names = [f"l{k:02}" for k in range(70)]
+    letters = {lang: "".join(chr(0x4E00 + 3 * k + i) for i in range(3)) for k, lang in enumerate(names)}
+    rows = [(letters[lang] * (2 + i), lang) for k, lang in enumerate(names) for i in range(1 + (k < 64))]
+    docs = spark.createDataFrame(rows, "text string, lang string")
+    got = language_id.fit(docs).predict(docs).collect()
+    assert len(got) == len(rows) and all(r.lang_pred == r.lang for r in got)
+
+
 def labelled(spark, tmp_path, column, good, bad, n=160):
     """Documents and labels: label 1 is ``good``; the awkward rows are not labelled."""
     rows = [(i, good(i) if i % 3 else bad(i)) for i in range(n)]
