@@ -20,10 +20,10 @@ or all words of a shorter item.
   the same bitmap and join.
 
 Defined cases: null or wordless text has no words and is not contaminated;
-wordless items have no window; repeated documents are rows of their own when
-their ids differ, and rows with the same id are judged together; repeated
-items count by their distinct ids; empty tables give no rows or no hits; other
-columns are ignored.
+wordless items have no window; ``decontaminate`` judges rows with the same id
+together, ``decontaminate_rows`` (the query) each row by itself, also with null
+or shared ids; repeated items count by their distinct ids; empty tables give no
+rows or no hits; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -227,7 +227,7 @@ def decontaminate(docs: DataFrame, bench: DataFrame, span: int = SPAN, k: int =
                   id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
                   item_text_col: str = "text") -> DataFrame:
     """Per document id: n_words, n_hit, items (sorted array of strings), contaminated
-    (any hit, and at least one word in ``share`` hit)."""
+    (any hit, and at least one word in ``share`` hit), and how many rows have the id."""
     items = common.write_shared(item_windows(bench, span, k, item_col, item_text_col))
     short = sorted(r["n"] for r in items.select("n").distinct().collect() if r["n"] < span)  # at most span - 1
     found = common.write_shared(candidates(docs, bitmap(items), short, span, k, id_col, text_col))
@@ -236,19 +236,29 @@ def decontaminate(docs: DataFrame, bench: DataFrame, span: int = SPAN, k: int =
     hits = found.where("win is not null").join(classes, ["fp", "win", "n"]).select("doc_id", "n", "starts", "ids")
     spans = F.expr("transform(starts, x -> named_struct('s', x, 'e', x + n))")
     per_doc = hits.groupBy("doc_id").agg(
-        F.array_sort(F.flatten(F.collect_list(spans))).alias("spans"),
+        F.array_sort(F.flatten(F.collect_set(spans))).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("ids")))).alias("ids"))
     per_doc = per_doc.select("doc_id", F.expr(covered("spans")).alias("n_hit"), F.col("ids").alias("items"))
-    counts = found.where("win is null").groupBy("doc_id").agg(F.max("n_words").alias("n_words"))
+    counts = found.where("win is null").groupBy("doc_id").agg(F.max("n_words").alias("n_words"),
+                                                                   F.count("*").alias("n_rows"))
     return (counts.join(per_doc.withColumnRenamed("doc_id", "hit_id"), F.col("doc_id").eqNullSafe(F.col("hit_id")), "left")
             .select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
-                    F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+                    F.coalesce("items", F.array().cast("array<string>")).alias("items"), "n_rows")
             .withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))))
 
 
+def decontaminate_rows(docs: DataFrame, bench: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
+                       **options) -> DataFrame:
+    """The same for every row by itself, whether ids are null or shared: rows are told apart by id and text."""
+    key = F.struct(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("th"))
+    found = decontaminate(docs.select(key.alias("doc_id"), F.col(text_col).alias("text")), bench, **options)
+    each = found.withColumn("row_", F.explode(F.expr("sequence(1L, n_rows)")))  # equal rows have equal results
+    return each.select(F.col("doc_id.id").alias("doc_id"), "n_words", "n_hit", "items", "contaminated")
+
+
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contamination of every document by the benchmark items."""
-    out = decontaminate(common.table(spark, sf_dir, "documents", "doc_id", "text"),
-                        common.table(spark, sf_dir, "benchmark", "item_id", "text"))
+    out = decontaminate_rows(common.table(spark, sf_dir, "documents", "doc_id", "text"),
+                             common.table(spark, sf_dir, "benchmark", "item_id", "text"))
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
                       F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")

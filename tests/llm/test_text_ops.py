@@ -69,6 +69,19 @@ def test_contamination_of_empty_tables_and_odd_rows(spark):
     assert odd.count() == odd.select("doc_id").distinct().count()
 
 
+def test_contamination_of_each_row(spark, tmp_path):
+    item = " ".join(SHARED.split()[:13])
+    texts = [(None, item), (None, prose(77, 1000)), (None, item), (3, prose(78, 40)), (3, item), (4, None)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([("q1", SHARED)], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    want = Counter()
+    for i, t in texts:
+        n, hit, _, bad = brute_contamination([(0, t)], [("q1", SHARED)])[0]
+        want[(i, n, hit, bad)] += 1
+    got = decontaminate.op2(spark, str(tmp_path)).collect()
+    assert Counter((r.doc_id, r.n_words, r.n_hit, r.contaminated) for r in got) == want
+
+
 def pages(spark):
     rows = [(1, "http://a.com/x", "<html lang=\"en\"><head><title> T &amp; x </title><style>p{}</style></head><body><P>one<br/>two"
              "<!-- no --> &lt;b&gt;<script>var x='<p>';</script><a href='/z'>link</a> \u00a0 end</body>"),
