@@ -19,6 +19,8 @@ records; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -120,11 +122,15 @@ def derive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html
     return source.sparkSession.sql(derived_sql("{source}", True), source=source).select(*COLUMNS)
 
 
-def record_text(records: DataFrame) -> DataFrame:
-    """One column ``record``: the records as WARC/1.1 text without their last line end."""
+def record_text(records: DataFrame, date: str | None = None) -> DataFrame:
+    """One column ``record``: the records as WARC/1.1 text without their last line end.
+
+    ``date`` (UTC, ``2026-01-31T00:00:00Z``) is every record's WARC-Date; by default the time of the call."""
+    date = date or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
     line = lambda name, value: F.when(value.isNotNull(), F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))).otherwise("")
     head = F.concat(
         F.lit("WARC/1.1\r\n"), line("WARC-Type", F.col("record_type")), line("WARC-Record-ID", F.concat(F.lit("<"), "record_id", F.lit(">"))),
+        line("WARC-Date", F.lit(date)),
         line("WARC-Refers-To", F.concat(F.lit("<"), "refers_to", F.lit(">"))), line("WARC-Target-URI", F.col("target_uri")),
         line("WARC-Block-Digest", F.col("block_digest")), line("WARC-Source-Payload-Digest", F.col("source_payload_digest")),
         line("WARC-Source-Block-Digest", F.col("source_block_digest")), line("Content-Type", F.col("content_type")),
@@ -132,9 +138,9 @@ def record_text(records: DataFrame) -> DataFrame:
     return records.select(F.concat(head, F.lit("\r\n"), F.col("block"), F.lit("\r\n")).alias("record"))
 
 
-def write_records(records: DataFrame, path: str) -> None:
+def write_records(records: DataFrame, path: str, date: str | None = None) -> None:
     """Write WARC files, one a partition."""
-    record_text(records).write.option("lineSep", "\r\n").text(path)
+    record_text(records, date).write.option("lineSep", "\r\n").text(path)
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -118,6 +118,14 @@ def test_warc_links_and_files(spark, tmp_path):
     assert warc.derive(pages(spark).where("false")).count() == 0
 
 
+def test_warc_records_have_a_date(spark):
+    records = warc.derive(pages(spark))
+    for date, want in (("2026-01-31T00:00:00Z", "2026-01-31T00:00:00Z"), (None, r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ")):
+        found = [re.findall(r"\r\nWARC-Date: (.*)\r\n", r.record.split("\r\n\r\n")[0]) for r in
+                 warc.record_text(records, date).collect()]
+        assert len(found) == 14 and all(len(x) == 1 and re.fullmatch(want, x[0]) for x in found)
+
+
 def brute_signature(text, k=2, bins=64, size=2):
     """The same definition with sets and sorted lists, on another hash: compares likeness, not bits."""
     tokens = [t[i:i + 16] for t in re.findall(r"[^ \t\n\x0b\f\r]+", text) for i in range(0, len(t), 16)]
