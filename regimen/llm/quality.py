@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from regimen.llm import common
 
 BLOCK = 2048
-#: Labelled rows of each class that build its dictionary, the bytes taken of each, and the dictionary's size.
+#: Labelled rows of each class that build its dictionary, the bytes drawn from all of each, and the dictionary's size.
 DICT_ROWS, DICT_TEXT, DICT_BYTES = 2000, 16_384, 112_640
 #: Labelled rows, at most, that fit the calibration.
 FIT_ROWS = 20_000
@@ -49,6 +49,14 @@ def labelled_sample(labels: DataFrame, label: str, per_class: int, salt: int) ->
         rows.where("y = 0").orderBy(order, "doc_id").limit(per_class))
 
 
+def drawn_blocks() -> Column:
+    """At most ``DICT_TEXT`` bytes of ``text``: blocks drawn from all of it by a hash of place and id, in text order."""
+    places = "sequence(0, greatest(0, octet_length(text) - 1) div {0})".format(BLOCK)
+    drawn = f"slice(array_sort(transform({places}, x -> struct(xxhash64(x, doc_id) as h, x as x))), 1, {DICT_TEXT // BLOCK})"
+    return F.expr(f"aggregate(array_sort({drawn}.x), cast('' as binary), "
+                  f"(a, x) -> concat(a, substring(cast(text as binary), cast(x * {BLOCK} + 1 as int), {BLOCK})))")
+
+
 def dictionary(texts: list[bytes], size: int = DICT_BYTES) -> zstandard.ZstdCompressionDict:
     blocks = [t[i:i + BLOCK] for t in texts for i in range(0, len(t), BLOCK)]
     try:
@@ -117,8 +125,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", dict_rows: i
     """Learn from the rows of ``labels`` (doc_id and ``label``), which the caller has restricted to training rows."""
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     first = labelled_sample(labels, label, dict_rows, 1)
-    part = texts.join(F.broadcast(first), "doc_id").select(
-        "y", F.expr(f"substring(cast(text as binary), 1, {DICT_TEXT})").alias("t"))  # bounded: 2 * dict_rows * DICT_TEXT
+    part = texts.join(F.broadcast(first), "doc_id").select("y", drawn_blocks().alias("t"))  # bounded: 2 * dict_rows * DICT_TEXT
     found = part.where("octet_length(t) > 0").collect()
     good, bad = ([bytes(r["t"]) for r in found if r["y"] == y] for y in (1, 0))
     if not good or not bad:

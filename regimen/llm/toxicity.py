@@ -42,8 +42,8 @@ from regimen.llm.quality import ACCEPT, labelled_sample, remainder
 
 #: Labelled rows of each class in the sample; half go to the lexicon, a quarter each to trees and calibration.
 ROWS = 3000
-#: Longest text, in bytes, of the lexicon's sample, and entries of the lexicon.
-LEXICON_TEXT, LEXICON_SIZE = 32_768, 20_000
+#: Entries of the lexicon.
+LEXICON_SIZE = 20_000
 BEGINNINGS = (4, 5, 6, 7)
 NEAR = 3
 TREES, DEPTH = 20, 3
@@ -213,7 +213,7 @@ class ToxicityModel:
 def learn_lexicon(rows: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of words and beginnings that mark label 1 in ``rows`` (y, text), with their log-odds."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scan = Words()
+        scan, held = Words(), []
         for batch in batches:
             data, offs = common.text_buffers(batch.column(1))
             y = batch.column(0).to_numpy()
@@ -221,6 +221,10 @@ def learn_lexicon(rows: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
                 words, begins, at = tokens(scan, data[lo:hi], np.clip(offs[i:j + 1], lo, hi) - lo)
                 row = np.repeat(np.arange(i, j), np.diff(at))
                 every = np.stack([np.tile(row, 1 + len(begins)).astype(np.uint64), np.concatenate([words, *begins])])
+                held.append(np.unique(every, axis=1) if every.shape[1] else every)
+                if hi < offs[j]:  # a long row counts each token once
+                    continue
+                every, held = np.concatenate(held, axis=1), []
                 row, token = np.unique(every, axis=1) if every.shape[1] else every
                 label = y[row.astype(np.int64)]
                 token, inverse = np.unique(token, return_inverse=True)
@@ -251,7 +255,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = RO
     shares = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
     if len(shares) < 2:
         return ToxicityModel(np.zeros(0, np.uint64), np.zeros(0), flat=float(next(iter(shares), 0.5)))
-    lexicon, odds = learn_lexicon(sample.where(f"part < 2 and octet_length(text) <= {LEXICON_TEXT}").select("y", "text"), size)
+    lexicon, odds = learn_lexicon(sample.where("part < 2").select("y", "text"), size)
     model = ToxicityModel(lexicon, odds)
     rated = common.write_shared(model.features(sample))
     fits = [rated.where("part = 2"), rated.where("part = 3")]

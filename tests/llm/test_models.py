@@ -6,6 +6,7 @@ from collections import Counter
 from math import log2
 
 import numpy as np
+import pytest
 from fixtures import documents, empty, prose, with_repeats
 
 from regimen.llm import bytelm, language_id, quality, toxicity
@@ -196,6 +197,29 @@ def test_toxicity_of_held_out_texts(spark, tmp_path):
     assert len(out) > 30 and np.mean([r.predicted == want[r.doc_id] for r in out]) > 0.9
 
 
+def test_marks_deep_in_long_texts_are_learned(spark, monkeypatch):
+    head = invented("cc", 1, 4000)  # over DICT_TEXT and, twice, over 32,768 bytes
+    assert len(head.encode()) > quality.DICT_TEXT
+    rows = [(i, head + " " + invented("aa" if i % 2 else "bb", i, 6000), i % 2) for i in range(24)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    model = quality.fit(docs.drop("quality"), docs.select("doc_id", "quality"))
+    got = model.differences(spark.createDataFrame([(invented("aa", 90, 900),), (invented("bb", 90, 900),)], "text string"))
+    a, b = (r.difference for r in got.collect())
+    assert a > 0.005 > -0.005 > b
+    rude = spark.createDataFrame([(i % 2, head * 2 + (" zork" if i % 2 else " ") * 3) for i in range(24)], "y int, text string")
+    for tile in (1 << 18, 1 << 14):
+        monkeypatch.setattr(toxicity.common, "TILE", tile)
+        assert toxicity.word_hash(["zork"])[0] in toxicity.learn_lexicon(rude, 100)[0]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(24)], "doc_id long, toxic int")
+    named = spark.createDataFrame([(i, head * 2 + (" zork" if i % 2 else " ") * 3) for i in range(24)], "doc_id long, text string")
+    monkeypatch.setattr(toxicity.common, "TILE", 1 << 18)
+    found = []
+    monkeypatch.setattr(toxicity, "ToxicityModel", lambda lexicon, *a, **k: found.append(lexicon) or 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        toxicity.fit(named, labels)
+    assert toxicity.word_hash(["zork"])[0] in found[0]
+
+
 def test_toxicity_without_labels(spark):
     docs = documents(spark)
     none = spark.createDataFrame([], "doc_id long, toxic int")
