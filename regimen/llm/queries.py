@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from regimen.llm import (decontaminate, language_id, order_minhash, packing, quality, simhash, suffix_dedup, toxicity,
-                         url_filter, warc)
+from regimen.llm import (decontaminate, language_id, lexical_search, order_minhash, packing, quality, simhash,
+                         suffix_dedup, toxicity, url_filter, warc)
 
 QUERIES = {
     "op1_ppm_language_id": language_id.op1,
@@ -16,8 +16,10 @@ QUERIES = {
     "op8_url_language_model": url_filter.op8,
     "op9_simhash_golay": simhash.op9,
     "op10_best_fit_packing": packing.op10,
+    "op13_lexical_search": lexical_search.op13,
 }
 
 ORACLES: dict[str, str] = {
     "op3_warc_derivatives": warc.ORACLE,
+    "op13_lexical_search": lexical_search.ORACLE,
 }
