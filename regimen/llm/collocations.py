@@ -36,8 +36,8 @@ ORDER = 4
 #: log2 of the bits of the bitmap of frequent pairs (4 MB).
 BITMAP_LOG2 = 25
 #: Word pairs that a task sorts at a time, and bytes of text whose windows it counts together.
-PAIRS = 1 << 22
-RUN_BYTES = 1 << 24
+PAIRS = 1 << 21
+RUN_BYTES = 1 << 22
 WORDS = [f"w{i + 1}" for i in range(ORDER)]
 
 
