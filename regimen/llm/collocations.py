@@ -6,10 +6,10 @@ columns w1..w4 padded with null.  Only these longest windows are counted; a Spar
 (lang, w1, w2, w3, w4) then sums them over successively shorter prefixes, which gives the counts of all
 phrases of 1 to 4 words and each language's number of words at once.
 
-1. A phrase of ``least`` occurrences holds only pairs of neighbours that occur as often (within its language), so
-   windows end early, without a loss, before a pair that occurs less: pairs are counted exactly by hash
-   (per task, then by Spark), and the frequent ones set bits in a bitmap of fixed size.  A bit set by
-   another pair only lets a longer window through.
+1. A phrase of ``least`` occurrences holds only words, pairs and triples that occur as often (within its language), so
+   windows end early, without a loss, before a word whose pair or triple occurs less.  These grams are counted
+   exactly by hash (per task, then by Spark), and the frequent ones set bits in a bitmap of fixed size.  A
+   bit set by another gram only lets a longer window through.
 2. Tasks count equal windows of whole runs of text before Spark does.
 3. Phrases' counts of at least ``least`` form a table; cuts, scores and containment are joins with it.
 
@@ -33,10 +33,10 @@ from regimen.llm.decontaminate import Words, has
 
 LEAST, TOP, SHARE = 30, 2000, 80
 ORDER = 4
-#: log2 of the bits of the bitmap of frequent pairs (4 MB).
+#: log2 of the bits of the bitmap of frequent words, pairs and triples (4 MB).
 BITMAP_LOG2 = 25
-#: Word pairs that a task sorts at a time, and bytes of text whose windows it counts together.
-PAIRS = 1 << 21
+#: Grams that a task sorts at a time, and bytes of text whose windows it counts together.
+GRAMS = 1 << 21
 RUN_BYTES = 1 << 22
 WORDS = [f"w{i + 1}" for i in range(ORDER)]
 
@@ -94,48 +94,64 @@ def chain(first: np.ndarray, then: np.ndarray) -> np.ndarray:
     return common.mix64(first * np.uint64(common.BASE) + then)
 
 
-def pairs_of(tile: tuple, lang: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of (language, word, next word), does it exist) for each word."""
-    _, start, _, words, row, linked = tile
-    after = np.zeros_like(words)
-    after[:-1] = words[1:]
-    return chain(chain(lang, words), after), linked
+def shifted(x: np.ndarray, by: int) -> np.ndarray:
+    """x[i + by] at i; 0 (or False) beyond the end."""
+    out = np.zeros_like(x)
+    out[:max(0, len(x) - by)] = x[by:]
+    return out
+
+
+def grams_of(tile: tuple, lang: np.ndarray, size: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Hashes of (language, 1 to ``size`` words from here on), and whether the piece has so many, for each word."""
+    _, _, _, words, _, linked = tile
+    code, real = [chain(lang, words)], [np.ones(len(words), bool)]
+    for k in range(1, size):
+        code.append(chain(code[-1], shifted(words, k)))
+        real.append(real[-1] & shifted(linked, k - 1))
+    return code, real
 
 
 def source_rows(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
 
 
-def frequent_pairs(rows: DataFrame, least: int) -> DataFrame:
-    """(pair): hashes of the (language, word, next word) that occur ``least`` times or more."""
+def frequent_grams(rows: DataFrame, least: int, sizes: list[int], bits: np.ndarray | None = None) -> DataFrame:
+    """(gram): hashes of the (language, words) of the given ``sizes`` that occur ``least`` times or more.
+
+    Of ``bits`` (when given) both parts of a gram that are one word shorter must have theirs set."""
+    shared = rows.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scan, held, size = Pieces(), [], 0
+        scan, held, many = Pieces(), [], 0
 
         def counted():
-            pair, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.record_batch([pa.array(pair.view(np.int64)), pa.array(n)], names=["pair", "n"])
+            gram, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.record_batch([pa.array(gram.view(np.int64)), pa.array(n)], names=["gram", "n"])
 
         for batch in batches:
             keys = language_keys(batch.column(0))
             for tile in scan.runs(batch.column(1)):
-                own = tile[4] >= 0
-                pair, real = pairs_of(tile, keys[np.maximum(tile[4], 0)])
-                held.append(pair[real & own])
-                size += len(held[-1])
-                if size >= PAIRS:
+                code, real = grams_of(tile, keys[np.maximum(tile[4], 0)], max(sizes))
+                for k in sizes:
+                    want = real[k - 1] & (tile[4] >= 0)
+                    if bits is not None:
+                        part = has(shared.value, code[k - 2])
+                        want &= part & shifted(part, 1)
+                    held.append(code[k - 1][want])
+                    many += len(held[-1])
+                if many >= GRAMS:
                     yield counted()
-                    held, size = [], 0
-        if size:
+                    held, many = [], 0
+        if many:
             yield counted()
 
-    counts = rows.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-    return counts.where(F.col("n") >= least).select("pair")
+    counts = rows.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return counts.where(F.col("n") >= least).select("gram")
 
 
-def bitmap(pairs: DataFrame, log2: int) -> np.ndarray:
-    """A bitmap of 2^log2 bits with the bits of ``pairs`` set; at most 2^log2 / 32768 rows come to the driver."""
-    bit = pairs.select(F.expr(f"pmod(pair, {1 << log2})").alias("bit"))
+def bitmap(hashes: DataFrame, log2: int) -> np.ndarray:
+    """A bitmap of 2^log2 bits with those of the one column's hashes set; at most 2^log2 / 32768 rows come to the driver."""
+    bit = hashes.toDF("h").select(F.expr(f"pmod(h, {1 << log2})").alias("bit"))
     parts = bit.groupBy(F.expr("bit div 32768").alias("part")).agg(F.expr("bitmap_construct_agg(bit % 32768)").alias("bits"))
     bits = np.zeros((1 << log2) // 8, np.uint8)
     for r in parts.collect():
@@ -164,18 +180,13 @@ class WindowCounts:
         part, start, end, words, row, _ = tile
         if not len(start):
             return
-        key = keys[np.maximum(row, 0)]
-        pair, goes_on = pairs_of(tile, key)
-        goes_on = goes_on & has(bits, pair)
-        code, real, reach = chain(key, words), [np.ones(len(words), bool)], goes_on
-        for step in range(1, ORDER):
-            real.append(reach)
-            later = np.zeros_like(words)
-            later[:-step] = words[step:]
-            code = np.where(reach, chain(code, later), code)
-            after = np.zeros(len(words), bool)
-            after[:-step] = goes_on[step:]
-            reach = reach & after
+        grams, real = grams_of(tile, keys[np.maximum(row, 0)], ORDER)
+        often = [has(bits, g) & r for g, r in zip(grams[:3], real)]
+        real = [often[0], often[0] & often[1], often[0] & often[1] & often[2]]
+        real.append(real[2] & shifted(often[2], 1))
+        code = np.where(real[0], grams[0], keys[np.maximum(row, 0)])
+        for k in range(1, ORDER):
+            code = np.where(real[k], grams[k], code)
         own = np.flatnonzero(row >= 0)
         code, first, n = np.unique(code[own], return_index=True, return_counts=True)
         first = own[first]
@@ -218,7 +229,8 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, text_col: str = "text", l
     """(lang, words array, f): phrases of 1 to 4 words that occur ``least`` times or more, and each
     language's number of words (``words`` empty)."""
     rows = source_rows(docs, text_col, lang_col)
-    bits = bitmap(frequent_pairs(rows, least), bitmap_log2)
+    bits = bitmap(frequent_grams(rows, least, [1, 2]), bitmap_log2)
+    bits |= bitmap(frequent_grams(rows, least, [3], bits), bitmap_log2)
     distinct = windows(rows, bits).groupBy("lang", *WORDS).agg(F.sum("n").alias("n"))
     rolled = distinct.rollup("lang", *WORDS).agg(F.sum("n").alias("f"), F.grouping_id().alias("gid"))
     # a prefix of i words leaves the last 4 - i columns out; padding as the last column kept repeats a shorter prefix

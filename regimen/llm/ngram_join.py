@@ -256,7 +256,7 @@ def jaccard_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id
     # a set links with another one only if one shingle more or less keeps the share
     able = classes.where(f"n > 0 and 100 * n >= {percent} * (n + 1)").select("cid", "n")
     left = linkable(able, own_columns(rows.select("cid", F.explode("some").alias("h"))), percent)
-    bits = bitmap(left.select(F.col("cid").alias("pair")), BITMAP_LOG2)
+    bits = bitmap(left.select("cid"), BITMAP_LOG2)
     sets = wanted_sets(docs, bits, width, text_col).dropDuplicates(["cid"]).join(left.select("cid"), "cid", "left_semi")
     sets = common.write_shared(sets)
     for _ in range(ROUNDS):

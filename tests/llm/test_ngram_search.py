@@ -178,6 +178,7 @@ def test_collocations_equal_brute_force(spark, least, top, share):
     assert sorted(tuple(r) for r in got.collect()) == brute_collocations(rows, least, top, share)
     assert got.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
     assert collocations.collocations(phrase_rows(spark, rows).where("false")).collect() == []
+    assert collocations.collocations(phrase_rows(spark, [("two words", "en")]), least=1).first()["a"] == 1
 
 
 def test_collocations_of_a_text_of_many_tiles(spark, monkeypatch):
