@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from regimen.functions.exprs import bround_col, clip_non_negative, nan_to_null
+from regimen.operators.persist import Stored
 
 
 def _s(c: str, stat: str) -> str:
@@ -213,7 +214,7 @@ def stats_long(stats: DataFrame, cols: Sequence[str], names: Sequence[str]) -> D
 
 # ---------------------------------------------------------------- pipeline stage
 
-class PopulationScaler(Estimator):
+class PopulationScaler(Estimator, Stored):
     """N8/N9 as a Spark ML stage: ``(x - mean) / std`` per named column with
     the population std (0 -> 1), fitted by one aggregate.  Inside a
     ``Pipeline`` it is refitted on every training fold, like a scaler
@@ -223,6 +224,9 @@ class PopulationScaler(Estimator):
         super().__init__()
         self.cols = list(cols)
 
+    def to_state(self) -> dict:
+        return {"cols": self.cols}
+
     def _fit(self, dataset: DataFrame) -> "PopulationScalerModel":
         row = standardize_fit(dataset, self.cols).first()
         return PopulationScalerModel(self.cols, [float(row[_s(c, "mean")]) if row[_s(c, "mean")] is not None
@@ -231,17 +235,13 @@ class PopulationScaler(Estimator):
                                       for c in self.cols])
 
 
-class PopulationScalerModel(Model):
+class PopulationScalerModel(Model, Stored):
     def __init__(self, cols: Sequence[str], means: Sequence[float], stds: Sequence[float]):
         super().__init__()
         self.cols, self.means, self.stds = list(cols), list(means), list(stds)
 
     def to_state(self) -> dict:
-        return {"kind": type(self).__name__, "cols": self.cols, "means": self.means, "stds": self.stds}
-
-    @classmethod
-    def from_state(cls, state: dict) -> "PopulationScalerModel":
-        return cls(**state)
+        return {"cols": self.cols, "means": self.means, "stds": self.stds}
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
         scaled = {c: ((nan_to_null(c) - F.lit(m)) / F.lit(s)).alias(c)

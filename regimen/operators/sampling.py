@@ -65,6 +65,22 @@ def holdout_split(df: DataFrame, id_cols: list[str], test_size: float | int = 0.
     return _drop(out.withColumn(split_col, F.when(F.col("_is_test") == 1, "test").otherwise("train")))
 
 
+def content_holdout(df: DataFrame, cols: list[str], test_size: float | int = 0.2, seed: int = 42,
+                    flag_col: str = "is_test") -> DataFrame:
+    """An exact, seeded hold-out of rows that have no id: ``flag_col`` is true for exactly ``n_test`` rows.
+
+    Rows are ordered by a hash of the values of ``cols``; equal rows, which are interchangeable, by their number in
+    the table that is written here once.  So the flagged values do not depend on partitioning."""
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in cols]
+    b, order = hash_order(df.withColumn("_row", F.monotonically_increasing_id()).withColumn("_vals", F.concat_ws("\1", *parts)),
+                          ["_vals"], salt=[F.lit(seed)])
+    b = materialize(b.drop("_vals"))
+    order = Order(keys=(ORDER_KEY, "_row"), bucket=order.bucket, max_buckets=order.max_buckets)
+    pos = group_sizes(b, order).select(F.lit(0).alias("tag"), (_n_test(test_size) - 1).alias("pos"))
+    out = attach_thresholds(b, order, keys_at(b, order, pos, max_positions=1), max_groups=1)
+    return _drop(out.withColumn(flag_col, at_or_below(order)).drop("_row"))
+
+
 def split_membership(df: DataFrame, id_cols: list[str], n_splits: int = 50, test_size: float | int = 0.2,
                      seed: int = 42, n_rounds: int = 1, first_round: int = 0) -> dict[tuple[int, int], Column]:
     """D2 without copies: for each (round, split) a column that says whether a row of ``df`` is a test row.

@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from regimen.operators import metrics, models, ranking, sampling, solvers, synth
+from regimen.operators import metrics, models, ranking, sampling, solvers, svr, synth
 from regimen.operators.clean import accept_condition, impute_from_reference, impute_mean
 from regimen.session import materialize
 from regimen.sources import tables
@@ -175,6 +175,43 @@ def grid_search_holdout(train: DataFrame, val: DataFrame, build: Builder, grid:
     return table, ranking.best_params(table, score="val_r2", index_col="grid_index")
 
 
+def grid_search_svr(folded: DataFrame, features: Sequence[str], label: str, grid: dict[str, Sequence], k: int,
+                    fold_col: str = "fold", **fit) -> tuple[DataFrame, DataFrame]:
+    """E4 for SVR: as :func:`grid_search_cv`, with all points and folds fitted by the same passes over the table
+    (:func:`regimen.operators.svr.grid_fold_scores`)."""
+    points = param_grid(grid)
+    rows = svr.grid_fold_scores(folded, points, features, label, k, fold_col, **fit)
+    spark = folded.sparkSession
+    scores = spark.createDataFrame(rows, "grid_index long, fold int, n long, r2 double")
+    table = _with_params(spark, points, metrics.cv_summary(scores, ["grid_index"]))
+    return table, ranking.best_params(table, score="cv_mean", index_col="grid_index")
+
+
+def grid_search_networks(train: DataFrame, val: DataFrame, features: Sequence[str], label: str, grid: dict[str, Sequence],
+                         epochs: int = 50, patience: int | None = 10, seed: int = 42) -> tuple[DataFrame, DataFrame, dict]:
+    """E5: the grid's networks (``hidden_layers``, ``dropout_rate``, ``learning_rate``, ``batch_size``) trained together
+    on ``train`` with early stopping on ``val``; the first point with the strictly least validation loss wins.
+
+    Returns ``(log, best_row, models by grid_index)``; the log has, for each point, its parameters and
+    ``train_loss``, ``val_loss`` (both the least of the history), ``epochs_trained`` and ``patience``."""
+    points = param_grid(grid)
+    rows = train.select(*features, label, F.lit(False).alias("_is_val")).unionByName(
+        val.select(*features, label, F.lit(True).alias("_is_val")))
+    names = {"hidden_layers": "hidden", "dropout_rate": "dropout", "learning_rate": "learning_rate", "batch_size": "batch_size"}
+    found = solvers.train_networks(rows, features, label, [{names[k]: v for k, v in p.items()} for p in points], epochs, patience,
+                                   "_is_val", seed=seed)
+    log = []
+    for gi, (p, m) in enumerate(zip(points, found)):
+        losses, vals = [h[1] for h in m.history], [h[3] for h in m.history if h[3] is not None]
+        log.append((gi, [int(x) for x in p.get("hidden_layers", (64, 32))], float(p.get("dropout_rate", 0.2)),
+                    float(p.get("learning_rate", 1e-3)), int(p.get("batch_size", 32)), min(losses, default=None),
+                    min(vals, default=None), len(m.history), patience))
+    table = train.sparkSession.createDataFrame(
+        log, "grid_index long, hidden_layers array<int>, dropout_rate double, learning_rate double, batch_size int, "
+             "train_loss double, val_loss double, epochs_trained int, patience int")
+    return table, ranking.best_params(table, "val_loss", "grid_index", higher_is_better=False), dict(enumerate(found))
+
+
 def learning_curve(df: DataFrame, order_cols: list[str], estimator, label: str, k: int = 5,
                    fractions: Sequence[float] | None = None, parallelism: int = DEFAULT_PARALLELISM) -> DataFrame:
     """Per training size, train and held-out R^2 mean/std over folds."""

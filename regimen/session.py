@@ -67,3 +67,12 @@ def materialize(df):
     (A reliable ``checkpoint``, never a machine-local one.)"""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def deal_up(df):
+    """``df`` in at least as many partitions as the cluster has cores.
+
+    Only for a table in fewer: one shuffle before a fit that passes over the rows many times.  A table in
+    more partitions is left as it is, whatever its size."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

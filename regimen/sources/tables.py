@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -14,8 +13,6 @@ from regimen.functions.exprs import as_col, nan_to_null
 # The run-record layout and the file-stamp format.
 RUN_RECORD_FORMAT = "%d    %d  %.5f    %.5f"
 STAMP_FORMAT = "yyyyMMdd-HHmmss"
-#: Where a model that is no Spark ML JVM model keeps its state (JSON).
-STATE = "regimen_state"
 
 DRIVER_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
                  "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -122,28 +119,32 @@ def save_model(model, base_dir: str, model_name: str, score: float, val_score: f
     name = row.select(scored_name("score", "val_score" if val_score is not None else None).alias("n")) \
         .first()["n"]
     path = f"{base_dir.rstrip('/')}/{model_name}/{name}"
-    if hasattr(model, "to_state"):
-        spark.createDataFrame([(json.dumps(model.to_state()),)], "state string").write.mode("overwrite").text(f"{path}/{STATE}")
-    else:
-        model.write().overwrite().save(path)
+    model.write().overwrite().save(path)
     if registry:
         (row.withColumn("path", F.lit(path)).withColumn("saved_at", F.current_timestamp())
          .write.mode("append").parquet(registry))
     return path
 
 
+def best_saved(registry: DataFrame, model_name: str | None = None) -> DataFrame:
+    """The registry's row with the best score (ties: the latest) of each model, or of ``model_name`` alone."""
+    rows = registry if model_name is None else registry.where(F.col("model") == model_name)
+    order = F.struct(F.nanvl("score", F.lit(None).cast("double")).alias("score"), "saved_at", "path")
+    best = rows.groupBy("model").agg(F.max(F.struct(order.alias("o"), "val_score")).alias("b"))
+    return best.select("model", "b.o.path", "b.o.score", "b.val_score", "b.o.saved_at")
+
+
+def load_best(registry: str, model_name: str):
+    """The saved model of that name with the best score."""
+    row = best_saved(SparkSession.getActiveSession().read.parquet(registry), model_name).first()
+    if row is None:
+        raise ValueError(f"no saved model {model_name!r}")
+    return load_model(row["path"])
+
+
 def load_model(path: str):
     """Load a persisted pipeline or model (Spark ML's, or one of this library)."""
     from pyspark.ml import PipelineModel
-
-    from regimen.operators import clean, solvers
-
-    spark = SparkSession.getActiveSession()
-    own = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{STATE}")
-    if own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(own):
-        state = json.loads(spark.read.text(f"{path}/{STATE}", wholetext=True).where("length(value) > 0").first()["value"])
-        kinds = {c.__name__: c for c in (solvers.SVRModel, solvers.MLPModel, clean.PopulationScalerModel)}
-        return kinds[state.pop("kind")].from_state(state)
     from pyspark.ml.util import DefaultParamsReader
 
     meta = DefaultParamsReader.loadMetadata(path, SparkSession.getActiveSession().sparkContext)

@@ -65,7 +65,7 @@ def test_mlp_single_partition_equals_numpy_epochs(spark):
     df = spark.createDataFrame([(q, d, 2.0 * q - 3.0 * d + 1.0) for q, d in rows], "q double, d double, y double") \
         .coalesce(1)
     est = solvers.MLPRegressor(["q", "d"], "y", hidden=(4,), dropout=0.0, learning_rate=0.01, batch_size=8,
-                               epochs=2, patience=None, seed=3)
+                               epochs=2, patience=None, seed=3, validation_size=0)
     model = est.fit(df)
     x = np.array(rows)
     y = 2.0 * x[:, 0] - 3.0 * x[:, 1] + 1.0
@@ -109,3 +109,95 @@ def test_svr_irls_rounds_equal_numpy(spark):
         w, b = sol[:2], sol[2]
     assert np.allclose(m.coef, w, rtol=1e-6, atol=1e-8)
     assert m.intercept == pytest.approx(b, rel=1e-6, abs=1e-8)
+
+
+def exact_kernel_svr(x, y, kernel, C, eps, rounds=60, delta=0.01):
+    """The same objective over the exact kernel matrix (NumPy): f = K a + b with penalty a' K a / 2."""
+    import numpy as np
+
+    k = kernel(x, x)
+    n = len(y)
+    a, b = np.zeros(n), 0.0
+    for _ in range(rounds):
+        e = y - (k @ a + b)
+        i1, i2 = 1 / np.maximum(abs(e - eps), delta), 1 / np.maximum(abs(e + eps), delta)
+        q, t = C / 2 * (i1 + i2), y - eps * (i1 - i2) / (i1 + i2)
+        left = np.block([[k + np.diag(1 / q), np.ones((n, 1))], [np.ones((1, n)), np.zeros((1, 1))]])
+        sol = np.linalg.solve(left, np.append(t, 0.0))
+        a, b = sol[:n], sol[n]
+    return k @ a + b
+
+
+def test_svr_rbf_close_to_the_exact_kernel(spark):
+    import numpy as np
+
+    from regimen.operators.svr import rbf
+
+    r = np.random.default_rng(1)
+    x = r.normal(size=(400, 3))
+    y = np.sin(2 * x[:, 0]) + 0.5 * x[:, 1] ** 2 + r.normal(scale=0.1, size=400)
+    df = spark.createDataFrame([(*map(float, a), float(b)) for a, b in zip(x, y)], "a double, b double, c double, y double")
+    xs = (x - x.mean(0)) / x.std(0)
+    exact = exact_kernel_svr(xs, y, lambda p, q: rbf(p, q, 1 / 3), 1.0, 0.1)
+    want = 1 - ((y - exact) ** 2).sum() / ((y - y.mean()) ** 2).sum()
+    m = solvers.SVR(["a", "b", "c"], "y", kernel="rbf", max_iter=60, tol=1e-5).fit(df)   # 256 landmarks
+    got = metrics.regression_metrics(m.transform(df).withColumnRenamed("y", "label"), []).first().r2
+    assert abs(got - want) < 0.02
+    assert len(m.landmarks) <= 256
+
+
+def test_svr_handles_missing_values(spark):
+    rows = [(float(i), float(i % 5), 2.0 * i) for i in range(50)] + [(None, 1.0, 3.0), (float("nan"), 1.0, 3.0), (4.0, 2.0, None)]
+    df = spark.createDataFrame(rows, "a double, b double, y double")
+    for kernel in ("linear", "poly", "rbf"):
+        m = solvers.SVR(["a", "b"], "y", kernel=kernel, C=10.0, n_components=16, degree=2).fit(df)
+        out = m.transform(df).collect()
+        assert sum(r.prediction is not None and r.prediction == r.prediction for r in out) == 51
+    empty = solvers.SVR(["a", "b"], "y", kernel="linear").fit(df.where("false"))
+    assert empty.transform(df).first().prediction == 0.0
+
+
+def test_svr_grid_equals_single_fits(spark):
+    """Every point and fold of the shared passes is the fit that SVR makes alone."""
+    import numpy as np
+
+    from regimen.operators import svr
+
+    r = np.random.default_rng(3)
+    x = r.normal(size=(120, 2))
+    y = np.cos(x[:, 0]) + x[:, 1]
+    df = spark.createDataFrame([(i % 3, *map(float, a), float(b)) for i, (a, b) in enumerate(zip(x, y))],
+                               "fold int, a double, b double, y double").coalesce(2)
+    points = [{"kernel": "rbf", "C": 1.0, "gamma": "scale"}, {"kernel": "rbf", "C": 1.0, "gamma": "auto"}, {"kernel": "linear", "C": 0.1},
+              {"kernel": "rbf", "C": 10.0, "gamma": 0.3}, {"kernel": "poly", "C": 1.0, "degree": 2}]
+    rows = svr.grid_fold_scores(df, points, ["a", "b"], "y", 3, n_components=200)
+    got = {(gi, f): s for gi, f, _, s in rows}
+    assert len(rows) == 15 and all(n == 40 for _, _, n, _ in rows)
+    assert all(got[0, f] == got[1, f] for f in range(3))
+    for gi, f in ((2, 0), (4, 1), (3, 2), (0, 1)):
+        m = svr.SVR(["a", "b"], "y", n_components=200, **points[gi]).fit(df.where(f"fold != {f}"))
+        alone = metrics.regression_metrics(m.transform(df.where(f"fold = {f}")).withColumnRenamed("y", "label"), []).first().r2
+        assert got[gi, f] == pytest.approx(alone, abs=1e-3 if points[gi]["kernel"] == "rbf" else 1e-9)
+
+
+def test_networks_trained_together_equal_networks_trained_alone(spark):
+    rows = [(float(i % 13), float(i % 5) / 10.0, i % 4 == 0) for i in range(96)]
+    df = spark.createDataFrame([(q, d, 2.0 * q - 3.0 * d + 1.0, v) for q, d, v in rows], "q double, d double, y double, v boolean")
+    points = [{"hidden": (4,), "dropout": 0.1, "learning_rate": 0.05, "batch_size": 8},
+              {"hidden": (8, 4), "dropout": 0.0, "learning_rate": 1e-6, "batch_size": 16}]
+    both = solvers.train_networks(df, ["q", "d"], "y", points, epochs=6, patience=2, validation_col="v", seed=5)
+    for p, m in zip(points, both):
+        alone = solvers.MLPRegressor(["q", "d"], "y", epochs=6, patience=2, validation_col="v", seed=5, **p).fit(df)
+        assert alone.history == m.history and alone.weights == m.weights
+    assert both[0].history[-1][3] < both[0].history[0][3]
+
+
+def test_network_sets_validation_rows_aside_itself(spark):
+    rows = [(float(i % 7), float(i % 3), float(i % 7)) for i in range(200)]
+    df = spark.createDataFrame(rows, "a double, b double, y double")
+    m = solvers.MLPRegressor(["a", "b"], "y", hidden=(4,), epochs=3, learning_rate=0.01).fit(df)
+    assert all(h[3] is not None for h in m.history)
+    from regimen.operators import sampling
+    flags = [sampling.content_holdout(d, ["a", "b", "y"], 0.1, 42).where("is_test").groupBy("a", "b").count().collect()
+             for d in (df, df.repartition(7))]
+    assert sorted(flags[0]) == sorted(flags[1]) and sum(r["count"] for r in flags[0]) == 20
