@@ -8,8 +8,8 @@ losing a link.  With n shingles, a document can lack at most n - ceil(percent *
 partner, so:
 
 1. a row with more columns of its own (held by no other class) than that has no link.  Such columns know their only
-   row, so one count by column and one by row find them: first over a quarter of the columns (by hash),
-   then, for the rows that are left, over all of them, ``ROUNDS`` times;
+   row, so one count by column and one by row find them, over a quarter of the columns (by hash): first of all
+   rows, then of those that are left;
 2. linked rows share one of their first n - ceil(percent * n / 100) + 1 columns, rarest first.  Rows that
    meet in such a column, directly or through others, form a group; rows of different groups have no link;
 3. each group's product is computed in blocks of about ``BLOCK_ROWS`` rows (and ``BLOCK_CELLS`` cells): every pair of
@@ -42,9 +42,8 @@ from regimen.llm.components import connect
 from regimen.llm.decontaminate import Words, has
 
 WIDTH, PERCENT = 3, 90
-#: One column in so many takes part in the first thinning.
+#: One column in so many takes part in the thinning.
 SAMPLED = 4
-ROUNDS = 2
 #: log2 of the bits of the bitmap of rows that are left (4 MB); further rows only pass on to an exact join.
 BITMAP_LOG2 = 25
 BLOCK_ROWS, BLOCK_CELLS = 1 << 10, 1 << 20
@@ -141,14 +140,15 @@ def linkable(rows: DataFrame, own: DataFrame, percent: int) -> DataFrame:
 
 
 def first_columns(sets: DataFrame, percent: int) -> DataFrame:
-    """(h, cid, df): of each row's rarest columns, as many as linked rows must meet in, those that several rows hold."""
-    cells = sets.select("cid", "n", F.explode("cells").alias("h"))
+    """(h, cid, n): of each row's rarest columns, as many as linked rows must meet in, those that several rows hold."""
+    cells = sets.select("cid", F.explode("cells").alias("h"))
     df = cells.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
     row = Window.partitionBy("cid")
     place = F.row_number().over(row.orderBy("df", "h"))
     ranked = cells.join(df, "h").withColumns({"place": place, "several": F.count("*").over(row)})
-    return ranked.where(F.col("n") - F.col("several") + F.col("place") <= F.col("n") - needed(percent) + 1).select(
-        "h", "cid", "n", "df")
+    # place - several <= 1 - needed, so that rows' own columns come first
+    return ranked.join(sets.select("cid", "n"), "cid").where(
+        F.col("place") - F.col("several") <= 1 - needed(percent)).select("h", "cid", "n")
 
 
 def work_units(entries: DataFrame, block_rows: int, block_cells: int) -> DataFrame:
@@ -165,14 +165,14 @@ def work_units(entries: DataFrame, block_rows: int, block_cells: int) -> DataFra
 
     groups = (rows.groupBy("root").agg(F.count("*").alias("rows"), F.sum("n").alias("cells"))
               .withColumn("blocks", blocks("rows", "cells")))
-    columns = (member.groupBy("root", "h").agg(F.count("*").alias("rows"), F.sum("n").alias("cells"))
-               .withColumn("blocks", blocks("rows", "cells")))
+    columns = (member.groupBy("h").agg(F.first("root").alias("root"), F.count("*").alias("rows"), F.sum("n").alias("cells"))
+               .withColumn("blocks", blocks("rows", "cells")))  # all rows of a column are in one group
     by_column = columns.groupBy("root").agg(F.sum(F.col("rows") * F.col("blocks")).alias("repeated"))
     groups = groups.join(by_column, "root").withColumn("whole", F.col("rows") * F.col("blocks") <= F.col("repeated"))
     whole = rows.join(groups.where("whole").select("root", "blocks"), "root").select(
         F.xxhash64("root", F.lit(0)).alias("of"), "cid", "blocks")
-    single = member.join(groups.where("not whole").select("root"), "root").join(
-        columns.select("root", "h", "blocks"), ["root", "h"]).select(F.xxhash64("h", F.lit(1)).alias("of"), "cid", "blocks")
+    alone = columns.join(groups.where("not whole").select("root"), "root").select("h", "blocks")
+    single = member.join(alone, "h").select(F.xxhash64("h", F.lit(1)).alias("of"), "cid", "blocks")
     each = whole.union(single).withColumn("own", F.pmod(F.xxhash64("cid", F.lit(7)), F.col("blocks")))
     each = each.withColumn("with", F.explode(F.expr("sequence(0L, blocks - 1)")))
     unit = F.xxhash64("of", F.least("own", "with"), F.greatest("own", "with"))
@@ -259,9 +259,8 @@ def jaccard_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id
     bits = bitmap(left.select("cid"), BITMAP_LOG2)
     sets = wanted_sets(docs, bits, width, text_col).dropDuplicates(["cid"]).join(left.select("cid"), "cid", "left_semi")
     sets = common.write_shared(sets)
-    for _ in range(ROUNDS):
-        own = own_columns(sets.select("cid", F.explode("cells").alias("h")))
-        sets = common.write_shared(linkable(sets, own, percent))
+    again = own_columns(sets.select("cid", F.explode("cells").alias("h")).where(f"pmod(h, {SAMPLED}) = 0"))
+    sets = common.write_shared(linkable(sets, again, percent))
     entries = common.write_shared(first_columns(sets, percent))
     found = links(work_units(entries, block_rows, block_cells), sets, percent)
     roots = connect(found).withColumnRenamed("node", "cid")

@@ -83,8 +83,8 @@ def test_jaccard_join_of_near_copies(spark, block_rows, percent):
 def test_units_cover_loose_groups_by_column(spark):
     """Rows that meet in a chain of columns: multiplied by column, with the same links."""
     r = random.Random(3)
-    entries = [(h, cid, 10, 2) for cid in range(200) for h in {cid, cid + 1}]
-    df = spark.createDataFrame(entries, "h long, cid long, n long, df long")
+    entries = [(h, cid, 10) for cid in range(200) for h in {cid, cid + 1}]
+    df = spark.createDataFrame(entries, "h long, cid long, n long")
     units = ngram_join.work_units(df, 4, 1 << 20).collect()
     members = {}
     for u in units:
