@@ -8,8 +8,9 @@ phrases of 1 to 4 words and each language's number of words at once.
 
 1. A phrase of ``least`` occurrences holds only words, pairs and triples that occur as often (within its language), so
    windows end early, without a loss, before a word whose pair or triple occurs less.  These grams are counted
-   exactly by hash (per task, then by Spark), and the frequent ones set bits in a bitmap of fixed size.  A
-   bit set by another gram only lets a longer window through.
+   by 40-bit hash, and the frequent ones set bits in a bitmap of fixed size.  Grams that share a hash or a bit
+   only let a longer window through.  Tasks send their sorted hashes as compressed differences, one blob for
+   each range of hashes, about three bytes a gram; a range's blobs are added up together.
 2. Tasks count equal windows of whole runs of text before Spark does.
 3. Phrases' counts of at least ``least`` form a table; cuts, scores and containment are joins with it.
 
@@ -25,6 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -37,7 +39,8 @@ ORDER = 4
 BITMAP_LOG2 = 25
 #: Grams that a task sorts at a time, and bytes of text whose windows it counts together.
 GRAMS = 1 << 21
-RUN_BYTES = 1 << 22
+RUN_BYTES = 3 << 20
+HASH_BITS = 40
 WORDS = [f"w{i + 1}" for i in range(ORDER)]
 
 
@@ -115,18 +118,42 @@ def source_rows(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
 
 
+def pack_sorted(values: np.ndarray) -> bytes:
+    """Sorted integers as compressed byte planes of their differences."""
+    gaps = np.diff(values, prepend=np.uint64(0)).astype("<u8")
+    return zstandard.compress(np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+
+
+def unpack_sorted(blob: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(blob), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
+
+
+def short(gram: np.ndarray) -> np.ndarray:
+    return gram >> np.uint64(64 - HASH_BITS)
+
+
 def frequent_grams(rows: DataFrame, least: int, sizes: list[int], bits: np.ndarray | None = None) -> DataFrame:
-    """(gram): hashes of the (language, words) of the given ``sizes`` that occur ``least`` times or more.
+    """(gram): 40-bit hashes of the (language, words) of the given ``sizes`` that occur ``least`` times or more.
 
-    Of ``bits`` (when given) both parts of a gram that are one word shorter must have theirs set."""
+    Of ``bits`` (when given) both parts of a gram that are one word shorter must have theirs set.  A count above ``least``
+    is sent as ``least``: that changes no sum's being that much."""
     shared = rows.sparkSession.sparkContext.broadcast(bits)
+    log2 = max(6, (4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))).bit_length())
+    borders = np.arange((1 << log2) + 1, dtype=np.uint64) << np.uint64(HASH_BITS - log2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scan, held, many = Pieces(), [], 0
 
         def counted():
             gram, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.record_batch([pa.array(gram.view(np.int64)), pa.array(n)], names=["gram", "n"])
+            cut = np.searchsorted(gram, borders)
+            own = np.flatnonzero(np.diff(cut))
+            n = np.minimum(n, least).astype("<u4")
+            return pa.record_batch([
+                pa.array(own, pa.int32()), pa.array([pack_sorted(gram[cut[r]:cut[r + 1]]) for r in own], pa.binary()),
+                pa.array([zstandard.compress(n[cut[r]:cut[r + 1]].tobytes(), 1) for r in own], pa.binary())],
+                names=["part", "grams", "n"])
 
         for batch in batches:
             keys = language_keys(batch.column(0))
@@ -135,9 +162,9 @@ def frequent_grams(rows: DataFrame, least: int, sizes: list[int], bits: np.ndarr
                 for k in sizes:
                     want = real[k - 1] & (tile[4] >= 0)
                     if bits is not None:
-                        part = has(shared.value, code[k - 2])
+                        part = has(shared.value, short(code[k - 2]))
                         want &= part & shifted(part, 1)
-                    held.append(code[k - 1][want])
+                    held.append(short(code[k - 1][want]))
                     many += len(held[-1])
                 if many >= GRAMS:
                     yield counted()
@@ -145,8 +172,14 @@ def frequent_grams(rows: DataFrame, least: int, sizes: list[int], bits: np.ndarr
         if many:
             yield counted()
 
-    counts = rows.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    return counts.where(F.col("n") >= least).select("gram")
+    def add(part: pa.Table) -> pa.Table:
+        gram = np.concatenate([unpack_sorted(x.as_py()) for x in part.column("grams")])
+        n = np.concatenate([np.frombuffer(zstandard.decompress(x.as_py()), "<u4") for x in part.column("n")])
+        found, place = np.unique(gram, return_inverse=True)
+        return pa.table({"gram": found[np.bincount(place, n) >= least].view(np.int64)})
+
+    blobs = rows.mapInArrow(run, "part int, grams binary, n binary")
+    return blobs.groupBy("part").applyInArrow(add, "gram long")
 
 
 def bitmap(hashes: DataFrame, log2: int) -> np.ndarray:
@@ -174,14 +207,14 @@ class WindowCounts:
     """Equal windows of a run of text, counted."""
 
     def __init__(self):
-        self.code, self.n, self.columns, self.bytes = [], [], [], 0
+        self.code, self.n, self.columns, self.head, self.bytes = [], [], [], [], 0
 
     def add(self, tile: tuple, lang: pa.Array, keys: np.ndarray, bits: np.ndarray, low: np.ndarray) -> None:
         part, start, end, words, row, _ = tile
         if not len(start):
             return
         grams, real = grams_of(tile, keys[np.maximum(row, 0)], ORDER)
-        often = [has(bits, g) & r for g, r in zip(grams[:3], real)]
+        often = [has(bits, short(g)) & r for g, r in zip(grams[:3], real)]
         real = [often[0], often[0] & often[1], often[0] & often[1] & often[2]]
         real.append(real[2] & shifted(often[2], 1))
         code = np.where(real[0], grams[0], keys[np.maximum(row, 0)])
@@ -190,6 +223,7 @@ class WindowCounts:
         own = np.flatnonzero(row >= 0)
         code, first, n = np.unique(code[own], return_index=True, return_counts=True)
         first = own[first]
+        self.head.append(np.stack([g[first] for g in grams[:3]]))
         text = low[part]
         self.code.append(code)
         self.n.append(n)
@@ -200,6 +234,9 @@ class WindowCounts:
     def batch(self) -> pa.RecordBatch:
         code, first, inverse = np.unique(np.concatenate(self.code), return_index=True, return_inverse=True)
         n = np.bincount(inverse, np.concatenate(self.n)).astype(np.int64)
+        head = np.concatenate(self.head, axis=1)[:, first]
+        order = np.lexsort(head[::-1])  # windows that begin alike stand together and compress well
+        first, n = first[order], n[order]
         take = pa.array(first)
         columns = [pa.concat_arrays(list(c)).take(take) for c in zip(*self.columns)]
         return pa.record_batch([*columns, pa.array(n)], names=["lang", *WORDS, "n"])
