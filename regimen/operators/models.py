@@ -99,11 +99,15 @@ def feature_importance(model, features: Sequence[str], model_name: str) -> DataF
     return spark.createDataFrame(rows, "model string, feature string, importance double")
 
 
+def round_losses(model, df: DataFrame) -> list[float]:
+    """Mean squared error on ``df`` of the first 1, 2, ... trees of a boosted model."""
+    assembled = model.stages[0].transform(df) if isinstance(model, PipelineModel) else df
+    return list(last_stage(model).evaluateEachIteration(assembled, "squared"))
+
+
 def training_history_gbt(model, df: DataFrame, model_name: str) -> DataFrame:
     """M9 for boosted trees: squared-error loss after each boosting round."""
-    m = last_stage(model)
-    assembled = model.stages[0].transform(df) if isinstance(model, PipelineModel) else df
-    losses = m.evaluateEachIteration(assembled, "squared")
+    losses = round_losses(model, df)
     spark = SparkSession.getActiveSession()
     return spark.createDataFrame([(model_name, i + 1, float(v)) for i, v in enumerate(losses)],
                                  "model string, epoch int, loss double")

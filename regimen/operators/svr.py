@@ -213,7 +213,7 @@ def fold_r2(table: DataFrame, features: Sequence[str], maps: list[KernelMap], st
     out = {}
     for k, (n, s, ss, left) in _state_sums(table, run).items():
         total = ss - s * s / n if n else 0.0
-        score = None if n < 2 else (1.0 - left / total) if total > 1e-12 * max(ss, 1e-300) else float(left == 0)
+        score = None if n < 2 else float(1.0 - left / total) if total > 1e-12 * max(ss, 1e-300) else float(left == 0)
         out[k] = int(n), score
     return out
 

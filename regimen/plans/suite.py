@@ -30,14 +30,14 @@ RF, GB, SVR_NAME, NN, XGB = "Random Forest", "Gradient Boosting", "SVR", "Neural
 
 
 def default_suite(features: Sequence[str], label: str, trees: int = 100, boost_rounds: int = 100,
-                  rff: int = 256, epochs: int = 100, seed: int = 42) -> dict[str, object]:
+                  landmarks: int = 256, epochs: int = 100, seed: int = 42) -> dict[str, object]:
     """The model suite with its original parameters (RF 100 trees all features;
     GB 100 x 0.1 depth 3; SVR rbf C=1 eps=0.1 on scaled features; network
     [64, 32] dropout 0.2, Adam 1e-3, batch 32)."""
     return {
         RF: models.random_forest(features, label, num_trees=trees, seed=seed),
         GB: models.gbt(features, label, max_iter=boost_rounds, seed=seed),
-        SVR_NAME: solvers.SVR(features, label, kernel="rbf", n_components=rff, seed=seed),
+        SVR_NAME: solvers.SVR(features, label, kernel="rbf", n_components=landmarks, seed=seed),
         NN: solvers.MLPRegressor(features, label, epochs=epochs, seed=seed),
     }
 
@@ -175,6 +175,73 @@ def grid_search_holdout(train: DataFrame, val: DataFrame, build: Builder, grid:
     return table, ranking.best_params(table, score="val_r2", index_col="grid_index")
 
 
+def _staged_fits(grid: dict[str, Sequence], build: Builder, rounds: str) -> tuple[list[dict], list[tuple[dict, list[tuple[int, int]]]]]:
+    """The grid's points, and for each fit that they need its parameters and the (grid index, rounds) read off it.
+
+    Boosting adds one tree a round: a model of 100 rounds holds the model of 50 rounds with the same other
+    parameters and seed, so one fit of the most rounds serves all of them."""
+    points = param_grid(grid)
+    fits: dict[tuple, list[tuple[int, int]]] = {}
+    for gi, p in enumerate(points):
+        fits.setdefault(tuple((k, v) for k, v in p.items() if k != rounds), []).append((gi, p[rounds]))
+    return points, [({**dict(rest), rounds: max(r for _, r in at)}, at) for rest, at in fits.items()]
+
+
+def staged_r2(model, rows: DataFrame, label: str) -> list[float | None]:
+    """R^2 on ``rows`` after each boosting round (A4's rule for constant labels)."""
+    y = F.col(label).cast("double")
+    n, spread = rows.agg(F.count(y), F.var_pop(y)).first()
+    losses = models.round_losses(model, rows)
+    if n < 2:
+        return [None] * len(losses)
+    return [(1.0 - x / spread) if spread else float(x == 0) for x in losses]
+
+
+def score_staged(fits, build: Builder, parts: Sequence[tuple[object, DataFrame, dict[str, DataFrame]]], label: str,
+                 parallelism: int) -> list[tuple]:
+    """``(grid_index, key, part, r2)`` for every fit, every (key, training rows, {part: rows}) and each number of
+    rounds wanted of it; a model is dropped once it is read off."""
+    def one(task):
+        params, at, key, train, rows = task
+        model = build(**params).fit(train)
+        found = []
+        for part, part_rows in rows.items():
+            scores = staged_r2(model, part_rows, label)
+            found += [(gi, key, part, scores[min(r, len(scores)) - 1]) for gi, r in at]
+        return found
+
+    tasks = [(params, at, key, train, rows) for params, at in fits for key, train, rows in parts]
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        return [row for rows in pool.map(one, tasks) for row in rows]
+
+
+def grid_search_boosted(train: DataFrame, val: DataFrame, build: Builder, grid: dict[str, Sequence], label: str,
+                        rounds: str = "max_iter", parallelism: int = 2 * DEFAULT_PARALLELISM) -> tuple[DataFrame, DataFrame]:
+    """E3 for boosted trees: as :func:`grid_search_holdout`, with one fit for all numbers of rounds."""
+    points, fits = _staged_fits(grid, build, rounds)
+    rows = score_staged(fits, build, [(0, train, {"train": train, "val": val})], label, parallelism)
+    wide = {}
+    for gi, _, part, r2 in rows:
+        wide.setdefault(gi, {})[part] = r2
+    scores = train.sparkSession.createDataFrame([(gi, v["train"], v["val"]) for gi, v in wide.items()],
+                                                "grid_index long, train_r2 double, val_r2 double")
+    table = _with_params(train.sparkSession, points, scores)
+    return table, ranking.best_params(table, score="val_r2", index_col="grid_index")
+
+
+def grid_search_boosted_cv(folded: DataFrame, build: Builder, grid: dict[str, Sequence], label: str, k: int,
+                           fold_col: str = "fold", rounds: str = "max_iter",
+                           parallelism: int = 2 * DEFAULT_PARALLELISM) -> tuple[DataFrame, DataFrame]:
+    """E4 for boosted trees: as :func:`grid_search_cv`, with one fit a fold for all numbers of rounds."""
+    points, fits = _staged_fits(grid, build, rounds)
+    folded = materialize(folded)
+    parts = [(f, folded.where(F.col(fold_col) != f), {"test": folded.where(F.col(fold_col) == f)}) for f in range(k)]
+    rows = score_staged(fits, build, parts, label, parallelism)
+    scores = folded.sparkSession.createDataFrame([(gi, f, r2) for gi, f, _, r2 in rows], "grid_index long, fold int, r2 double")
+    table = _with_params(folded.sparkSession, points, metrics.cv_summary(scores, ["grid_index"]))
+    return table, ranking.best_params(table, score="cv_mean", index_col="grid_index")
+
+
 def grid_search_svr(folded: DataFrame, features: Sequence[str], label: str, grid: dict[str, Sequence], k: int,
                     fold_col: str = "fold", **fit) -> tuple[DataFrame, DataFrame]:
     """E4 for SVR: as :func:`grid_search_cv`, with all points and folds fitted by the same passes over the table
