@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from regimen.session import checkpoint_dir
 
@@ -34,6 +35,21 @@ def write_shared(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def beside(docs: DataFrame, text_col: str, find: Callable[[DataFrame], DataFrame], outputs: dict[str, str],
+           keep_text: bool = False) -> DataFrame:
+    """``docs`` (without the text unless ``keep_text``) and the columns that ``find`` adds.
+
+    ``find`` gets the columns ``row`` (all other columns, packed) and ``text`` only, so no name in ``docs`` can clash
+    with its own; ``outputs`` says what its columns are called in the result.  A column of ``docs`` that has
+    the name of an output gives way to it, as with ``withColumn``."""
+    taken = {o.lower() for o in outputs.values()}
+    kept = [c for c in docs.columns if c.lower() not in taken and (keep_text or c != text_col)]
+    packed = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept) if c != text_col]
+    found = find(docs.select(F.struct(F.lit(0).alias("c"), *packed).alias("row"), F.col(f"`{text_col}`").alias("text")))
+    back = [(F.col("text") if c == text_col else F.col(f"row.c{i}")).alias(c) for i, c in enumerate(kept)]
+    return found.select(*back, *[F.col(c).alias(name) for c, name in outputs.items()])
+
+
 def text_buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string or binary column; a null row has length 0."""
     if pa.types.is_dictionary(col.type):

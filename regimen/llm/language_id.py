@@ -44,13 +44,16 @@ class LanguageModel:
 
     def predict(self, docs: DataFrame, text_col: str = "text", lang_col: str = "lang_pred",
                 score_col: str = "score") -> DataFrame:
-        """All columns but the text, the language and its score from 0 to 1."""
-        keep = [c for c in docs.columns if c != text_col]
+        """All columns but the text, the language and its score from 0 to 1 (in place of columns of these names)."""
+        return common.beside(docs, text_col, self.found, {"lang": lang_col, "score": score_col})
+
+    def found(self, rows: DataFrame) -> DataFrame:
+        """``rows`` (row, text), lang and score."""
         if self.model is None:
-            return docs.select(*keep, F.lit(UNKNOWN).alias(lang_col), F.lit(0.0).alias(score_col))
-        letters = F.coalesce(F.col(text_col).rlike("\\p{L}"), F.lit(False)).alias("has_letter_")
-        source = self.model.sums(docs.select(*keep, F.col(text_col), letters), text_col)
-        schema = T.StructType([*source.select(*keep).schema.fields]).add(lang_col, "string").add(score_col, "double")
+            return rows.withColumns({"lang": F.lit(UNKNOWN), "score": F.lit(0.0)})
+        letters = F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False)).alias("has_letter")
+        source = self.model.sums(rows.select("row", "text", letters), "text")
+        schema = T.StructType([*source.select("row").schema.fields]).add("lang", "string").add("score", "double")
         languages = self.languages
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,8 +68,7 @@ class LanguageModel:
                 letter = letter.to_numpy(zero_copy_only=False).astype(bool)
                 lang = np.where(letter, names[best], UNKNOWN)
                 yield pa.record_batch([*batch.columns[:-3], pa.array(lang.tolist(), pa.string()),
-                                       pa.array(np.where(letter, score, 0.0))],
-                                      names=[*batch.schema.names[:-3], lang_col, score_col])
+                                       pa.array(np.where(letter, score, 0.0))], names=["row", "lang", "score"])
 
         return source.mapInArrow(run, schema)
 

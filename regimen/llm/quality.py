@@ -103,21 +103,23 @@ class QualityModel:
         return docs.mapInArrow(run, schema)
 
     def score(self, docs: DataFrame, text_col: str = "text", score_col: str = "score") -> DataFrame:
-        """All columns and the score, from 0 to 1."""
+        """All columns and the score, from 0 to 1 (in place of a column of its name)."""
+        return common.beside(docs, text_col, self.found, {"score": score_col}, keep_text=True)
+
+    def found(self, rows: DataFrame) -> DataFrame:
+        """``rows`` (row, text) and score."""
         if self.dicts is None:
-            return docs.withColumn(score_col, F.lit(self.levels[0]))
-        schema = T.StructType([*docs.schema.fields]).add(score_col, "double")
-        where, dicts = docs.columns.index(text_col), self.dicts
-        bounds, levels = np.array(self.bounds), np.array(self.levels)
+            return rows.withColumn("score", F.lit(self.levels[0]))
+        schema = T.StructType([*rows.schema.fields]).add("score", "double")
+        dicts, bounds, levels = self.dicts, np.array(self.bounds), np.array(self.levels)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             measure = Difference(*dicts)
             for batch in batches:
-                found = [measure(t.as_py() or b"") for t in batch.column(where).cast(pa.binary())]
-                yield pa.record_batch([*batch.columns, pa.array(np.interp(found, bounds, levels))],
-                                      names=[*batch.schema.names, score_col])
+                found = [measure(t.as_py() or b"") for t in batch.column(1).cast(pa.binary())]
+                yield pa.record_batch([*batch.columns, pa.array(np.interp(found, bounds, levels))], names=["row", "text", "score"])
 
-        return docs.mapInArrow(run, schema)
+        return rows.mapInArrow(run, schema)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", dict_rows: int = DICT_ROWS,

@@ -20,7 +20,8 @@ labels, language, source and id are no inputs of a score.
 Defined cases: null text is scored like the empty text (all features zero);
 with labels of one class only, or none, every score is that class's share, or
 0.5; repeated rows are scored each; an empty table gives no rows; all other
-columns are kept by ``score``.
+columns are kept by ``score``, but one of the score's own name gives way to it.  The features of a text do not
+depend on its neighbours, on their order or on how long texts are cut into tiles.
 """
 
 from __future__ import annotations
@@ -42,8 +43,6 @@ from regimen.llm.quality import ACCEPT, labelled_sample, remainder
 
 #: Labelled rows of each class in the sample; half go to the lexicon, a quarter each to trees and calibration.
 ROWS = 3000
-#: Entries of the lexicon.
-LEXICON_SIZE = 20_000
 BEGINNINGS = (4, 5, 6, 7)
 NEAR = 3
 TREES, DEPTH = 20, 3
@@ -89,6 +88,24 @@ def seen_in(sorted_set: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.
     return sorted_set[at] == values, at
 
 
+class LongRow:
+    """What a row longer than a tile carries from tile to tile."""
+
+    def __init__(self):
+        self.keys = np.zeros(0, np.uint64)  # lexicon entries found
+        self.run = 0  # marks at the end
+        self.you = self.hit = self.counted = np.zeros(0, bool)  # of the last words
+
+
+def near_any(flags: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Is a flagged word of the same row within ``NEAR`` words (not the word itself)."""
+    near = np.zeros(len(flags), bool)
+    for d in range(1, NEAR + 1):
+        near[d:] |= flags[:-d] & (row[d:] == row[:-d])
+        near[:-d] |= flags[d:] & (row[d:] == row[:-d])
+    return near
+
+
 class Features:
     def __init__(self, lexicon: np.ndarray, odds: np.ndarray):
         self.lexicon, self.odds = lexicon, odds
@@ -105,17 +122,22 @@ class Features:
         data, offs = common.text_buffers(col)
         out = np.zeros((len(offs) - 1, len(FEATURES)))
         size = np.zeros((len(offs) - 1, 3))  # words, bytes, letters
-        for i, j, lo, hi in common.segments(data, offs, common.TILE, self.scan.cut):
+        state = None
+        for i, j, lo, hi in common.segments(data, offs, common.TILE, self.plain.cut):
+            if j == i + 1 and (lo > offs[i] or hi < offs[j]):  # part of a long row
+                state = LongRow() if lo == offs[i] else state
+            else:
+                state = None
             bounds = np.clip(offs[i:j + 1], lo, hi) - lo
-            self.tile(data[lo:hi], bounds, out[i:j], size[i:j])
+            self.tile(data[lo:hi], bounds, out[i:j], size[i:j], state)
         words, length, letters = (np.maximum(1, size[:, k]) for k in range(3))
         for k, by in enumerate([words, words, words, np.ones(len(words)), words, letters, words, length, length,
                                 np.ones(len(words)), words, words]):
             out[:, k] /= by
         return out
 
-    def tile(self, data: np.ndarray, bounds: np.ndarray, out: np.ndarray, size: np.ndarray) -> None:
-        """Add one tile's counts to its rows; ``mark_run`` is a maximum."""
+    def tile(self, data: np.ndarray, bounds: np.ndarray, out: np.ndarray, size: np.ndarray, state: "LongRow | None" = None) -> None:
+        """Add one tile's counts to its rows; ``mark_run`` is a maximum, ``distinct`` of a long row a count so far."""
         if not len(data):
             return
         rows = len(bounds) - 1
@@ -134,15 +156,21 @@ class Features:
         add(0, hit)
         add(1, any_hit)
         add(2, best)
-        if any_hit.any():
+        if state is not None:
+            state.keys = np.union1d(state.keys, key[any_hit])
+            out[0, 3] = len(state.keys)
+        elif any_hit.any():
             pairs = np.unique(np.stack([row[any_hit].astype(np.uint64), key[any_hit]]), axis=1)[0].astype(np.int64)
             out[:, 3] += np.bincount(pairs, minlength=rows)[:rows]
         you = seen_in(self.you, words)[0]
-        near = np.zeros(len(words), bool)
-        for d in range(1, NEAR + 1):
-            near[d:] |= you[:-d] & (row[d:] == row[:-d])
-            near[:-d] |= you[d:] & (row[d:] == row[:-d])
-        add(4, any_hit & near)
+        if state is None:
+            add(4, any_hit & near_any(you, row))
+        else:  # with the last words of the row's earlier tiles
+            both = state.you, state.hit, state.counted = [np.concatenate(x) for x in (
+                (state.you, you), (state.hit, any_hit), (state.counted, np.zeros(len(you), bool)))]
+            now = both[1] & near_any(both[0], np.zeros(len(both[0]), np.int64))
+            out[0, 4] += np.count_nonzero(now & ~both[2])
+            state.you, state.hit, state.counted = (x[-NEAR:] for x in (both[0], both[1], now))
         by_byte = np.repeat(np.arange(rows), np.diff(bounds))
         upper, mark = self.upper[data], self.mark[data]
         add(5, upper, by=by_byte)
@@ -153,9 +181,15 @@ class Features:
         add(6, (of(ups) > 1) & (of(ups) == of(letters)))
         add(7, self.exclaim[data], by=by_byte)
         add(8, mark, by=by_byte)
-        run = np.diff(np.concatenate([[0], mark.astype(np.int8), [0]]))
-        first, last = np.flatnonzero(run == 1), np.flatnonzero(run == -1)
-        np.maximum.at(out[:, 9], by_byte[first], last - first)
+        joined = mark[1:] & mark[:-1] & (by_byte[1:] == by_byte[:-1])  # a run ends with its row
+        first = np.flatnonzero(mark & ~np.concatenate([[False], joined]))
+        last = np.flatnonzero(mark & ~np.concatenate([joined, [False]])) + 1
+        run = last - first
+        if state is not None:
+            if len(run) and first[0] == 0:
+                run[0] += state.run
+            state.run = int(run[-1]) if len(run) and last[-1] == len(data) else 0
+        np.maximum.at(out[:, 9], by_byte[first], run)
         add(10, (of(letters) > 0) & (of(digits) > 0))
         own = self.plain.tile(data, bounds)[0]
         s2, e2 = self.plain.last
@@ -203,14 +237,17 @@ class ToxicityModel:
         return made.withColumn("margin", vector_to_array("raw_probability")[1]).drop(*own, "rate_vector")
 
     def score(self, docs: DataFrame, text_col: str = "text", score_col: str = "score") -> DataFrame:
-        """All columns but the text, and the score from 0 to 1."""
+        """All columns but the text, and the score from 0 to 1 (in place of a column of its name)."""
+        return common.beside(docs, text_col, self.found, {"raw_score": score_col})
+
+    def found(self, rows: DataFrame) -> DataFrame:
+        """``rows`` (row, text) with ``raw_score`` in place of the text."""
         if self.trees is None:
-            return docs.drop(text_col).withColumn(score_col, F.lit(self.flat))
-        scored = self.curve.transform(self.raw(self.features(docs, text_col))).drop("margin")
-        return scored.withColumnRenamed("raw_score", score_col)
+            return rows.withColumn("raw_score", F.lit(self.flat))
+        return self.curve.transform(self.raw(self.features(rows)))
 
 
-def learn_lexicon(rows: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+def learn_lexicon(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of words and beginnings that mark label 1 in ``rows`` (y, text), with their log-odds."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scan, held = Words(), []
@@ -239,14 +276,14 @@ def learn_lexicon(rows: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
     odds = F.log((F.col("bad") + 0.5) / (n.get(1, 0) + 1) / ((F.col("fine") + 0.5) / (n.get(0, 0) + 1)))
     least = max(3, n.get(1, 0) // 200)
     found = (counts.withColumn("odds", odds).where((F.col("bad") >= least) & (F.col("odds") > 2.5))
-             .orderBy(F.desc(F.col("odds") * F.col("bad")), "token").limit(size).collect())
+             .collect())  # bounded by the sample: every entry is in ``least`` of its toxic texts
     token = np.array([r["token"] for r in found], np.int64).view(np.uint64)
     order = np.argsort(token)
     return token[order], np.array([r["odds"] for r in found])[order]
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = ROWS, size: int = LEXICON_SIZE,
-        id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = ROWS, id_col: str = "doc_id",
+        text_col: str = "text") -> ToxicityModel:
     """Learn from the rows of ``labels`` (doc_id and ``label``), which the caller has restricted to training rows."""
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     part = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(4))
@@ -255,7 +292,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = RO
     shares = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
     if len(shares) < 2:
         return ToxicityModel(np.zeros(0, np.uint64), np.zeros(0), flat=float(next(iter(shares), 0.5)))
-    lexicon, odds = learn_lexicon(sample.where("part < 2").select("y", "text"), size)
+    lexicon, odds = learn_lexicon(sample.where("part < 2").select("y", "text"))
     model = ToxicityModel(lexicon, odds)
     rated = common.write_shared(model.features(sample))
     fits = [rated.where("part = 2"), rated.where("part = 3")]

@@ -114,16 +114,20 @@ def fit(decided: DataFrame, order: int = ORDER) -> RatioModel:
 
 
 def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, url_col: str = "url") -> DataFrame:
-    """All columns, host, path, rule, verdict, ratio and score."""
-    rows = with_host_and_path(pages, url_col)
+    """All columns, host, path, rule, verdict, ratio and score (in place of columns of these names)."""
+    outputs = ["host", "path", "rule", "verdict", "ratio", "score"]
+    return common.beside(pages, url_col, lambda rows: judged_urls(rows, rules), {c: c for c in outputs}, keep_text=True)
+
+
+def judged_urls(urls: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
+    """``urls`` (row, text: the URL) and the filter's columns."""
+    rows = with_host_and_path(urls, "text")
     rows = (rows.withColumn("rule", first_fit(rules, lambda r: r[1] + r[2]))
-            .withColumn("by_rule_", first_fit(rules, lambda r: r[0]))
-            .withColumn("judged_", F.concat("host", "path")))
-    decided = rows.where("by_rule_ is not null").select(F.col("judged_").alias("text"),
-                                                        (F.col("by_rule_") == "allow").alias("allowed"))
-    judged = fit(decided).judge(rows, "judged_", "ratio", "score")
-    verdict = F.coalesce("by_rule_", F.when(F.col("score") >= 0.5, "allow").otherwise("block"))
-    return judged.withColumn("verdict", verdict).drop("by_rule_")
+            .withColumn("by_rule", first_fit(rules, lambda r: r[0]))
+            .withColumn("judged", F.concat("host", "path")))
+    decided = rows.where("by_rule is not null").select(F.col("judged").alias("text"), (F.col("by_rule") == "allow").alias("allowed"))
+    judged = fit(decided).judge(rows, "judged", "ratio", "score")
+    return judged.withColumn("verdict", F.coalesce("by_rule", F.when(F.col("score") >= 0.5, "allow").otherwise("block")))
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

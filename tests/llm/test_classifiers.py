@@ -9,7 +9,9 @@ import numpy as np
 import pytest
 from fixtures import documents, empty, prose, with_repeats
 
-from regimen.llm import bytelm, language_id, quality, toxicity
+from pyspark.sql import functions as F
+
+from regimen.llm import bytelm, language_id, quality, toxicity, url_filter
 
 SYLLABLES = {"aa": ["tha", "ing", "er", "on"], "bb": ["sch", "ung", "ei", "pf"], "cc": ["ção", "ñe", "lla", "os"]}
 
@@ -209,7 +211,7 @@ def test_marks_deep_in_long_texts_are_learned(spark, monkeypatch):
     rude = spark.createDataFrame([(i % 2, head * 2 + (" zork" if i % 2 else " ") * 3) for i in range(24)], "y int, text string")
     for tile in (1 << 18, 1 << 14):
         monkeypatch.setattr(toxicity.common, "TILE", tile)
-        assert toxicity.word_hash(["zork"])[0] in toxicity.learn_lexicon(rude, 100)[0]
+        assert toxicity.word_hash(["zork"])[0] in toxicity.learn_lexicon(rude)[0]
     labels = spark.createDataFrame([(i, i % 2) for i in range(24)], "doc_id long, toxic int")
     named = spark.createDataFrame([(i, head * 2 + (" zork" if i % 2 else " ") * 3) for i in range(24)], "doc_id long, text string")
     monkeypatch.setattr(toxicity.common, "TILE", 1 << 18)
@@ -241,11 +243,89 @@ def test_features_count_what_they_say(monkeypatch):
     assert rates[4][at["unmasked"]] > 0 and rates[4][at["mixed"]] > 0
     assert rates[5][at["word_hits"]] == 0 and rates[6][at["near_you"]] > 0
     monkeypatch.setattr(toxicity.common, "TILE", 64)
-    again = toxicity.Features(lexicon, np.array([3.0])).rates(pa.array(texts))
-    near = at["near_you"]  # a pronoun and a hit may fall into two tiles of one long text
-    assert np.allclose(np.delete(again, near, 1), np.delete(rates, near, 1))
+    assert np.allclose(toxicity.Features(lexicon, np.array([3.0])).rates(pa.array(texts)), rates)
+
+
+def plain_rates(text, lexicon, odds):
+    """The features of one text, word by word."""
+    import re
+
+    raw = (text or "").encode()
+    low = bytes(b + 32 if 65 <= b <= 90 else b for b in raw)
+    words = [(m.start(), m.end()) for m in re.finditer(rb"[0-9a-z\x80-\xff]+", low)]
+    def entry(w):
+        tries = [w] + [w[:p] for p in toxicity.BEGINNINGS]
+        found = [t for t in tries if t in lexicon]
+        return (found[0], max(odds[lexicon.index(t)] for t in found)) if found else None
+    hits = [entry(low[a:b]) for a, b in words]
+    you = [low[a:b].decode(errors="replace") in toxicity.SECOND_PERSON.split() for a, b in words]
+    upper = lambda x: sum(65 <= b <= 90 for b in x)
+    letters = lambda x: sum(65 <= b <= 90 or 97 <= b <= 122 or b >= 128 for b in x)
+    digits = lambda x: sum(48 <= b <= 57 for b in x)
+    meant = {ord(a): ord(b) for a, b in zip(toxicity.MASKED, toxicity.MEANT)}
+    unmasked = 0
+    for m in re.finditer(rb"[0-9a-z\x80-\xff@$!|*]+", low):
+        w = bytes(meant.get(b, b) for b in m.group())
+        starts = [a for (a, _), h in zip(words, hits) if h]
+        signs = sum(not (48 <= b <= 57 or 97 <= b <= 122 or b >= 128) or 48 <= b <= 57 for b in m.group())
+        unmasked += w in lexicon and len(w) > 2 and m.start() not in starts and signs > 0
+    n, size = max(1, len(words)), max(1, len(raw))
+    marks = rb"[!-/:-@\[-`{-~]"
+    return [sum(low[a:b] in lexicon for a, b in words) / n, sum(h is not None for h in hits) / n, sum(h[1] for h in hits if h) / n,
+            len({h[0] for h in hits if h}),
+            sum(h is not None and any(you[max(0, i - 3):i] + you[i + 1:i + 4]) for i, h in enumerate(hits)) / n,
+            upper(raw) / max(1, letters(raw)), sum(upper(raw[a:b]) > 1 and upper(raw[a:b]) == letters(raw[a:b]) for a, b in words) / n,
+            sum(b in b"!?" for b in raw) / size, len(re.findall(marks, raw)) / size,
+            max((len(x) for x in re.findall(marks + b"+", raw)), default=0),
+            sum(letters(raw[a:b]) > 0 and digits(raw[a:b]) > 0 for a, b in words) / n, unmasked / n]
+
+
+@pytest.mark.parametrize("tile", [1 << 18, 64, 17])
+def test_features_of_a_text_do_not_depend_on_its_neighbours(monkeypatch, tile):
+    import pyarrow as pa
+
+    monkeypatch.setattr(toxicity.common, "TILE", tile)
+    entries = ["idiot", "zork", "moro", "blarg", "ärger"]
+    hashes = np.array([toxicity.word_hash([w])[0] for w in entries])
+    order = np.argsort(hashes)
+    measure = toxicity.Features(hashes[order], np.array([3.0, 2.7, 4.0, 5.0, 2.6])[order])
+    odds = [3.0, 2.7, 4.0, 5.0, 2.6]
+    r = random.Random(tile)
+    parts = ["you", "YOU", "idiot", "id!ot", "zorking", "MORON", "bl4rg", "Ärger", "ärger", "fine", "x1", "...", "!!!", "?", "tú", "$$", "*a*", "word"]
+    texts = [None, "", "hey!!!", "???what", "!!!", "!?"]
+    texts += ["".join(r.choice(parts) + r.choice([" ", " ", "", "\n", "! "]) for _ in range(r.randint(1, 90)))
+              for _ in range(60)]
+    want = np.array([plain_rates(t, [e.encode() for e in entries], odds) for t in texts])
+    for _ in range(3):
+        at = list(range(len(texts)))
+        r.shuffle(at)
+        assert np.allclose(measure.rates(pa.array([texts[i] for i in at], pa.string())), want[at])
+
+
+def test_column_names_never_clash(spark, tmp_path):
+    """Every internal and output name as a column of the input: kept, or replaced by the output of that name."""
+    from fixtures import TEXTS
+
+    names = ["row", "rates", "rate_vector", "raw_score", "margin", "rate_marks", "score", "lang_pred", "row_", "bytes_", "sums_",
+             "host", "path", "rule", "verdict", "ratio", "u_", "r_", "by_rule", "judged", "c0", "c", "has_letter", "difference"]
+    docs = documents(spark).drop("score").selectExpr("doc_id", "text", "lang", *[f"concat('{n}', doc_id) as `{n}`" for n in names])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(len(TEXTS))], "doc_id long, y int")
+    made = {
+        ("score",): quality.fit(docs, labels, "y").score(docs),
+        ("score", ""): toxicity.fit(docs, labels, "y").score(docs),
+        ("lang_pred", "score"): language_id.fit(docs).predict(docs),
+        ("host", "path", "rule", "verdict", "ratio", "score"): url_filter.filter_urls(docs.drop("text").withColumn(
+            "url", F.concat(F.lit("http://a.net/fr/"), "doc_id"))),
+    }
+    for outs, df in made.items():
+        rows = df.collect()
+        assert len(rows) == len(TEXTS) and len(set(df.columns)) == len(df.columns)
+        for r in rows:
+            for n in names:
+                assert n in outs or r[n] == f"{n}{r.doc_id}"
+        assert all(not str(r[o]).startswith(o) for r in rows for o in outs if o)
 
 
 def test_lexicon_of_prose_is_empty(spark):
     rows = spark.createDataFrame([(i % 2, prose(i, 30)) for i in range(20)], "y int, text string")
-    assert len(toxicity.learn_lexicon(rows, 100)[0]) < 10
+    assert len(toxicity.learn_lexicon(rows)[0]) < 10
