@@ -6,9 +6,9 @@ columns w1..w4 padded with null.  Only these longest windows are counted; a Spar
 (lang, w1, w2, w3, w4) then sums them over successively shorter prefixes, which gives the counts of all
 phrases of 1 to 4 words and each language's number of words at once.
 
-1. A phrase of ``least`` occurrences holds only words, pairs and triples that occur as often (within its language), so
-   windows end early, without a loss, before a word whose pair or triple occurs less.  These grams are counted
-   by 40-bit hash, and the frequent ones set bits in a bitmap of fixed size.  Grams that share a hash or a bit
+1. A phrase of ``least`` occurrences holds only phrases that occur as often (within its language), so windows end
+   early, without a loss, before a word that would make a rarer phrase.  Grams of 1 to 4 words, each length
+   among those whose parts are frequent, are counted by 40-bit hash, and the frequent ones set bits in a bitmap of fixed size.  Grams that share a hash or a bit
    only let a longer window through.  Tasks send their sorted hashes as compressed differences, one blob for
    each range of hashes, about three bytes a gram; a range's blobs are added up together.
 2. Tasks count equal windows of whole runs of text before Spark does.
@@ -35,7 +35,7 @@ from regimen.llm.decontaminate import Words, has
 
 LEAST, TOP, SHARE = 30, 2000, 80
 ORDER = 4
-#: log2 of the bits of the bitmap of frequent words, pairs and triples (4 MB).
+#: log2 of the bits of the bitmap of frequent grams (4 MB).
 BITMAP_LOG2 = 25
 #: Grams that a task sorts at a time, and bytes of text whose windows it counts together.
 GRAMS = 1 << 21
@@ -214,9 +214,9 @@ class WindowCounts:
         if not len(start):
             return
         grams, real = grams_of(tile, keys[np.maximum(row, 0)], ORDER)
-        often = [has(bits, short(g)) & r for g, r in zip(grams[:3], real)]
-        real = [often[0], often[0] & often[1], often[0] & often[1] & often[2]]
-        real.append(real[2] & shifted(often[2], 1))
+        real = [has(bits, short(g)) & r for g, r in zip(grams, real)]
+        for k in range(1, ORDER):
+            real[k] &= real[k - 1]
         code = np.where(real[0], grams[0], keys[np.maximum(row, 0)])
         for k in range(1, ORDER):
             code = np.where(real[k], grams[k], code)
@@ -267,7 +267,8 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, text_col: str = "text", l
     language's number of words (``words`` empty)."""
     rows = source_rows(docs, text_col, lang_col)
     bits = bitmap(frequent_grams(rows, least, [1, 2]), bitmap_log2)
-    bits |= bitmap(frequent_grams(rows, least, [3], bits), bitmap_log2)
+    for size in range(3, ORDER + 1):
+        bits |= bitmap(frequent_grams(rows, least, [size], bits), bitmap_log2)
     distinct = windows(rows, bits).groupBy("lang", *WORDS).agg(F.sum("n").alias("n"))
     rolled = distinct.rollup("lang", *WORDS).agg(F.sum("n").alias("f"), F.grouping_id().alias("gid"))
     # a prefix of i words leaves the last 4 - i columns out; padding as the last column kept repeats a shorter prefix
