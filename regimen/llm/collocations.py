@@ -11,7 +11,8 @@ phrases of 1 to 4 words and each language's number of words at once.
    among those whose parts are frequent, are counted by 40-bit hash, and the frequent ones set bits in a bitmap of fixed size.  Grams that share a hash or a bit
    only let a longer window through.  Tasks send their sorted hashes as compressed differences, one blob for
    each range of hashes, about three bytes a gram; a range's blobs are added up together.
-2. Tasks count equal windows of whole runs of text before Spark does.
+2. Tasks count equal windows of whole runs of text before Spark does, and each task takes ``SPLITS`` input splits, so
+   that more of the equal windows meet before the shuffle.
 3. Phrases' counts of at least ``least`` form a table; cuts, scores and containment are joins with it.
 
 Defined cases: null or empty text has no words; null lang is ``und``, together with rows that say ``und``; repeated
@@ -41,6 +42,8 @@ BITMAP_LOG2 = 25
 GRAMS = 1 << 21
 RUN_BYTES = 3 << 20
 HASH_BITS = 40
+#: Input splits of a task that counts windows.
+SPLITS = 4
 WORDS = [f"w{i + 1}" for i in range(ORDER)]
 
 
@@ -269,7 +272,8 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, text_col: str = "text", l
     bits = bitmap(frequent_grams(rows, least, [1, 2]), bitmap_log2)
     for size in range(3, ORDER + 1):
         bits |= bitmap(frequent_grams(rows, least, [size], bits), bitmap_log2)
-    distinct = windows(rows, bits).groupBy("lang", *WORDS).agg(F.sum("n").alias("n"))
+    few = rows.coalesce(max(1, rows.rdd.getNumPartitions() // SPLITS))
+    distinct = windows(few, bits).groupBy("lang", *WORDS).agg(F.sum("n").alias("n"))
     rolled = distinct.rollup("lang", *WORDS).agg(F.sum("n").alias("f"), F.grouping_id().alias("gid"))
     # a prefix of i words leaves the last 4 - i columns out; padding as the last column kept repeats a shorter prefix
     kept = F.lit(False)
