@@ -9,9 +9,9 @@ are packed whole:
    numbers of pieces; every length is rounded up to its group's largest;
 3. configurations of the few rounded sizes are optimised by a linear program with column generation
    (simplex; knapsack pricing), and its solution is rounded down;
-4. actual pieces take the rounded slots, so sequences have more room than planned; one left with more than
-   ``SLACK`` free tokens is given up again.  What is left over, and then the small lengths, go best fit
-   (descending) into the fullest sequence with room, or a new one.
+4. actual pieces take the rounded slots and stay there; what they leave free is used by longer pieces in the
+   last slots (see ``substitute``).  The few that rounding the solution down has left over, and then the small
+   lengths, go best fit (descending) into the fullest sequence with room, or a new one.
 
 Steps 2-4 work on counts of equal sequences, so their size does not grow with the number of documents.
 The plan is a bounded table of (length, rank interval) -> (sequence, offset).  Pieces get their rank
@@ -25,6 +25,7 @@ own; lengths that tie take ranks by hash and id; an empty table gives no rows; o
 
 from __future__ import annotations
 
+import bisect
 import json
 import os
 import zlib
@@ -42,8 +43,9 @@ TOKENIZER = "word_bpe_49k.json"
 CAPACITY = 2048
 END_ID = 0
 GROUPS = 96
-#: Tokens that a sequence of the optimised configurations may leave free before its pieces are placed best fit.
-SLACK = 4
+#: Tokens that a sequence of large pieces may leave free before a small piece is used to fill it exactly:
+#: the plan is made with each of these, and the shortest is kept.
+SPARES = (2, 5, 10, 30, CAPACITY)
 #: Fragments that a worker remembers, else those that so many last tiles used; bytes of text in a tile;
 #: the length from which the tokenizer library merges a fragment by itself.
 KEEP, RECENT, BATCH, LONG = 400_000, 8, 1 << 20, 100
@@ -431,49 +433,96 @@ def optimise(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int =
     return [(int(x + 1e-6), columns[:, j].astype(np.int64)) for j, x in enumerate(amount) if x + 1e-6 >= 1 and k]
 
 
-def make_plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS, slack: int = SLACK) -> list[tuple[int, list]]:
-    """[(sequences, [length, ...])]: classes of equal sequences that hold every piece once."""
+class Stock:
+    """How many pieces of each length are left."""
+
+    def __init__(self, counts: dict[int, int]):
+        self.count = dict(counts)
+        self.lengths = sorted(n for n, c in counts.items() if c)
+
+    def longest(self, most: int) -> int:
+        """The longest length left of at most ``most`` tokens, or 0."""
+        at = bisect.bisect_right(self.lengths, most)
+        return self.lengths[at - 1] if at else 0
+
+    def take(self, length: int, n: int) -> None:
+        self.count[length] -= n
+        if not self.count[length]:
+            self.lengths.remove(length)
+
+
+def substitute(stock: Stock, small: Stock, slots: list[int], times: int, capacity: int, spare: int) -> list[tuple[int, list[int]]]:
+    """Actual pieces for ``times`` sequences with the rounded sizes ``slots`` (descending).
+
+    Each slot takes the longest piece left that is no longer than its size; but the last one takes the longest
+    that fits what the others, being shorter than planned, have left free.  While room is left, longer pieces
+    replace those that are held; where that does not fill the sequence, a large and a small piece that do take the place
+    of one.  A sequence for which no piece is left is not made."""
+    def left(most: int, taken: list[int]) -> int:
+        n = stock.longest(most)
+        while n and stock.count[n] <= taken.count(n):  # this sequence has taken the last one
+            n = stock.longest(n - 1)
+        return n
+
+    out = []
+    while times and stock.lengths:
+        held = []
+        for size in slots[:-1]:
+            held += [n] if (n := left(size, held)) else []
+        room = capacity - sum(held)
+        held += [n] if (n := left(room if held else slots[-1], held)) else []
+        if not held:
+            break
+        while room := capacity - sum(held):  # a longer piece in the place of one that is held
+            longer = [(left(h + room, held) - h, i) for i, h in enumerate(held)]
+            gain, i = max(longer)
+            if gain <= 0:
+                break
+            held[i] += gain
+        if (room := capacity - sum(held)) > spare:
+            pairs = ((i, n) for i, h in enumerate(held) for n in reversed(small.lengths)
+                     if stock.count.get(h + room - n, 0) > held.count(h + room - n))
+            if found := next(pairs, None):
+                i, n = found
+                held[i] += room - n
+                held.append(n)
+        kinds = [(stock if n in stock.count else small, n) for n in held]
+        step = min([times, *(kind.count[n] // held.count(n) for kind, n in kinds)])
+        for kind, n in kinds:
+            kind.take(n, step)
+        out.append((step, held))
+        times -= step
+    return out
+
+
+def make_plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS,
+              placed: list[int] | None = None) -> list[tuple[int, list]]:
+    """[(sequences, [length, ...])]: classes of equal sequences that hold every piece once.
+
+    ``placed``, when given, gets the number of large pieces that the configurations hold, and of all."""
     left = {n: c for n, c in counts.items() if c}
-    classes: list[tuple[int, list[int]]] = []
-    large = {n: c for n, c in left.items() if capacity // 8 < n < capacity}
-    if capacity in left:
-        classes.append((left.pop(capacity), [capacity]))
-    if large:
-        parts = linear_groups(large, groups)
-        sizes = np.array([p[0][0] for p in parts])
-        demand = np.array([sum(c for _, c in p) for p in parts], float)
-        queue = [[list(x) for x in p] for p in parts]  # actual lengths of each group, largest first
-        for times, config in optimise(sizes, demand, capacity):
-            slots = []
-            for g in np.flatnonzero(config):
-                for _ in range(config[g]):  # each slot takes the next actual pieces of its group
-                    run, need = [], times
-                    while need and queue[g]:
-                        take = min(need, queue[g][0][1])
-                        run.append([queue[g][0][0], take])
-                        left[queue[g][0][0]] -= take
-                        queue[g][0][1] -= take
-                        need -= take
-                        if not queue[g][0][1]:
-                            queue[g].pop(0)
-                    if need:
-                        run.append([0, need])  # more slots than pieces: empty
-                    slots.append(run)
-            done = 0
-            while done < times:
-                step = min(run[0][1] for run in slots)
-                held = [run[0][0] for run in slots if run[0][0]]
-                if capacity - sum(held) <= slack:
-                    classes.append((step, held))
-                else:  # too much room after substitution: its pieces go best fit
-                    for length in held:
-                        left[length] += step
-                for run in slots:
-                    run[0][1] -= step
-                    if not run[0][1]:
-                        run.pop(0)
-                done += step
-    return best_fit(classes, left, capacity)
+    full = [(left.pop(capacity), [capacity])] if capacity in left else []
+    large = {n: c for n, c in left.items() if n > capacity // 8}
+    if not large:
+        return best_fit(full, left, capacity)
+    parts = linear_groups(large, groups)
+    sizes = np.array([p[0][0] for p in parts])
+    demand = np.array([sum(c for _, c in p) for p in parts], float)
+    configurations = [(times, sorted((int(sizes[g]) for g in np.flatnonzero(config) for _ in range(config[g])), reverse=True))
+                      for times, config in optimise(sizes, demand, capacity)]
+    configurations.sort(key=lambda x: -len(x[1]))
+    best = None
+    for spare in SPARES:
+        stock, small, classes = Stock(large), Stock({n: c for n, c in left.items() if n not in large}), list(full)
+        for times, slots in configurations:
+            classes += substitute(stock, small, slots, times, capacity, spare)
+        held = sum(large.values()) - sum(stock.count.values())
+        plan = best_fit(classes, stock.count | small.count, capacity)
+        if best is None or sum(t for t, _ in plan) < sum(t for t, _ in best[0]):
+            best = plan, held
+    if placed is not None:
+        placed += [best[1], sum(large.values())]
+    return best[0]
 
 
 def best_fit(classes: list[tuple[int, list[int]]], left: dict[int, int], capacity: int) -> list[tuple[int, list[int]]]:
