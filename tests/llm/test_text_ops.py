@@ -11,7 +11,9 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+import xxhash
 from fixtures import SHARED, TEXTS, documents, empty, prose, with_repeats
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from regimen.llm import decontaminate, order_minhash, packing, url_filter, warc
@@ -126,21 +128,37 @@ def test_warc_records_have_a_date(spark):
         assert len(found) == 14 and all(len(x) == 1 and re.fullmatch(want, x[0]) for x in found)
 
 
-def brute_signature(text, k=2, bins=64, size=2):
-    """The same definition with sets and sorted lists, on another hash: compares likeness, not bits."""
-    tokens = [t[i:i + 16] for t in re.findall(r"[^ \t\n\x0b\f\r]+", text) for i in range(0, len(t), 16)]
-    seen, elements = Counter(), {}
+def sql_hash(*values):
+    """Spark's xxhash64 of strings, longs and (as a pair with 4) ints, as a signed number."""
+    seed = 42
+    for v in values:
+        if v is not None:
+            raw = v.encode() if isinstance(v, str) else v[0].to_bytes(4, "little") if isinstance(v, tuple) else v.to_bytes(8, "little", signed=True)
+            seed = xxhash.xxh64_intdigest(raw, seed)
+    return seed - (1 << 64) if seed >> 63 else seed
+
+
+def brute_signature(text, k=2, functions=64, run=16, bits=26):
+    """Order MinHash by its definition: every function sorts all elements and takes the two smallest."""
+    tokens = []
+    for word in re.findall(r"[^ \t\n\x0b\f\r]+", text):
+        tokens += [word] if len(word) <= run else list(word)
+    seen, elements = Counter(), []
     for at in range(len(tokens)):
-        kmer = tuple(tokens[at:at + k])
-        h = int.from_bytes(hashlib.blake2b(repr((kmer, seen[kmer])).encode(), digest_size=8).digest(), "big")
+        kmer = sql_hash(*tokens[at:at + k]) >> bits
+        elements.append((sql_hash(kmer, (seen[kmer],)) >> bits, at))
         seen[kmer] += 1
-        elements.setdefault(h % bins, []).append((h, at))
-    return {(b, tuple(h for _, h in sorted((at, h) for h, at in sorted(e)[:size]))) for b, e in elements.items()}
+    out = []
+    for i in range(functions) if elements else ():
+        begin = (i - functions // 2) << 58
+        least = sorted(elements, key=lambda e: ((e[0] << bits) + e[1] - begin) % (1 << 64))[:2]
+        least = sorted((least * 2)[:2], key=lambda e: e[1])
+        out.append(sql_hash(*(h for h, _ in least)) & 0xFFFFFFFF)
+    return out
 
 
 def brute_likeness(a, b):
-    bins = {x for x, _ in a} | {x for x, _ in b}
-    return len(a & b) / len(bins) if bins else 1.0
+    return sum(x == y for x, y in zip(a, b)) / max(len(a), len(b)) if a or b else 1.0
 
 
 def test_order_minhash(spark):
@@ -161,9 +179,9 @@ def test_order_minhash(spark):
         by_text.setdefault(text, set()).add(r.fingerprint)
         if edited == text:
             assert r.near_edited == 1.0 and r.fingerprint == r.edited_fingerprint
-        if len(text) > 4000:
-            own = brute_likeness(brute_signature(text), brute_signature(edited))
-            assert abs(own - r.near_edited) < 0.3
+        own, other, then = (brute_signature(t) for t in (text, edited, following))
+        assert r.fingerprint == "".join(f"{x:08x}" for x in own) and r.edited_fingerprint == "".join(f"{x:08x}" for x in other)
+        assert r.near_edited == brute_likeness(own, other) and r.near_next == brute_likeness(own, then)
     assert all(len(v) == 1 for v in by_text.values())
     assert order_minhash.fingerprint_documents(empty(spark)).count() == 0
     single = order_minhash.fingerprint_documents(docs.where("doc_id = 11")).collect()
@@ -171,6 +189,28 @@ def test_order_minhash(spark):
     assert order_minhash.fingerprint_documents(with_repeats(spark)).count() == with_repeats(spark).count()
 
 
+def test_one_character_more_changes_little_in_any_script(spark):
+    r = random.Random(8)
+    chinese = "".join(chr(r.randrange(0x4E00, 0x9FA0)) for _ in range(2000))
+    thai = "".join(chr(r.randrange(0x0E01, 0x0E2E)) for _ in range(2000))
+    code = "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(2000))
+    words = prose(77, 600)
+    texts = [t for x in (chinese, thai, code, words) for t in (x, "x" + x)]
+    rows = {x.doc_id: x for x in order_minhash.fingerprint_documents(documents(spark, texts)).collect()}
+    for i in range(1, len(texts), 2):
+        assert rows[i].near_next > 0.85
+
+
+def test_ranges_follow_ids_of_any_type(spark):
+    bounds = sorted({random.Random(1).randrange(1000) for _ in range(300)}, reverse=True)
+    for kind in ("long", "string", "double"):
+        df = spark.range(1000).selectExpr(f"cast(id as {kind}) as doc_id").union(spark.sql(f"select cast(null as {kind})"))
+        own = [r[0] for r in spark.createDataFrame([(b,) for b in bounds], "b long").selectExpr(f"cast(b as {kind}) as b").orderBy(
+            F.desc("b")).collect()]
+        for row in df.withColumn("n", order_minhash.range_of(own, df.schema["doc_id"].dataType)).collect():
+            assert row.n == (len(own) if row.doc_id is None else sum(b > row.doc_id for b in own))
+
+
 def test_order_minhash_follows_order_and_ranges(spark, monkeypatch):
     monkeypatch.setattr(order_minhash, "RANGE_ROWS", 3)
     texts = [prose(i, 30) for i in range(40)]
