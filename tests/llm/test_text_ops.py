@@ -336,3 +336,20 @@ def test_configurations_hold_the_large_pieces(seed, mean):
     assert placed[1] == sum(c for n, c in counts.items() if 256 < n < 2048) and placed[0] >= 0.9 * placed[1]
     alone = sum(t for t, _ in packing.best_fit([], dict(counts), 2048))
     assert sum(t for t, _ in plan) <= 1.001 * alone
+
+
+def test_references_and_line_ends(spark):
+    from html import unescape
+
+    html = ("<html lang=\"en\"><head><title>A &amp; B</title></head><body><p>&copy;&nbsp;2020 &middot; caf&eacute; &#8212; &#x1F600; "
+            "&lt;b&gt; &amp;amp; &unknown; AT&T &notit; &#0; &#150;</p><p>&frac12;&hellip;</p></body></html>")
+    rows = spark.createDataFrame([(1, "http://x/", html), (2, None, None)], "page_id long, url string, html string")
+    got = {(r.page_id, r.record_type): r for r in warc.derive(rows).collect()}
+    want = unescape("&copy;&nbsp;2020 &middot; caf&eacute; &#8212; &#x1F600; &lt;b&gt; &amp;amp; &unknown; AT&T &notit; &#0; &#150;")
+    assert got[1, "conversion"].block == want.replace(" ", " ") + "\n" + "½…"
+    head = f"Content-Type: text/html; charset=utf-8\r\nContent-Length: {len(html.encode())}"
+    assert got[1, "metadata"].source_headers == head
+    response = f"HTTP/1.1 200 OK\r\n{head}\r\n\r\n{html}"
+    assert got[1, "metadata"].source_block_digest == "sha256:" + hashlib.sha256(response.encode()).hexdigest()
+    assert got[1, "metadata"].block.replace("\r\n", "").count("\n") == 0 and got[1, "metadata"].block.endswith("\r\n")
+    assert got[2, "conversion"].block == ""
