@@ -1452,3 +1452,64 @@ def q_grid_svr(spark, sf):
     out = table.join(best.select("grid_index", F.lit(True).alias("is_best")), "grid_index", "left").crossJoin(F.broadcast(fit))
     return out.select("grid_index", "kernel", "C", "epsilon", "gamma", "cv_folds", (F.col("cv_mean") > 0.8).alias("explains"),  # one row beside
                       "is_best", "refitted")
+
+
+def _md5_word(expr: str, at: int) -> str:
+    return f"('0x' || substr(md5({expr}), {at}, 8))::BIGINT % 2147483647"
+
+
+@register("repeated_splits_500x50", f"""
+WITH h AS (SELECT p_partkey AS id, p_retailprice AS y, {_md5_word('p_partkey::VARCHAR', 1)} AS h1,
+                  {_md5_word('p_partkey::VARCHAR', 9)} AS h2 FROM part),
+f AS (SELECT r.range AS round, s.range AS split, {_md5_word("concat_ws('-', 42, r.range, s.range)", 1)} AS a,
+             {_md5_word("concat_ws('-', 42, r.range, s.range)", 9)} AS b, {_md5_word("concat_ws('-', 42, r.range, s.range)", 17)} AS c
+      FROM range(500) r, range(50) s),
+n AS (SELECT count(*) AS n, sum(y) AS total, CAST(ceil(round(0.2 * count(*), 9)) AS BIGINT) AS m FROM h),
+k AS (SELECT round, split, y, row_number() OVER (PARTITION BY round, split
+        ORDER BY ((h1 * a) % 2147483647 + (h2 * b) % 2147483647 + c) % 2147483647, id) AS pos FROM h, f),
+t AS (SELECT round, split, count(*) AS n_test, avg(y) AS test_mean, var_pop(y) * count(*) AS spread
+      FROM k, n WHERE pos <= m GROUP BY round, split),
+u AS (SELECT t.*, n - n_test AS n_train, (total - n_test * test_mean) / (n - n_test) AS train_mean FROM t, n)
+SELECT round::INTEGER AS round, split::INTEGER AS split, n_train, n_test, {R6('train_mean', 8)} AS train_mean,
+       {R6('test_mean', 8)} AS test_mean, {R6('1 - (spread + n_test * (test_mean - train_mean) * (test_mean - train_mean)) / spread')} AS score
+FROM u
+""")
+def q_repeated_splits_all(spark, sf):
+    """E8 + D2: the original's 500 rounds of 50 shuffled hold-outs of ``part``, the mean predictor scored on all
+    25,000 of them by vector sums, without a copy of the table."""
+    from regimen.operators.split_stats import split_statistics
+    p = T(spark, sf, "part").select("p_partkey", "p_retailprice")
+    out = split_statistics(deal_up(p), ["p_partkey"], "p_retailprice")
+    return out.select("round", "split", "n_train", "n_test", r6("train_mean", 8).alias("train_mean"), r6("test_mean", 8).alias("test_mean"),
+                      r6("score").alias("score"))
+
+
+@register("saved_pipelines", """
+SELECT m.model, 'original' AS dataset, TRUE AS same, TRUE AS best_of_two, TRUE AS copies
+FROM (VALUES ('scaler_svr'), ('scaler_network')) m(model) WHERE (SELECT count(*) FROM part) > 0
+""")
+def q_saved_pipelines(spark, sf):
+    """S7 + N9: pipelines of the population scaler with an SVR and with a network, saved under their scores (a worse one
+    beside each), found again by the registry's best score, and loaded; ``same``: the loaded pipeline predicts every row
+    of ``part`` as the fitted one does; ``copies``: so does its copy."""
+    from pyspark.ml import Pipeline
+
+    from regimen.operators import solvers
+    d = materialize(deal_up(part_with(spark, sf, SHIFTED)))
+    stages = {"scaler_svr": solvers.SVR(PART_FEATURES, "y", kernel="linear", C=10.0, scale=False),
+              "scaler_network": solvers.MLPRegressor(PART_FEATURES, "y", hidden=(16,), epochs=10, learning_rate=0.01, scale=False)}
+    base, registry, rows = shared_path(spark, "models"), shared_path(spark, "registry"), []
+    for name, est in stages.items():
+        fitted = Pipeline(stages=[clean.PopulationScaler(PART_FEATURES), est]).fit(d)
+        r2 = metrics.regression_metrics(fitted.transform(d).withColumnRenamed("y", "label"), []).first()["r2"]
+        tables.save_model(fitted, base, name, r2, registry=registry)
+        worse = Pipeline(stages=[clean.PopulationScaler(PART_FEATURES[:1]), est]).fit(d)
+        tables.save_model(worse, base + "-worse", name, r2 - 1.0, registry=registry)
+        best = tables.best_saved(spark.read.parquet(registry), name).first()
+        loaded = tables.load_best(registry, name)
+        both = [m.transform(d).select("p_partkey", F.col("prediction").alias(c)) for m, c in
+                ((fitted, "a"), (loaded, "b"), (loaded.copy(), "c"))]
+        pairs = both[0].join(both[1], "p_partkey").join(both[2], "p_partkey")
+        rows.append(pairs.agg(F.lit(name).alias("model"), F.lit("original").alias("dataset"), F.every(F.col("a") == F.col("b")).alias("same"),
+                              F.lit(best["score"] == r2).alias("best_of_two"), F.every(F.col("a") == F.col("c")).alias("copies")))
+    return rows[0].unionByName(rows[1])
