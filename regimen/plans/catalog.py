@@ -1513,3 +1513,19 @@ def q_saved_pipelines(spark, sf):
         rows.append(pairs.agg(F.lit(name).alias("model"), F.lit("original").alias("dataset"), F.every(F.col("a") == F.col("b")).alias("same"),
                               F.lit(best["score"] == r2).alias("best_of_two"), F.every(F.col("a") == F.col("c")).alias("copies")))
     return rows[0].unionByName(rows[1])
+
+
+@register("corr_matrix_embeddings", f"""
+WITH e AS (SELECT vec_id, unnest(range(64))::INTEGER AS i, unnest(embedding)::DOUBLE AS v FROM embeddings),
+g AS (SELECT *, CASE WHEN (vec_id + i) % 11 = 0 THEN NULL WHEN i = 5 THEN 2.5 ELSE v END AS x FROM e)
+SELECT a.i AS col_a, b.i AS col_b, CASE WHEN a.i <> 5 AND b.i <> 5 THEN {R6('corr(a.x, b.x)')} END AS corr
+FROM g a JOIN g b ON a.vec_id = b.vec_id AND a.x IS NOT NULL AND b.x IS NOT NULL GROUP BY a.i, b.i
+""")
+def q_corr_embeddings(spark, sf):
+    """A3 over the 64 dimensions of ``embeddings`` by masked Gram matrices: missing values are left out pair by pair, a
+    constant column has no correlation."""
+    from regimen.operators.wide import corr_matrix_wide
+    e = T(spark, sf, "embeddings")
+    holes = F.transform("embedding", lambda v, i: F.when((F.col("vec_id") + i) % 11 == 0, F.lit(None)).when(i == 5, F.lit(2.5)).otherwise(v))
+    m = corr_matrix_wide(e.select(holes.alias("embedding")), vector="embedding", size=64, block=24)
+    return m.select("col_a", "col_b", r6("corr").alias("corr"))
