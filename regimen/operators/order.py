@@ -13,11 +13,15 @@ Two uses:
   boundaries, fold ends).  Only the rows of the buckets that contain those
   positions are ranked, so a hold-out split or a k-fold assignment costs a
   count aggregate plus a map-side comparison -- no shuffle of the rows.
+  In a hash order, a bucket that holds a wanted position and more rows than
+  a task should rank is cut again by the next digits of the hash (radix
+  selection), until it is small enough.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,6 +36,8 @@ BROADCAST_ROW_LIMIT = 1 << 20
 # Hash-prefix digits; 16**4 buckets keep a bucket to about n / 65536 rows
 # (15M rows per task at 10^12 rows).
 DEFAULT_HASH_DIGITS = 4
+#: Rows of one bucket that a task ranks at most, and digits by which a larger one is cut again.
+MAX_RANKED, MORE_DIGITS, HASH_LENGTH = 1 << 20, 4, 32
 
 
 @dataclass(frozen=True)
@@ -40,6 +46,7 @@ class Order:
     bucket: str                    # monotone non-decreasing in ``keys``
     groups: tuple[str, ...] = ()   # independent orders per group
     max_buckets: int = 16 ** DEFAULT_HASH_DIGITS  # bound of (group, bucket) pairs
+    digits: int = 0                # > 0: the bucket is so many first digits of the hexadecimal hash keys[0]
 
 
 def maybe_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
@@ -55,7 +62,7 @@ def hash_order(df: DataFrame, id_cols: list[str], salt: list[str | Column] | Non
     out = df.withColumn(ORDER_KEY, okey).withColumn(
         BUCKET, F.conv(F.substring(F.col(ORDER_KEY), 1, digits), 16, 10).cast("int"))
     return out, Order(keys=(ORDER_KEY, *id_cols), bucket=BUCKET,
-                      groups=tuple(groups or ()), max_buckets=n_groups * 16 ** digits)
+                      groups=tuple(groups or ()), max_buckets=n_groups * 16 ** digits, digits=digits)
 
 
 def value_order(df: DataFrame, order_cols: list[str], n_buckets: int | None = None,
@@ -100,7 +107,8 @@ def global_rank(df: DataFrame, order: Order, out: str = "pos") -> DataFrame:
             .drop("_rn", "_off"))
 
 
-def keys_at(df: DataFrame, order: Order, positions: DataFrame, max_positions: int) -> DataFrame:
+def keys_at(df: DataFrame, order: Order, positions: DataFrame, max_positions: int,
+            max_ranked: int = MAX_RANKED) -> DataFrame:
     """Order keys found at exact positions.
 
     ``positions``: ``[groups..., tag, pos]`` (0-based per group, small).
@@ -111,16 +119,59 @@ def keys_at(df: DataFrame, order: Order, positions: DataFrame, max_positions: in
     counts = bucket_counts(df, order)
     joined = positions.join(counts, on=g) if g else positions.crossJoin(counts)
     targets = (joined.where((F.col("pos") >= F.col("_off")) & (F.col("pos") < F.col("_off") + F.col("_n")))
-               .select(*g, "tag", order.bucket, (F.col("pos") - F.col("_off")).alias("_need")))
-    boundary = targets.select(*g, order.bucket).distinct()
-    cand = df.join(maybe_broadcast(boundary, max_positions), on=[*g, order.bucket], how="left_semi")
-    w = Window.partitionBy(*g, order.bucket).orderBy(*order.keys)
-    cand = cand.select(*g, order.bucket, *order.keys).withColumn("_rn0", F.row_number().over(w) - 1)
-    return (cand.join(maybe_broadcast(targets, max_positions), on=[*g, order.bucket])
+               .select(*g, "tag", order.bucket, (F.col("pos") - F.col("_off")).alias("_need"), "_n"))
+    if not order.digits or max_positions > BROADCAST_ROW_LIMIT:
+        return _ranked_at(df, order, targets.drop("_n"), order.bucket, max_positions)
+    spark, schema = df.sparkSession, targets.schema
+    found = targets.collect()   # one row a wanted position
+    small = [t for t in found if t["_n"] <= max_ranked]
+    out = [_ranked_at(df, order, spark.createDataFrame(small, schema).drop("_n"), order.bucket, max_positions)] if small or not found else []
+    large = [t for t in found if t["_n"] > max_ranked]
+    if large:
+        out += _refined(df, order, spark.createDataFrame(large, schema), max_ranked, max_positions)
+    return reduce(DataFrame.unionByName, out)
+
+
+def _ranked_at(df: DataFrame, order: Order, targets: DataFrame, bucket: str, max_positions: int) -> DataFrame:
+    """Keys of the rows number ``_need`` of their ``bucket``: ``[groups..., tag, keys...]``."""
+    g = list(order.groups)
+    boundary = targets.select(*g, bucket).distinct()
+    cand = df.join(maybe_broadcast(boundary, max_positions), on=[*g, bucket], how="left_semi")
+    w = Window.partitionBy(*g, bucket).orderBy(*order.keys)
+    cand = cand.select(*g, bucket, *[k for k in order.keys if k != bucket]).withColumn("_rn0", F.row_number().over(w) - 1)
+    return (cand.join(maybe_broadcast(targets, max_positions), on=[*g, bucket])
             .where(F.col("_rn0") == F.col("_need"))
             .select(*g, "tag", *order.keys))
 
 
+def _refined(df: DataFrame, order: Order, targets: DataFrame, max_ranked: int, max_positions: int) -> list[DataFrame]:
+    """Radix selection of positions in large buckets: one count pass a level, over the rows of those buckets only."""
+    g, hashed, digits, spark = list(order.groups), order.keys[0], order.digits, df.sparkSession
+    start = F.lower(F.lpad(F.conv(F.col(order.bucket).cast("string"), 10, 16), digits, "0"))
+    targets = targets.select(*g, "tag", start.alias("_pre"), "_need")
+    out, schema = [], None
+    while True:
+        more = min(MORE_DIGITS, HASH_LENGTH - digits)
+        rows = df.withColumn("_pre", F.substring(hashed, 1, digits))
+        if not more:  # equal hashes: only the further keys tell the rows apart
+            return [*out, _ranked_at(rows, order, targets, "_pre", max_positions)]
+        inside = rows.join(maybe_broadcast(targets.select(*g, "_pre").distinct(), max_positions), [*g, "_pre"], "left_semi")
+        counts = inside.groupBy(*g, "_pre", F.substring(hashed, digits + 1, more).alias("_sub")).agg(F.count(F.lit(1)).alias("_n"))
+        before = Window.partitionBy(*g, "_pre").orderBy("_sub").rowsBetween(Window.unboundedPreceding, -1)
+        counts = counts.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+        hit = (targets.join(counts, [*g, "_pre"]).where("_need >= _off and _need < _off + _n")
+               .select(*g, "tag", F.concat("_pre", "_sub").alias("_pre"), (F.col("_need") - F.col("_off")).alias("_need"), "_n"))
+        schema, found = hit.schema, hit.collect()   # one row a wanted position
+        digits += more
+        small, large = [[t for t in found if (t["_n"] <= max_ranked) == fits] for fits in (True, False)]
+        if small:
+            rows = df.withColumn("_pre", F.substring(hashed, 1, digits))
+            out.append(_ranked_at(rows, order, spark.createDataFrame(small, schema).drop("_n"), "_pre", max_positions))
+        if not large:
+            return out
+        targets = spark.createDataFrame(large, schema).drop("_n")
+
+
 def attach_thresholds(df: DataFrame, order: Order, thresholds: DataFrame, max_groups: int,
                       out: str = "_thr") -> DataFrame:
     """Attach, per group, the array of threshold keys sorted by ``tag``.

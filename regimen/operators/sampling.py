@@ -75,7 +75,7 @@ def content_holdout(df: DataFrame, cols: list[str], test_size: float | int = 0.2
     b, order = hash_order(df.withColumn("_row", F.monotonically_increasing_id()).withColumn("_vals", F.concat_ws("\1", *parts)),
                           ["_vals"], salt=[F.lit(seed)])
     b = materialize(b.drop("_vals"))
-    order = Order(keys=(ORDER_KEY, "_row"), bucket=order.bucket, max_buckets=order.max_buckets)
+    order = Order(keys=(ORDER_KEY, "_row"), bucket=order.bucket, max_buckets=order.max_buckets, digits=order.digits)
     pos = group_sizes(b, order).select(F.lit(0).alias("tag"), (_n_test(test_size) - 1).alias("pos"))
     out = attach_thresholds(b, order, keys_at(b, order, pos, max_positions=1), max_groups=1)
     return _drop(out.withColumn(flag_col, at_or_below(order)).drop("_row"))

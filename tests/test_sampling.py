@@ -1,5 +1,6 @@
 from collections import Counter
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -152,3 +153,37 @@ def test_hash_thresholds_equal_the_sorted_keys(spark):
         for (r, s), key in zip([(0, 0), (3, 7)], got):
             keys = sorted((x[0], x[1]) for x in d.select(hash_key("rid", F.lit(42), F.lit(r), F.lit(s)), "rid").collect())
             assert keys[wanted - 1] == key
+
+
+@pytest.mark.parametrize("digits", [1, 2, 4])
+def test_large_buckets_are_refined_to_the_same_keys(spark, digits):
+    """With few digits and a small bound, positions are found by further digits: same keys, no large bucket ranked."""
+    from regimen.operators import order as O
+
+    df = spark.range(3000).selectExpr("id % 1500 as i", "id as j")     # every hash occurs twice
+    b, order = O.hash_order(df, ["i"], digits=digits)
+    order = O.Order(keys=(O.ORDER_KEY, "j"), bucket=order.bucket, max_buckets=order.max_buckets, digits=digits)
+    wanted = [0, 1, 2, 599, 600, 1501, 2998, 2999, 5000]
+    pos = spark.createDataFrame([(k, p) for k, p in enumerate(wanted)], "tag int, pos long")
+    rows = sorted((r[O.ORDER_KEY], r["j"]) for r in b.collect())
+    for bound in (1, 5, 1 << 20):
+        got = {r["tag"]: (r[O.ORDER_KEY], r["j"]) for r in O.keys_at(b, order, pos, 100, bound).collect()}
+        assert got == {k: rows[p] for k, p in enumerate(wanted) if p < 3000}
+
+
+def test_refined_buckets_hold_no_more_than_the_bound(spark, monkeypatch):
+    from regimen.operators import order as O
+
+    seen = []
+    ranked = O._ranked_at
+
+    def watched(df, order, targets, bucket, max_positions):
+        on = df.join(targets.select(bucket).distinct(), bucket, "left_semi").groupBy(bucket).count()
+        seen.extend(r["count"] for r in on.collect())
+        return ranked(df, order, targets, bucket, max_positions)
+
+    monkeypatch.setattr(O, "_ranked_at", watched)
+    b, order = O.hash_order(spark.range(4000).withColumnRenamed("id", "i"), ["i"], digits=1)
+    pos = spark.createDataFrame([(0, 799), (1, 3999)], "tag int, pos long")
+    assert len(O.keys_at(b, order, pos, 2, 10).collect()) == 2
+    assert seen and max(seen) <= 10
