@@ -80,3 +80,17 @@ def lex_le(left: Sequence[Column], right: Sequence[Column]) -> Column:
     for lc, rc in zip(reversed(left[:-1]), reversed(right[:-1])):
         expr = (lc < rc) | ((lc == rc) & expr)
     return expr
+
+
+#: What a number looks like: a decimal, or infinity.
+NUMBER = r"^[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|[iI][nN][fF]([iI][nN][iI][tT][yY])?)$"
+
+
+def number(token: Column) -> Column:
+    """A decimal number or infinity as double; NaN and anything else (also the
+    suffixes and hexadecimals that a SQL cast allows, as in ``1.0d``) -> NULL.
+
+    Only tokens with other characters than a decimal's meet the regular expression."""
+    value = token.try_cast("double")
+    plain = F.translate(token, "0123456789+-.eE", "") == F.lit("")
+    return F.when(plain, value).otherwise(F.when(token.rlike(NUMBER), value))

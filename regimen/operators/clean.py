@@ -206,6 +206,15 @@ def standardize_apply(df: DataFrame, stats: DataFrame, cols: Sequence[str]) -> D
                         if c in cols else F.col(c) for c in df.columns])
 
 
+def standardize(df: DataFrame, cols: Sequence[str], split_col: str = "split", fit_scope: str = "train") -> DataFrame:
+    """N8 + N9: ``(x - mean) / std`` with the statistics of the training rows, or (``fit_scope='all'``) of all rows,
+    as a flow that scales before it splits does."""
+    if fit_scope not in ("train", "all"):
+        raise ValueError(f"unknown fit_scope {fit_scope!r}")
+    fitted = df if fit_scope == "all" else df.where(F.col(split_col) == "train")
+    return standardize_apply(df, standardize_fit(fitted, cols), cols)
+
+
 def stats_long(stats: DataFrame, cols: Sequence[str], names: Sequence[str]) -> DataFrame:
     """Pivot a one-row stats table to ``(column, <stat>...)`` rows."""
     rows = [F.struct(F.lit(c).alias("column"), *[F.col(_s(c, n)).alias(n) for n in names]) for c in cols]

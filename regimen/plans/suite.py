@@ -11,6 +11,8 @@ cached afterwards.
 from __future__ import annotations
 
 import itertools
+import json
+import uuid
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
@@ -61,20 +63,52 @@ def fit_many(tasks: Sequence[tuple[object, object, DataFrame]], parallelism: int
         return {k: f.result() for k, f in futures.items()}
 
 
+class Journal:
+    """An append-only table of scored fits in a shared folder: what a stopped search has done already.
+
+    Every fit appends its rows as it ends; a search that is started again with the same journal runs
+    only the fits that it lacks.  ``None`` as path keeps no journal."""
+
+    def __init__(self, spark, path: str | None):
+        self.spark, self.path, self.done = spark, path, {}
+        if path is None:
+            return
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+            for r in spark.read.schema("fit string, rows string").json(f"{path}/fit-*").collect():  # one row a fit
+                self.done.setdefault(r["fit"], [tuple(x) for x in json.loads(r["rows"])])
+
+    def run(self, key: tuple, fit: Callable[[], list[tuple]]) -> list[tuple]:
+        """The rows of the fit ``key``: those of the journal, or those that ``fit`` makes now."""
+        name = json.dumps(key)
+        if name not in self.done:
+            self.done[name] = fit()
+            if self.path is not None:
+                row = self.spark.createDataFrame([(name, json.dumps(self.done[name]))], "fit string, rows string")
+                row.coalesce(1).write.json(f"{self.path}/fit-{uuid.uuid4().hex}")  # a folder each: fits end at the same time
+        return self.done[name]
+
+
 def score_each(tasks: Sequence[tuple[tuple, Callable[[], object], DataFrame, dict[str, DataFrame]]], label: str,
-               parallelism: int = DEFAULT_PARALLELISM) -> list[tuple]:
+               parallelism: int = DEFAULT_PARALLELISM, journal: str | None = None) -> list[tuple]:
     """``(*key, part, n, r2, mae, rmse)`` for every ``(key, build, train, {part: rows})``.
 
     Each fit is scored as it ends and dropped: at most ``parallelism`` models
-    exist at a time, and one metrics row per part is all that is kept."""
+    exist at a time, and one metrics row per part is all that is kept (in ``journal``, too: see :class:`Journal`)."""
+    book = Journal(tasks[0][2].sparkSession, journal) if tasks else None
+
     def one(task):
         key, build, train, parts = task
-        model = build().fit(train)
-        preds = _union([model.transform(rows).select(F.lit(part).alias("part"), F.col(label).cast("double").alias("label"),
-                                                     F.col(models.PREDICTION).cast("double").alias("prediction"))
-                        for part, rows in parts.items()])
-        return [(*key, r["part"], r["n"], r["r2"], r["mae"], r["rmse"])
-                for r in metrics.regression_metrics(preds, ["part"]).collect()]
+
+        def fit():
+            model = build().fit(train)
+            preds = _union([model.transform(rows).select(F.lit(part).alias("part"), F.col(label).cast("double").alias("label"),
+                                                         F.col(models.PREDICTION).cast("double").alias("prediction"))
+                            for part, rows in parts.items()])
+            return [(*key, r["part"], r["n"], r["r2"], r["mae"], r["rmse"])
+                    for r in metrics.regression_metrics(preds, ["part"]).collect()]
+
+        return book.run(key, fit)
 
     if parallelism <= 1 or len(tasks) <= 1:
         found = [one(t) for t in tasks]
@@ -108,13 +142,14 @@ def compare_models(train: DataFrame, test: DataFrame, suite: dict[str, object],
 
 
 def cross_validate_suite(folded: DataFrame, suite: dict[str, object], label: str, k: int,
-                         fold_col: str = "fold", parallelism: int = DEFAULT_PARALLELISM) -> DataFrame:
+                         fold_col: str = "fold", parallelism: int = DEFAULT_PARALLELISM,
+                         journal: str | None = None) -> DataFrame:
     """Per model and fold, fit on the other folds and score the fold.
     ``(model, fold, n, r2, mae, rmse)``."""
     folded = materialize(folded)
     rows = score_each([((name, f), lambda est=est: est, folded.where(F.col(fold_col) != f),
                         {"test": folded.where(F.col(fold_col) == f)})
-                       for name, est in suite.items() for f in range(k)], label, parallelism)
+                       for name, est in suite.items() for f in range(k)], label, parallelism, journal)
     return folded.sparkSession.createDataFrame(rows, f"model string, fold int, {SCORES}").drop("part")
 
 
@@ -140,7 +175,8 @@ def refit_winner(best: DataFrame, build: Builder, grid: dict[str, Sequence], tra
 
 
 def grid_search_cv(folded: DataFrame, build: Builder, grid: dict[str, Sequence], label: str, k: int,
-                   fold_col: str = "fold", parallelism: int = DEFAULT_PARALLELISM) -> tuple[DataFrame, DataFrame]:
+                   fold_col: str = "fold", parallelism: int = DEFAULT_PARALLELISM,
+                   journal: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Every grid point scored by k-fold R^2 (mean, population std);
     the best is the first strictly better mean (W4).
 
@@ -152,7 +188,7 @@ def grid_search_cv(folded: DataFrame, build: Builder, grid: dict[str, Sequence],
     folded = materialize(folded)
     rows = score_each([((gi, f), lambda p=params: build(**p), folded.where(F.col(fold_col) != f),
                         {"test": folded.where(F.col(fold_col) == f)})
-                       for gi, params in enumerate(points) for f in range(k)], label, parallelism)
+                       for gi, params in enumerate(points) for f in range(k)], label, parallelism, journal)
     spark = folded.sparkSession
     fold_scores = spark.createDataFrame(rows, f"grid_index long, fold int, {SCORES}").drop("part")
     table = _with_params(spark, points, metrics.cv_summary(fold_scores, ["grid_index"]))
@@ -160,13 +196,14 @@ def grid_search_cv(folded: DataFrame, build: Builder, grid: dict[str, Sequence],
 
 
 def grid_search_holdout(train: DataFrame, val: DataFrame, build: Builder, grid: dict[str, Sequence],
-                        label: str, parallelism: int = DEFAULT_PARALLELISM) -> tuple[DataFrame, DataFrame]:
+                        label: str, parallelism: int = DEFAULT_PARALLELISM,
+                        journal: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Every grid point fitted on ``train`` and scored on ``train``
     and ``val`` (``train_r2``, ``val_r2``); best = first strictly better
     ``val_r2`` (W4)."""
     points = param_grid(grid)
     rows = score_each([((gi,), lambda p=params: build(**p), train, {"train": train, "val": val})
-                       for gi, params in enumerate(points)], label, parallelism)
+                       for gi, params in enumerate(points)], label, parallelism, journal)
     spark = train.sparkSession
     wide = spark.createDataFrame(rows, f"grid_index long, {SCORES}").groupBy("grid_index").agg(
         F.max(F.when(F.col("part") == "train", F.col("r2"))).alias("train_r2"),
@@ -280,7 +317,8 @@ def grid_search_networks(train: DataFrame, val: DataFrame, features: Sequence[st
 
 
 def learning_curve(df: DataFrame, order_cols: list[str], estimator, label: str, k: int = 5,
-                   fractions: Sequence[float] | None = None, parallelism: int = DEFAULT_PARALLELISM) -> DataFrame:
+                   fractions: Sequence[float] | None = None, parallelism: int = DEFAULT_PARALLELISM,
+                   journal: str | None = None) -> DataFrame:
     """Per training size, train and held-out R^2 mean/std over folds."""
     folded, sizes = sampling.first_sizes(df, order_cols, k, fractions)
 
@@ -289,7 +327,7 @@ def learning_curve(df: DataFrame, order_cols: list[str], estimator, label: str,
 
     rows = score_each([((m_size, f), lambda: estimator, prefix(f, m_size),
                         {"train": prefix(f, m_size), "test": folded.where(F.col("fold") == f)})
-                       for m_size in sizes for f in range(k)], label, parallelism)
+                       for m_size in sizes for f in range(k)], label, parallelism, journal)
     sc = folded.sparkSession.createDataFrame(rows, f"train_size long, cv_fold int, {SCORES}")
     return sc.groupBy("train_size").agg(
         F.avg(F.when(F.col("part") == "train", F.col("r2"))).alias("train_mean"),
@@ -301,7 +339,7 @@ def learning_curve(df: DataFrame, order_cols: list[str], estimator, label: str,
 def repeated_splits(df: DataFrame, id_cols: list[str], estimator, label: str, external: DataFrame | None,
                     n_rounds: int = 1, n_splits: int = 5, test_size: float = 0.2, seed: int = 42,
                     min_score: float = 0.89, min_score2: float = 0.5,
-                    parallelism: int = DEFAULT_PARALLELISM, log_path: str | None = None) -> DataFrame:
+                    parallelism: int = DEFAULT_PARALLELISM, log_path: str | None = None, journal: str | None = None) -> DataFrame:
     """Fit a model per shuffled split, score on its test rows and on the
     external table, and flag runs passing both thresholds (P5).  With
     ``log_path`` the records of the accepted runs are appended there (S6).
@@ -310,7 +348,7 @@ def repeated_splits(df: DataFrame, id_cols: list[str], estimator, label: str, ex
     member = sampling.split_membership(df, id_cols, n_splits, test_size, seed, n_rounds)
     rows = score_each([((r, sp), lambda: estimator, df.where(~is_test),
                         {"test": df.where(is_test)} | ({} if external is None else {"external": external}))
-                       for (r, sp), is_test in member.items()], label, parallelism)
+                       for (r, sp), is_test in member.items()], label, parallelism, journal)
     sc = df.sparkSession.createDataFrame(rows, f"round int, split int, {SCORES}")
     wide = sc.groupBy("round", "split").agg(
         F.max(F.when(F.col("part") == "test", F.col("r2"))).alias("score"),

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from regimen.functions.exprs import as_col, nan_to_null
+from regimen.functions.exprs import as_col, number
 
 # The run-record layout and the file-stamp format.
 RUN_RECORD_FORMAT = "%d    %d  %.5f    %.5f"
@@ -57,7 +57,7 @@ def read_table_csv(spark: SparkSession, path: str, columns: Sequence[str] | None
     missing = [c for c in columns or () if c not in raw.columns]
     if missing:
         raise ValueError(f"no column {', '.join(missing)} in the header of {path}")
-    values = [nan_to_null(F.trim(F.col(f"`{c}`")).try_cast("double")).alias(c) for c in columns or raw.columns]
+    values = [number(F.trim(F.col(f"`{c}`"))).alias(c) for c in columns or raw.columns]
     if not positions:
         return raw.select(*values)
     return with_line_numbers(raw.select(*scan_position(), *values))
@@ -67,7 +67,7 @@ def read_table_tsv(spark: SparkSession, path: str, columns: Sequence[str]) -> Da
     """Headerless tab-separated rows (CRLF tolerated)."""
     df = (spark.read.schema(T.StructType([T.StructField(c, T.StringType(), True) for c in columns]))
           .option("sep", "\t").option("header", False).csv(path))
-    return df.select(*[nan_to_null(F.btrim(F.col(c), F.lit(" \r\n\t")).try_cast("double")).alias(c)
+    return df.select(*[number(F.btrim(F.col(c), F.lit(" \r\n\t"))).alias(c)
                        for c in columns])
 
 

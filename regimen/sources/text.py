@@ -14,6 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from regimen.functions.exprs import number
 from regimen.sources.tables import scan_position, with_line_numbers
 
 # The data sentinel, the missing-value markers and the column
@@ -25,10 +26,8 @@ MEASUREMENT_COLUMNS = ["Al", "Zn", "Mg", "Cu", "Si", "Fe", "Mn", "Cr", "Ti", "Ot
 # Characters a whitespace strip removes at both ends of a line.
 STRIP_CHARS = " \t\r\n\x0b\x0c"
 LINE_BREAK = r"\r\n|\r|\n"
-NUMBER = r"^[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|[iI][nN][fF]([iI][nN][iI][tT][yY])?)$"
 NOT_A_NUMBER = r"^[+-]?[nN][aA][nN]$"
 
-
 def data_body(text: Column, sentinel: str = SENTINEL) -> Column:
     """Text after the first line containing ``sentinel``; no sentinel -> all."""
     at = F.instr(text, sentinel)
@@ -52,15 +51,10 @@ def marker_to_null(c: Column, markers: Sequence[str] = MISSING_MARKERS) -> Colum
     return F.when(t.isin(*markers), F.lit(None).cast("string")).otherwise(t)
 
 
-def number(token: Column) -> Column:
-    """A decimal number or infinity as double; NaN and anything else (also the
-    suffixes that a SQL cast allows, as in ``1.0d``) -> NULL."""
-    return F.when(token.rlike(NUMBER), token.try_cast("double"))
-
-
 def parse_annotated_text(docs: DataFrame, columns: Sequence[str] = MEASUREMENT_COLUMNS,
                          text_col: str = "text", key_cols: Sequence[str] = (), mode: str = "strict",
-                         pad_missing_label: bool = True, sentinel: str = SENTINEL) -> DataFrame:
+                         pad_missing_label: bool = True, sentinel: str = SENTINEL,
+                         column_map: dict[str, str] | None = None) -> DataFrame:
     """One output row per non-blank data line.
 
     ``mode='strict'``: a token that is not a number, or a row whose width is
@@ -68,11 +62,21 @@ def parse_annotated_text(docs: DataFrame, columns: Sequence[str] = MEASUREMENT_C
     ``mode='lenient'``: bad numbers -> NULL; a row one field short is padded
     with a missing label when ``pad_missing_label``; any other width keeps
     its parsed prefix and the raw line in ``_corrupt_record`` (S2b).
+    ``column_map`` (column -> the column of the layout whose field holds it) puts right a file whose fields are not
+    in the layout's order, such as a rotated one; columns that it does not name stay.
     Output: ``key_cols..., line_no, columns...[, _corrupt_record]``.
     """
     lines = docs.select(*key_cols, F.posexplode(F.split(data_body(F.col(text_col), sentinel), LINE_BREAK))
                         .alias("line_no", "line"))
-    return parse_lines(lines, columns, key_cols, mode, pad_missing_label)
+    return mapped(parse_lines(lines, columns, key_cols, mode, pad_missing_label), columns, column_map)
+
+
+def mapped(rows: DataFrame, columns: Sequence[str], column_map: dict[str, str] | None) -> DataFrame:
+    """``rows`` with each column of ``column_map`` taken from the field that it names."""
+    unknown = {*(column_map or {}), *(column_map or {}).values()} - {*columns}
+    if unknown:
+        raise ValueError(f"no column {', '.join(sorted(unknown))} in the layout")
+    return rows.select(*[F.col((column_map or {}).get(c, c)).alias(c) if c in columns else F.col(c) for c in rows.columns])
 
 
 def parse_lines(lines: DataFrame, columns: Sequence[str], key_cols: Sequence[str], mode: str,
@@ -100,7 +104,8 @@ def parse_lines(lines: DataFrame, columns: Sequence[str], key_cols: Sequence[str
 
 
 def read_annotated_text(spark: SparkSession, path: str, columns: Sequence[str] = MEASUREMENT_COLUMNS,
-                        mode: str = "strict", pad_missing_label: bool = True, sentinel: str = SENTINEL) -> DataFrame:
+                        mode: str = "strict", pad_missing_label: bool = True, sentinel: str = SENTINEL,
+                        column_map: dict[str, str] | None = None) -> DataFrame:
     """A file or directory of annotated text files of any size, read line by line.
 
     Large files split over tasks; ``line_no`` is the exact 0-based line of the
@@ -114,4 +119,5 @@ def read_annotated_text(spark: SparkSession, path: str, columns: Sequence[str] =
     # a line of the preamble becomes missing rather than filtered: no check of a data line may run before the join
     data = lines.join(first, "source_file", "left").withColumn(
         "line", F.when(F.col("_mark").isNull() | (F.col("line_no") > F.col("_mark")), F.col("line")))
-    return parse_lines(data.drop("_mark"), columns, ["source_file"], mode, pad_missing_label)
+    rows = parse_lines(data.drop("_mark"), columns, ["source_file"], mode, pad_missing_label)
+    return mapped(rows, columns, column_map)

@@ -81,3 +81,65 @@ def test_searches_hold_few_models_and_return_the_winner(spark):
     params, _ = suite.refit_winner(best, Counting, grid, d)
     assert params == {"value": 0}
     d.unpersist()
+
+
+def test_a_stopped_search_goes_on_from_its_journal(spark, tmp_path):
+    """Half the fits fail the first time; the second run makes only those that the journal lacks, with the same result."""
+    made, broken = [], True
+
+    class Shift:
+        def __init__(self, value):
+            self.value = value
+
+        def fit(self, df):
+            if broken and self.value > 5:
+                raise RuntimeError("lost")
+            made.append(self.value)
+            return self
+
+        def transform(self, df):
+            return df.withColumn("prediction", F.col("y") + F.lit(float(self.value)))
+
+    d = planted(spark, 60)
+    grid, path = {"value": list(range(1, 11))}, str(tmp_path / "journal")
+    try:
+        suite.grid_search_holdout(d, d, Shift, grid, "y", parallelism=1, journal=path)
+        raise AssertionError("not stopped")
+    except RuntimeError:
+        pass
+    assert made == [1, 2, 3, 4, 5]
+    broken = False
+    table, best = suite.grid_search_holdout(d, d, Shift, grid, "y", parallelism=2, journal=path)
+    assert sorted(made) == list(range(1, 11))
+    whole, _ = suite.grid_search_holdout(d, d, Shift, grid, "y", parallelism=2)
+    assert sorted(table.collect()) == sorted(whole.collect()) and best.first()["grid_index"] == 0
+    before = len(made)
+    suite.grid_search_holdout(d, d, Shift, grid, "y", journal=path)
+    assert len(made) == before
+
+
+def test_staged_rounds_equal_single_fits(spark):
+    d = planted(spark, 400).withColumn("y", F.sin(F.col("q") / 5) + F.col("d"))
+    grid = {"max_iter": [2, 5], "max_depth": [2]}
+    build = lambda max_iter, max_depth: models.gbt(["q", "d"], "y", max_iter=max_iter, max_depth=max_depth, max_bins=64)
+    staged, _ = suite.grid_search_boosted(d, d, build, grid, "y")
+    alone, _ = suite.grid_search_holdout(d, d, build, grid, "y")
+    for a, b in zip(staged.orderBy("grid_index").collect(), alone.orderBy("grid_index").collect()):
+        assert abs(a.train_r2 - b.train_r2) < 1e-9 and abs(a.val_r2 - b.val_r2) < 1e-9
+    folded = sampling.kfold_contiguous(d, ["rid"], 3)
+    staged, best = suite.grid_search_boosted_cv(folded, build, grid, "y", 3)
+    alone, _ = suite.grid_search_cv(folded, build, grid, "y", 3)
+    for a, b in zip(staged.orderBy("grid_index").collect(), alone.orderBy("grid_index").collect()):
+        assert abs(a.cv_mean - b.cv_mean) < 1e-9 and a.cv_folds == 3
+    assert best.first().grid_index == 1
+
+
+def test_network_grid_logs_every_point(spark):
+    d = planted(spark, 300).withColumn("y", F.col("q") / 25 - F.col("d"))
+    log, best, found = suite.grid_search_networks(d.where("rid % 5 > 0"), d.where("rid % 5 = 0"), ["q", "d"], "y",
+                                                  {"hidden_layers": [[8], [16]], "learning_rate": [1e-5, 0.02], "batch_size": [16]}, epochs=6)
+    rows = log.orderBy("grid_index").collect()
+    assert [r.hidden_layers for r in rows] == [[8], [8], [16], [16]] and all(r.patience == 10 for r in rows)
+    assert all(1 <= r.epochs_trained <= 6 and r.val_loss is not None and r.train_loss is not None for r in rows)
+    assert best.first().grid_index == min(rows, key=lambda r: (r.val_loss, r.grid_index)).grid_index in (1, 3)
+    assert len(found) == 4 and found[1].history[-1][0] == rows[1].epochs_trained

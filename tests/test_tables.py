@@ -82,3 +82,30 @@ def test_reference_fill_leaves_a_partly_missing_label(spark):
     ext = spark.createDataFrame([(1.0, 5.0), (None, None), (3.0, 9.0)], "x double, y double")
     out = clean.impute_from_reference(ext, ext, ["x", "y"], label="y", fill_label=False).collect()
     assert [r.y for r in out] == [5.0, None, 9.0] and out[1].x == 2.0
+
+
+def test_numbers_are_read_alike_by_all_readers(spark, tmp_path):
+    from regimen.sources import text
+
+    tokens = ["1.0d", "2.0f", "0x1p3", "1e3", "-.5", "NaN", "inf", "+7.", "abc", "1 2"]
+    want = [None, None, None, 1000.0, -0.5, None, float("inf"), 7.0, None, None]
+    (tmp_path / "a.csv").write_text("x,i\n" + "".join(f"{t},{i}\n" for i, t in enumerate(tokens)))
+    (tmp_path / "a.tsv").write_text("".join(f"{t}\t{i}\n" for i, t in enumerate(tokens)))
+    docs = spark.createDataFrame([("".join(f"{t}\t{i}\n" for i, t in enumerate(tokens)),)], "text string")
+    for df in (tables.read_table_csv(spark, str(tmp_path / "a.csv")), tables.read_table_tsv(spark, str(tmp_path / "a.tsv"), ["x", "i"]),
+               text.parse_annotated_text(docs, ["x", "i"], mode="lenient")):
+        assert [r.x for r in df.orderBy("i").collect()] == want
+
+
+def test_column_map_and_fit_scope(spark):
+    from regimen.sources import text
+
+    docs = spark.createDataFrame([("1\t2\t3\n",)], "text string")
+    turned = text.parse_annotated_text(docs, ["a", "b", "c"], column_map={"a": "c", "b": "a", "c": "b"}).first()
+    assert (turned.a, turned.b, turned.c) == (3.0, 1.0, 2.0)
+    with pytest.raises(ValueError):
+        text.parse_annotated_text(docs, ["a", "b", "c"], column_map={"a": "z"})
+    d = spark.createDataFrame([(0.0, "train"), (2.0, "train"), (10.0, "test")], "x double, split string")
+    assert [r.x for r in clean.standardize(d, ["x"]).collect()] == [-1.0, 1.0, 9.0]
+    every = [r.x for r in clean.standardize(d, ["x"], fit_scope="all").collect()]
+    assert sum(every) == pytest.approx(0.0) and every[2] == pytest.approx(6 / (56 / 3) ** 0.5)
