@@ -143,7 +143,7 @@ k AS (SELECT *, row_number() OVER (PARTITION BY round, split
 SELECT o_orderkey, round::INTEGER AS round, split::INTEGER AS split, pos < ceil(0.2::DOUBLE * n) AS is_test FROM k
 """)
 def q_shuffle_splits(spark, sf):
-    return sampling.shuffle_splits(T(spark, sf, "orders").select("o_orderkey"), ["o_orderkey"],
+    return sampling.shuffle_splits(deal_up(T(spark, sf, "orders").select("o_orderkey")), ["o_orderkey"],
                                    n_splits=5, test_size=0.2, seed=42, n_rounds=2)
 
 
@@ -745,7 +745,7 @@ FROM sc JOIN sc2 ON sc.round = sc2.round AND sc.split = sc2.split
 """)
 def q_repeated_splits_mean(spark, sf):
     from regimen.plans.experiments import repeated_splits_mean
-    ev = T(spark, sf, "events").select("event_id", F.col("value").alias("label"))
+    ev = deal_up(T(spark, sf, "events").select("event_id", F.col("value").alias("label")))
     ext = T(spark, sf, "lineitem").select(F.col("l_quantity").alias("label"))
     out = repeated_splits_mean(ev, ["event_id"], "label", ext, n_rounds=2, n_splits=5)
     return out.select("round", "split", r6("score").alias("score"), r6("score2").alias("score2"), "accepted")
@@ -805,7 +805,7 @@ def synth_sql(seed: int = 42) -> str:
 
 
 def synthetic_lineitem(spark, sf) -> DataFrame:
-    li = T(spark, sf, "lineitem").select(*LI_KEYS, *SYN_FEATURES, SYN_LABEL)
+    li = deal_up(T(spark, sf, "lineitem").select(*LI_KEYS, *SYN_FEATURES, SYN_LABEL))
     return synth.synthesize(li, SYN_FEATURES, SYN_LABEL, key_cols=LI_KEYS, seed=42)
 
 
@@ -857,7 +857,7 @@ CRLF = "\r\n"
 
 
 def annotated_docs(spark, sf, lenient: bool) -> DataFrame:
-    li = T(spark, sf, "lineitem")
+    li = deal_up(T(spark, sf, "lineitem"))
     ln = F.col("l_linenumber")
     toks = _doc_fields_strict()
     if lenient:
