@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from regimen.operators import clean, metrics, profile, ranking, sampling, synth
 from regimen.operators.order import global_rank, hash_order
 from regimen.plans import baseline, experiments
-from regimen.session import deal_up, materialize
+from regimen.session import compact, deal_up, materialize
 from regimen.sources import tables, text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -1153,7 +1153,7 @@ def q_grid_holdout(spark, sf):
     ``rounds_help``: with more rounds and all else equal, the training score never falls."""
     from regimen.operators import models
     from regimen.plans import suite
-    s = materialize(sampling.holdout_split(part_with(spark, sf, WAVE), ["p_partkey"], 0.2, 42))
+    s = compact(materialize(sampling.holdout_split(part_with(spark, sf, WAVE), ["p_partkey"], 0.2, 42)))
     table, best = suite.grid_search_boosted(
         s.where(F.col("split") == "train"), s.where(F.col("split") == "test"),
         lambda max_iter, learning_rate, max_depth: models.gbt(PART_FEATURES, "y", max_iter=max_iter, step_size=learning_rate,

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from regimen.operators import metrics, models, ranking, sampling, solvers, svr, synth
 from regimen.operators.clean import accept_condition, impute_from_reference, impute_mean
-from regimen.session import materialize
+from regimen.session import compact, materialize
 from regimen.sources import tables
 
 Builder = Callable[..., object]
@@ -271,7 +271,7 @@ def grid_search_boosted_cv(folded: DataFrame, build: Builder, grid: dict[str, Se
                            parallelism: int = 2 * DEFAULT_PARALLELISM) -> tuple[DataFrame, DataFrame]:
     """E4 for boosted trees: as :func:`grid_search_cv`, with one fit a fold for all numbers of rounds."""
     points, fits = _staged_fits(grid, build, rounds)
-    folded = materialize(folded)
+    folded = compact(materialize(folded))
     parts = [(f, folded.where(F.col(fold_col) != f), {"test": folded.where(F.col(fold_col) == f)}) for f in range(k)]
     rows = score_staged(fits, build, parts, label, parallelism)
     scores = folded.sparkSession.createDataFrame([(gi, f, r2) for gi, f, _, r2 in rows], "grid_index long, fold int, r2 double")

@@ -76,3 +76,11 @@ def deal_up(df):
     more partitions is left as it is, whatever its size."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def compact(df, rows: int = 1 << 16):
+    """``df`` (a written table) in no more partitions than give a task ``rows`` rows.
+
+    A boosted fit is hundreds of jobs; on a small table, tasks of a few rows each only add to their latency."""
+    parts = max(1, -(-df.count() // rows))
+    return df.coalesce(parts) if parts < df.rdd.getNumPartitions() else df
