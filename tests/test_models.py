@@ -201,3 +201,68 @@ def test_network_sets_validation_rows_aside_itself(spark):
     flags = [sampling.content_holdout(d, ["a", "b", "y"], 0.1, 42).where("is_test").groupBy("a", "b").count().collect()
              for d in (df, df.repartition(7))]
     assert sorted(flags[0]) == sorted(flags[1]) and sum(r["count"] for r in flags[0]) == 20
+
+
+@pytest.fixture(scope="module")
+def noisy(spark):
+    """Labels that differ between rows of equal bins."""
+    d = spark.range(6000).select((F.col("id") % 50).cast("double").alias("q"), ((F.col("id") * 7919) % 6000 / 6000.0).alias("u"))
+    return d.select("q", "u", (F.sin(F.col("q") / 6.0) + F.col("u") + (F.col("q") * 31 + F.col("u") * 6000) % 7 / 10.0).alias("y"),
+                    (F.col("u") > 0.8).alias("v"))
+
+
+def by_rows(boosted, df, **kw):
+    """Spark ML's learner over the binned rows one by one."""
+    from pyspark.ml.regression import GBTRegressor
+    rows = boosted.stages[1].transform(boosted.stages[0].transform(df)).withMetadata("features", {})
+    return GBTRegressor(featuresCol="features", labelCol="y", stepSize=kw.pop("stepSize", 0.1), maxDepth=3, maxBins=16, **kw).fit(rows), rows
+
+
+def test_boosting_groups_equals_boosting_rows(spark, noisy):
+    m = models.gbt(["q", "u"], "y", max_iter=8, max_bins=16).fit(noisy)
+    rows_model, rows = by_rows(m, noisy, maxIter=8)
+    assert models.round_losses(m, noisy) == pytest.approx(rows_model.evaluateEachIteration(rows, "squared"))
+    both = rows_model.transform(rows).withColumnRenamed("prediction", "p")
+    other = m.stages[-1].transform(both)
+    assert other.agg(F.max(F.abs(F.col("p") - F.col("prediction")))).first()[0] < 1e-9
+
+
+def test_early_stopping_on_groups_equals_rows(spark, noisy):
+    m = models.gbt(["q", "u"], "y", max_iter=60, step_size=0.5, max_bins=16, validation_col="v").fit(noisy)
+    rows_model, _ = by_rows(m, noisy, maxIter=60, stepSize=0.5, validationIndicatorCol="v", validationTol=0.01)
+    assert m.stages[-1].getNumTrees == rows_model.getNumTrees < 60
+
+
+def test_learner_gets_groups_not_rows(spark, noisy):
+    bucketizer, rows, _ = models.fit_bins(noisy, ["q", "u"], "y", 16)
+    groups = models.grouped(bucketizer.transform(noisy), bucketizer.getOutputCols(), "y", spread=F.lit(True))
+    assert rows == 6000 and groups.count() <= 2 * 16 * 16
+    total = groups.agg(F.sum("_n"), F.sum(F.col("_n") * F.col("y")), F.sum(F.col("_n") * F.col("y") * F.col("y"))).first()
+    known = noisy.agg(F.count("*"), F.sum("y"), F.sum(F.col("y") * F.col("y"))).first()
+    assert list(total) == pytest.approx(list(known))
+
+
+def test_samples_of_groups(spark):
+    groups = spark.range(400).select((F.col("id") % 20).cast("double").alias("y"), F.lit(1000.0).alias("_n"))
+    part = models.draw(groups, 0.8, False, 1, 0).agg(F.sum("_drawn"), F.max("_drawn")).first()
+    assert part[0] == pytest.approx(320000, rel=0.01) and part[1] <= 1000
+    again = models.draw(groups, 1.0, True, 1, 0).agg(F.sum("_drawn"), F.var_samp("_drawn")).first()
+    assert again[0] == pytest.approx(400000, rel=0.01) and again[1] == pytest.approx(1000, rel=0.3)
+
+
+def test_stochastic_boosting_draws_groups(spark, planted):
+    m = models.gbt_stochastic(["q", "d"], "step", max_iter=4, max_bins=64).fit(planted)
+    assert m.stages[-1].treeWeights == [1.0, 0.1, 0.1, 0.1] and max_err(m.transform(planted), "step") == 0.0
+    assert models.training_history_gbt(m, planted, "x").collect()[-1].loss == 0.0
+
+
+def test_trees_refuse_missing_values(spark, planted):
+    holes = planted.withColumn("d", F.when(F.col("q") > 3, F.col("d")))
+    for est in (models.gbt(["q", "d"], "step", max_iter=2), models.random_forest(["q", "d"], "step", num_trees=2)):
+        with pytest.raises(ValueError, match="without a value of d"):
+            est.fit(holes)
+
+
+def test_dealt_tasks_stay_small(spark):
+    from regimen.session import deal_up
+    assert deal_up(spark.range(0, 1000, 1, 1), rows=100).rdd.getNumPartitions() == 10
