@@ -4,10 +4,11 @@ A row has, for every (round, split), a key below 2^31 - 1: (h1 * a + h2 * b + c)
 h1, h2 come from ONE md5 of the row's id and a, b, c from the md5 of (seed, round, split).  A split's test rows are
 the ``wanted`` rows with the smallest keys; equal keys are ordered by the id.
 
-* Thresholds: vector radix selection.  Each pass counts, for all splits at once, the keys in 256 equal parts of the
-  interval that holds the split's threshold; the counts are summed over tasks in two levels, and each interval
-  shrinks to one part.  A split is done when a part's border has exactly ``wanted`` keys below it,
-  usually after log256(rows) passes; equal keys at a threshold are settled among the rows that have them.
+* Thresholds: vector radix selection.  Each pass counts, for all open splits at once, the keys in 256 equal parts of
+  the interval that holds the split's threshold; the counts are summed over tasks in two levels, and each interval
+  shrinks to one part.  The first interval is where the quantile of evenly spread keys lies, and counts the keys below
+  it too: a split whose threshold is elsewhere starts again with all keys.  A split is done when a part's border has
+  exactly ``wanted`` keys below it, usually after two passes; equal keys at a threshold are settled among the rows that have them.
 * Statistics: one more pass adds every row's values to vectors indexed by split.
 
 What travels is a few numbers a split and task; rows never leave their tasks and no row is written or copied.
@@ -29,8 +30,10 @@ from regimen.functions.exprs import nan_to_null
 
 PRIME = (1 << 31) - 1
 PARTS = 256
-#: Splits whose keys are worked out together, and rows at a time.
-BLOCK, ROWS = 2048, 512
+#: Splits whose keys are worked out together, and rows at a time: their keys stay in a core's cache.
+BLOCK, ROWS = 2048, 32
+#: Half of the first interval, in standard deviations of the place of a threshold among evenly spread keys.
+SPREAD = 8.0
 #: Partial sums of a block's vectors before the total.
 SUM_PARTS = 16
 
@@ -48,10 +51,21 @@ def split_factors(seed: int, n_rounds: int, n_splits: int) -> np.ndarray:
 
 
 def split_keys(h1: np.ndarray, h2: np.ndarray, factors: np.ndarray) -> np.ndarray:
-    """Keys (rows x splits)."""
-    a, b, c = factors[:, 0], factors[:, 1], factors[:, 2]
-    prime = np.uint64(PRIME)
-    return (h1[:, None] * a % prime + h2[:, None] * b % prime + c) % prime
+    """Keys (rows x splits).  h1 * a + h2 * b + c fits 64 bits, and 2^31 is 1 modulo 2^31 - 1: halves are added, not divided."""
+    a, b, c = np.ascontiguousarray(factors.T)
+    prime, bits = np.uint64(PRIME), np.uint64(31)
+    keys = h1[:, None] * a
+    other = h2[:, None] * b
+    keys += other
+    keys += c
+    if PRIME != (1 << 31) - 1:
+        return keys % prime
+    for _ in range(2):
+        np.right_shift(keys, bits, out=other)
+        keys &= prime
+        keys += other
+    keys -= prime * (keys >= prime)
+    return keys
 
 
 def keyed_rows(df: DataFrame, id_cols: Sequence[str], label: str) -> DataFrame:
@@ -103,28 +117,43 @@ def thresholds(rows: DataFrame, factors: np.ndarray, wanted: int, id_cols: Seque
     """For every split a bound below which keys are test keys, and the rows that are test rows besides:
     (``_split``, id columns), or None."""
     n = len(factors)
-    low, width = np.zeros(n, np.int64), np.full(n, 1 << 31, np.int64)  # the interval that holds the threshold
+    total = rows.count()
+    share = wanted / max(total, 1)
+    half = math.ceil(SPREAD * math.sqrt(share * (1 - share) / max(total, 1)) * PRIME) + PARTS
+    start = max(0, round(share * PRIME) - half)
+    low, width = np.full(n, start, np.int64), np.full(n, 2 * half, np.int64)  # the interval that holds the threshold
     below, bound = np.zeros(n, np.int64), np.full(n, -1, np.int64)
-    while (open_ := bound < 0).any() and (width[open_] > 1).any():
-        step = np.maximum(1, width // PARTS)
-        at_low, at_step = low.astype(np.uint64), step.astype(np.uint64)
+    first_pass = True
+    while len(open_ := np.flatnonzero((bound < 0) & (width > 1))):
+        step = np.maximum(1, -(-width[open_] // PARTS))
+        own, at_low, at_step, at_width = factors[open_], *(v.astype(np.uint64) for v in (low[open_], step, step * PARTS))
 
         def add(h1, h2, y, first, last, into):
-            keys = split_keys(h1, h2, factors[first:last])
-            part = (keys - at_low[first:last]) // at_step[first:last]  # below the interval: wraps, far above PARTS
-            r, c = np.nonzero(part < PARTS)
-            into += np.bincount(c * PARTS + part[r, c].astype(np.int64), minlength=into.size).reshape(into.shape)
-
-        counts = _sums(rows, n, PARTS, add).astype(np.int64)
-        upto = below[:, None] + counts.cumsum(axis=1)
+            keys = split_keys(h1, h2, own[first:last])
+            if first_pass:
+                into[:, PARTS] += (keys < at_low[first:last]).sum(axis=0)
+            keys -= at_low[first:last]  # below the interval: wraps, far above its width
+            found = np.flatnonzero(keys < at_width[first:last])
+            c = found % (last - first)
+            part = keys.ravel()[found] // at_step[first:last][c]
+            np.add.at(into.reshape(-1), c * (PARTS + 1) + part.astype(np.int64), 1.0)  # few a tile
+
+        counts = _sums(rows, len(open_), PARTS + 1, add).astype(np.int64)
+        under = counts[:, PARTS] if first_pass else below[open_]
+        upto = under[:, None] + counts[:, :PARTS].cumsum(axis=1)
+        inside = ((under < wanted) | (low[open_] == 0)) & (upto[:, -1] >= wanted)
+        out = open_[~inside]
+        low[out], width[out], below[out] = 0, 1 << 31, 0  # all keys, next
         exact = upto == wanted
-        hit = open_ & exact.any(axis=1)
-        bound[hit] = (low + step * (exact.argmax(axis=1) + 1))[hit]
+        hit = inside & exact.any(axis=1)
+        bound[open_[hit]] = (low[open_] + step * (exact.argmax(axis=1) + 1))[hit]
         part = (upto < wanted).sum(axis=1)  # the part that crosses
-        go = open_ & ~hit
-        below[go] = np.where(part > 0, upto[np.arange(n), np.maximum(part - 1, 0)], below)[go]
-        low[go] += (step * part)[go]
-        width[go] = step[go]
+        go = inside & ~hit
+        at = open_[go]
+        below[at] = np.where(part > 0, upto[np.arange(len(open_)), np.maximum(part - 1, 0)], under)[go]
+        low[at] += (step * part)[go]
+        width[at] = step[go]
+        first_pass = False
     ties = np.flatnonzero(bound < 0)
     if not len(ties):
         return bound, None

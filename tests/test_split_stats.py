@@ -50,3 +50,21 @@ def test_no_rows_and_constant_labels(spark):
     df = spark.createDataFrame([(i, 2.0) for i in range(20)], "i long, y double")
     assert {r.score for r in split_stats.split_statistics(df, ["i"], "y", 2, 2).collect()} == {1.0}
     assert split_stats.split_statistics(df.where("false"), ["i"], "y", 2, 2).collect() == []
+
+
+def test_keys_are_residues():
+    f = split_stats.split_factors(3, 2, 9)
+    h1, h2 = (np.array(v, np.uint64) for v in ([0, split_stats.PRIME - 1, 12345, split_stats.PRIME - 1], [0, split_stats.PRIME - 1, 999, 1]))
+    want = [[(int(x) * int(a) + int(y) * int(b) + int(c)) % split_stats.PRIME for a, b, c in f] for x, y in zip(h1, h2)]
+    assert split_stats.split_keys(h1, h2, f).tolist() == want
+
+
+def test_thresholds_take_few_passes(spark, monkeypatch):
+    """The first interval is narrow: two passes for the thresholds and one for the statistics, whatever the keys."""
+    passes, sums = [], split_stats._sums
+    monkeypatch.setattr(split_stats, "_sums", lambda rows, count, *a: passes.append(count) or sums(rows, count, *a))
+    df = spark.range(20000).selectExpr("id AS i", "id % 7 + 0.5 AS y")
+    wide = split_stats.split_statistics(df, ["i"], "y", 2, 5, 0.2, 9).collect()
+    assert sum(passes[:-1]) <= 25 and passes[0] == passes[-1] == 10
+    monkeypatch.setattr(split_stats, "SPREAD", 0.0)  # intervals that miss most thresholds
+    assert split_stats.split_statistics(df, ["i"], "y", 2, 5, 0.2, 9).collect() == wide
