@@ -266,3 +266,13 @@ def test_trees_refuse_missing_values(spark, planted):
 def test_dealt_tasks_stay_small(spark):
     from regimen.session import deal_up
     assert deal_up(spark.range(0, 1000, 1, 1), rows=100).rdd.getNumPartitions() == 10
+
+
+def test_assembled_ensembles_are_saved_whole(spark, planted, tmp_path):
+    from regimen.sources import tables
+    for name, est in (("forest", models.random_forest(["q", "d"], "step", num_trees=3, max_bins=64)),
+                      ("boosted", models.gbt_stochastic(["q", "d"], "step", max_iter=3, max_bins=64))):
+        m = est.fit(planted.crossJoin(spark.range(10)))   # groups are few beside the rows
+        m.write().overwrite().save(str(tmp_path / name))
+        back = tables.load_model(str(tmp_path / name))
+        assert back.stages[-1].getNumTrees == 3 and max_err(back.transform(planted), "step") == 0.0
