@@ -287,24 +287,33 @@ def of_class(lists: pa.Array, key: np.ndarray, classes: int) -> list[list[np.nda
 class Model:
     """The context trees of some classes over all their grams.
 
-    Orders 0 and 1 (at most 256 + 65,536 grams a class) are held as trees; the symbols and contexts of longer orders
+    A model of no more rows (class, gram) than a task holds is held whole: the tasks get its trees, and no table is joined.
+    Of a larger one, orders 0 and 1 (at most 256 + 65,536 grams a class) are held as trees; the symbols and contexts of longer orders
     are tables in the shared folder, however many there are.  Values of the most frequent grams, ``CACHED`` at most,
     go to the tasks; bytes with any other gram are joined with the tables, so sums cover every gram exactly."""
 
     def __init__(self, counts: DataFrame, classes: int, order: int, value: str):
         self.classes, self.order, self.value = classes, order, value
         counts = common.write_shared(counts)
+        self.tables = []
+        if counts.count() <= min(CACHED, CACHED_VALUES // classes):
+            self.trees = self.held_trees(counts, order)
+            self.cache = GramTable(self.trees, value)
+            return
         symbols = {order: counts.withColumnRenamed("gram", "key")}
         for d in range(order - 1, 0, -1):
             shorter = symbols[d + 1].groupBy("cls", F.expr(f"key & {mask(d)}").alias("key")).agg(F.sum("n").alias("n"))
             symbols[d] = common.write_shared(shorter)
         held = min(HELD, order)
-        found = symbols[held].toArrow()  # at most 256^2 rows a class
-        cls, key, n = (found[c].to_numpy() for c in ("cls", "key", "n"))
-        self.trees = [Tree(key[cls == c].astype(np.uint64), n[cls == c], held) for c in range(classes)]
+        self.trees = self.held_trees(symbols[held].withColumnRenamed("key", "gram"), held)  # at most 256^2 rows a class
         self.tables = [self.nodes(symbols[d], symbols[d - 1], d) for d in range(held + 1, order + 1)]
         self.cache = self.most_frequent(counts)
 
+    def held_trees(self, counts: DataFrame, order: int) -> list[Tree]:
+        found = counts.toArrow()
+        cls, gram, n = (found[c].to_numpy() for c in ("cls", "gram", "n"))
+        return [Tree(gram[cls == c].astype(np.uint64), n[cls == c], order) for c in range(self.classes)]
+
     @staticmethod
     def nodes(own: DataFrame, shorter: DataFrame, d: int) -> tuple[DataFrame, DataFrame]:
         """Tables of order ``d``: (key, s: cls and n of each class) and (ctx, x: cls and its Tree values of each)."""
@@ -362,6 +371,8 @@ class Model:
     def sums(self, rows: DataFrame, text_col: str) -> DataFrame:
         """All columns but the text, ``sums_`` (each class's value summed over all bytes) and ``bytes_``."""
         keep = [c for c in rows.columns if c != text_col]
+        if isinstance(self.cache, GramTable):
+            return self.held_sums(rows.select(*keep, text_col))
         source = rows.select(*keep, F.monotonically_increasing_id().alias("row_"), text_col)
         schema = T.StructType([T.StructField(f.name, f.dataType) for f in source.drop(text_col).schema.fields])
         schema.add("sums_", T.ArrayType(T.DoubleType())).add("bytes_", "long").add("gram_", "long").add("times_", "long")
@@ -398,6 +409,21 @@ class Model:
         return (found.where("gram_ is null").join(more, "row_", "left")
                 .select(*keep, added.alias("sums_"), "bytes_"))
 
+    def held_sums(self, source: DataFrame) -> DataFrame:
+        """``sums`` of a model that is held whole; the text is the last column."""
+        schema = T.StructType([T.StructField(f.name, f.dataType) for f in source.schema.fields[:-1]])
+        schema.add("sums_", T.ArrayType(T.DoubleType())).add("bytes_", "long")
+        names, cache, order = schema.names, self.cache, self.order
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            low = lower_table()
+            for batch in batches:
+                *own, texts = batch.columns
+                sums = text_sums(cache, texts, order, low)
+                yield pa.record_batch([*own, lists_of(sums), pa.array(np.diff(common.text_buffers(texts)[1]))], names=names)
+
+        return source.mapInArrow(run, schema)
+
 
 def lists_of(values: np.ndarray) -> pa.Array:
     """One list for each row."""

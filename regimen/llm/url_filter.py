@@ -98,13 +98,14 @@ class RatioModel:
 def fit(decided: DataFrame, order: int = ORDER) -> RatioModel:
     """Learn from (text, allowed boolean)."""
     hold = F.pmod(F.xxhash64("text", F.lit(5)), F.lit(HOLD)) == 0
-    kinds = {r["allowed"] for r in decided.where(~hold).select("allowed").distinct().collect()}
+    found = decided.select(hold.alias("hold"), "allowed").distinct().collect()  # four rows at most
+    kinds = {r["allowed"] for r in found if not r["hold"]}
     if len(kinds) < 2:
         return RatioModel(None, float(next(iter(kinds), True)))
     rows = decided.where(~hold).select(F.when(F.col("allowed"), "a").otherwise("b").alias("cls"), "text")
     model = RatioModel(bytelm.Model(bytelm.count_grams(rows, order, ["a", "b"]), 2, order, "log_likelihoods"))
     part = decided.where(hold)
-    if part.select("allowed").distinct().count() < 2:  # too few to keep apart
+    if sum(r["hold"] for r in found) < 2:  # too few to keep apart
         part = decided
     part = part.orderBy(F.xxhash64("text"), "text").limit(FIT_ROWS)
     pairs = model.judge(part, "text", "ratio", "score_").select("ratio", F.col("allowed").cast("double").alias("y"))

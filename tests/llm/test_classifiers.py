@@ -119,6 +119,14 @@ def test_joined_values_equal_trees_held_whole(spark, monkeypatch):
                 assert np.allclose([got[i].sums_ for i in range(len(texts))], want, rtol=1e-5), (value, order, most)
 
 
+def test_a_small_model_is_held_whole_and_joins_nothing(spark):
+    rows = spark.createDataFrame([("a", "example.com/en/x1"), ("b", "example.net/fr/y2")], "cls string, text string")
+    model = bytelm.Model(bytelm.count_grams(rows, 4, ["a", "b"]), 2, 4, "log_likelihoods")
+    sums = model.sums(rows, "text")
+    assert "Exchange" not in sums._jdf.queryExecution().toString()
+    assert all((r.sums_[0] > r.sums_[1]) == (r.cls == "a") for r in sums.collect())
+
+
 def test_rare_grams_beside_many_frequent_ones_are_kept(spark):
     r = random.Random(4)
     many = ["".join(r.choices("abcdefghijklmnop", k=40_000)) for _ in range(6)]
