@@ -8,7 +8,8 @@ Spark, whitened by the landmark kernel's eigen-decomposition.
 Each round is ONE pass: tasks map their Arrow batches and add up, for every
 state (one kernel map, C, epsilon and training part), the weighted Gram matrix, its
 right-hand side and the loss; these sums (D x D numbers a state) are added in two
-levels and solved on the driver.  A grid search runs all its points and folds as states of
+levels and solved on the driver.  Rows with the same features and label are one row with a number, if there are many of them
+(:func:`numbered`): the sums, and so the fit, are those of the rows.  A grid search runs all its points and folds as states of
 the same passes and maps each batch once per kernel map, so it costs as many
 passes as its slowest state has rounds, not one fit per point and fold.
 """
@@ -33,13 +34,17 @@ from pyspark.sql.types import DoubleType
 
 from regimen.functions.exprs import nan_to_null
 from regimen.operators.persist import Stored
-from regimen.session import materialize
+from regimen.session import compact, materialize
 
 PREDICTION = "prediction"
 #: Partial sums of the states before the total.
 SUM_PARTS = 16
 #: Rows that a task maps at a time.
 SLICE = 4096
+#: Rows scored at a time: their kernel values fit a core's cache.
+SCORED = 512
+#: Equal rows are grouped if there are at least this many on average.
+EQUAL_ROWS = 4
 
 # The code below travels to the executors by value, so Python workers need only NumPy and Arrow.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -80,8 +85,12 @@ class KernelMap:
 
 
 def rbf(x: np.ndarray, centres: np.ndarray, gamma: float) -> np.ndarray:
-    apart = (x * x).sum(1)[:, None] + (centres * centres).sum(1)[None, :] - 2.0 * x @ centres.T
-    return np.exp(-gamma * np.maximum(apart, 0.0))
+    """exp(-gamma |x - centre|^2): one product of rows (x, |x|^2, 1) gives the exponents."""
+    left = np.column_stack([x, (x * x).sum(1), np.ones(len(x))])
+    right = np.vstack([2.0 * gamma * centres.T, np.full(len(centres), -gamma), -gamma * (centres * centres).sum(1)])
+    out = left @ right
+    np.minimum(out, 0.0, out=out)
+    return np.exp(out, out=out)
 
 
 def rbf_map(means, stds, gamma: float, landmarks: np.ndarray) -> KernelMap:
@@ -107,13 +116,13 @@ class State:
     done: bool = False
 
 
-def _batches(batches: Iterator, features: Sequence[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(features, labels, folds) of slices of Arrow batches."""
+def _batches(batches: Iterator, features: Sequence[str]) -> Iterator[tuple[np.ndarray, ...]]:
+    """(features, labels, folds, numbers of rows) of slices of Arrow batches."""
     for batch in batches:
         for at in range(0, batch.num_rows, SLICE):
             part = batch.slice(at, SLICE)
             x = np.column_stack([part.column(f).to_numpy(zero_copy_only=False) for f in features])
-            yield x, part.column("_y").to_numpy(zero_copy_only=False), part.column("_fold").to_numpy(zero_copy_only=False)
+            yield x, *(part.column(c).to_numpy(zero_copy_only=False) for c in ("_y", "_fold", "_n"))
 
 
 def _state_sums(table: DataFrame, run) -> dict[int, np.ndarray]:
@@ -140,21 +149,22 @@ def _gram_pass(table: DataFrame, features: Sequence[str], maps: list[KernelMap],
 
     def run(batches):
         found = {k: [0.0, 0.0, 0.0] for k in states}
-        for x, y, fold in _batches(batches, features):
+        for x, y, fold, n in _batches(batches, features):
             for m in upper:
                 z = np.column_stack([maps[m](x), np.ones(len(x))])
                 for k, s in states.items():
                     if s.map != m:
                         continue
                     e = y - (z @ s.coef if s.coef is not None else 0.0)
-                    own = np.ones(len(y)) if s.without is None else (fold != s.without).astype(float)
+                    own = n if s.without is None else np.where(fold != s.without, n, 0.0)
                     i1 = 1.0 / np.maximum(np.abs(e - s.epsilon), delta)
                     i2 = 1.0 / np.maximum(np.abs(e + s.epsilon), delta)
                     q = own * (s.C / 2.0) * (i1 + i2)
                     t = y - s.epsilon * (i1 - i2) / (i1 + i2)
                     sums = found[k]
                     sums[0] += float(own @ np.maximum(np.abs(e) - s.epsilon, 0.0))
-                    sums[1] = sums[1] + (z * q[:, None]).T @ z
+                    half = z * np.sqrt(q)[:, None]
+                    sums[1] = sums[1] + half.T @ half  # one triangle's work
                     sums[2] = sums[2] + z.T @ (q * t)
         yield from _emit({k: np.concatenate([[v[0]], v[2], v[1][upper[states[k].map]]])
                           for k, v in found.items() if not np.isscalar(v[1])})
@@ -170,7 +180,7 @@ def _gram_pass(table: DataFrame, features: Sequence[str], maps: list[KernelMap],
 
 def irls(table: DataFrame, features: Sequence[str], maps: list[KernelMap], states: list[State], max_iter: int, tol: float,
          delta: float) -> None:
-    """Fit all ``states`` over ``table`` (features, _y, _fold); one pass a round serves every state that is not done."""
+    """Fit all ``states`` over ``table`` (features, _y, _fold, _n); one pass a round serves every state that is not done."""
     for _ in range(max_iter):
         open_ = {k: s for k, s in enumerate(states) if not s.done}
         if not open_:
@@ -196,18 +206,18 @@ def irls(table: DataFrame, features: Sequence[str], maps: list[KernelMap], state
 
 def fold_r2(table: DataFrame, features: Sequence[str], maps: list[KernelMap], states: list[State]) -> dict[int, tuple[int, float | None]]:
     """(n, R^2) of every state on the fold that it was fitted without: one pass for all."""
-    centre = table.agg(F.avg("_y")).first()[0] or 0.0
+    centre = table.agg(F.sum(F.col("_y") * F.col("_n")) / F.sum("_n")).first()[0] or 0.0
 
     def run(batches):
         found = {k: np.zeros(4) for k in range(len(states))}
-        for x, y, fold in _batches(batches, features):
+        for x, y, fold, n in _batches(batches, features):
             for m in sorted({s.map for s in states}):
                 z = np.column_stack([maps[m](x), np.ones(len(x))])
                 for k, s in enumerate(states):
                     at = fold == s.without if s.map == m else np.zeros(len(y), bool)
                     if at.any():
-                        e, c = y[at] - z[at] @ s.coef, y[at] - centre
-                        found[k] += [len(e), c.sum(), c @ c, e @ e]
+                        e, c, w = y[at] - z[at] @ s.coef, y[at] - centre, n[at]
+                        found[k] += [w.sum(), w @ c, w @ (c * c), w @ (e * e)]
         yield from _emit(found)
 
     out = {}
@@ -237,10 +247,10 @@ def fit_scalers(table: DataFrame, features: Sequence[str], folds: Sequence[int |
 
 
 def find_landmarks(table: DataFrame, features: Sequence[str], means, stds, count: int, seed: int) -> np.ndarray:
-    """At most ``count`` landmarks in raw feature values: k-means|| centres of the scaled rows."""
+    """At most ``count`` landmarks in raw feature values: k-means|| centres of the scaled rows, each ``_n`` times."""
     xs = [(F.col(c) - F.lit(m)) / F.lit(s) for c, m, s in zip(features, means, stds)]
-    rows = table.select(array_to_vector(F.array(*xs)).alias("features"))
-    model = KMeans(k=count, initMode="k-means||", maxIter=5, seed=seed).fit(rows)
+    rows = table.select(array_to_vector(F.array(*xs)).alias("features"), "_n")
+    model = KMeans(k=count, initMode="k-means||", maxIter=5, seed=seed, weightCol="_n").fit(rows)
     return np.unique(np.array(model.clusterCenters()), axis=0) * np.array(stds) + np.array(means)
 
 
@@ -268,6 +278,16 @@ def training_table(df: DataFrame, features: Sequence[str], label: str, fold_col:
     return df.select(*cols, nan_to_null(label).alias("_y"), fold.alias("_fold")).dropna()
 
 
+def numbered(table: DataFrame, keep: bool) -> DataFrame:
+    """``table`` with ``_n``, how many equal rows a row stands for: written with one row for all equal ones if they are
+    ``EQUAL_ROWS`` or more on average, else the rows themselves with 1 (written if ``keep``)."""
+    rows, kinds = table.agg(F.count(F.lit(1)), F.approx_count_distinct(F.xxhash64(*table.columns))).first()
+    if rows and kinds * EQUAL_ROWS <= rows:
+        return compact(materialize(table.groupBy(*table.columns).agg(F.count(F.lit(1)).cast("double").alias("_n"))), SLICE)
+    table = table.withColumn("_n", F.lit(1.0))
+    return materialize(table) if keep else table
+
+
 # ------------------------------------------------------------------ estimator
 
 def _balanced_sum(terms: list[Column]) -> Column:
@@ -320,8 +340,8 @@ class SVRModel(Model, Stored):
 
         def score(*cols: pd.Series) -> pd.Series:
             x = np.column_stack([c.to_numpy(dtype=float) for c in cols])
-            p = np.concatenate([rbf(own.scaled(x[i:i + SLICE]), centres, own.gamma) @ weights + intercept
-                                for i in range(0, len(x), SLICE)] or [np.zeros(0)])
+            p = np.concatenate([rbf(own.scaled(x[i:i + SCORED]), centres, own.gamma) @ weights + intercept
+                                for i in range(0, len(x), SCORED)] or [np.zeros(0)])
             return pd.Series(p)
 
         score.__annotations__ = {"cols": pd.Series, "return": pd.Series}
@@ -338,7 +358,8 @@ class SVR(Estimator, Stored):
     ``q = C/2 (1/m1 + 1/m2)`` and target ``y - eps (1/m1 - 1/m2) / (1/m1 + 1/m2)``.
     ``gamma``: 'scale' (1 / (d var X)), 'auto' (1 / d) or a number.  The rbf kernel is a Nystrom map over
     ``n_components`` landmarks, exact when there are no more distinct rows than landmarks.
-    ``keep_table`` writes the training rows once to the shared folder, else each round reads the source again.
+    ``keep_table`` writes the training rows once to the shared folder, else each round reads the source again; rows that
+    are equal in features and label are always written as one with their number, if they are many (:func:`numbered`).
     Rows without a label or with a missing feature are not fitted; a missing feature gives no prediction.
     """
 
@@ -363,16 +384,16 @@ class SVR(Estimator, Stored):
     def _fit(self, dataset: DataFrame) -> SVRModel:
         d = len(self.features)
         table = training_table(dataset, self.features, self.label)
-        if self.keep_table:
-            table = materialize(table)
         means, stds = fit_scalers(table, self.features, [None])[0][:2] if self.scale else ((0.0,) * d, (1.0,) * d)
         gamma = 1.0
         if self.kernel == "rbf":
             scaled = table.select(*[((F.col(c) - m) / s).alias(c) for c, m, s in zip(self.features, means, stds)])
             gamma = gamma_value(self.gamma, d, _variance(scaled, self.features) if self.gamma == "scale" else 1.0)
+            table = numbered(table, self.keep_table)
             landmarks = find_landmarks(table, self.features, means, stds, self.n_components, self.seed)
             own = rbf_map(means, stds, gamma, landmarks)
         else:
+            table = numbered(table, self.keep_table)
             own = KernelMap(self.kernel, tuple(means), tuple(stds), degree=self.degree)
         state = State(0, self.C, self.epsilon)
         irls(table, self.features, [own], [state], self.max_iter, self.tol, self.delta)
@@ -392,9 +413,10 @@ def grid_fold_scores(folded: DataFrame, points: list[dict], features: Sequence[s
 
     Scalers are fitted on each fold's training rows; points that come to the same kernel values share
     their states (gamma has no meaning for the linear kernel).  The landmarks are picked once, from the features of all rows."""
-    table = materialize(training_table(folded, features, label, fold_col))
+    table = training_table(folded, features, label, fold_col)
     d, folds = len(features), list(range(k))
     whole, *scalers = fit_scalers(table, features, [None, *folds])
+    table = numbered(table, keep=True)
     landmarks = None
     if any(p.get("kernel", "rbf") == "rbf" for p in points):
         landmarks = find_landmarks(table, features, *whole[:2], n_components, seed)
