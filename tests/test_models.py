@@ -83,6 +83,54 @@ def test_mlp_single_partition_equals_numpy_epochs(spark):
     assert np.allclose(model.weights, expected, rtol=1e-9, atol=1e-12)
 
 
+def test_replicas_train_each_row_once_with_the_gradient_of_the_loss():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    shapes = solvers._layer_shapes(3, (8, 4))
+    w = solvers._init_weights(shapes, 1)
+    x = rng.normal(size=(333, 3))
+    y = x @ [3.0, 1.0, 0.0]
+    state = [np.tile(z, (4, 1)) for z in (w, 0 * w, 0 * w)] + [np.zeros(4, int)]
+    _, _, seen = solvers._replica_epoch(*state, x, y, shapes, 0.01, 32, 0.2, rng)
+    assert seen.tolist() == [96, 96, 77, 64] and state[3].tolist() == [3, 3, 3, 2]
+
+    def loss(q):
+        return np.mean((solvers._forward(solvers._unflatten(q, shapes), x[:32])[0][-1][:, 0] - y[:32]) ** 2)
+
+    m = np.zeros((1, len(w)))
+    solvers._step(w[None].copy(), m, m.copy(), np.zeros(1, int), x[None, :32], y[None, :32], shapes, 0.01, 0.0, rng)
+    numeric = [(loss(w + e) - loss(w - e)) / 2e-6 for e in 1e-6 * np.eye(len(w))]
+    assert np.allclose(m[0] / 0.1, numeric, atol=1e-6)
+
+
+def test_network_of_many_rows_trains_replicas(spark, monkeypatch):
+    monkeypatch.setattr(solvers, "REPLICA_ROWS", 128)
+    d = spark.range(4096).selectExpr("cast(id % 50 as double) q", "cast(id % 11 as double) d").selectExpr("*", "q - 2 * d AS y", "q = 7 AS v")
+    m = solvers.MLPRegressor(["q", "d"], "y", hidden=(16, 8), dropout=0.1, learning_rate=0.01, epochs=15, validation_col="v").fit(d.coalesce(1))
+    r = metrics.regression_metrics(m.transform(d).withColumnRenamed("y", "label"), []).first()
+    assert r.r2 > 0.9
+
+
+def test_svr_of_equal_rows_equals_that_of_the_rows(spark, monkeypatch):
+    import numpy as np
+
+    from regimen.operators import svr
+    d = spark.range(3000).selectExpr("cast(id % 20 as double) a", "cast(id % 7 as double) b").selectExpr("*", "a * b + a AS y")
+    for kernel in ("linear", "poly", "rbf"):
+        est = solvers.SVR(["a", "b"], "y", kernel=kernel, C=10.0, max_iter=4, tol=0.0, n_components=200, degree=2)
+        sizes, own = [], svr.irls
+        monkeypatch.setattr(svr, "irls", lambda table, *args: (sizes.append(table.count()), own(table, *args)))
+        grouped = est.fit(d)
+        monkeypatch.setattr(svr, "EQUAL_ROWS", 10**9)
+        alone = est.fit(d)
+        monkeypatch.undo()
+        assert sizes == [140, 3000]
+        assert np.allclose(grouped.objective_trace, alone.objective_trace, rtol=1e-6)
+        both = [m.transform(d.distinct()).orderBy("a", "b").toPandas()["prediction"] for m in (grouped, alone)]
+        assert np.allclose(*both, atol=1e-4)
+
+
 def test_svr_irls_rounds_equal_numpy(spark):
     """Each IRLS round is the exact weighted ridge solve of
     0.5|w|^2 + 0.5 sum q (t - Xw - b)^2 (intercept unpenalised)."""
