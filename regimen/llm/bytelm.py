@@ -295,10 +295,11 @@ class Model:
     def __init__(self, counts: DataFrame, classes: int, order: int, value: str):
         self.classes, self.order, self.value = classes, order, value
         counts = common.write_shared(counts)
-        self.tables = []
-        if counts.count() <= min(CACHED, CACHED_VALUES // classes):
+        self.whole = counts.count() <= min(CACHED, CACHED_VALUES // classes)
+        if self.whole:
             self.trees = self.held_trees(counts, order)
-            self.cache = GramTable(self.trees, value)
+            gram = np.unique(np.concatenate([t.symbols[order][0] for t in self.trees]))
+            self.cache = Cache(gram, GramTable(self.trees, value).compute(gram))
             return
         symbols = {order: counts.withColumnRenamed("gram", "key")}
         for d in range(order - 1, 0, -1):
@@ -371,7 +372,7 @@ class Model:
     def sums(self, rows: DataFrame, text_col: str) -> DataFrame:
         """All columns but the text, ``sums_`` (each class's value summed over all bytes) and ``bytes_``."""
         keep = [c for c in rows.columns if c != text_col]
-        if isinstance(self.cache, GramTable):
+        if self.whole:
             return self.held_sums(rows.select(*keep, text_col))
         source = rows.select(*keep, F.monotonically_increasing_id().alias("row_"), text_col)
         schema = T.StructType([T.StructField(f.name, f.dataType) for f in source.drop(text_col).schema.fields])
@@ -410,16 +411,24 @@ class Model:
                 .select(*keep, added.alias("sums_"), "bytes_"))
 
     def held_sums(self, source: DataFrame) -> DataFrame:
-        """``sums`` of a model that is held whole; the text is the last column."""
+        """``sums`` of a model that is held whole, equal to those over joined tables; the text is the last column."""
         schema = T.StructType([T.StructField(f.name, f.dataType) for f in source.schema.fields[:-1]])
         schema.add("sums_", T.ArrayType(T.DoubleType())).add("bytes_", "long")
-        names, cache, order = schema.names, self.cache, self.order
+        names, cache, order, trees, value = schema.names, self.cache, self.order, self.trees, self.value
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             low = lower_table()
             for batch in batches:
                 *own, texts = batch.columns
-                sums = text_sums(cache, texts, order, low)
+                sums = np.zeros((batch.num_rows, len(trees)))
+                more = np.zeros(sums.shape, np.int64)
+                for i, j, part, row, gram in tile_sums(cache, texts, order, low):
+                    sums[i:j] += part
+                    if len(row):
+                        gram, back = np.unique(gram, return_inverse=True)
+                        v = np.stack([getattr(t, value)(gram) for t in trees], axis=1).astype(np.float32).astype(float) * UNIT
+                        np.add.at(more, row, (np.sign(v) * np.floor(np.abs(v) + 0.5)).astype(np.int64)[back])
+                sums += more / UNIT
                 yield pa.record_batch([*own, lists_of(sums), pa.array(np.diff(common.text_buffers(texts)[1]))], names=names)
 
         return source.mapInArrow(run, schema)
