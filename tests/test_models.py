@@ -324,3 +324,36 @@ def test_assembled_ensembles_are_saved_whole(spark, planted, tmp_path):
         m.write().overwrite().save(str(tmp_path / name))
         back = tables.load_model(str(tmp_path / name))
         assert back.stages[-1].getNumTrees == 3 and max_err(back.transform(planted), "step") == 0.0
+
+
+def test_sampled_boosting_on_many_label_values_reads_rows_once_a_pass(spark, noisy, monkeypatch):
+    from pyspark.ml.regression import GBTRegressor
+    many = noisy.crossJoin(spark.range(4).select((F.col("id") / 100.0).alias("e"))).select("q", "u", (F.col("y") + F.col("e")).alias("y"))
+    monkeypatch.setattr(GBTRegressor, "fit", lambda *args: pytest.fail("the learner got the rows"))
+    monkeypatch.setattr(models, "ROUNDS_A_PASS", 3)
+    passes, own = [], models.row_samples
+    monkeypatch.setattr(models, "row_samples", lambda *args: (passes.append(list(args[-1])), own(*args))[1])
+    m = models.gbt(["q", "u"], "y", max_iter=8, step_size=0.5, max_bins=16, subsample=0.8).fit(many)
+    assert passes == [[0, 1, 2], [3, 4, 5], [6, 7]] and m.stages[-1].treeWeights == [1.0] + 7 * [0.5]
+    monkeypatch.undo()
+    whole, rows = by_rows(m, many.withColumn("_n", F.lit(1.0)), maxIter=8, stepSize=0.5)
+    assert models.round_losses(m, many) == pytest.approx(whole.evaluateEachIteration(rows, "squared"), rel=0.2)  # samples differ
+    est = models.gbt(["q", "u"], "y", max_iter=8, step_size=0.5, max_bins=16)
+    drawn = est._sampled(est._row_samples(m.stages[0].transform(many)))   # at rate 1
+    assert drawn.evaluateEachIteration(rows, "squared") == pytest.approx(whole.evaluateEachIteration(rows, "squared"))
+
+
+def test_row_samples_are_counts_and_sums_of_the_same_rows(spark):
+    rows = spark.range(0, 40000, 1, 4).select((F.col("id") % 4).cast("double").alias("b"), F.lit(3.0).alias("y"))
+    s = models.row_samples(rows, ["b"], "y", 0.8, 1, range(5, 8)).collect()
+    assert len(s) == 4
+    for r in s:
+        for i in (5, 6, 7):
+            assert r[f"_drawn_{i}"] == pytest.approx(8000, rel=0.05) and r[f"_sum_{i}"] == 3.0 * r[f"_drawn_{i}"]
+        assert len({r[f"_drawn_{i}"] for i in (5, 6, 7)}) > 1
+
+
+def test_sampled_boosting_of_mostly_different_rows_gets_the_rows(spark, noisy, monkeypatch):
+    monkeypatch.setattr(models, "row_samples", lambda *args: pytest.fail("groups are not few beside the rows"))
+    m = models.gbt(["q", "u"], "y", max_iter=2, max_bins=64, subsample=0.8).fit(noisy)
+    assert m.stages[-1].getNumTrees == 2
