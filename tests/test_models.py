@@ -112,6 +112,65 @@ def test_network_of_many_rows_trains_replicas(spark, monkeypatch):
     assert r.r2 > 0.9
 
 
+@pytest.mark.parametrize("hidden, dropout", [((8, 4), 0.0), ((8, 4), 0.3), ((7, 5, 3), 0.3), ((6,), 0.3)])
+def test_single_precision_epoch_equals_the_plain_one(monkeypatch, hidden, dropout):
+    import numpy as np
+
+    rng, shapes, n = np.random.default_rng(0), solvers._layer_shapes(3, hidden), 333
+    x = rng.normal(size=(n, 3))
+    y = x @ [3.0, 1.0, 0.0] + 1
+    w = np.tile(solvers._init_weights(shapes, 1), (4, 1)) + 0.01 * rng.normal(size=(4, sum((a + 1) * b for a, b in shapes)))
+    keeps = [rng.random((n, b)) >= dropout for _, b in shapes[:-1]]
+    asked = []
+
+    class Given:
+        """The same order of the rows and the same kept units for both."""
+
+        def permutation(self, k):
+            return np.random.default_rng(7).permutation(k)
+
+        def random(self, shape):
+            layer, first = len(asked) % len(keeps), sum(z[0] * z[1] for z in asked[::len(keeps)][:len(asked) // len(keeps)])
+            asked.append(shape)
+            return keeps[layer][first:first + shape[0] * shape[1]].reshape(shape).astype(float)
+
+    monkeypatch.setattr(solvers, "_keeps", lambda *_: keeps)
+    plain = [w.copy(), 0 * w, 0 * w, np.array([3, 3, 4, 3])]
+    single = [z.astype(np.float32) for z in plain[:3]] + [plain[3].copy()]
+    a = solvers._replica_epoch(*plain, x, y, shapes, 0.01, 32, dropout, Given())
+    b = solvers._replica_epoch(*single, x.astype(np.float32), y.astype(np.float32), shapes, 0.01, 32, dropout, Given())
+    assert a[:2] == pytest.approx(b[:2], rel=1e-5) and a[2].tolist() == b[2].tolist() == [96, 96, 77, 64]
+    assert single[0].dtype == np.float32 and all(np.allclose(p, q, atol=1e-5) for p, q in zip(plain, single))
+
+
+def test_dropped_units_are_as_many_as_asked_for():
+    import numpy as np
+
+    keeps = solvers._keeps(np.random.default_rng(3), 10_001, [(3, 64), (64, 33), (33, 1)], 0.2)
+    assert [k.shape for k in keeps] == [(10_001, 64), (10_001, 33)]
+    assert [k.mean() for k in keeps] == pytest.approx([0.8, 0.8], abs=0.003)
+
+
+def test_large_network_trains_every_row_in_no_more_tasks_than_cores(spark, monkeypatch):
+    monkeypatch.setattr(solvers, "REPLICA_ROWS", 64)
+    monkeypatch.setattr(solvers, "SINGLE_BLOCK", 128)
+    cores = spark.sparkContext.defaultParallelism
+    d = spark.range(9000).selectExpr("cast(id % 50 as double) q", "cast(id % 11 as double) d").selectExpr("*", "q - 2 * d AS y", "q = 7 AS v")
+    seen, plain = [], solvers._epoch_sums
+
+    def spy(table, width, replicas, *args, **kw):
+        sums = plain(table, width, replicas, *args, **kw)
+        seen.append((table.rdd.getNumPartitions(), replicas, *(round(sums[0][i]) for i in (0, 3))))
+        return sums
+
+    monkeypatch.setattr(solvers, "_epoch_sums", spy)
+    m = solvers.MLPRegressor(["q", "d"], "y", hidden=(8, 4), dropout=0.1, learning_rate=0.01, epochs=2, validation_col="v").fit(
+        d.repartition(3 * cores))
+    assert [s[0] for s in seen] == [cores] * 3 and [s[1] for s in seen] == [min(solvers.REPLICAS, 9000 // (64 * cores))] * 3
+    assert [s[2:] for s in seen] == [(8820, 180), (8820, 180), (0, 180)]
+    assert [h[0] for h in m.history] == [1, 2] and m.history[1][1] < m.history[0][1]
+
+
 def test_svr_of_equal_rows_equals_that_of_the_rows(spark, monkeypatch):
     import numpy as np
 
